@@ -1,11 +1,410 @@
-"""The registry of queries: name, DataFrame builder, SQL."""
+"""The registry of queries: each a DataFrame builder over the driver's tables and, where SQL
+can express it, the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.functions import text as X
+from pathloom.operators import graph as G
+from pathloom.operators import retrieve as R
+from pathloom.operators import walk as W
+from pathloom.sources import testkg
+from pathloom.streaming.ingest import event_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+#: Parts of the graph that queries walk.
+SUPPLY = ("geo.nation.region", "org.supplier.nation", "org.customer.nation", "type.object.type", "common.topic.webpage")
+ITEMS = ("sales.order.item", "sales.item.part", "sales.item.supplier")
+LAYERS = [["geo.nation.region"], ["org.supplier.nation"]]
+_NOISE = "(regexp_matches(r, '^(type|common|freebase|kg|user|base\\.ontologies)\\.') or split_part(r, '.', -1) in ('type','types','instance','instances','notable_types','topic_equivalent_webpage','webpage','mid','guid','key','keys','permission','is_reviewed'))"
+
+
+def _e(relations: tuple[str, ...] | None, rest: str) -> str:
+    """SQL with edges, clean edges and both directions (src, r, dst, edge)."""
+    return f"""with edges as ({testkg.edges_sql(relations)}), clean as (select * from edges where not {_NOISE}),
+bi as (select h as src, r, t as dst, h || '|' || r || '|' || t as edge from clean union all select t, r, h, h || '|' || r || '|' || t from clean where h <> t) {rest}"""
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("region:"), "r_regionkey").alias("anchor"))
+
+
+def _join(*arrays: str):
+    return [F.array_join(a, ">").alias(a) for a in arrays]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_suppliers(spark, sf_dir)
+
+
+@query(_e(SUPPLY, "select b.dst as supplier from bi a join bi b on a.dst = b.src where a.src = 'region:1' and a.r = 'geo.nation.region' and b.r = 'org.supplier.nation' and b.dst <> 'region:1' group by 1"))
+def region_suppliers(spark, d):
+    anchor = _anchors(spark, d).where("anchor = 'region:1'")
+    paths = W.mode_walk(anchor, testkg.edges(spark, d, SUPPLY), LAYERS)
+    return paths.where("covered = 3").select(F.element_at("nodes", -1).alias("supplier")).distinct()
+
+
+@query(_e(None, "select h, r, t from edges"))
+def kg_edges(spark, d):
+    return testkg.edges(spark, d)
+
+
+@query(_e(None, "select distinct node as name, regexp_matches(node, '^[mg]\\.[A-Za-z0-9_]+$') as is_cvt from (select h as node from edges union all select t from edges)"))
+def kg_entities(spark, d):
+    e = testkg.edges(spark, d)
+    return e.select(F.col("h").alias("name")).unionByName(e.select(F.col("t").alias("name"))).distinct().withColumn("is_cvt", X.is_cvt(F.col("name")))
+
+
+@query(_e(None, "select r, count(*) as n from clean group by r"))
+def noise_filter(spark, d):
+    return G.clean(testkg.edges(spark, d)).groupBy("r").agg(F.count("*").alias("n"))
+
+
+@query(_e(SUPPLY, "select h as node, r, t as next from edges where r in ('org.supplier.nation')"))
+def hop_forward(spark, d):
+    e = testkg.edges(spark, d, SUPPLY)
+    return G.expand(e.select(F.col("h").alias("node")).distinct(), e, ["org.supplier.nation"])
+
+
+@query(_e(SUPPLY, "select t as node, r, h as next from edges where r in ('org.supplier.nation')"))
+def hop_reverse(spark, d):
+    e = testkg.edges(spark, d, SUPPLY)
+    return G.expand(e.select(F.col("t").alias("node")).distinct(), e, ["org.supplier.nation"], reverse=True)
+
+
+@query(_e(SUPPLY, "select src, r, dst from bi"))
+def hop_both(spark, d):
+    return G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY))).select("src", "r", "dst")
+
+
+@query(_e(SUPPLY, "select a.src as anchor, a.dst as mid, b.dst as last from bi a join bi b on a.dst = b.src where a.src like 'region:%' and b.dst not in (a.src, a.dst)"))
+def two_hop_simple(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+    return p.select("anchor", F.col("nodes")[1].alias("mid"), F.col("nodes")[2].alias("last"))
+
+
+@query(_e(ITEMS, "select distinct src as cvt, dst as nb from bi where src like 'm.%' and src <> dst"))
+def through_cvt(spark, d):
+    return G.through_cvt(testkg.edges(spark, d, ITEMS))
+
+
+@query(_e(("org.supplier.nation", "org.customer.nation"), "select h, r, t from edges where r = 'org.customer.nation' and h in (select h from edges where r = 'org.customer.nation' and t = 'nation:3')"))
+def sibling_tails(spark, d):
+    e = testkg.edges(spark, d, ("org.supplier.nation", "org.customer.nation"))
+    return G.sibling_tails(e, e.where("r = 'org.customer.nation' and t = 'nation:3'"))
+
+
+@query(_e(("sales.order.item",), "select a.t as node, b.t as sibling from edges a join edges b on a.h = b.h and a.r = b.r and a.t <> b.t"))
+def sibling_cvt(spark, d):
+    return G.sibling_cvts(testkg.edges(spark, d, ("sales.order.item",)))
+
+
+@query(_e(ITEMS, "select src as cvt, string_agg(distinct r || '=' || dst, '; ' order by r || '=' || dst) as attributes from bi where src like 'm.%' and dst not like 'm.%' group by src"))
+def cvt_attributes(spark, d):
+    return G.cvt_attributes(testkg.edges(spark, d, ITEMS))
+
+
+@query(_e(None, "select src as node, count(*) as degree from bi group by src"))
+def node_degree(spark, d):
+    return G.degree(G.clean(testkg.edges(spark, d)))
+
+
+@query(_e(("sales.item.part",), "select src as node, count(*) as degree from bi where src like 'm.%' group by src having count(*) <= 1"))
+def cvt_leaves(spark, d):
+    return G.cvt_leaves(testkg.edges(spark, d, ("sales.item.part",)))
+
+
+@query(_e(None, "select r, h, t from (select *, row_number() over (partition by r order by h, t) as k from edges) where k = 1"))
+def sample_triple(spark, d):
+    return G.sample_triple(testkg.edges(spark, d))
+
+
+_NAMED = "n as (select h as node, 0 as side, r || '->' || t as text from edges union all select t, 1, h || '->' || r from edges), k as (select *, row_number() over (partition by node, side order by text) as k from n)"
+
+
+@query(_e(SUPPLY, f", {_NAMED} select node, string_agg(text, '; ' order by side, k) as context from k where k <= case side when 0 then 2 else 1 end group by node"))
+def entity_context(spark, d):
+    return G.entity_context(testkg.edges(spark, d, SUPPLY))
+
+
+@query(_e(SUPPLY, "select seed, edge from (select src as seed, edge, row_number() over (partition by src order by edge) as k from bi where src like 'nation:%') where k <= 6"))
+def local_subgraph(spark, d):
+    e = G.clean(testkg.edges(spark, d, SUPPLY))
+    seeds = e.where("r = 'geo.nation.region'").select(F.col("h").alias("node")).distinct()
+    return G.local_subgraph(e, seeds)
+
+
+@query(_e(None, "select r, sum(n)::bigint as n_edges, count(*) as n_heads, max(n) as max_fanout from (select r, h, count(*) as n from edges group by r, h) group by r"))
+def relation_fanout(spark, d):
+    return G.fanout(testkg.edges(spark, d))
+
+
+@query(_e(("sales.order.customer",), "select h, r, string_agg(distinct t, ' | ' order by t) as tails, count(*) as n from edges group by h, r"))
+def grouped_triples(spark, d):
+    return G.grouped_triples(testkg.edges(spark, d, ("sales.order.customer",)))
+
+
+@query(_e(SUPPLY, """, s as (select distinct src, dst from bi), f0 as (select distinct src as anchor, src as node from bi where src like 'region:%'),
+f1 as (select distinct anchor, dst as node from f0 join s on node = src where dst <> anchor),
+f2 as (select distinct f1.anchor, dst as node from f1 join s on f1.node = src where dst <> f1.anchor and not exists (select 1 from f1 x where x.anchor = f1.anchor and x.node = dst))
+select anchor, node, 0 as hop from f0 union all select anchor, node, 1 from f1 union all select anchor, node, 2 from f2"""))
+def reachability(spark, d):
+    return G.reachable(G.clean(testkg.edges(spark, d, SUPPLY)), _anchors(spark, d), 2)
+
+
+_PATH2 = """, p1 as (select src as anchor, src || '>' || dst as nodes, r as rels, edge as edges, dst as last, 1 as depth, (r = 'geo.nation.region')::int as c, edge as e1, '' as e2, src as n0, dst as n1 from bi where src like 'region:%'),
+p2 as (select anchor, nodes || '>' || b.dst as nodes, rels || '>' || b.r as rels, b.dst as last, 2 as depth, case when rels = 'geo.nation.region' then 1 else 0 end + case when rels = 'geo.nation.region' and b.r = 'org.supplier.nation' then 2 when rels <> 'geo.nation.region' and b.r = 'geo.nation.region' then 1 else 0 end as covered
+  from p1 join bi b on p1.last = b.src where b.dst not in (n0, n1))"""
+
+
+@query(_e(SUPPLY, _PATH2 + " select anchor, nodes, rels, covered::bigint as covered from p2"))
+def layer_coverage(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+    return p.select("anchor", *_join("nodes", "rels"), X.coverage(F.col("rels"), LAYERS).alias("covered"))
+
+
+@query(_e(SUPPLY, _PATH2 + " select anchor, nodes, bit_count(covered::bigint)::int as n_covered, case when covered >= 2 then 1 when covered = 1 then 0 else -1 end as last_covered, -2 as near from p2"))
+def causal_tier(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+    tier = X.causal_tier(X.coverage(F.col("rels"), LAYERS), F.size("edges"))
+    return p.select("anchor", *_join("nodes"), tier["covered"].alias("n_covered"), tier["last"].alias("last_covered"), tier["near"].alias("near"))
+
+
+_MODE = """, a as (select distinct src as anchor from bi where src like 'region:%'),
+s1 as (select anchor, dst as n1, edge as e1 from a join bi on src = anchor where r = 'geo.nation.region'),
+h1 as (select s1.*, dst as n2, edge as e2, r as r2 from s1 join bi on src = n1 where r = 'org.supplier.nation' and edge <> e1),
+m as (select s1.*, dst as m, edge as em, r as rm from s1 join bi on src = n1 where r <> 'org.supplier.nation' and edge <> e1),
+h2 as (select m.*, dst as n2, edge as e2 from m join bi on src = m where r = 'org.supplier.nation' and edge not in (e1, em)),
+z as (select * from s1 where not exists (select 1 from h1 where h1.anchor = s1.anchor and h1.e1 = s1.e1) and not exists (select 1 from h2 where h2.anchor = s1.anchor and h2.e1 = s1.e1)),
+w as (select anchor, anchor || '>' || n1 as nodes, 1 as covered, 0 as skipped from s1
+  union all select anchor, anchor || '>' || n1 || '>' || n2, 3, 0 from h1
+  union all select anchor, anchor || '>' || n1 || '>' || m || '>' || n2, 3, 0 from h2)"""
+
+
+@query(_e(SUPPLY, _MODE + ", q as (select *, row_number() over (partition by anchor, nodes order by bit_count(covered) desc, skipped) as k from w) select anchor, nodes, covered::bigint as covered from q where k = 1"))
+def mode_walk(spark, d):
+    return W.mode_walk(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, cap=100_000).select("anchor", *_join("nodes"), "covered")
+
+
+_SKIP = [["geo.nation.region"], ["product.part.brand"], ["org.supplier.nation"]]
+
+
+@query(_e(SUPPLY, _MODE + """, v as (select anchor, anchor || '>' || n1 as nodes, 1 as covered, 2 as skipped from s1
+  union all select anchor, anchor || '>' || n1 || '>' || n2, 5, 2 from h1), u as (select anchor, nodes, 1 as covered, 0 as skipped from w where covered = 1 union all select * from v),
+  q as (select *, row_number() over (partition by anchor, nodes order by bit_count(covered) desc, bit_count(skipped)) as k from u) select anchor, nodes, covered::bigint as covered, skipped::bigint as skipped from q where k = 1"""))
+def mode_walk_skip(spark, d):
+    return W.mode_walk(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), _SKIP, cap=100_000).select("anchor", *_join("nodes"), "covered", "skipped")
+
+
+_KQ = """, p1 as (select src as anchor, [src, dst] as nodes, [r] as rels, [edge] as edges from bi where src like 'region:%'),
+p2 as (select anchor, list_append(nodes, dst) as nodes, list_append(rels, r) as rels, list_append(edges, edge) as edges from p1 join bi on nodes[-1] = src where not list_contains(nodes, dst)),
+c as (select *, 1::bigint as covered from p1 where rels[-1] in ('geo.nation.region', 'org.supplier.nation') union all
+  select *, case when rels[1] = 'geo.nation.region' then 1 else 0 end + case when rels[1] = 'geo.nation.region' and rels[2] = 'org.supplier.nation' then 2 when rels[1] <> 'geo.nation.region' and rels[2] = 'geo.nation.region' then 1 else 0 end from p2 where rels[-1] in ('geo.nation.region', 'org.supplier.nation')),
+k as (select *, row_number() over (partition by anchor order by bit_count(covered) = 2 desc, bit_count(covered) desc, covered desc, len(edges), edges) as rank from c)"""
+
+
+@query(_e(SUPPLY, _KQ + " select anchor, array_to_string(nodes, '>') as nodes, covered, rank::int as rank from k where rank <= 5000"))
+def kqueue_paths(spark, d):
+    return W.k_queue(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, hops=1, beam=10_000).select("anchor", *_join("nodes"), "covered", "rank")
+
+
+@query(_e(SUPPLY, _KQ + """, g as (select *, row_number() over (partition by anchor, nodes[-1], covered order by bit_count(covered) desc, len(edges), edges) as g from k),
+  b as (select *, row_number() over (partition by anchor order by g <= 2 desc, bit_count(covered) desc, len(edges), edges) as b from g) select anchor, array_to_string(nodes, '>') as nodes from b where b <= 12"""))
+def diversity_beam(spark, d):
+    p = W.k_queue(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, hops=1, beam=10_000)
+    return W.diversity_beam(p, 12, 2).select("anchor", *_join("nodes"))
+
+
+@query(_e(SUPPLY, _MODE + " select anchor, anchor || '>' || n1 || '>' || n2 as nodes, 3::bigint as covered from h1"))
+def prior_expand(spark, d):
+    return W.prior_expand(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, limit=100_000).select("anchor", *_join("nodes"), "covered")
+
+
+@query(_e(SUPPLY, _MODE + ", c as (select *, count(*) over (partition by anchor) as n, row_number() over (partition by anchor order by n1, n2) as k from h1) select anchor, anchor || '>' || n1 || '>' || n2 as nodes, least(n, 10000) as path_count from c where k <= 200"))
+def pattern_materialize(spark, d):
+    return W.materialize(_anchors(spark, d), G.clean(testkg.edges(spark, d, SUPPLY)), ["geo.nation.region", "org.supplier.nation"]).select("anchor", *_join("nodes"), "path_count")
+
+
+@query(_e(SUPPLY, _PATH2 + ", x as (select anchor, replace(rels, '>', ' / ') as chain, nodes, unnest(string_split(nodes, '>')[2:]) as name from p2) select anchor, chain, count(distinct nodes) as n_paths, string_agg(distinct name, '|' order by name) as candidates from x group by anchor, chain"))
+def pattern_compress(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+    return W.compress(p).drop("witness")
+
+
+@query(_e(SUPPLY, _PATH2 + ", x as (select distinct anchor, nodes, unnest(string_split(nodes, '>')[2:]) as name from p2) select anchor, name, count(*) as n from x group by anchor, name"))
+def pattern_candidates(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    return W.candidate_counts(W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True))
+
+
+@query(_e(SUPPLY, _PATH2 + ", f as (select *, (last in ('supplier:1', 'supplier:2'))::int as f from p2), g as (select *, max(f) over (partition by anchor) as m from f) select anchor, nodes from g where f = m"))
+def endpoint_prefer(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+    return W.prefer(p, F.element_at("nodes", -1).isin("supplier:1", "supplier:2"), ["anchor"]).select("anchor", *_join("nodes"))
+
+
+@query(_e(SUPPLY, _PATH2 + ", x as (select anchor, unnest(string_split(nodes, '>')[-2:]) as name from p2) select distinct anchor, name from x where name <> anchor"))
+def last_two_candidates(spark, d):
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+    return p.select("anchor", F.explode(F.slice("nodes", -2, 2)).alias("name")).where("name <> anchor").distinct()
+
+
+@query(_e(ITEMS, "select distinct a.h, 'sales.order.item > ' || b.r as r, b.t from edges a join edges b on a.t = b.h where a.r = 'sales.order.item' and b.r = 'sales.item.part' and a.h in ('order:1', 'order:2', 'order:3')"))
+def bridge_triples(spark, d):
+    e = testkg.edges(spark, d, ITEMS)
+    anchors = e.where("r = 'sales.order.item' and h in ('order:1', 'order:2', 'order:3')").select(F.col("h").alias("anchor")).distinct()
+    steps = G.both_ways(e)
+    p = W.hop(W.hop(W.start(anchors), steps, F.col("r") == "sales.order.item"), steps, F.col("r") == "sales.item.part")
+    return W.bridge_triples(p)
+
+
+@query(_e(SUPPLY, _MODE + " select distinct h1.anchor, n2 as target, h1.anchor || '>' || n1 || '>' || n2 as nodes from h1"))
+def bidir_meet(spark, d):
+    e = testkg.edges(spark, d, SUPPLY)
+    steps = G.both_ways(G.clean(e))
+    f = W.hop(W.start(_anchors(spark, d)), steps, F.col("r") == "geo.nation.region")
+    ends = e.where("r = 'org.supplier.nation'").select(F.col("h").alias("anchor")).distinct()
+    return W.meet(f, W.hop(W.start(ends), steps, F.col("r") == "org.supplier.nation")).select("anchor", "target", *_join("nodes"))
+
+
+@query("with q as (select vec_id, embedding from embeddings where vec_id % 50 = 0), s as (select q.vec_id as query_id, e.vec_id as cand_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 4) as score from q, embeddings e), k as (select *, row_number() over (partition by query_id order by score desc, cand_id) as rank from s) select query_id, cand_id, score, rank::int as rank from k where rank <= 5")
+def vector_topk(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return R.vector_topk(q, e.select(F.col("vec_id").alias("cand_id"), "embedding"), 5)
+
+
+@query("with q as (select vec_id, embedding, label from embeddings where vec_id % 50 = 0), s as (select q.vec_id as query_id, q.label, e.vec_id as cand_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 4) as score from q, embeddings e), k as (select *, row_number() over (partition by query_id order by score desc, cand_id) as rank from s) select label, cand_id, max(score) as score from k where rank <= 5 group by label, cand_id")
+def multi_query_merge(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    labels = e.select(F.col("vec_id").alias("query_id"), "label")
+    return R.merge_queries(vector_topk(spark, d).join(labels, "query_id"), "label")
+
+
+@query(r"select doc_id, trim(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9%.'' ]+', ' ', 'g'), '\s+', ' ', 'g')) as norm from documents")
+def normalize_text(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.normalize(F.trim("text")).alias("norm"))
+
+
+@query("select doc_id, octet_length(encode(text)) = length(text) as ascii, regexp_matches(text, '[a-zA-Z]') as latin from documents")
+def ascii_names(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", X.is_ascii(F.col("text")).alias("ascii"), X.has_latin(F.col("text")).alias("latin"))
+
+
+@query(r"with p as (select p_partkey, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: x <> '')) as a, list_distinct(list_filter(string_split(regexp_replace(lower(p_type), '[^a-z0-9%.'' ]+', ' ', 'g'), ' '), lambda x: x <> '')) as b from part) select p_partkey, round(case when len(b) > 0 then len(list_intersect(list_transform(a, lambda x: regexp_replace(x, '[^a-z0-9%.'']+', '', 'g')), b)) / len(b)::double else 0 end, 6) as overlap from p")
+def token_overlap(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(X.token_overlap(F.col("p_name"), F.col("p_type")), 6).alias("overlap"))
+
+
+#: Model output made from names, one statement for both engines.
+_SAID = "concat('<analysis>x</analysis><answer>1. Who is ', n_name, '?', chr(10), '2. in', chr(10), '3. Where is it</answer>')"
+_BOXED = "concat('<answer>old</answer> then <answer>\\\\boxed{', n_name, '} \\\\boxed{', n_name, ' two}</answer>')"
+
+
+@query("select n_nationkey, 'Who is ' || n_name || '?|Where is it' as subs from nation")
+def parse_subquestions(spark, d):
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(X.subquestions(F.expr(_SAID)), "|").alias("subs"))
+
+
+@query("select n_nationkey, n_name || ' | ' || n_name || ' two' as answer, lower(n_name) in ('none') as empty from nation")
+def parse_answer(spark, d):
+    said = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", X.final_answer(F.expr(_BOXED)).alias("answer"))
+    return said.withColumn("empty", X.is_empty_answer(F.col("answer")))
+
+
+@query("select n_nationkey, '1:3,1;2:' || n_nationkey as choices from nation")
+def parse_prune(spark, d):
+    raw = F.concat(F.lit("<selected>step_1: [3, 1]\nstep_2: ["), F.col("n_nationkey"), F.lit("]</selected>"))
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(X.step_choices(raw), ";").alias("choices"))
+
+
+@query("select n_nationkey, n_name as subject, 'in' as predicate, '?x' as object from nation")
+def parse_triples(spark, d):
+    raw = F.concat(F.lit('<answer>{"triples": [{"source_subquestion": "q", "subject": "'), F.col("n_name"), F.lit('", "predicate": "in", "object": "?x",},]}</answer>'))
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.explode(X.triples_json(raw)).alias("t")).select("n_nationkey", "t.subject", "t.predicate", "t.object")
+
+
+_PLAN = "select n_nationkey as case_id, 0 as idx, n_name as subject, '?a' as object, n_name as anchor from nation union all select n_nationkey, 1, '?a', '?b', n_name from nation union all select n_nationkey, 2, '?a', '?c', n_name from nation union all select n_nationkey, 3, '?b', '?d', n_name from nation"
+
+
+@query("select n_nationkey as case_id, i as idx, [0, 1, 1, 2][i + 1] as depth from nation, (values (0), (1), (2), (3)) v(i)")
+def triple_depths(spark, d):
+    spark.read.parquet(f"{d}/nation.parquet").createOrReplaceTempView("nation")
+    return R.triple_depths(spark.sql(_PLAN), 4)
+
+
+@query("with p as (select 's' || (p_size % 5) as step, p_brand as rel, min(p_partkey) as rank from part group by 1, 2), r as (select 's' || (p_size % 5) as step, p_brand as rel, max(p_partkey) as rank from part group by 1, 2), b as (select *, 0 as source from p where rank <= 20 union all select *, 1 from r), f as (select *, row_number() over (partition by step, rel order by source, rank) as f from b), k as (select *, row_number() over (partition by step order by source, rank, rel) as place from f where f = 1) select step, rel, place::int as place from k where place <= 5")
+def relation_select(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("s"), F.col("p_size") % 5).alias("step"), F.col("p_brand").alias("rel"), "p_partkey").groupBy("step", "rel")
+    return R.select_relations(p.agg(F.min("p_partkey").alias("rank")).where("rank <= 20"), p.agg(F.max("p_partkey").alias("rank")), 5)
+
+
+_N = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9%.'' ]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_PG = f"select a.n_nationkey as a, b.r_regionkey as b, {_N.format('a.n_name')} as p, {_N.format('b.r_name')} as g from nation a join region b on true"
+
+
+@query(f"select a, b, p <> '' and g <> '' and (p = g or contains(p, g) or contains(g, p)) as hit, least(length(p), length(g)) >= 2 and (p = g or (least(length(p), length(g)) >= 4 and (contains(p, g) or contains(g, p)))) as strict from ({_PG})")
+def match_hit(spark, d):
+    n, r = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
+    both = n.join(F.broadcast(r), F.lit(True))  # 25 x 5 names, fixed by the schema
+    return both.select(F.col("n_nationkey").alias("a"), F.col("r_regionkey").alias("b"), R.hits(F.col("n_name"), F.col("r_name")).alias("hit"), R.strict_hits(F.col("n_name"), F.col("r_name")).alias("strict"))
+
+
+@query(f"with x as (select p_partkey, {_N.format('p_brand')} as b, {_N.format('p_type')} as t from part) select p_partkey, round(1 / 2.0::double, 6) as precision, round(1.0::double, 6) as recall, round(2 / 3.0::double, 6) as f1 from x")
+def match_prf(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array("p_brand", F.lit("zzz never")).alias("pred"), F.array("p_brand").alias("gold"))
+    return R.match_stats(p).select("p_partkey", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+@query("select n_name as mention, n_name as name, 1 as tier from nation")
+def anchor_resolve(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return R.resolve(n.select(F.col("n_name").alias("mention")), n.select(F.col("n_name").alias("name")))
+
+
+@query("select c_custkey, c_name, o_orderkey from customer left join (select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey) on c_custkey = o_custkey")
+def case_join(spark, d):
+    last = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return spark.read.parquet(f"{d}/customer.parquet").join(last, "c_custkey", "left").select("c_custkey", "c_name", "o_orderkey")
+
+
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def case_mask(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/orders.parquet"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def event_windows(spark, d):
+    return event_counts(spark.read.parquet(f"{d}/events.parquet"))
