@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it is known to hold no more bytes than this.
 BROADCAST_BYTES = 32 << 20
 
+#: Spark's setting that drops an execution's shuffle files once it has ended.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's spark.checkpoint.dir, which executors
@@ -21,9 +24,17 @@ def shared_dir(spark: SparkSession) -> None:
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read from there: lineage ends here,
-    so a lost executor costs a read and no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    so a lost executor costs a read and no recomputation. Nothing reads the shuffles
+    behind them again, so their files go at once and not when the driver next collects
+    its garbage; the session's own setting comes back."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, so that it takes the setting
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
 
 
 def small(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
