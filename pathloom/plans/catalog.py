@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions import grammar as Y
 from pathloom.functions import text as X
 from pathloom.operators import graph as G
 from pathloom.operators import retrieve as R
+from pathloom.operators import select as S
 from pathloom.operators import walk as W
 from pathloom.sources import testkg
 from pathloom.streaming.ingest import event_counts
@@ -408,3 +410,103 @@ def case_mask(spark, d):
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def event_windows(spark, d):
     return event_counts(spark.read.parquet(f"{d}/events.parquet"))
+
+
+_TWO_HOPS = ", hops as (select anchor, rels, nodes, last, split_part(rels, '>', 1) as r1, split_part(rels, '>', 2) as r2, split_part(nodes, '>', 2) as n1 from p2)"
+
+
+def _two_hops(spark: SparkSession, d: str) -> DataFrame:
+    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
+    return W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
+
+
+@query(_e(SUPPLY, _PATH2 + _TWO_HOPS + " select anchor, nodes, anchor || ' --[' || r1 || ']--> node1' || case when n1 = 'nation:3' then '[endpoint]' else '' end || ' --[' || r2 || ']--> node2' || case when last = 'supplier:1' then '[endpoint]' else '' end as pattern from hops"))
+def readable_patterns(spark, d):
+    ends = F.array(F.lit("nation:3"), F.lit("supplier:1"))
+    shown = _two_hops(spark, d).withColumn("pattern", S.readable(F.col("nodes"), F.col("rels"), ends))
+    return shown.select("anchor", *_join("nodes"), "pattern")
+
+
+@query(_e(SUPPLY, _PATH2 + _TWO_HOPS + ", t as (select anchor, r1 as r, n1 as t from hops union select anchor, r2, last from hops), p as (select 0 as step, 'geo.nation.region' as r union all select 1, 'org.supplier.nation' union all select 1, 'geo.nation.region') select anchor, step, r, count(distinct t) as n from t join p using (r) where t <> anchor group by anchor, step, r"))
+def step_targets(spark, d):
+    plan = spark.createDataFrame([(0, "geo.nation.region"), (1, "org.supplier.nation"), (1, "geo.nation.region")], "step int, r string")
+    return S.step_targets(_two_hops(spark, d), F.broadcast(plan))  # a question's plan: a few rows
+
+
+_PATTERNS = "x as (select p_brand as anchor, row_number() over (partition by p_brand order by p_partkey) - 1 as pos, list_slice(string_split(p_type, ' '), 1, 2) as sig from part)"
+
+
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_brand").alias("anchor"), (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long").alias("pos"), F.split("p_type", " ").alias("chain"))
+
+
+def _shortlist(distinct: int, most: int, among: str) -> str:
+    return f"with {_PATTERNS}, f as (select *, row_number() over (partition by anchor, sig order by pos) = 1 as fst from x {among}), c as (select *, coalesce(sum(fst::int) over (partition by anchor order by pos rows between unbounded preceding and 1 preceding), 0) as seen from f), k as (select *, row_number() over (partition by anchor order by pos) as k from c where fst or seen < {distinct}) select anchor, pos from k where k <= {most}"
+
+
+@query(_shortlist(3, 20, ""))
+def pattern_shortlist(spark, d):
+    return S.shortlist(_patterns(spark, d)).select("anchor", "pos")
+
+
+@query(_shortlist(4, 5, "where pos < 20"))
+def pattern_reselect(spark, d):
+    return S.shortlist(_patterns(spark, d), distinct=4, most=5, among=20).select("anchor", "pos")
+
+
+@query(f"with {_PATTERNS}, p as (select anchor, pos from x where pos = 5 or (pos = 1 and anchor like '%1')), n as (select a.anchor, count(p.pos) as n from (select distinct anchor from x) a left join p using (anchor) group by a.anchor), s as (select x.anchor, x.pos, row_number() over (partition by x.anchor order by x.pos) + n as k from x join n using (anchor) where x.pos < 3 and not exists (select 1 from p where p.anchor = x.anchor and p.pos = x.pos)) select anchor, pos from p union all select anchor, pos from s where k <= 2")
+def pattern_minimum(spark, d):
+    p = _patterns(spark, d)
+    return S.at_least(p.where("pos = 5 or (pos = 1 and anchor like '%1')").select("anchor", "pos"), p)
+
+
+@query("with r as (select distinct p_size as case_id, (p_partkey % 4)::int as idx, p_brand as rel from part), t as (select distinct case_id, idx, case when case_id % 2 = 0 then [0, 1, 1, 2][idx + 1] else idx end as depth from r), n as (select *, count(*) over (partition by case_id, depth) as n from t), b as (select *, max(n) over (partition by case_id) > 1 as b, dense_rank() over (partition by case_id order by depth) - 1 as k from n) select distinct case_id, case when b then k else idx end::int as step, rel from b join r using (case_id, idx)")
+def branch_merge(spark, d):
+    rel = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").alias("case_id"), (F.col("p_partkey") % 4).cast("int").alias("idx"), F.col("p_brand").alias("rel")).distinct()
+    steps = rel.select("case_id", "idx").distinct().withColumn("depth", F.expr("if(case_id % 2 = 0, array(0, 1, 1, 2)[idx], idx)"))
+    return S.merge_depths(steps, rel)
+
+
+@query("with x as (select c_nationkey as case_id, c_custkey as pos, c_mktsegment as name, lower(c_mktsegment) as norm from customer), k as (select *, row_number() over (partition by case_id, norm order by pos) as k from x) select case_id, pos, name from k where k = 1")
+def distinct_names(spark, d):
+    return S.distinct_names(spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("case_id"), F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("name")))
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/customer.parquet").select(
+        F.col("c_custkey").alias("case_id"), F.concat(F.lit("Who is "), "c_name").alias("question"), F.expr("c_custkey % 2 = 0").alias("gt_hit"), F.expr("c_custkey % 4 = 0").alias("gt_hit_strict"), F.expr("c_custkey % 3 = 0").alias("llm_hit"),
+        F.expr("if(c_custkey % 5 = 0, '', concat(c_name, ' | x'))").alias("llm_answer"), F.expr("array(if(c_custkey % 2 = 0, c_name, 'zzz'))").alias("gt_answers"), *(F.expr(f"cast(c_custkey % {m} as double) / {m}").alias(n) for n, m in (("gt_f1", 4), ("llm_precision", 5), ("llm_recall", 8), ("llm_f1", 10))), F.expr("if(c_custkey % 7 = 0, 'timeout', null)").alias("error"))
+
+
+@query("select count(*) as cases, count(*) filter (c_custkey % 2 = 0) as gt_hits, count(*) filter (c_custkey % 4 = 0) as strict_hits, count(*) filter (c_custkey % 3 = 0) as llm_hits, count(*) filter (c_custkey % 2 = 0 and c_custkey % 5 <> 0) as hit_at_1, count(*) filter (c_custkey % 7 = 0) as errors, round(avg((c_custkey % 4) / 4.0::double), 6) as gt_f1, round(avg((c_custkey % 5) / 5.0::double), 6) as llm_precision, round(avg((c_custkey % 8) / 8.0::double), 6) as llm_recall, round(avg((c_custkey % 10) / 10.0::double), 6) as llm_f1 from customer")
+def run_summary(spark, d):
+    out = S.run_summary(_cases(spark, d))
+    means = ("gt_f1", "llm_precision", "llm_recall", "llm_f1")
+    return out.select(*(F.round(c, 6).alias(c) if c in means else c for c in out.columns))
+
+
+@query("select c_custkey as case_id, 'Q: Who is ' || c_name || chr(10) || 'GT: ' || case when c_custkey % 2 = 0 then c_name else 'zzz' end || chr(10) || 'LLM: ' || case when c_custkey % 5 = 0 then '' else c_name || ' | x' end as trace from customer where not (c_custkey % 2 = 0 and c_custkey % 3 = 0)")
+def fail_traces(spark, d):
+    return S.fail_traces(_cases(spark, d))
+
+
+_LINE_PLAN = """concat('Anchor: ', n_name, ' (entity_query: q ', n_name, ')', chr(10), 'Answer_type: person', chr(10), '1. "Who rules?" (type: verify; relation_query: ruler; endpoint: none)', chr(10), '2. Where is it (relation_query: place; endpoint: ', n_name, ' (entity_query: eq))', chr(10), 'noise')"""
+
+
+@query("select n_nationkey, n_name as anchor, 'q ' || n_name as anchor_query, 'person' as answer_type, 1 as step, 'Who rules?' as question, 'verify' as type, 'ruler' as relation_query, null::varchar as endpoint, null::varchar as endpoint_query from nation union all select n_nationkey, n_name, 'q ' || n_name, 'person', 2, 'Where is it', 'find', 'place', n_name, 'eq' from nation")
+def parse_plan(spark, d):
+    raw = F.expr(_LINE_PLAN)
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", Y.plan_anchor(raw).alias("a"), F.explode(Y.plan_steps(raw)).alias("s"))
+    return rows.select("n_nationkey", F.col("a.name").alias("anchor"), F.col("a.query").alias("anchor_query"), "a.answer_type", "s.step", "s.question", "s.type", "s.relation_query", F.col("s.endpoint.name").alias("endpoint"), F.col("s.endpoint.query").alias("endpoint_query"))
+
+
+_CHAIN = "concat('Reasoning: r', chr(10), 'Chain:', chr(10), n_name, ' -(in)-> node -(ruled by)-> the', chr(10), 'Endpoints: [', n_name, '] at hop 2', chr(10), 'Analysis:', chr(10), '- Keyword: k1', chr(10), '- Definition: d1', chr(10), '- Keyword: k2')"
+
+
+@query("select n_nationkey, n_name as anchor, 'in:node:k1:d1|ruled by:node:k2:' as hops, n_name || '@2' as endpoints from nation")
+def parse_chain(spark, d):
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", Y.chain(F.expr(_CHAIN)).alias("c"))
+    hops = F.transform("c.hops", lambda h: F.concat_ws(":", h["relation"], h["endpoint"], h["keyword"], h["definition"]))
+    ends = F.transform("c.endpoints", lambda e: F.concat_ws("@", e["entity"], e["hop"].cast("string")))
+    return rows.select("n_nationkey", F.col("c.anchor").alias("anchor"), F.array_join(hops, "|").alias("hops"), F.array_join(ends, "|").alias("endpoints"))

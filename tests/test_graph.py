@@ -90,3 +90,15 @@ def test_stream_appends_edges_once(spark, tmp_path):
     for _ in range(2):
         ingest_edges(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_sinks_round_trip(spark, tmp_path):
+    from pathloom.operators.select import fail_traces
+    from pathloom.sources import sinks
+
+    rows = spark.createDataFrame([(1, "q", True, False, ["b"], None, ["z", "a"], list(range(30))), (2, "p", True, True, ["c"], "c", [], [])], "case_id int, question string, gt_hit boolean, llm_hit boolean, gt_answers array<string>, llm_answer string, seen array<string>, patterns array<int>")
+    sinks.write_states(rows, f"{tmp_path}/states", sets=("seen",))
+    back = {r.case_id: r for r in spark.read.json(f"{tmp_path}/states").collect()}
+    assert back[1].seen == ["a", "z"] and len(back[1].patterns) == 20 and back[1].llm_answer is None and back[2].patterns == []
+    sinks.write_traces(fail_traces(rows), f"{tmp_path}/traces")
+    assert "\n".join(r.value for r in spark.read.text(f"{tmp_path}/traces").collect()).endswith("Case: 1\nQ: q\nGT: b\nLLM: ")
