@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,46 @@ def test_jaccard_brute_force(spark):
     assert got == dict(enumerate(top))
 
 
+def _similar_texts(seed):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(500)}" for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        x = base[:]
+        for _ in range(rnd.randrange(5)):
+            x[rnd.randrange(len(x))] = f"w{rnd.randrange(500)}"
+        texts.append(" ".join(x))
+    return list(dict.fromkeys(texts))
+
+
+def _classes(n, links):
+    top = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    return top
+
+
+def test_forest_spans_the_links():
+    texts = _similar_texts(8)
+    links = J.brute_force(texts)
+    prints = [np.array(sorted({hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)}), np.uint32) for w in map(str.split, texts)]
+    cls, side = np.arange(len(texts)), np.arange(len(texts)) % 2
+    found = J.forest(cls, side * 0, prints, 0.8)
+    assert {tuple(sorted(p, reverse=True)) for p in found} <= {tuple(sorted(p, reverse=True)) for p in links}
+    assert _classes(len(texts), found) == _classes(len(texts), links) and len(found) == len(texts) - len(set(_classes(len(texts), links)))
+    across = J.forest(cls, side, prints, 0.8)
+    assert all(side[a] != side[b] for a, b in across)
+    assert _classes(len(texts), across) == _classes(len(texts), [(a, b) for a, b in links if side[a] != side[b]])
+
+
+def test_jaccard_blocks_agree(spark):
+    texts = _similar_texts(9)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in J.jaccard_join(d, small=2, block=7, block_tokens=900).collect()}
+    assert got == dict(enumerate(_classes(len(texts), J.brute_force(texts))))
+
+
 def test_decontaminate_blocks_agree(docs, tests):
     one = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate(docs, tests).collect()}
     many = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate(docs, tests, block_bytes=40).collect()}
