@@ -27,9 +27,12 @@ similarity. Classes are connected components of verified links. Bucket rows hold
 numbers; a hot bucket is counted and given its pivot by partial aggregates, and joins that
 adaptive execution can split bring those back.
 
+Links are counted once the classes are known. Similar texts share a class, so all pairs of
+a class are compared, each in the one block, or pair of blocks, that holds both; a block
+sends on a number a text, never its pairs.
+
 Result: one row a document with its class (the least id in it), its number of links
-(verified pairs of different texts the join reports for its text; in a large bucket these
-are those to pivots and of the forests) and of copies (other documents of equal text).
+(different texts similar to its own) and of copies (other documents of equal text).
 
 Defined results: texts without a word are similar to nothing, though equal texts still
 share a class; null text is empty, a null id belongs to its text's class and is never
@@ -39,7 +42,6 @@ the least; repeated rows are copies; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from math import ceil, exp, log
 
 import numpy as np
@@ -208,7 +210,47 @@ def _compare(threshold: float):
     return links
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 4096, block: int = 2048, block_tokens: int = 1 << 22) -> DataFrame:
+def degrees(cls: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool) -> np.ndarray:
+    """For each row, the rows of its class at the threshold; with `across`, of the other side."""
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.lexsort((size, cls))
+    n, cls, side = size[order], cls[order], side[order]
+    first = np.concatenate([[0], np.cumsum(n)])
+    token = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(token.max(initial=0)) + 1, np.uint8)
+    out = np.zeros(len(n), np.int64)
+    ends = np.searchsorted(cls, cls, "right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] / threshold + 1e-6, "right")))
+        if across:
+            j = j[side[j] != side[i]]
+        own = token[first[i] : first[i + 1]]
+        mark[own] = 1
+        for part in np.split(j, np.arange(256, len(j), 256)) if len(j) else ():
+            end = np.cumsum(n[part])
+            at = np.arange(int(end[-1])) + np.repeat(first[part] - (end - n[part]), n[part])
+            both = np.add.reduceat(mark[token[at]], end - n[part], dtype=np.int64)
+            close = part[both / (n[part] + n[i] - both) >= threshold]
+            out[close] += 1
+            out[i] += len(close)
+        mark[own] = 0
+    back = np.empty(len(n), np.int64)
+    back[order] = out
+    return back
+
+
+def _count(threshold: float):
+    """The degrees within a block or between two blocks of a class."""
+
+    def count(table: pa.Table) -> pa.Table:
+        cls, side, lo, hi = (table.column(k).to_numpy() for k in ("cls", "side", "lo", "hi"))
+        n = degrees(cls, side, [np.frombuffer(s, K.U64) for s in table.column("tokens").to_pylist()], threshold, bool(lo[0] != hi[0]))
+        return pa.table({"node": table.column("node"), "n_links": pa.array(n)}).filter(pa.array(n > 0))
+
+    return count
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 4096, block: int = 2048, block_tokens: int = 1 << 22, count_block: int = 512, count_tokens: int = 1 << 19) -> DataFrame:
     """Returns doc_id, class_id, n_links, n_copies."""
     docs = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("node", F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long"))
@@ -232,14 +274,27 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return F.least(n, m) >= threshold * F.greatest(n, m)
 
     rows = kept(docs.select("node", "text").mapInArrow(_paths(runs_for(threshold, spread, recall), spread, size), _ROW))
-    links: list[DataFrame] = []
     labels: DataFrame | None = None
 
     def linked_by(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """The classes after the links among pairs. Candidates are of different classes, so
-        no link comes twice."""
-        links.append(kept(verified(pairs)))
-        return components(links[-1], labels)
+        """The classes after the links among pairs."""
+        return components(kept(verified(pairs)), labels)
+
+    def degree_of(labels: DataFrame) -> DataFrame:
+        """(d, n_links) of the nodes of classes. The two of a class of two are linked; classes
+        of one block share a group with others, as many as about `count_tokens` shingles."""
+        placed = kept(labels.join(labels.groupBy("cls").agg(F.count("*").alias("size")), "cls"))
+        pairs = placed.where("size = 2").select(F.col("node").alias("d"), F.lit(1).cast("long").alias("n_links"))
+        sets = made(placed.where("size > 2"), _sets(size), "node long, tokens binary")
+        member = kept(placed.where("size > 2").join(sets.select("node", (F.octet_length("tokens") / 8).alias("n")), "node"))
+        sized = member.groupBy("cls").agg(F.sum("n").alias("tokens"))
+        groups = int((member.agg(F.sum("n")).first()[0] or 0) // count_tokens) + 1
+        near = member.join(sized, "cls").withColumn("blocks", F.ceil(F.greatest(F.col("size") / count_block, F.col("tokens") / count_tokens)).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        near = near.withColumn("own", F.when(F.col("blocks") > 1, F.col("cls")).otherwise(-1 - F.pmod(F.xxhash64("cls"), F.lit(groups))))  # classes are not negative
+        near = near.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+        near = near.select("own", "node", "cls", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("side"))
+        found = near.join(sets, "node").groupBy("own", "lo", "hi").applyInArrow(_count(threshold), "node long, n_links long")
+        return kept(pairs.unionAll(found.groupBy(F.col("node").alias("d")).agg(F.sum("n_links").alias("n_links"))))
 
     for level in range(LEVELS):
         mixed = _mixed(rows, labels)
@@ -274,7 +329,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rows = kept(texts(checked(again, 56, "buckets")).mapInArrow(_paths(0, spread, size), _ROW))
     if labels is None:
         return copies.join(nodes, "node").select("doc_id", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    degree = reduce(DataFrame.unionAll, links).select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("n_links"))
+    degree = degree_of(labels)
     named = nodes.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"))
     class_id = named.groupBy("cls").agg(F.min("least").alias("class_id"))
     linked = named.join(class_id, "cls").select("node", "class_id").join(degree, F.col("node") == F.col("d")).select(F.col("node").alias("k"), "class_id", "n_links")

@@ -130,6 +130,21 @@ def test_jaccard_blocks_agree(spark):
     assert got == dict(enumerate(_classes(len(texts), J.brute_force(texts))))
 
 
+def test_jaccard_counts_every_link(spark):
+    texts = _similar_texts(10) + _similar_texts(11) + ["only a few words here"]
+    texts += [texts[0].rsplit(" ", 1)[0] + " end", " ".join(f"p{i}" for i in range(40)), " ".join(f"p{i}" for i in range(41))]
+    want = [0] * len(texts)
+    for a, b in J.brute_force(texts):
+        want[a] += 1
+        want[b] += 1
+    assert max(want) > 8
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for given in ({}, {"small": 2, "block": 7, "block_tokens": 900, "count_block": 7, "count_tokens": 900}):
+        got = {r.doc_id: r.n_links for r in J.jaccard_join(d, **given).collect()}
+        assert got == {i: want[i % 1000] for i, _ in rows}
+
+
 def test_decontaminate_blocks_agree(docs, tests):
     one = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate(docs, tests).collect()}
     many = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate(docs, tests, block_bytes=40).collect()}
