@@ -23,13 +23,14 @@ def _rows(df: DataFrame, **changed) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted go."""
-    return _rows(quality_rules(docs.select(*COLUMNS), carry=True).where("kept"))
+    """Documents that fail the base rules or are depleted go. Copies come as far as the
+    near duplicates: equal texts count as one document."""
+    return _rows(quality_rules(docs.select(*COLUMNS), carry=True, distinct=True).where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; n_chars follows."""
-    left = line_dedup(docs.select(*COLUMNS), carry=True)
+    left = line_dedup(docs.select(*COLUMNS), carry=True, distinct=True)
     same = F.col("n_dropped") == 0
     return _rows(left, text=F.when(same, F.col("row.text")).otherwise(F.col("text")), n_chars=F.when(same, F.col("row.n_chars")).otherwise(F.length("text").cast("long")))
 

@@ -8,8 +8,10 @@ lines, so a list stays short however many documents the host has.  The lists' si
 measured before they are broadcast; beyond the bound the join shuffles.
 
 Defined results: null text is empty; a null host is a host of its own; blank lines are
-never counted or dropped; a repeated row counts as a document of its own; an empty
-table gives an empty result; other columns are ignored.
+never counted or dropped; an empty table gives an empty result; other columns are
+ignored. A repeated row counts as a document of its own, as in the operators' SQL; with
+`distinct`, the rows of a host with equal text count as one document, so that copies of a
+document don't make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -25,12 +27,21 @@ from pyspark.sql import functions as F
 from pathloom.llm import kernels as K
 from pathloom.llm.shared import carried, columns, head, kept, small
 
-_COUNTS = pa.schema([("host", pa.string()), ("line", pa.int64()), ("n", pa.int64())])
+_COUNTS = pa.schema([("host", pa.string()), ("line", pa.int64()), ("n", pa.float64())])
 
 
-def frequent_lines(docs: DataFrame, ratio: float, min_docs: int, fold: bool) -> DataFrame:
+def _weighted(docs: DataFrame) -> DataFrame:
+    """(host, text, share): the share of a row in its text's one document, 1 / copies."""
+    docs = docs.withColumn("key", F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long"))
+    copies = kept(docs.groupBy("host", "key").agg(F.count("*").alias("copies")).where("copies > 1"))
+    copies = small(copies.withColumnsRenamed({"host": "_host", "key": "_key"}), 64)
+    return docs.join(copies, F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key")), "left").select("host", "text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+
+
+def frequent_lines(docs: DataFrame, ratio: float, min_docs: int, fold: bool, distinct: bool = False) -> DataFrame:
     """(host, lines): hashes of the lines in more than max(min_docs, ratio * documents
-    of the host) documents of the host. `docs` has host and text."""
+    of the host) documents of the host. `docs` has host and text. With `distinct`, equal
+    texts of a host are one document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -41,8 +52,10 @@ def frequent_lines(docs: DataFrame, ratio: float, min_docs: int, fold: bool) ->
                 found, *_ = K.lines(c, fold)
                 _, before = K.repeats(found.text, found.hash)
                 line, by = found.hash[~before], of[found.text[~before]]
-                key, at, n = np.unique(K.mix(line + by.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                docs_of = np.bincount(of, minlength=len(names.dictionary))
+                share = b.column("share").to_numpy(zero_copy_only=False)[c.lo : c.hi]
+                _, at, place = np.unique(K.mix(line + by.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True)
+                n = np.bincount(place, weights=share[found.text[~before]], minlength=len(at))
+                docs_of = np.bincount(of, weights=share, minlength=len(names.dictionary))
                 seen = np.flatnonzero(docs_of)
                 yield K.batch(
                     _COUNTS,
@@ -51,7 +64,9 @@ def frequent_lines(docs: DataFrame, ratio: float, min_docs: int, fold: bool) ->
                     n=np.concatenate([n, docs_of[seen]]),
                 )
 
-    counted = docs.select("host", "text").mapInArrow(count, "host string, line long, n long").groupBy("host", "line").agg(F.sum("n").alias("n"))
+    shares = _weighted(docs.select("host", "text")) if distinct else docs.select("host", "text", F.lit(1.0).alias("share"))
+    # A text's shares add up to 1 for each of its lines, so that the sums are whole but for rounding.
+    counted = shares.mapInArrow(count, "host string, line long, n double").groupBy("host", "line").agg(F.round(F.sum("n")).cast("long").alias("n"))
     counted = kept(counted.where((F.col("n") > min_docs) | F.col("line").isNull()))
     total = counted.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("total"))
     over = counted.where("line is not null").join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.greatest(F.lit(float(min_docs)), ratio * F.col("total")))
@@ -75,14 +90,15 @@ def _listed(b: pa.RecordBatch, c: K.Chunk, found: K.Lines) -> np.ndarray:
     return np.isin(K.mix(found.hash + found.text.astype(K.U64) * salt), known)
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_docs: int = 10, carry: bool = False) -> DataFrame:
-    """Drop the lines that more than max(min_docs, ratio * pages) pages of the host hold.
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_docs: int = 10, carry: bool = False, distinct: bool = False) -> DataFrame:
+    """Drop the lines that more than max(min_docs, ratio * pages) pages of the host hold
+    (with `distinct`, pages of different text).
 
     Returns doc_id, text (what is left; lines joined by \\n as before), n_lines (lines
     with a word) and n_dropped (of those)."""
     docs = columns(docs, carry, doc_id=id_col, host=host_col, text=text_col)
     kind, names = head(docs)
-    over = frequent_lines(docs, ratio, min_docs, fold=False)
+    over = frequent_lines(docs, ratio, min_docs, fold=False, distinct=distinct)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,17 +128,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "sour
 _SYMBOL = K.flags(b"#*$%&|<>")
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_docs: int = 10, least_left: float = 0.3, carry: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_docs: int = 10, least_left: float = 0.3, carry: bool = False, distinct: bool = False) -> DataFrame:
     """Base counts of each document, and a verdict from cross-document line frequency.
 
     Lines (A-Z lower-cased, white space collapsed) in more than max(min_docs, ratio *
-    documents) documents of the host are removed; a document with less than
+    documents) documents of the host (with `distinct`, of different text) are removed; a document with less than
     `least_left` of its words outside them is depleted and rejected, as is one that
     fails the base rules. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_common_words (words on removed lines)."""
     docs = columns(docs, carry, doc_id=id_col, host=host_col, text=text_col)
     kind, names = head(docs)
-    over = frequent_lines(docs, ratio, min_docs, fold=True)
+    over = frequent_lines(docs, ratio, min_docs, fold=True, distinct=distinct)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

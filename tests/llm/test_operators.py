@@ -174,6 +174,19 @@ def test_quality_rejects_depleted(spark):
     assert not got[1].kept and not got[1].base_failed and got[101].kept
 
 
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline as P
+
+    words = lambda name, n: " ".join(f"{name}v{j}" for j in range(n))
+    text = words("a", 30) + "\n" + words("b", 30)
+    rows = [(i, text) for i in range(30)] + [(100 + i, words(f"u{i}", 40) + "\n" + words("menu", 12)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for _, stage in P.STAGES[:3]:
+        docs = stage(spark, docs, "")
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {0: text} | {100 + i: words(f"u{i}", 40) for i in range(60)}
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 50)), f"s{i % 4}") for i in range(800)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), range_rows=10).collect()
