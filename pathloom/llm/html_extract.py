@@ -5,12 +5,13 @@ class and id); under a path, pages differ in style (which children an element ha
 what order) and in content (the text of its blocks).  With m pages holding a node, its
 presentation importance is the entropy of its styles and its content importance the mean
 entropy of its texts, both with base m: near 0 if all pages agree, as for menus and
-notices, and near 1 if no two do, as in articles.  An element's importance joins its own
-presentation with that of what is below it.
+notices, and near 1 if no two do, as in articles.  Each text is judged at its own element,
+by what it leaves of that content importance and by the element's presentation; what is
+below is judged on its own, so a branch goes as a whole only if all texts in it are low.
 
 Pages are counted per host and node in two steps: each task counts what it reads, and
 one row for each distinct (host, node, style or text) and task goes on, so a hot host is
-summed before any shuffle.  Low-importance branches come to one short list a host, as
+summed before any shuffle.  Low-importance texts come to one short list a host, as
 long as its template and not its number of pages.
 
 A host with fewer than `min_pages` pages says too little, and no site tree can tell a
@@ -169,12 +170,12 @@ def extract(tree: Tree, low: set[tuple[int, int]]) -> str:
             if item.tag == "br":
                 current.append(" ")
                 continue
-            if low and not item.main and (digest(path), digest(own_text(item))) in low:
-                continue
+            shared = low and not item.main and (digest(path), digest(own_text(item))) in low
             if item.tag in BLOCK:
                 end()
                 stack.append((None, ""))
-            stack += [(x, f"{path}/{x.name}" if isinstance(x, Node) else path) for x in reversed(item.children)]
+            # A shared text goes alone: what is below its element has texts of its own.
+            stack += [(x, f"{path}/{x.name}") if isinstance(x, Node) else (" " if shared else x, path) for x in reversed(item.children)]
     end()
     return " ".join(blocks)
 

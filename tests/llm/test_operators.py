@@ -239,6 +239,13 @@ def test_html_site_noise(spark):
     assert got == {i: f"own text {i}" for i in range(60)}
 
 
+def test_html_shared_label_keeps_what_is_below(spark):
+    page = "<body><div class='m'>Menu <a>Home</a> <a>About</a></div><div>Story: <p>unique article {}</p><b>by {}</b> <i>on {}</i></div></body>"
+    rows = [(i, "http://h.io/a", page.format(i, i, i)) for i in range(60)]
+    got = {r.page_id: r.text for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"unique article {i} by {i} on {i}" for i in range(60)}
+
+
 def test_classifier_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
