@@ -10,13 +10,13 @@ partition.
 
 The test set is the side that is sent to the tasks.  Its size is measured; one larger
 than `block_bytes` is cut into blocks of items, each looked up in a pass of its own,
-and the passes' hits are merged by document.
+and the passes' hits are merged by document: id, text (its SHA-256) and, if carried, the
+row. Each pass returns every row once, so a group's rows over the passes are its copies.
 
 Defined results: null or empty text has no words and no hits; an item without words
 never matches, as do null item texts; items with equal texts each count; repeated
-document rows are judged one by one in one block (and as one document, with the union
-of hits, only where several blocks are merged and id and word count agree); an empty
-benchmark leaves all documents clean.
+document rows each come back, in one block or several; an empty benchmark leaves all
+documents clean.
 """
 
 from __future__ import annotations
@@ -148,15 +148,16 @@ def _block(docs: DataFrame, held: Phrases | None, slop: int, merge: bool) -> Dat
                 lists = [sorted(p.ids[i] for i in items[t]) if t in items else [] for t in range(len(c))]
                 out = [*carried(b, c.lo, len(c)), pa.array(n_words, pa.int64())]
                 if merge:
-                    out += [pa.array([(np.flatnonzero(hit[first[t] : first[t + 1]])).tolist() if n_hit[t] else [] for t in range(len(c))], pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(out, [*names, "n_words", "places", "items"])
+                    raw = c.buf.tobytes()
+                    out += [pa.array([hashlib.sha256(raw[lo:hi]).digest() for lo, hi in zip(c.starts, c.ends, strict=True)], pa.binary()), pa.array([(np.flatnonzero(hit[first[t] : first[t + 1]])).tolist() if n_hit[t] else [] for t in range(len(c))], pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(out, [*names, "n_words", "text_sha256", "places", "items"])
                 else:
                     sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
                     out += [pa.array(n_hit, pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array(sha), pa.array((n_hit > 0) & (20 * n_hit >= n_words)), pa.array(lists, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(out, [*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
 
     if merge:
-        return docs.mapInArrow(find, f"{kind}, n_words long, places array<long>, items array<string>")
+        return docs.mapInArrow(find, f"{kind}, n_words long, text_sha256 binary, places array<long>, items array<string>")
     return docs.mapInArrow(find, f"{kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
@@ -179,5 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     union = parts[0]
     for x in parts[1:]:
         union = union.unionByName(x)
-    merged = union.groupBy(*head(docs)[1], "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = [F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")]
+    merged = union.groupBy(*head(docs)[1], "n_words", "text_sha256").agg(*hits, (F.count("*") / blocks).cast("int").alias("copies"))
+    merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return merged.select(*head(docs)[1], "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items")

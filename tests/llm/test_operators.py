@@ -154,6 +154,14 @@ def test_decontaminate_blocks_agree(docs, tests):
     assert hits[1].items_sha256 == hashlib.sha256(b"1").hexdigest()
 
 
+def test_decontaminate_blocks_keep_rows(spark, tests):
+    more = [(1, "a b c", "s"), (1, "a b c", "t"), (1, "a b d", "s"), (None, "x y z", "s"), (None, "a b c", "s"), (None, None, "s"), (None, "", "s")]
+    d = spark.createDataFrame([*ROWS, *more], "doc_id long, text string, source string")
+    for carry in (False, True):
+        one, many = (sorted(map(repr, decontaminate(d, tests, carry=carry, **given).collect())) for given in ({}, {"block_bytes": 40}))
+        assert len(one) == len(ROWS) + len(more) and one == many
+
+
 def test_decontaminate_proximity(spark, tests):
     words = LONG.split()[50:70]
     d = spark.createDataFrame([(1, " ".join(words[:5] + ["zz"] + words[5:]))], "doc_id long, text string")
