@@ -2,30 +2,34 @@
 
 Sets are the 5-word shingles of a text (all its words as one shingle if it has fewer).
 Two sets share a bucket if they chose the same *path* of sampled tokens: in a run, a set
-takes the tokens whose hash, seeded by the run and the path so far, is below
-`spread` / |set|; each token taken extends the path by one step.  A pair of Braun-Blanquet
-similarity b (at least its Jaccard similarity) shares `spread` * b of them at each step on
-average, so a similar pair's paths branch faster than they end, and a dissimilar pair's die
-out.  Runs are repeated until a pair at the threshold is missed with a chance below
-1 - `recall`, even if all of it had to go to the deepest level (see `runs_for`).
-
-Equal texts are one node from the start, so copies cost nothing (a node is the first 64
+takes the tokens it has not used yet whose hash, seeded by the run and the path so far, is
+below `spread` / (number of those); each token taken extends the path by one step.  A pair
+of Braun-Blanquet similarity b (at least its Jaccard similarity) shares about `spread` * b
+of them at each step, so a similar pair's paths branch faster than they end, and a
+dissimilar pair's die out.  Runs are repeated until a pair at the threshold is missed with
+a chance below 1 - `recall`, however deep its paths have to go (see `runs_for`).
+
+Equal texts are one node from the start, so copies cost nothing (a node is the first 60
 bits of the text's SHA-256). At each level:
 
 * buckets with one node, or whose nodes are already in one class, are done;
 * buckets of at most `small` nodes are compared by brute force;
-* in larger ones every node is compared with the bucket's pivot, which links a group of
-  near copies without making its pairs;
-* what then is still in several classes and has at most `limit` nodes is compared by brute
-  force in blocks of about `block` nodes and `block_tokens` shingles. A block sends on a
-  forest: links that join two of its classes, fewer than its nodes, never its pairs;
-* mixed buckets of more nodes split by the next token. After the last level they are
-  compared in blocks as well, so no cap loses a link.
-
-Candidates are pairs of ids; each distinct pair is verified by its exact Jaccard
-similarity. Classes are connected components of verified links. Bucket rows hold a few
-numbers; a hot bucket is counted and given its pivot by partial aggregates, and joins that
-adaptive execution can split bring those back.
+* in larger ones every node is compared with the bucket's pivot, its smallest set, which
+  links a group of near copies without making its pairs. A set that has used all its tokens
+  is such a pivot, and equal to all others that have, so it needs no further step;
+* in buckets of more than `limit` nodes that this leaves in several classes, blocks of about
+  `block` nodes and `block_tokens` shingles are compared by brute force, each with itself,
+  which joins most of a group; what is then still mixed splits by the next token, and after
+  `LEVELS` tokens counts as a small bucket does;
+* mixed buckets of at most `limit` nodes are compared by brute force, block by block, but
+  never two blocks of one class: the nodes outside the bucket's largest class meet all, and
+  those of that class meet them alone. A block sends on a forest: links that join two of
+  its classes, fewer than its nodes, never its pairs.
+
+Sets are compared by 64-bit hashes of their shingles. Classes are connected components of
+links. A node is one row with a list of its buckets where its class is looked up; a hot
+bucket is counted and given its pivot by partial aggregates, and joins that adaptive
+execution can split bring those back.
 
 Links are counted once the classes are known. Similar texts share a class, so all pairs of
 a class are compared, each in the one block, or pair of blocks, that holds both; a block
@@ -54,14 +58,17 @@ from pathloom.llm import kernels as K
 from pathloom.llm.components import components
 from pathloom.llm.shared import columns, kept, small as checked
 
-LEVELS = 3
+#: Tokens a path may have. A bucket of all its nodes' shared tokens shrinks slowly in a group of
+#: near copies, so more than a few don't pay.
+LEVELS = 4
 
 
-def runs_for(threshold: float, spread: float, recall: float, levels: int = LEVELS) -> int:
-    """Runs until a pair at the threshold shares a path of `levels` steps with chance
-    `recall`: shared tokens of a step are Poisson with mean spread * threshold."""
+def runs_for(threshold: float, spread: float, recall: float) -> int:
+    """Runs until a pair at the threshold shares a path of any depth with chance `recall`:
+    shared tokens of a step are Poisson with mean spread * threshold, so the chance that
+    its paths end is the least x with x = exp(-spread * threshold * (1 - x))."""
     lost = 0.0
-    for _ in range(levels):
+    for _ in range(200):
         lost = exp(-spread * threshold * (1 - lost))
     return max(1, ceil(log(1 - recall) / log(lost)))
 
@@ -85,40 +92,69 @@ def shingles(c: K.Chunk, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(text, np.arange(len(c) + 1))
 
 
-def choose(value: np.ndarray, first: np.ndarray, text: np.ndarray, path: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
-    """For paths (of text text[i]): the index of the path and the bucket of each step taken."""
-    n = np.diff(first)
-    limit = (np.minimum(spread / np.maximum(n, 1), 1 - 2**-53) * 2.0**64).astype(K.U64)
-    size = n[text]
+def choose(value: np.ndarray, first: np.ndarray, text: np.ndarray, path: np.ndarray, used: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For paths (of text text[i], with the tokens used[i]): the index of the path, the
+    bucket and the token of each step taken."""
+    size = np.diff(first)[text]
+    limit = (np.minimum(spread / np.maximum(size - used.shape[1], 1), 1 - 2**-53) * 2.0**64).astype(K.U64)
     of = np.repeat(np.arange(len(text)), size)
     own = value[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + first[:-1][text][of]]
-    seed = K.mix(path)[of]
-    hit = np.flatnonzero(K.mix(own ^ seed) < limit[text][of])
-    return of[hit], K.mix(K.mix(own[hit]) + seed[hit])
+    take = K.mix(own ^ K.mix(path)[of]) < limit[of]
+    for k in range(used.shape[1]):
+        take &= own != used[of, k]
+    hit = np.flatnonzero(take)
+    return of[hit], K.mix(K.mix(own[hit]) + K.mix(path)[of[hit]]), own[hit]
+
 
+_ROW = "node long, n int, paths array<struct<bucket:long,used:array<long>>>"
+_TYPE = pa.struct([("bucket", pa.int64()), ("used", pa.list_(pa.int64()))])
 
-_ROW = "node long, n int, bucket long"
+
+def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and firsts of a column of packed sets."""
+    data, at = K.text_column(column)
+    return np.frombuffer(np.ascontiguousarray(data[at[0] : at[-1]]), K.U64), (at - at[0]) // 8
 
 
 def _paths(runs: int, spread: float, size: int):
-    """Texts with a list of buckets (none: the roots of all runs) to the rows of the next level."""
+    """Texts to the paths of the first level of all runs; packed sets with lists of paths to
+    those of the next level."""
     roots = K.mix(np.arange(1, runs + 1, dtype=K.U64))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            deeper = "buckets" in b.schema.names
-            for c in K.chunks(b.column("text"), 1 << 20):
-                value, first = shingles(c, size)
+            deeper = "paths" in b.schema.names
+            for c in K.chunks(b.column("tokens" if deeper else "text"), 1 << 19):
                 if deeper:
-                    lists = b.column("buckets").slice(c.lo, len(c))
-                    path = lists.flatten().to_numpy(zero_copy_only=False).view(K.U64)
+                    value, first = _packed(b.column("tokens").slice(c.lo, len(c)))
+                    lists = b.column("paths").slice(c.lo, len(c))
+                    flat = lists.flatten()
+                    path = flat.field(0).to_numpy(zero_copy_only=False).view(K.U64)
+                    used = flat.field(1).flatten().to_numpy(zero_copy_only=False).view(K.U64).reshape(len(path), -1)
                     text = np.repeat(np.arange(len(c)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                    todo = [(text[i : i + 2000], path[i : i + 2000]) for i in range(0, len(text), 2000)]
                 else:
-                    todo = [(np.arange(len(c)), np.repeat(r, len(c))) for r in roots]
-                for text, path in todo:
-                    of, bucket = choose(value, first, text, path, spread)
-                    yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, len(c)).take(pa.array(text[of])), pa.array(np.diff(first)[text[of]], pa.int32()), pa.array(K.signed(bucket))], ["node", "n", "bucket"])
+                    value, first = shingles(c, size)
+                    path, text = np.repeat(roots, len(c)), np.tile(np.arange(len(c)), runs)
+                    used = np.zeros((len(path), 0), K.U64)
+                n = np.diff(first)
+                found: list[tuple[np.ndarray, ...]] = []
+                ends, lo = np.cumsum(n[text]), 0
+                while lo < len(text):  # some million tokens at a time, one path at least
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+                    of, bucket, token = choose(value, first, text[lo:hi], path[lo:hi], used[lo:hi], spread)
+                    found.append((text[lo:hi][of], bucket, np.column_stack([used[lo:hi][of], token])))
+                    lo = hi
+                if not found:
+                    continue
+                of, bucket, token = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(of, kind="stable")
+                count = np.bincount(of, minlength=len(c))
+                some = np.flatnonzero(count)
+                depth = token.shape[1]
+                used_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * depth, pa.int32()), pa.array(K.signed(token[order].ravel())))
+                steps = pa.StructArray.from_arrays([pa.array(K.signed(bucket[order])), used_lists], fields=list(_TYPE))
+                paths = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[some])]), pa.int32()), steps)
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, len(c)).take(pa.array(some)), pa.array(n[some], pa.int32()), paths], ["node", "n", "paths"])
 
     return step
 
@@ -126,7 +162,7 @@ def _paths(runs: int, spread: float, size: int):
 def _sets(size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in K.chunks(b.column("text")):
+            for c in K.chunks(b.column("text"), 1 << 19):
                 value, first = shingles(c, size)
                 yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, len(c)), pa.array([value[first[i] : first[i + 1]].tobytes() for i in range(len(c))], pa.binary())], ["node", "tokens"])
 
@@ -152,33 +188,20 @@ def _verify(threshold: float):
     return check
 
 
-def _prints(size: int):
-    """The sets of texts with 32 bits of each shingle hash, for comparisons within a block."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in K.chunks(b.column("text")):
-                value, first = shingles(c, size)
-                half = (value >> K.U64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, len(c)), pa.array([half[first[i] : first[i + 1]].tobytes() for i in range(len(c))], pa.binary())], ["node", "prints"])
-
-    return make
-
-
-def forest(cls: np.ndarray, side: np.ndarray, prints: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+def forest(cls: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Pairs of rows at the threshold that join different classes, at most one fewer than
     rows: a pair whose classes an earlier pair has joined is left out. If there are two
     sides, only pairs between them count."""
-    n = np.array([len(p) for p in prints], np.int64)
+    n = np.array([len(p) for p in sets], np.int64)
     order = np.argsort(n, kind="stable")
     n, cls, side = n[order], cls[order].copy(), side[order]
     first = np.concatenate([[0], np.cumsum(n)])
-    _, token = np.unique(np.concatenate([prints[k] for k in order]), return_inverse=True)
+    _, token = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
     across = len(np.unique(side)) > 1
     mark = np.zeros(int(token.max(initial=0)) + 1, np.uint8)
     out = []
     for i in range(len(n) - 1):
-        stop = int(np.searchsorted(n, n[i] / threshold, "right"))
+        stop = int(np.searchsorted(n, n[i] / threshold + 1e-6, "right"))
         other = cls[i + 1 : stop] != cls[i]
         if across:
             other &= side[i + 1 : stop] != side[i]
@@ -191,7 +214,7 @@ def forest(cls: np.ndarray, side: np.ndarray, prints: list[np.ndarray], threshol
         mark[own] = 1
         both = np.add.reduceat(mark[token[at]], end - n[j], dtype=np.int64)
         mark[own] = 0
-        for k in j[both >= threshold * (n[j] + n[i] - both)]:
+        for k in j[both / (n[j] + n[i] - both) >= threshold]:
             if cls[k] != cls[i]:
                 out.append((int(order[i]), int(order[k])))
                 cls[cls == cls[k]] = cls[i]
@@ -203,7 +226,7 @@ def _compare(threshold: float):
 
     def links(table: pa.Table) -> pa.Table:
         cls, side, node = (table.column(k).to_numpy() for k in ("cls", "side", "node"))
-        found = np.array(forest(cls, side, [np.frombuffer(p, np.uint32) for p in table.column("prints").to_pylist()], threshold), np.int64).reshape(-1, 2)
+        found = np.array(forest(cls, side, [np.frombuffer(p, K.U64) for p in table.column("tokens").to_pylist()], threshold), np.int64).reshape(-1, 2)
         a, b = node[found[:, 0]], node[found[:, 1]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -250,83 +273,91 @@ def _count(threshold: float):
     return count
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 4096, block: int = 2048, block_tokens: int = 1 << 22, count_block: int = 512, count_tokens: int = 1 << 19) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 2048, block: int = 1024, block_tokens: int = 1 << 20, count_block: int = 512, count_tokens: int = 1 << 19) -> DataFrame:
     """Returns doc_id, class_id, n_links, n_copies."""
     docs = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("node", F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long"))
     copies = kept(docs.select("doc_id", "node"))
     nodes = copies.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        """One text for each wanted node, with the columns of `wanted` (one row a node)."""
-        rows = docs.drop("doc_id").join(wanted.withColumnRenamed("node", "w"), F.col("node") == F.col("w")).drop("w")
-        return rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in rows.columns if c != "node"))
+    def sets_of(wanted: DataFrame, row_bytes: int = 40) -> DataFrame:
+        """The sets of wanted nodes, with the other columns of `wanted` (one row a node)."""
+        few = checked(wanted.withColumnRenamed("node", "w"), row_bytes)
+        return sets.join(few, F.col("node") == F.col("w")).drop("w")
 
-    def made(wanted: DataFrame, how, schema: str) -> DataFrame:
-        return kept(texts(checked(kept(wanted.select("node").distinct()), 40)).mapInArrow(how, schema))
+    def made(wanted: DataFrame) -> DataFrame:
+        return sets_of(kept(wanted.select("node").distinct()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        tokens = made(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), _sets(size), "node long, tokens binary")
+        tokens = made(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")))
         both = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
 
     def fits(n, m):
-        return F.least(n, m) >= threshold * F.greatest(n, m)
+        return F.least(n, m) / F.greatest(n, m) >= threshold
 
-    rows = kept(docs.select("node", "text").mapInArrow(_paths(runs_for(threshold, spread, recall), spread, size), _ROW))
+    rows = kept(docs.select("node", "text").mapInArrow(_paths(runs_for(threshold, spread, recall), spread, size), _ROW).dropDuplicates(["node"]))
     labels: DataFrame | None = None
 
-    def linked_by(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """The classes after the links among pairs."""
-        return components(kept(verified(pairs)), labels)
-
     def degree_of(labels: DataFrame) -> DataFrame:
         """(d, n_links) of the nodes of classes. The two of a class of two are linked; classes
         of one block share a group with others, as many as about `count_tokens` shingles."""
         placed = kept(labels.join(labels.groupBy("cls").agg(F.count("*").alias("size")), "cls"))
         pairs = placed.where("size = 2").select(F.col("node").alias("d"), F.lit(1).cast("long").alias("n_links"))
-        sets = made(placed.where("size > 2"), _sets(size), "node long, tokens binary")
-        member = kept(placed.where("size > 2").join(sets.select("node", (F.octet_length("tokens") / 8).alias("n")), "node"))
+        tokens = made(placed.where("size > 2"))
+        member = kept(placed.where("size > 2").join(tokens.select("node", (F.octet_length("tokens") / 8).alias("n")), "node"))
         sized = member.groupBy("cls").agg(F.sum("n").alias("tokens"))
         groups = int((member.agg(F.sum("n")).first()[0] or 0) // count_tokens) + 1
         near = member.join(sized, "cls").withColumn("blocks", F.ceil(F.greatest(F.col("size") / count_block, F.col("tokens") / count_tokens)).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         near = near.withColumn("own", F.when(F.col("blocks") > 1, F.col("cls")).otherwise(-1 - F.pmod(F.xxhash64("cls"), F.lit(groups))))  # classes are not negative
         near = near.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
         near = near.select("own", "node", "cls", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("side"))
-        found = near.join(sets, "node").groupBy("own", "lo", "hi").applyInArrow(_count(threshold), "node long, n_links long")
+        found = near.join(tokens, "node").groupBy("own", "lo", "hi").applyInArrow(_count(threshold), "node long, n_links long")
         return kept(pairs.unionAll(found.groupBy(F.col("node").alias("d")).agg(F.sum("n_links").alias("n_links"))))
 
+    sets: DataFrame | None = None
     for level in range(LEVELS):
         mixed = _mixed(rows, labels)
         if mixed.isEmpty():
             break
-        stats = mixed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "cls")).alias("pivot"))
+        if sets is None:  # no later step needs another node, so the texts are not read again
+            wanted = checked(kept(mixed.select(F.col("node").alias("w")).distinct()), 40)
+            again = docs.drop("doc_id").join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+            sets = kept(again.mapInArrow(_sets(size), "node long, tokens binary"))
+        stats = mixed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("n", "node", "cls")).alias("pivot"))
         live = mixed.join(stats, "bucket")
         # A small bucket's nodes, at most `small` of them, make their pairs in one row.
-        pairs_in = F.expr("flatten(transform(members, x -> transform(filter(members, y -> y.node > x.node and y.cls <> x.cls and least(x.n, y.n) >= t * greatest(x.n, y.n)), y -> struct(x.node as a, y.node as b))))")
+        pairs_in = F.expr("flatten(transform(members, x -> transform(filter(members, y -> y.node > x.node and y.cls <> x.cls and least(x.n, y.n) / greatest(x.n, y.n) >= t), y -> struct(x.node as a, y.node as b))))")
         few = live.where(F.col("size") <= small).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "cls")).alias("members")).withColumn("t", F.lit(threshold)).select(F.explode(pairs_in).alias("p")).select("p.a", "p.b")
         large = live.where(F.col("size") > small)
         star = large.where((F.col("cls") != F.col("pivot.cls")) & fits(F.col("n"), F.col("pivot.n"))).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        labels = linked_by(kept(few.unionByName(star).distinct()), labels)
+        labels = components(kept(verified(kept(few.unionByName(star).distinct()))), labels)
         # Large buckets that the new links leave in several classes.
-        mixed = _mixed(large.select("node", "n", "bucket"), labels)
-        last = level == LEVELS - 1
-        sized = mixed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
-        near = mixed.join(sized if last else sized.where(F.col("size") <= limit), "bucket")
-        near = near.withColumn("blocks", F.ceil(F.greatest(F.col("size") / block, F.col("tokens") / block_tokens)).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        near = near.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
+        mixed = _mixed(_by_node(large), labels)
+        sized = kept(mixed.groupBy("bucket", "cls").agg(F.struct(F.count("*").alias("n"), F.sum("n").alias("tokens"), "cls").alias("c")).groupBy("bucket").agg(F.max("c").alias("most"), F.sum("c.n").alias("size"), F.sum("c.tokens").alias("tokens")))
+        deep = sized.where(F.col("size") > (limit if level < LEVELS - 1 else 1 << 62))
+
+        def blocks(n, tokens):
+            return F.ceil(F.greatest(n / block, tokens / block_tokens)).cast("int")
+
+        # Blocks 0 to k - 1 are of the nodes outside the largest class, the next m of that class.
+        near = mixed.join(sized.join(deep.select("bucket"), "bucket", "left_anti"), "bucket")
+        near = near.withColumn("k", blocks(F.col("size") - F.col("most.n"), F.col("tokens") - F.col("most.tokens"))).withColumn("m", blocks(F.col("most.n"), F.col("most.tokens")))
+        own = F.col("cls") == F.col("most.cls")
+        near = near.withColumn("i", F.when(own, F.col("k") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("k"))).cast("int"))
+        near = near.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1 + F.when(own, 0).otherwise(F.col("m")))))
+        alone = mixed.join(deep, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), blocks(F.col("size"), F.col("tokens"))).cast("int")).withColumn("j", F.col("i"))
+        near = near.select("bucket", "node", "cls", "i", "j").unionByName(alone.select("bucket", "node", "cls", "i", "j"))
         near = kept(near.select("bucket", "node", "cls", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("side")))
         if not near.isEmpty():
-            found = near.join(made(near, _prints(size), "node long, prints binary"), "node").groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long")
-            labels = linked_by(kept(found.distinct()), labels)
-            mixed = _mixed(mixed.select("node", "n", "bucket"), labels)
-        if last:
+            found = near.join(made(near), "node").groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long")
+            labels = components(kept(found.distinct()), labels)
+        if deep.isEmpty():
             break
-        sized = mixed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > limit)
-        again = kept(mixed.join(sized, "bucket").groupBy("node").agg(F.collect_set("bucket").alias("buckets")))  # at most a set's paths
+        again = kept(_by_node(_mixed(_by_node(mixed.join(deep.select("bucket"), "bucket")), labels)))
         if again.isEmpty():
             break
-        rows = kept(texts(checked(again, 56, "buckets")).mapInArrow(_paths(0, spread, size), _ROW))
+        rows = kept(sets.join(again.select(F.col("node").alias("w"), "paths"), F.col("node") == F.col("w")).drop("w").mapInArrow(_paths(0, spread, size), _ROW))
     if labels is None:
         return copies.join(nodes, "node").select("doc_id", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
     degree = degree_of(labels)
@@ -337,14 +368,21 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return copies.join(info, F.col("node") == F.col("k")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, n, bucket, cls): rows, each once, of the buckets that hold several classes."""
+def _by_node(rows: DataFrame) -> DataFrame:
+    """(node, n, paths) of rows (node, n, bucket, used): one row a node."""
+    return rows.groupBy("node", "n").agg(F.collect_list(F.struct("bucket", "used")).alias("paths"))
+
+
+def _mixed(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, n, cls, bucket, used): the paths of nodes whose buckets hold several classes.
+    Classes meet nodes, one row each, before their paths are dealt to buckets."""
     if labels is None:
-        placed = rows.withColumn("cls", F.col("node"))
+        placed = nodes.withColumn("cls", F.col("node"))
     else:
-        placed = rows.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select("node", "n", "bucket", F.coalesce("cls", "node").alias("cls"))
-    several = placed.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
-    return kept(placed.join(several, "bucket").select("node", "n", "bucket", "cls").distinct())
+        placed = nodes.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select("node", "n", F.coalesce("cls", "node").alias("cls"), "paths")
+    dealt = placed.select("node", "n", "cls", F.inline("paths"))
+    several = dealt.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket")
+    return kept(dealt.join(several, "bucket"))
 
 
 def brute_force(texts: list[str | None], size: int = 5, threshold: float = 0.8) -> set[tuple[int, int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,27 +15,34 @@ BROADCAST_BYTES = 32 << 20
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir, which executors
-    share; a folder of our own only where none is set (local mode, tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir, which driver and executors share. A folder of our
+    own only in local mode (tests), where they are one machine; an error elsewhere."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="pathloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read from there: lineage ends here,
-    so a lost executor costs a read and no recomputation. Nothing reads the shuffles
-    behind them again, so their files go at once and not when the driver next collects
-    its garbage; the session's own setting comes back."""
+    """The rows written to the shared folder as Parquet and read from there: lineage ends
+    here, so a lost executor costs a read and no recomputation, and the planner knows the
+    table's real size (a checkpoint keeps the estimate of the plan behind it, whose digits
+    double with each join). Nothing reads the shuffles behind them again, so their files go
+    at once and not when the driver next collects its garbage; the session's own setting
+    comes back."""
     spark = df.sparkSession
-    shared_dir(spark)
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a new plan, so that it takes the setting
+        df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:

@@ -113,7 +113,7 @@ def _classes(n, links):
 def test_forest_spans_the_links():
     texts = _similar_texts(8)
     links = J.brute_force(texts)
-    prints = [np.array(sorted({hash(tuple(w[i : i + 5])) & 0xFFFFFFFF for i in range(len(w) - 4)}), np.uint32) for w in map(str.split, texts)]
+    prints = [np.array(sorted({hash(tuple(w[i : i + 5])) & (1 << 64) - 1 for i in range(len(w) - 4)}), np.uint64) for w in map(str.split, texts)]
     cls, side = np.arange(len(texts)), np.arange(len(texts)) % 2
     found = J.forest(cls, side * 0, prints, 0.8)
     assert {tuple(sorted(p, reverse=True)) for p in found} <= {tuple(sorted(p, reverse=True)) for p in links}
@@ -145,6 +145,62 @@ def test_jaccard_counts_every_link(spark):
         assert got == {i: want[i % 1000] for i, _ in rows}
 
 
+def _links_and_classes(texts, rows):
+    links = J.brute_force(texts)
+    want = [0] * len(texts)
+    for a, b in links:
+        want[a] += 1
+        want[b] += 1
+    top = _classes(len(texts), links)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    return got, {i: (top[i], want[i]) for i in range(len(texts))}
+
+
+def test_jaccard_group_of_hundreds_of_near_copies(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(900)}" for _ in range(90)]
+    texts = set()
+    while len(texts) < 320:  # about 7 in 10 shingles are shared: some pairs are similar, most are not
+        x = base[:]
+        for _ in range(2):
+            x[rnd.randrange(len(x))] = f"v{rnd.randrange(10**6)}"
+        texts.add(" ".join(x))
+    texts = sorted(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for given in ({}, {"small": 3, "limit": 12, "block": 8}):  # the second splits buckets by further tokens
+        got, want = _links_and_classes(texts, J.jaccard_join(d, **given).collect())
+        assert got == want
+
+
+def test_jaccard_hot_token_in_short_texts_ends(spark):
+    texts = [f"a b c d e u{i}" for i in range(60)] + [f"a b c d e u{i} x{i % 3}" for i in range(60)] + ["a b c d e", "one"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = _links_and_classes(texts, J.jaccard_join(d, small=2, limit=4, block=3).collect())
+    assert got == want
+
+
+def test_jaccard_recall_on_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    first: dict = {}
+    for r in rows:
+        first[r.text or ""] = min(first.get(r.text or "", r.doc_id), r.doc_id)
+    texts = list(first)
+    links = J.brute_force(texts)
+    assert links
+    cls = {r.doc_id: r.class_id for r in J.jaccard_join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    same = sum(cls[first[texts[a]]] == cls[first[texts[b]]] for a, b in links)
+    assert same == len(links)
+
+
+def test_runs_hold_the_recall_at_any_depth():
+    rnd = np.random.default_rng(3)
+    runs, mean = J.runs_for(0.8, 2.0, 0.999), 1.6
+    alive = np.ones((20_000, runs), np.int64)
+    for _ in range(12):
+        alive = rnd.poisson(mean * np.minimum(alive, 1000))
+    assert (alive.sum(axis=1) > 0).mean() >= 0.998
+
+
 def test_decontaminate_blocks_agree(docs, tests):
     one = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate(docs, tests).collect()}
     many = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontaminate(docs, tests, block_bytes=40).collect()}
