@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Checkpointed to spark.checkpoint.dir (a folder of our own only where it is unset)."""
-    context = df.sparkSession.sparkContext
+    """Written to spark.checkpoint.dir as Parquet and read again, so that plans stay short and
+    the planner sees real sizes. A folder of our own only in local mode, an error elsewhere."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-"))
-    return df.checkpoint(eager=True)
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="pathloom-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
