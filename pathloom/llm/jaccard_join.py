@@ -17,14 +17,15 @@ bits of the text's SHA-256). At each level:
 * in larger ones every node is compared with the bucket's pivot, its smallest set, which
   links a group of near copies without making its pairs. A set that has used all its tokens
   is such a pivot, and equal to all others that have, so it needs no further step;
-* in buckets of more than `limit` nodes that this leaves in several classes, blocks of about
-  `block` nodes and `block_tokens` shingles are compared by brute force, each with itself,
-  which joins most of a group; what is then still mixed splits by the next token, and after
-  `LEVELS` tokens counts as a small bucket does;
-* mixed buckets of at most `limit` nodes are compared by brute force, block by block, but
-  never two blocks of one class: the nodes outside the bucket's largest class meet all, and
-  those of that class meet them alone. A block sends on a forest: links that join two of
-  its classes, fewer than its nodes, never its pairs.
+* what is then still in several classes splits by the next token if it has more than `limit`
+  nodes: sets that share a passage and no more part at once, and nodes of a group of near
+  copies meet other pivots, until the group is one class;
+* mixed buckets of at most `limit` nodes, and those left after `LEVELS` tokens, are compared
+  by brute force: by sketches (the `SKETCH` least hashes of a set), which tell the nodes
+  that may have a partner in the bucket, then those nodes by their whole sets, in blocks of about `block` nodes and `block_tokens` shingles, but never two
+  blocks of one class: the nodes outside the bucket's largest class meet all, and those of
+  that class meet them alone. A block sends on a forest: links that join two of its
+  classes, fewer than its nodes, never its pairs.
 
 Sets are compared by 64-bit hashes of their shingles. Classes are connected components of
 links. A node is one row with a list of its buckets where its class is looked up; a hot
@@ -60,7 +61,7 @@ from pathloom.llm.shared import columns, kept, small as checked
 
 #: Tokens a path may have. A bucket of all its nodes' shared tokens shrinks slowly in a group of
 #: near copies, so more than a few don't pay.
-LEVELS = 4
+LEVELS = 3
 
 
 def runs_for(threshold: float, spread: float, recall: float) -> int:
@@ -159,16 +160,68 @@ def _paths(runs: int, spread: float, size: int):
     return step
 
 
+#: Hashes of a sketch. Of a similar pair's about SKETCH * 0.8 are common; fewer than LEAST of
+#: them are a chance of 3 in 100,000.
+SKETCH, LEAST = 48, 0.56
+
+
 def _sets(size: int):
+    """Packed sets, and sketches: 32 bits of the least hashes (sets are sorted)."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in K.chunks(b.column("text"), 1 << 19):
                 value, first = shingles(c, size)
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, len(c)), pa.array([value[first[i] : first[i + 1]].tobytes() for i in range(len(c))], pa.binary())], ["node", "tokens"])
+                low = value.astype(np.uint32)
+                tokens, sketch = ([x[first[i] : min(first[i + 1], first[i] + most)].tobytes() for i in range(len(c))] for x, most in ((value, 1 << 40), (low, SKETCH)))
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, len(c)), pa.array(tokens, pa.binary()), pa.array(sketch, pa.binary())], ["node", "tokens", "sketch"])
 
     return make
 
 
+def partners(cls: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], threshold: float, across: bool) -> np.ndarray:
+    """Which rows have a row of another class (with `across`, of the other side) that their
+    sketches leave possible."""
+    order = np.argsort(n, kind="stable")
+    n, cls, side = n[order], cls[order], side[order]
+    width = np.array([len(sketches[k]) for k in order], np.int64)
+    first = np.concatenate([[0], np.cumsum(width)])
+    token = np.unique(np.concatenate([sketches[k] for k in order]), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(token.max(initial=0)) + 1, np.uint8)
+    out = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        stop = int(np.searchsorted(n, n[i] / threshold + 1e-6, "right"))
+        j = np.arange(i + 1, stop)
+        j = j[(cls[j] != cls[i]) & (not across or side[j] != side[i])]
+        if out[i]:
+            j = j[~out[j]]
+        if not len(j):
+            continue
+        own = token[first[i] : first[i + 1]]
+        mark[own] = 1
+        end = np.cumsum(width[j])
+        at = np.arange(int(end[-1])) + np.repeat(first[j] - (end - width[j]), width[j])
+        both = np.add.reduceat(mark[token[at]], end - width[j], dtype=np.int64)
+        mark[own] = 0
+        close = j[both >= LEAST * width[i]]
+        out[close] = True
+        out[i] |= bool(len(close))
+    back = np.zeros(len(n), bool)
+    back[order] = out
+    return back
+
+
+def _possible(threshold: float):
+    """The rows of a block, or of two blocks, that have possible partners in it."""
+
+    def find(table: pa.Table) -> pa.Table:
+        cls, side, n, lo, hi = (table.column(k).to_numpy() for k in ("cls", "side", "n", "lo", "hi"))
+        ok = partners(cls, side, n, [np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()], threshold, bool(lo[0] != hi[0]))
+        return table.select(["bucket", "node", "cls", "lo", "hi", "side"]).filter(pa.array(ok))
+
+    return find
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets without repeats."""
     if not len(x) or not len(y):
@@ -285,8 +338,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         few = checked(wanted.withColumnRenamed("node", "w"), row_bytes)
         return sets.join(few, F.col("node") == F.col("w")).drop("w")
 
-    def made(wanted: DataFrame) -> DataFrame:
-        return sets_of(kept(wanted.select("node").distinct()))
+    def made(wanted: DataFrame, what: str = "tokens") -> DataFrame:
+        return sets_of(kept(wanted.select("node").distinct())).select("node", what)
 
     def verified(pairs: DataFrame) -> DataFrame:
         tokens = made(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")))
@@ -323,7 +376,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if sets is None:  # no later step needs another node, so the texts are not read again
             wanted = checked(kept(mixed.select(F.col("node").alias("w")).distinct()), 40)
             again = docs.drop("doc_id").join(wanted, F.col("node") == F.col("w"), "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
-            sets = kept(again.mapInArrow(_sets(size), "node long, tokens binary"))
+            sets = kept(again.mapInArrow(_sets(size), "node long, tokens binary, sketch binary"))
         stats = mixed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("n", "node", "cls")).alias("pivot"))
         live = mixed.join(stats, "bucket")
         # A small bucket's nodes, at most `small` of them, make their pairs in one row.
@@ -331,9 +384,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         few = live.where(F.col("size") <= small).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "cls")).alias("members")).withColumn("t", F.lit(threshold)).select(F.explode(pairs_in).alias("p")).select("p.a", "p.b")
         large = live.where(F.col("size") > small)
         star = large.where((F.col("cls") != F.col("pivot.cls")) & fits(F.col("n"), F.col("pivot.n"))).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        labels = components(kept(verified(kept(few.unionByName(star).distinct()))), labels)
+        links = kept(verified(kept(few.unionByName(star).distinct())))
         # Large buckets that the new links leave in several classes.
-        mixed = _mixed(_by_node(large), labels)
+        if links.isEmpty():
+            mixed = kept(large.drop("size", "pivot"))
+        else:
+            labels = components(links, labels)
+            mixed = _mixed(_by_node(large), labels)
         sized = kept(mixed.groupBy("bucket", "cls").agg(F.struct(F.count("*").alias("n"), F.sum("n").alias("tokens"), "cls").alias("c")).groupBy("bucket").agg(F.max("c").alias("most"), F.sum("c.n").alias("size"), F.sum("c.tokens").alias("tokens")))
         deep = sized.where(F.col("size") > (limit if level < LEVELS - 1 else 1 << 62))
 
@@ -346,15 +403,15 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         own = F.col("cls") == F.col("most.cls")
         near = near.withColumn("i", F.when(own, F.col("k") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("k"))).cast("int"))
         near = near.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1 + F.when(own, 0).otherwise(F.col("m")))))
-        alone = mixed.join(deep, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), blocks(F.col("size"), F.col("tokens"))).cast("int")).withColumn("j", F.col("i"))
-        near = near.select("bucket", "node", "cls", "i", "j").unionByName(alone.select("bucket", "node", "cls", "i", "j"))
-        near = kept(near.select("bucket", "node", "cls", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("side")))
-        if not near.isEmpty():
-            found = near.join(made(near), "node").groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long")
-            labels = components(kept(found.distinct()), labels)
+        near = near.select("bucket", "node", "n", "cls", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("side"))
+        near = kept(near.join(sets.select("node", "sketch"), "node").groupBy("bucket", "lo", "hi").applyInArrow(_possible(threshold), "bucket long, node long, cls long, lo int, hi int, side int"))
+        links = kept(near.join(made(near), "node").groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long").distinct())
+        if not links.isEmpty():
+            labels = components(links, labels)
         if deep.isEmpty():
             break
-        again = kept(_by_node(_mixed(_by_node(mixed.join(deep.select("bucket"), "bucket")), labels)))
+        again = _by_node(mixed.join(deep.select("bucket"), "bucket"))
+        again = kept(again if links.isEmpty() else _by_node(_mixed(again, labels)))
         if again.isEmpty():
             break
         rows = kept(sets.join(again.select(F.col("node").alias("w"), "paths"), F.col("node") == F.col("w")).drop("w").mapInArrow(_paths(0, spread, size), _ROW))

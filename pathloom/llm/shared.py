@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it is known to hold no more bytes than this.
 BROADCAST_BYTES = 32 << 20
 
-#: Spark's setting that drops an execution's shuffle files once it has ended.
+#: Spark's setting that drops an execution's shuffle files once it has ended: nothing reads
+#: the shuffles behind a kept table again.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,21 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder as Parquet and read from there: lineage ends
-    here, so a lost executor costs a read and no recomputation, and the planner knows the
-    table's real size (a checkpoint keeps the estimate of the plan behind it, whose digits
-    double with each join). Nothing reads the shuffles behind them again, so their files go
-    at once and not when the driver next collects its garbage; the session's own setting
-    comes back."""
+    """The rows written to the shared folder and read from there: lineage ends here,
+    so a lost executor costs a read and no recomputation. A checkpoint keeps the size
+    estimate of the plan behind it, whose digits double with each join of a loop, so the
+    rows come back as a relation of unknown size; adaptive execution measures it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    shared_dir(spark)
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        rows = df.select("*").checkpoint(eager=True)._jdf  # a new plan, so that it takes the setting
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
 
 
 def small(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
