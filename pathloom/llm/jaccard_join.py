@@ -326,7 +326,7 @@ def _count(threshold: float):
     return count
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 2048, block: int = 1024, block_tokens: int = 1 << 20, count_block: int = 512, count_tokens: int = 1 << 19) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 8192, block: int = 4096, block_tokens: int = 1 << 21, count_block: int = 512, count_tokens: int = 1 << 19) -> DataFrame:
     """Returns doc_id, class_id, n_links, n_copies."""
     docs = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("node", F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long"))

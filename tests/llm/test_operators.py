@@ -192,6 +192,21 @@ def test_jaccard_recall_on_documents(spark):
     assert same == len(links)
 
 
+def test_components_both_ways(spark):
+    from pathloom.llm import components as C
+
+    rnd = random.Random(4)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)]
+    links = [(a, b) for a, b in links if a != b]
+    want = {n: c for n, c in enumerate(_classes(500, links)) if any(n in x for x in links)}
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.cls for r in C.components(df).collect()} == want
+    stars = C.by_stars(df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    assert {r.node: r.cls for r in stars.collect()} == want
+    half = C.components(df.limit(100))
+    assert {r.node: r.cls for r in C.components(df, half).collect()} == want
+
+
 def test_runs_hold_the_recall_at_any_depth():
     rnd = np.random.default_rng(3)
     runs, mean = J.runs_for(0.8, 2.0, 0.999), 1.6
