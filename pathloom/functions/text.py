@@ -15,6 +15,7 @@ NOISY_PREFIXES = ("type.", "common.", "freebase.", "kg.", "user.", "base.ontolog
 NOISY_SHORTS = ("type", "types", "instance", "instances", "notable_types", "topic_equivalent_webpage", "webpage", "mid", "guid", "key", "keys", "permission", "is_reviewed")
 #: Answers that say nothing.
 EMPTY_ANSWERS = ("", "none", "n/a", "na", "null", "maybe", "yes", "no", "unknown")
+EMPTY_PHRASES = ("no answer", "no valid answer", "not found", "\\boxed", "boxed{")
 
 
 def normalize(text: Column) -> Column:
@@ -83,15 +84,46 @@ def subquestions(raw: Column) -> Column:
     return F.filter(lines, lambda x: F.length(x) >= 3)
 
 
-TRIPLES = "struct<triples:array<struct<source_subquestion:string,subject:string,predicate:string,object:string>>>"
+def analysis(raw: Column) -> Column:
+    """What a reply says before its sub-questions; empty without the tag."""
+    return F.coalesce(tag(raw, "analysis"), F.lit(""))
 
 
-def triples_json(raw: Column) -> Column:
-    """The <answer>'s JSON; curly quotes and trailing commas are mended on a second try."""
+TRIPLES = "struct<triples:array<struct<source_subquestion:string,subject:string,predicate:string,object:string>>,entity_roles:array<struct<entity:string,role:string,reason:string>>,num_triples:int>"
+
+
+def _mended(body: Column, quotes: bool = False) -> Column:
+    straight = F.translate(body, "\u201c\u201d\u2018\u2019", "\"\"''")
+    plain = F.regexp_replace(straight, r",\s*([}\]])", "$1")
+    return F.translate(plain, "'", '"') if quotes else plain
+
+
+def plan_json(raw: Column) -> Column:
+    """(triples, entity_roles, num_triples, error) of the <answer>'s JSON. Curly quotes are set
+    straight; a second try drops commas before a closing bracket, a third takes single quotes
+    for double ones. error has the reply's first 200 characters if no try reads triples."""
     body = F.coalesce(tag(raw, "answer"), raw)
     straight = F.translate(body, "\u201c\u201d\u2018\u2019", "\"\"''")
-    mended = F.regexp_replace(straight, r",\s*([}\]])", "$1")
-    return F.coalesce(F.from_json(straight, TRIPLES)["triples"], F.from_json(mended, TRIPLES)["triples"])
+    tries = [F.from_json(x, TRIPLES) for x in (straight, _mended(body), _mended(body, True))]
+    best = F.coalesce(*(F.when(t["triples"].isNotNull(), t) for t in tries))
+    return F.struct(best["triples"].alias("triples"), best["entity_roles"].alias("entity_roles"), best["num_triples"].alias("num_triples"), F.when(best.isNull(), F.substring(F.coalesce(raw, F.lit("")), 1, 200)).alias("error"))
+
+
+def triples_json(raw: Column) -> Column:
+    """The triples of the <answer>'s JSON."""
+    return plan_json(raw)["triples"]
+
+
+def relation_choices(raw: Column) -> Column:
+    """map step -> numbers of a JSON object such as {"step_1": [3, 1]}, single quotes allowed;
+    of `step_1: [3, 1]` lines where there is no such JSON."""
+    body = F.coalesce(tag(raw, "selected"), tag(raw, "answer"), raw)
+    kind = "map<string,array<int>>"
+    said = F.coalesce(F.from_json(body, kind), F.from_json(_mended(body, True), kind))
+    keyed = F.filter(F.map_entries(said), lambda e: F.lower(e["key"]).startswith("step_") & e["value"].isNotNull())
+    of_json = F.transform(keyed, lambda e: F.struct(F.substring(e["key"], 6, 9).try_cast("int").alias("step"), e["value"].alias("numbers")))
+    of_lines = F.transform(step_choices(raw), lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("step"), F.transform(F.filter(F.split(F.substring_index(x, ":", -1), ","), lambda n: n != ""), lambda n: n.cast("int")).alias("numbers")))
+    return F.when(F.size(of_json) > 0, of_json).otherwise(of_lines)
 
 
 def step_choices(raw: Column) -> Column:
@@ -108,12 +140,25 @@ def selected(raw: Column) -> Column:
 def final_answer(raw: Column) -> Column:
     """The last <answer>: its boxed entries joined by ' | ', else its text; null without one."""
     last = F.try_element_at(F.regexp_extract_all(raw, F.lit("(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1))
-    boxed = F.regexp_extract_all(last, F.lit(r"\\boxed\{([^}]*)\}"), F.lit(1))
-    return F.when(F.size(boxed) > 0, F.array_join(F.transform(boxed, lambda x: F.trim(x)), " | ")).otherwise(F.trim(last))
+    boxed = F.filter(F.transform(F.regexp_extract_all(last, F.lit(r"\\boxed\{([^}]*)\}"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(boxed) > 0, F.array_join(boxed, " | ")).otherwise(F.trim(last))
+
+
+def answer_status(raw: Column) -> Column:
+    """'incomplete_xml' without a closed <answer>, 'malformed_content' if it says nothing, else 'ok'."""
+    answer = final_answer(raw)
+    return F.when(answer.isNull(), "incomplete_xml").when(is_empty_answer(answer), "malformed_content").otherwise("ok")
 
 
 def is_empty_answer(answer: Column) -> Column:
-    return answer.isNull() | F.lower(F.trim(answer)).isin(*EMPTY_ANSWERS) | F.contains(F.lower(answer), F.lit("no answer")) | F.contains(answer, F.lit("\\boxed"))
+    """Null, a word that says nothing, a refusal, or what is left of an answer's mark-up."""
+    a = F.lower(F.trim(answer))
+    says_no = [F.contains(a, F.lit(x)) for x in EMPTY_PHRASES]
+    starts = [a.startswith(x) for x in ("is there", "boxed")]
+    out = answer.isNull() | a.isin(*EMPTY_ANSWERS)
+    for x in [*says_no, *starts]:
+        out = out | x
+    return out
 
 
 def is_bare_date(answer: Column) -> Column:
@@ -124,10 +169,12 @@ def is_trivial(sub: Column, question: Column) -> Column:
     """Whether a single sub-question says no more than the question."""
 
     def clean(x: Column) -> Column:
-        return F.trim(F.regexp_replace(normalize(x), r"^(what|who|where|when|which|how|why) (is|are|was|were|did|does|do) ", ""))
+        plain = F.translate(normalize(x), "\"'.%", "")
+        first = F.substring_index(plain, " ", 1)
+        return F.trim(F.when(first.isin("who", "what", "where", "when", "which", "how", "name"), F.substring(plain, F.length(first) + 1, F.length(plain))).otherwise(plain))
 
     a, b = clean(sub), clean(question)
-    return (a == b) | F.contains(a, b) | F.contains(b, a)
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
 def _among(layer: list[str]):
@@ -153,3 +200,8 @@ def causal_tier(mask: Column, depth: Column) -> Column:
 def register(spark: SparkSession) -> None:
     """SQL names for what SQL has no function for."""
     spark.udf.register("sequence_ratio", sequence_ratio)
+
+
+def cvt_sql(name: str) -> str:
+    """`is_cvt` as SQL text, for views."""
+    return f"coalesce({name} rlike '^[mg]\\\\.[A-Za-z0-9_]+$', false)"

@@ -35,11 +35,12 @@ def sibling_tails(edges: DataFrame, hops: DataFrame) -> DataFrame:
     return edges.join(hops.select("h", "r").distinct(), ["h", "r"], "left_semi")
 
 
-def sibling_cvts(edges: DataFrame) -> DataFrame:
-    """(node, sibling): fact nodes under the same head and relation. The larger side is counted
-    first, so a hub's siblings number its tails times the asked nodes and no more."""
+def sibling_cvts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sibling): for asked fact nodes (node), the others under the same head and relation.
+    Only heads of asked nodes are looked up, so a hub costs its tails times the asked ones."""
     own = edges.where(is_cvt(F.col("t")))
-    return own.select("h", "r", F.col("t").alias("node")).join(own.select("h", "r", F.col("t").alias("sibling")), ["h", "r"]).where("node <> sibling").select("node", "sibling")
+    asked = own.join(nodes.select(F.col("node").alias("t")).distinct(), "t", "left_semi").select("h", "r", F.col("t").alias("node"))
+    return asked.join(own.select("h", "r", F.col("t").alias("sibling")), ["h", "r"]).where("node <> sibling").select("node", "sibling")
 
 
 def cvt_attributes(edges: DataFrame) -> DataFrame:
@@ -71,10 +72,12 @@ def entity_context(edges: DataFrame, outgoing: int = 2, incoming: int = 1) -> Da
     return few.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("side", "k", "text"))).alias("x")).select("node", F.array_join(F.transform("x", lambda e: e["text"]), "; ").alias("context"))
 
 
-def local_subgraph(edges: DataFrame, seeds: DataFrame, per_seed: int = 6) -> DataFrame:
-    """At most `per_seed` edges around each seed, by order."""
+def local_subgraph(edges: DataFrame, seeds: DataFrame, per_seed: int = 6, most: int = 120) -> DataFrame:
+    """(seed, edge): at most `per_seed` edges around each seed, by order, and `most` in all (a
+    seed's first edges before its second ones)."""
     near = both_ways(edges).join(seeds.select(F.col("node").alias("src")), "src")
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("edge"))).where(F.col("k") <= per_seed).select(F.col("src").alias("seed"), "edge")
+    few = near.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("edge"))).where(F.col("k") <= per_seed)
+    return few.orderBy("k", "src", "edge").limit(most).select(F.col("src").alias("seed"), "edge")
 
 
 def fanout(edges: DataFrame) -> DataFrame:

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import normalize
 
-#: Query vectors are broadcast in blocks of so many; the candidates are never shuffled for it.
-QUERY_BLOCK = 256
+#: Queries and candidates of one block product.
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def vector_topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """Exact top-k of candidates (cand_id, embedding) for a stated set of queries (query_id,
-    query): each block of queries meets all candidates, tasks keep their own top k."""
-    n = queries.count()
-    out = None
-    for lo in range(0, max(n, 1), QUERY_BLOCK):
-        block = queries if n <= QUERY_BLOCK else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == lo // QUERY_BLOCK)
-        scored = candidates.join(F.broadcast(block), F.lit(True)).select("query_id", "cand_id", F.round(dot(F.col("query"), F.col("embedding")), 4).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
+    query), by score rounded to 4 digits, then id. Blocks of queries meet blocks of candidates
+    as matrix products; a pair of blocks sends on its k best a query, and those are ranked.
+    Both sides are dealt by joins, so nothing is gathered or broadcast, whatever their sizes."""
+    qs, cs = -(-queries.count() // QUERY_BLOCK) or 1, -(-candidates.count() // CANDIDATE_BLOCK) or 1
+    block = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    q = queries.select("query_id", "query", block("query_id", qs).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(cs - 1))).alias("cb"))
+    c = candidates.select("cand_id", "embedding", block("cand_id", cs).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": left.column("query_id").slice(0, 0), "cand_id": right.column("cand_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        right = right.sort_by("cand_id")
+        score = np.round(_matrix(left.column("query")) @ _matrix(right.column("embedding")).T, 4)
+        n = min(k, right.num_rows)
+        top = np.argsort(-score, axis=1, kind="stable")[:, :n]  # equal scores in order of id
+        rows = np.repeat(np.arange(left.num_rows), n)
+        return pa.table({"query_id": left.column("query_id").take(pa.array(rows)), "cand_id": right.column("cand_id").take(pa.array(top.ravel())), "score": pa.array(np.take_along_axis(score, top, axis=1).ravel())})
+
+    kinds = queries.schema["query_id"].dataType.simpleString(), candidates.schema["cand_id"].dataType.simpleString()
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, f"query_id {kinds[0]}, cand_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "cand_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def merge_queries(hits: DataFrame, group: str) -> DataFrame:
@@ -41,28 +61,6 @@ def select_relations(picked: DataFrame, retrieved: DataFrame, k: int) -> DataFra
     return first.withColumn("place", F.row_number().over(Window.partitionBy("step").orderBy("source", "rank", "rel"))).where(F.col("place") <= k).select("step", "rel", "place")
 
 
-def triple_depths(triples: DataFrame, most: int = 8) -> DataFrame:
-    """(case_id, idx, depth) of plan triples (case_id, idx, subject, object, anchor): 0 at the
-    anchor, one more than the triple whose object is the subject."""
-    known = triples.where("subject = anchor").select("case_id", "idx", "object", F.lit(0).alias("depth"))
-    front = known
-    for d in range(1, most):
-        front = triples.join(front.select(F.col("case_id").alias("c"), F.col("object").alias("from")).distinct(), (F.col("case_id") == F.col("c")) & (F.col("subject") == F.col("from")), "left_semi").select("case_id", "idx", "object", F.lit(d).alias("depth"))
-        known = known.unionByName(front)
-    return known.groupBy("case_id", "idx").agg(F.min("depth").alias("depth"))
-
-
-def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(mention, name, tier): entities equal to a mention when normalized (tier 1), else those
-    that contain it as whole leading text (tier 2); the least name of the best tier."""
-    m = names.withColumn("m", normalize(F.col("mention"))).where("m <> ''")
-    e = entities.withColumn("e", normalize(F.col("name"))).where("e <> ''")
-    same = m.join(e, F.col("m") == F.col("e")).select("mention", "name", F.lit(1).alias("tier"))
-    first = e.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("e", " "))), lambda i: F.array_join(F.slice(F.split("e", " "), 1, i), " "))))
-    lead = m.join(first.where("head <> e"), F.col("m") == F.col("head")).select("mention", "name", F.lit(2).alias("tier"))
-    return same.unionByName(lead).groupBy("mention").agg(F.min(F.struct("tier", "name")).alias("x")).select("mention", "x.name", "x.tier")
-
-
 def hits(pred: Column, gold: Column) -> Column:
     """Loose hit: equal when normalized, or one contains the other; empty names never hit."""
     p, g = normalize(pred), normalize(gold)

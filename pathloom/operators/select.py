@@ -8,18 +8,43 @@ from pyspark.sql import functions as F
 from pathloom.functions.text import is_ascii, is_cvt, normalize
 
 
-def shortlist(patterns: DataFrame, distinct: int = 3, most: int = 20, among: int | None = None) -> DataFrame:
+def shortlist(patterns: DataFrame, distinct: int = 3, most: int = 20, among: int | None = None, least: int = 2) -> DataFrame:
     """Patterns (anchor, pos, chain) in order, at most `most` of an anchor: once `distinct`
     starts of two relations are seen, one seen before is passed over. `among` looks at the
-    first so many only."""
+    first so many only. An anchor left with fewer than `least` takes its first `most` instead."""
     order = Window.partitionBy("anchor").orderBy("pos")
     if among is not None:
         patterns = patterns.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= among).drop("_n")
     signed = patterns.withColumn("_sig", F.slice("chain", 1, 2))
     signed = signed.withColumn("_first", F.row_number().over(Window.partitionBy("anchor", "_sig").orderBy("pos")) == 1)
     seen = F.coalesce(F.sum(F.col("_first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = signed.withColumn("_seen", seen).where(F.col("_first") | (F.col("_seen") < distinct))
-    return kept.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(*patterns.columns)
+    flagged = signed.withColumn("_seen", seen).withColumn("_keep", F.col("_first") | (F.col("_seen") < distinct))
+    few = F.sum(F.col("_keep").cast("int")).over(Window.partitionBy("anchor")) < least
+    chosen = flagged.withColumn("_few", few).where("_keep or _few")
+    return chosen.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select(*patterns.columns)
+
+
+def numbered_picks(shown: DataFrame, picks: DataFrame) -> DataFrame:
+    """(anchor, pos) of a reply's numbers (anchor, numbers, from 1) mapped through what was shown
+    (anchor, pos; numbered by pos), the first of repeated ones; numbers beyond it go."""
+    by = shown.withColumn("n", F.row_number().over(Window.partitionBy("anchor").orderBy("pos"))).select("anchor", "n", "pos")
+    said = picks.select("anchor", F.explode(F.array_distinct(F.transform("numbers", lambda x: x.cast("int")))).alias("n"))
+    return said.join(by, ["anchor", "n"]).select("anchor", "pos")
+
+
+def more_rounds(shown: DataFrame, rounds: list[DataFrame], most: int = 3) -> DataFrame:
+    """(anchor, pos, round): picks of up to `most` rounds (each anchor, pos, need_more); a round
+    counts for the anchors whose last one asked for more, and picks not made before."""
+    asked, out = shown.select("anchor").distinct(), None
+    for k, picked in enumerate(rounds[:most]):
+        own = picked.join(asked, "anchor", "left_semi")
+        new = own.select("anchor", "pos").distinct()
+        if out is not None:
+            new = new.join(out.select("anchor", "pos"), ["anchor", "pos"], "left_anti")
+        new = new.withColumn("round", F.lit(k))
+        out = new if out is None else out.unionByName(new)
+        asked = own.where("need_more").select("anchor").distinct()
+    return out
 
 
 def at_least(picks: DataFrame, patterns: DataFrame, least: int = 2, first: int = 3) -> DataFrame:

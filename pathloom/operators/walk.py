@@ -1,5 +1,5 @@
 """Relation-constrained walks. A state is a row: anchor, nodes, rels, edges (arrays),
-covered, skipped (bit masks of layers), depth. Layers are relation sets in order.
+covered, skipped (bit masks of layers), terminal. Layers are relation sets in order.
 
 Hops are joins on the last node; caps apply inside the loop, ranked by windows that
 Catalyst limits per group. Ties break by the edge array, which is breadth-first order.
@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.text import coverage, is_cvt
+from pathloom.functions.text import _among, coverage, is_cvt
 from pathloom.operators.graph import both_ways, clean
 from pathloom.operators.lineage import kept
 
 STATE = ("anchor", "nodes", "rels", "edges", "covered", "skipped", "terminal")
+#: What a bridge to an endpoint adds to the terminal relations, with the layer's number.
+BRIDGE = "~bridge:"
 
 
 def start(anchors: DataFrame) -> DataFrame:
@@ -26,12 +28,26 @@ def last(nodes: str = "nodes") -> Column:
     return F.element_at(nodes, -1)
 
 
+def bit(layer: int) -> Column:
+    return F.lit(1 << layer).cast("long")
+
+
+def mask_of(rel: Column, layers: list[list[str]]) -> Column:
+    """The bits of all layers that hold a relation."""
+    out = F.lit(0).cast("long")
+    for i, layer in enumerate(layers):
+        if layer:
+            out = out.bitwiseOR(F.when(rel.isin(*layer), bit(i)).otherwise(F.lit(0).cast("long")))
+    return out
+
+
 def hop(states: DataFrame, steps: DataFrame, where: Column | None = None, node_simple: bool = False) -> DataFrame:
-    """One hop. Edge-simple, or node-simple, which implies it."""
+    """One hop. Edge-simple, or node-simple, which implies it. Other columns come along."""
     joined = states.join(steps, last() == F.col("src"))
     fresh = ~F.array_contains("nodes", F.col("dst")) if node_simple else ~F.array_contains("edges", F.col("edge"))
     joined = joined.where(fresh if where is None else fresh & where)
-    return joined.select("anchor", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("rels", F.col("r")).alias("rels"), F.array_append("edges", F.col("edge")).alias("edges"), "covered", "skipped", "terminal")
+    grown = {"nodes": F.array_append("nodes", F.col("dst")), "rels": F.array_append("rels", F.col("r")), "edges": F.array_append("edges", F.col("edge"))}
+    return joined.select(*(grown[c].alias(c) if c in grown else F.col(c) for c in states.columns))
 
 
 def dominance(states: DataFrame, cap: int) -> DataFrame:
@@ -42,45 +58,72 @@ def dominance(states: DataFrame, cap: int) -> DataFrame:
     return one.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where(F.col("k") <= cap).drop("k")
 
 
-def mode_walk(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], cap: int = 1200) -> DataFrame:
-    """Layer by layer: a target edge in one hop, else in two; a state without either keeps its
-    place with the layer skipped, once it has moved. All states after each layer are paths."""
+def _bridge(states: DataFrame, steps: DataFrame, endpoints: DataFrame, layer: int) -> DataFrame:
+    """States that don't end at an endpoint of theirs, moved to one by the fewest of one or
+    two edges. `endpoints` has (anchor, endpoint)."""
+    ends = endpoints.select(F.col("anchor").alias("_a"), "endpoint").distinct()
+    open_ = states.join(ends, (F.col("anchor") == F.col("_a")) & (last() == F.col("endpoint")), "left_anti")
+    into = steps.join(ends, F.col("dst") == F.col("endpoint")).select("src", "r", "dst", "edge", "_a")
+    one = hop(open_, into, F.col("anchor") == F.col("_a"))
+    doors = into.select(F.col("src").alias("door")).distinct()
+    near = steps.join(doors, F.col("dst") == F.col("door"), "left_semi")
+    far = open_.join(one.select(F.col("anchor").alias("_x"), F.col("base").alias("_b")).distinct(), (F.col("anchor") == F.col("_x")) & (F.col("base") == F.col("_b")), "left_anti")
+    two = hop(hop(far, near), into, F.col("anchor") == F.col("_a"))
+    return one.unionByName(two).withColumn("covered", F.col("covered").bitwiseOR(bit(layer))).withColumn("terminal", F.array_append("terminal", F.lit(f"{BRIDGE}{layer}")))
+
+
+def mode_walk(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], cap: int = 1200, endpoints: DataFrame | None = None) -> DataFrame:
+    """Layer by layer: a target edge in one hop, else in two; a state without either is
+    bridged to an endpoint on the last layer (`endpoints`: anchor, endpoint), else keeps its
+    place with the layer skipped, once it has moved. All states after each layer are paths.
+
+    Only middle nodes that have a target edge are expanded, so the two-hop arm makes no rows
+    that the second hop rejects for its relation. Hits are kept once a layer."""
     steps = both_ways(clean(edges))
+    live = [i for i, layer in enumerate(layers) if layer]
     states, out = start(anchors), None
-    for i, layer in enumerate(layers):
-        if not layer:
-            continue
-        target = F.col("r").isin(*layer)
-
-        def hit(df: DataFrame, i=i) -> DataFrame:
-            return df.withColumn("covered", F.col("covered").bitwiseOR(F.lit(1 << i).cast("long"))).withColumn("terminal", F.array_append("terminal", F.element_at("rels", -1)))
-
-        one = hit(hop(states, steps, target))
-        two = hit(hop(hop(states, steps, ~target), steps, target))
-        hits = kept(one.unionByName(two))
-        moved = hits.select("anchor", F.slice("edges", 1, F.size("edges") - 1).alias("e1"), F.slice("edges", 1, F.greatest(F.size("edges") - 2, F.lit(0))).alias("e2"))
-        had = moved.select("anchor", F.col("e1").alias("edges")).unionByName(moved.select("anchor", F.col("e2").alias("edges"))).distinct()
-        rest = states.where(F.size("edges") > 0).join(had, ["anchor", "edges"], "left_anti").select(*STATE).withColumn("skipped", F.col("skipped").bitwiseOR(F.lit(1 << i).cast("long")))
-        states = kept(dominance(hits.unionByName(rest), cap))
+    for i in live:
+        target = F.col("r").isin(*layers[i])
+        aims = steps.where(target)
+        near = steps.where(~target).join(aims.select(F.col("src").alias("door")).distinct(), F.col("dst") == F.col("door"), "left_semi")
+        based = states.withColumn("base", F.col("edges"))
+        found = hop(based, aims).unionByName(hop(hop(based, near), aims))
+        hits = kept(found.withColumn("covered", F.col("covered").bitwiseOR(bit(i))).withColumn("terminal", F.array_append("terminal", F.element_at("rels", -1))))
+
+        def without(df: DataFrame, moved: DataFrame) -> DataFrame:
+            had = moved.select(F.col("anchor").alias("_x"), F.col("base").alias("_b")).distinct()
+            return df.join(had, (F.col("anchor") == F.col("_x")) & (F.col("base") == F.col("_b")), "left_anti")
+
+        rest = without(based, hits)
+        if endpoints is not None and i == live[-1]:
+            bridged = kept(_bridge(rest, steps, endpoints, i))
+            hits, rest = hits.unionByName(bridged), without(rest, bridged)
+        rest = rest.where(F.size("edges") > 0).withColumn("skipped", F.col("skipped").bitwiseOR(bit(i)))
+        states = dominance(hits.unionByName(rest).select(*STATE), cap)
         out = states if out is None else out.unionByName(states)
     first = Window.partitionBy("anchor", "nodes", "rels").orderBy(F.bit_count("covered").desc(), F.bit_count("skipped"), "edges")
     return out.where(F.size("edges") > 0).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
 
+def hit_beam(states: DataFrame, most: int) -> DataFrame:
+    """The `most` states of an anchor that cover most layers, ties by edges."""
+    order = Window.partitionBy("anchor").orderBy(F.bit_count("covered").desc(), "edges")
+    return states.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+
+
 def k_queue(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], hops: int = 2, beam: int = 80, most: int = 5000) -> DataFrame:
     """Node-simple breadth-first walk; every path that ends in a target relation is a result,
-    with the greedy in-order coverage of its relations. The frontier keeps the 2 * beam best."""
+    with the greedy in-order coverage of its relations. The frontier keeps the 2 * beam best;
+    an anchor with more than `most` results goes no further."""
     steps = both_ways(clean(edges))
     targets = sorted({r for layer in layers for r in layer})
-    front, out = start(anchors), None
-    for _ in range(hops * len(layers)):
-        front = hop(front, steps, node_simple=True).withColumn("covered", coverage(F.col("rels"), layers))
-        front = kept(front)
-        done = front.where(F.element_at("rels", -1).isin(*targets))
+    front, out, n = start(anchors), None, len([x for x in layers if x])
+    for _ in range(hops * n):
+        grown = kept(hop(front, steps, node_simple=True).withColumn("covered", coverage(F.col("rels"), layers)))
+        done = grown.where(F.element_at("rels", -1).isin(*targets))
         out = done if out is None else out.unionByName(done)
-        order = Window.partitionBy("anchor").orderBy(F.bit_count("covered").desc(), "edges")
-        front = front.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * beam).drop("k")
-    n = len(layers)
+        full = out.groupBy("anchor").count().where(F.col("count") > most).select("anchor")
+        front = hit_beam(grown.join(full, "anchor", "left_anti").select(*STATE), 2 * beam)
     rank = Window.partitionBy("anchor").orderBy((F.bit_count("covered") == n).desc(), F.bit_count("covered").desc(), F.col("covered").desc(), F.size("edges"), "edges")
     return out.dropDuplicates(["anchor", "nodes", "rels"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
 
@@ -92,26 +135,56 @@ def diversity_beam(paths: DataFrame, limit: int = 80, per_group: int = 5) -> Dat
     return ranked.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy((F.col("g") <= per_group).desc(), *order))).where(F.col("k") <= limit).drop("g", "k")
 
 
-def prior_expand(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 3, limit: int = 80) -> DataFrame:
+def connect_targets(paths: DataFrame, steps: DataFrame, targets: DataFrame, hops: int = 3, per_base: int = 5, limit: int = 80) -> DataFrame:
+    """Paths continued from their ends to targets (anchor, endpoint), at most `hops` hops:
+    breadth-first, a node once for each base and length; a base that ends at a target has to
+    reach another. The `per_base` best of a base; all paths of an anchor if none connects."""
+    ends = targets.where("endpoint <> anchor").select(F.col("anchor").alias("_a"), "endpoint").distinct()
+    front = paths.withColumn("_base", F.col("edges"))
+    found = None
+    for _ in range(hops):
+        tail = F.slice("nodes", F.size("_base") + 1, F.lit(1 << 30))
+        grown = hop(front, steps, ~F.array_contains(tail, F.col("dst")))
+        one = Window.partitionBy("anchor", "_base", last()).orderBy("edges")
+        grown = grown.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
+        at = (F.col("anchor") == F.col("_a")) & (last() == F.col("endpoint"))
+        done = grown.join(ends, at, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        front = grown.join(ends, at, "left_anti")
+    few = Window.partitionBy("anchor", "_base").orderBy(F.bit_count("covered").desc(), F.size("edges"), "edges")
+    found = found.withColumn("k", F.row_number().over(few)).where(F.col("k") <= per_base).drop("k", "_base")
+    found = kept(diversity_beam(found.dropDuplicates(["anchor", "nodes", "rels"]), limit))
+    return found.unionByName(paths.join(found.select("anchor").distinct(), "anchor", "left_anti").select(*found.columns))
+
+
+def prior_expand(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 3, limit: int = 80, per_group: int = 5, targets: DataFrame | None = None) -> DataFrame:
     """Layer by layer: node-simple segments that end at the first hit of the layer, at most
     `max_hops` hops in all, without repeating a relation twice in a row and without other
-    layers' relations on the way. A missed layer is skipped."""
+    layers' relations on the way. A missed layer is skipped and leaves the frontier as it is
+    (so a second try of a missed last layer finds nothing new). With `targets` (anchor,
+    endpoint) the ends are connected to them. Acyclic paths come before others."""
     steps = both_ways(clean(edges))
     any_layer = sorted({r for layer in layers for r in layer})
     front = start(anchors)
     for i, layer in enumerate(layers):
-        target = F.col("r").isin(*layer)
+        if not layer:
+            continue
+        aims, bridges = steps.where(F.col("r").isin(*layer)), steps.where(~F.col("r").isin(*any_layer))
         turn = F.coalesce(F.try_element_at("rels", F.lit(-1)) != F.col("r"), F.lit(True))
         open_, matched = front, None
         for _ in range(max_hops):
             grown = open_.where(F.size("edges") < max_hops)
-            hits = hop(grown, steps, target & turn, node_simple=True).withColumn("covered", F.col("covered").bitwiseOR(F.lit(1 << i).cast("long")))
+            hits = hop(grown, aims, turn, node_simple=True)
+            hits = hits.withColumn("covered", F.col("covered").bitwiseOR(bit(i)).bitwiseOR(mask_of(F.element_at("rels", -1), layers)))
             matched = hits if matched is None else matched.unionByName(hits)
-            open_ = diversity_beam(hop(grown, steps, ~F.col("r").isin(*any_layer) & turn, node_simple=True), limit)
-        matched = kept(diversity_beam(matched, limit))
-        missed = front.join(matched.select("anchor").distinct(), "anchor", "left_anti")
+            open_ = diversity_beam(hop(grown, bridges, turn, node_simple=True), limit, per_group)
+        matched = kept(diversity_beam(matched, limit, per_group))
+        missed = front.join(matched.select("anchor").distinct(), "anchor", "left_anti").select(*STATE)
         front = matched.unionByName(missed)
-    return diversity_beam(front.where(F.size("edges") > 0).dropDuplicates(["anchor", "nodes", "rels"]), limit)
+    if targets is not None:
+        front = connect_targets(front, steps, targets, max_hops, per_group, limit)
+    paths = prefer(front.where(F.size("edges") > 0).dropDuplicates(["anchor", "nodes", "rels"]), F.size("nodes") == F.size(F.array_distinct("nodes")), ["anchor"])
+    return diversity_beam(paths, limit, per_group)
 
 
 def materialize(anchors: DataFrame, edges: DataFrame, rels: list[str], keep: int = 200, most: int = 10_000) -> DataFrame:
@@ -165,3 +238,166 @@ def bridge_triples(paths: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<h:string,r:string,t:string>>")
     join = F.aggregate(step, none, lambda acc, s: F.when((F.size(acc) > 0) & is_cvt(s["h"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["h"].alias("h"), F.concat(F.try_element_at(acc, F.lit(-1))["r"], F.lit(" > "), s["r"]).alias("r"), s["t"].alias("t"))))).otherwise(F.array_append(acc, s)))
     return paths.select(F.explode(join).alias("x")).select("x.*").distinct()
+
+
+def diagnose_layers(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 3, limit: int = 80, per_group: int = 5) -> DataFrame:
+    """(anchor, layer, frontier_hit, anchor_hit, frontier_count, anchor_count). One node-simple
+    beam search: a path's frontier advances when the next expected layer is met, and it
+    remembers every layer it met. Hops from or to a fact node cost nothing."""
+    steps, n = both_ways(edges), len(layers)
+    states = start(anchors).withColumn("depth", F.lit(0)).withColumn("cost", F.lit(0))
+    hits = None
+    for _ in range(max_hops * 3):
+        moved = states.join(steps, last() == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        cost = F.col("cost") + F.when(is_cvt(F.col("src")) | is_cvt(F.col("dst")), 0).otherwise(1)
+        met = mask_of(F.col("r"), layers)
+        step_on = F.col("depth") < n
+        due = F.shiftright(met, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))) != 0
+        grown = moved.select("anchor", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("rels", F.col("r")).alias("rels"), F.array_append("edges", F.col("edge")).alias("edges"), F.col("covered").bitwiseOR(met).alias("covered"), "skipped", "terminal", F.when(step_on & due, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), cost.alias("cost"), met.alias("met"), F.when(step_on & due, F.col("depth")).alias("reached"))
+        grown = kept(grown.where(F.col("cost") <= max_hops))
+        if grown.isEmpty():
+            break
+        rows = grown.select("anchor", "met", "reached")
+        hits = rows if hits is None else hits.unionByName(rows)
+        order = [F.col("depth").desc(), "edges"]
+        ranked = grown.withColumn("g", F.row_number().over(Window.partitionBy("anchor", last(), "depth").orderBy(*order)))
+        states = ranked.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy((F.col("g") <= per_group).desc(), *order))).where(F.col("k") <= limit).drop("g", "k", "met", "reached")
+    plan = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("layer"))
+    if hits is None:
+        return plan.select("anchor", "layer", F.lit(False).alias("frontier_hit"), F.lit(False).alias("anchor_hit"), F.lit(0).cast("long").alias("frontier_count"), F.lit(0).cast("long").alias("anchor_count"))
+    each = hits.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("layer"), "met", "reached")
+    met_it = F.call_function("shiftright", F.col("met"), F.col("layer")).bitwiseAND(F.lit(1).cast("long")) != 0
+    counts = each.groupBy("anchor", "layer").agg(F.count_if(F.col("reached") == F.col("layer")).alias("frontier_count"), F.count_if(met_it).alias("anchor_count"))
+    return plan.join(counts, ["anchor", "layer"], "left").na.fill(0, ["frontier_count", "anchor_count"]).select("anchor", "layer", (F.col("frontier_count") > 0).alias("frontier_hit"), (F.col("anchor_count") > 0).alias("anchor_hit"), "frontier_count", "anchor_count")
+
+
+def canonical_path(rels: Column, layers: list[list[str]]) -> Column:
+    """How many hops of a path to keep: each layer in order up to its first hit after the one
+    before, until a layer is missed."""
+    at, alive = F.lit(0), F.lit(True)
+    for layer in layers:
+        if not layer:
+            continue
+        rest = F.slice(rels, at + 1, F.greatest(F.size(rels) - at, F.lit(0)))
+        hit = F.array_position(F.transform(rest, _among(layer)), F.lit(True)).cast("int")
+        at, alive = F.when(alive & (hit > 0), at + hit).otherwise(at), alive & (hit > 0)
+    return at
+
+
+def canonicalize(paths: DataFrame, layers: list[list[str]]) -> DataFrame:
+    """Paths cut after their last layer hit in order; of equal ones the first; without any, gone."""
+    cut = paths.withColumn("_n", canonical_path(F.col("rels"), layers)).where("_n > 0")
+    for name, more in (("nodes", 1), ("rels", 0), ("edges", 0)):
+        cut = cut.withColumn(name, F.slice(name, F.lit(1), F.col("_n") + more))
+    return cut.drop("_n").dropDuplicates(["anchor", "nodes", "rels"])
+
+
+def has_next(states: DataFrame, steps: DataFrame, layer: list[str]) -> DataFrame:
+    """States whose end has an edge of the layer, itself or through a fact node next to it."""
+    doors = steps.where(F.col("r").isin(*layer)).select(F.col("src").alias("door")).distinct()
+    near = steps.where(is_cvt(F.col("dst"))).join(doors, F.col("dst") == F.col("door"), "left_semi").select(F.col("src").alias("door"))
+    return states.join(doors.unionByName(near).distinct(), last() == F.col("door"), "left_semi")
+
+
+def chain_expand(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], limit: int = 1200) -> DataFrame:
+    """A layer a hop, node-simple, through fact nodes to what is behind them; a hop must leave
+    a way to the next layer. States that can't go on stay as they are and are results too."""
+    steps = both_ways(clean(edges))
+    live = [i for i, layer in enumerate(layers) if layer]
+    front, done = start(anchors), None
+    for k, i in enumerate(live):
+        moved = hop(front.withColumn("base", F.col("edges")), steps.where(F.col("r").isin(*layers[i])), node_simple=True)
+        facts = moved.where(is_cvt(last()))
+        moved = moved.unionByName(hop(facts, steps.where(~is_cvt(F.col("dst"))), node_simple=True)).withColumn("covered", F.col("covered").bitwiseOR(bit(i)))
+        if k + 1 < len(live):
+            moved = has_next(moved, steps, layers[live[k + 1]])
+        moved = kept(moved)
+        gone = moved.select(F.col("anchor").alias("_a"), F.col("base").alias("_b")).distinct()
+        stuck = front.join(gone, (F.col("anchor") == F.col("_a")) & (F.col("edges") == F.col("_b")), "left_anti").where(F.size("edges") > 0)
+        done = stuck if done is None else done.unionByName(stuck)
+        front = hit_beam(moved.drop("base"), limit)
+    return front.unionByName(done).dropDuplicates(["anchor", "nodes", "rels"])
+
+
+def edge_tier(r: Column, target: list[str], pool: list[str]) -> Column:
+    """0 for a target relation, 1 for one of the pool, 2 for others."""
+    return F.when(r.isin(*target) if target else F.lit(False), 0).when(r.isin(*pool) if pool else F.lit(False), 1).otherwise(2)
+
+
+def guided_hop(states: DataFrame, steps: DataFrame, target: list[str], pool: list[str], spare: int = 5, alone: int = 10) -> DataFrame:
+    """One node-simple hop by tiers: target edges and the first `spare` of the pool; without
+    target edges the pool and the first `spare` others; without both the first `alone`."""
+    grown = hop(states.withColumn("base", F.col("edges")), steps, node_simple=True).withColumn("tier", edge_tier(F.element_at("rels", -1), target, pool))
+    own = Window.partitionBy("anchor", "base")
+    grown = grown.withColumn("best", F.min("tier").over(own)).withColumn("k", F.row_number().over(Window.partitionBy("anchor", "base", "tier").orderBy("edges")))
+    ok = (F.col("tier") == F.col("best")) & ((F.col("best") < 2) | (F.col("k") <= alone)) | (F.col("tier") == F.col("best") + 1) & (F.col("k") <= spare)
+    return grown.where(ok).drop("base", "best", "k", "tier")
+
+
+def chain_search(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 4, limit: int = 80, per_group: int = 5) -> DataFrame:
+    """Paths of at most `max_hops` hops that end in the last layer; where an anchor has none, in
+    the one before, and so on. Hops take target edges before the plan's other relations
+    before the first five others."""
+    steps = both_ways(clean(edges))
+    pool = sorted({r for layer in layers for r in layer})
+    out, open_ = None, anchors.select("anchor")
+    for i in reversed([i for i, layer in enumerate(layers) if layer]):
+        front, found = start(open_), None
+        for _ in range(max_hops):
+            grown = guided_hop(front, steps, layers[i], pool).withColumn("covered", coverage(F.col("rels"), layers))
+            grown = kept(diversity_beam(grown, limit, per_group))
+            hits = grown.where(F.element_at("rels", -1).isin(*layers[i]))
+            found = hits if found is None else found.unionByName(hits)
+            front = grown
+        out = found if out is None else out.unionByName(found)
+        open_ = kept(open_.join(out.select("anchor").distinct(), "anchor", "left_anti"))
+        if open_.isEmpty():
+            break
+    return diversity_beam(out.dropDuplicates(["anchor", "nodes", "rels"]), limit, per_group)
+
+
+def bidirectional(pairs: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 5, limit: int = 50, per_group: int = 6) -> DataFrame:
+    """(anchor, target, nodes) of pairs (anchor, target): both ends are walked, the side with
+    fewer states a hop at a time, each hop guided by the layer it should be; paths join where
+    they meet, disjoint elsewhere."""
+    steps = both_ways(clean(edges))
+    pool = sorted({r for layer in layers for r in layer})
+    sides = [start(pairs.select("anchor").distinct()), start(pairs.select(F.col("target").alias("anchor")).distinct())]
+    held, done, out = list(sides), [0, 0], None
+    for _ in range(max_hops):
+        side = 0 if done[0] == 0 or (done[1] > 0 and held[0].count() <= held[1].count()) else 1  # two counts of beams
+        at = done[side] if side == 0 else len(layers) - 1 - done[side]
+        target = layers[at] if 0 <= at < len(layers) else []
+        grown = guided_hop(held[side], steps, target, pool).withColumn("covered", coverage(F.col("rels"), layers))
+        held[side] = kept(diversity_beam(grown, limit, per_group))
+        sides[side] = sides[side].unionByName(held[side])
+        done[side] += 1
+        found = meet(sides[0], sides[1]).join(pairs, ["anchor", "target"], "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def layer_frontier(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], limit: int = 80, hops: int = 2) -> DataFrame:
+    """A breadth-first search for each layer that stops a branch at its first hit; a layer
+    that an anchor misses borrows the next one's relations. Then the best of each (last node,
+    covered) before others, and paths cut at their last hit in order."""
+    steps = both_ways(clean(edges))
+    live = [i for i, layer in enumerate(layers) if layer]
+    front = start(anchors)
+    for k, i in enumerate(live):
+        def search(states: DataFrame, layer: list[str], mark: int) -> DataFrame:
+            open_, found = states, None
+            for _ in range(hops):
+                grown = hop(open_, steps, node_simple=True)
+                hit = grown.where(F.element_at("rels", -1).isin(*layer)).withColumn("covered", F.col("covered").bitwiseOR(bit(mark)))
+                found = hit if found is None else found.unionByName(hit)
+                open_ = hit_beam(grown.where(~F.element_at("rels", -1).isin(*layer)), 4 * limit)
+            return found
+
+        found = kept(diversity_beam(search(front, layers[i], i), limit, 1))
+        rest = front.join(found.select("anchor").distinct(), "anchor", "left_anti")
+        if k + 1 < len(live):
+            lent = kept(diversity_beam(search(rest, layers[live[k + 1]], live[k + 1]), limit, 1))
+            rest = lent.unionByName(rest.join(lent.select("anchor").distinct(), "anchor", "left_anti"))
+        front = found.unionByName(rest)
+    return canonicalize(front.where(F.size("edges") > 0), layers)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pathloom.functions import grammar as Y
 from pathloom.functions import text as X
 from pathloom.operators import graph as G
+from pathloom.operators import planning as P
 from pathloom.operators import retrieve as R
 from pathloom.operators import select as S
+from pathloom.operators import stage as ST
 from pathloom.operators import walk as W
 from pathloom.sources import testkg
 from pathloom.streaming.ingest import event_counts
@@ -65,11 +67,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_suppliers(spark, sf_dir)
 
 
-@query(_e(SUPPLY, "select b.dst as supplier from bi a join bi b on a.dst = b.src where a.src = 'region:1' and a.r = 'geo.nation.region' and b.r = 'org.supplier.nation' and b.dst <> 'region:1' group by 1"))
+@query(_e(SUPPLY, "select distinct a.src as region, b.dst as supplier from bi a join bi b on a.dst = b.src where a.src like 'region:%' and a.r = 'geo.nation.region' and b.r = 'org.supplier.nation'"))
 def region_suppliers(spark, d):
-    anchor = _anchors(spark, d).where("anchor = 'region:1'")
-    paths = W.mode_walk(anchor, testkg.edges(spark, d, SUPPLY), LAYERS)
-    return paths.where("covered = 3").select(F.element_at("nodes", -1).alias("supplier")).distinct()
+    paths = W.mode_walk(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, cap=1_000_000)
+    return paths.where("covered = 3").select(F.col("anchor").alias("region"), F.element_at("nodes", -1).alias("supplier")).distinct()
 
 
 @query(_e(None, "select h, r, t from edges"))
@@ -117,15 +118,17 @@ def through_cvt(spark, d):
     return G.through_cvt(testkg.edges(spark, d, ITEMS))
 
 
-@query(_e(("org.supplier.nation", "org.customer.nation"), "select h, r, t from edges where r = 'org.customer.nation' and h in (select h from edges where r = 'org.customer.nation' and t = 'nation:3')"))
+@query(_e(("sales.order.customer",), "select h, r, t from edges where (h, r) in (select h, r from edges e join customer on e.t = 'customer:' || c_custkey where c_acctbal < 0)"))
 def sibling_tails(spark, d):
-    e = testkg.edges(spark, d, ("org.supplier.nation", "org.customer.nation"))
-    return G.sibling_tails(e, e.where("r = 'org.customer.nation' and t = 'nation:3'"))
+    e = testkg.edges(spark, d, ("sales.order.customer",))
+    owing = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal < 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("t"))
+    return G.sibling_tails(e, e.join(owing, "t", "left_semi"))
 
 
 @query(_e(("sales.order.item",), "select a.t as node, b.t as sibling from edges a join edges b on a.h = b.h and a.r = b.r and a.t <> b.t"))
 def sibling_cvt(spark, d):
-    return G.sibling_cvts(testkg.edges(spark, d, ("sales.order.item",)))
+    e = testkg.edges(spark, d, ("sales.order.item",))
+    return G.sibling_cvts(e, e.select(F.col("t").alias("node")))
 
 
 @query(_e(ITEMS, "select src as cvt, string_agg(distinct r || '=' || dst, '; ' order by r || '=' || dst) as attributes from bi where src like 'm.%' and dst not like 'm.%' group by src"))
@@ -156,7 +159,7 @@ def entity_context(spark, d):
     return G.entity_context(testkg.edges(spark, d, SUPPLY))
 
 
-@query(_e(SUPPLY, "select seed, edge from (select src as seed, edge, row_number() over (partition by src order by edge) as k from bi where src like 'nation:%') where k <= 6"))
+@query(_e(SUPPLY, "select seed, edge from (select src as seed, edge, row_number() over (partition by src order by edge) as k from bi where src like 'nation:%') where k <= 6 order by k, seed, edge limit 120"))
 def local_subgraph(spark, d):
     e = G.clean(testkg.edges(spark, d, SUPPLY))
     seeds = e.where("r = 'geo.nation.region'").select(F.col("h").alias("node")).distinct()
@@ -182,7 +185,7 @@ def reachability(spark, d):
 
 
 _PATH2 = """, p1 as (select src as anchor, src || '>' || dst as nodes, r as rels, edge as edges, dst as last, 1 as depth, (r = 'geo.nation.region')::int as c, edge as e1, '' as e2, src as n0, dst as n1 from bi where src like 'region:%'),
-p2 as (select anchor, nodes || '>' || b.dst as nodes, rels || '>' || b.r as rels, b.dst as last, 2 as depth, case when rels = 'geo.nation.region' then 1 else 0 end + case when rels = 'geo.nation.region' and b.r = 'org.supplier.nation' then 2 when rels <> 'geo.nation.region' and b.r = 'geo.nation.region' then 1 else 0 end as covered
+p2 as (select anchor, nodes || '>' || b.dst as nodes, rels || '>' || b.r as rels, b.dst as last, [e1, b.edge] as edges, 2 as depth, case when rels = 'geo.nation.region' then 1 else 0 end + case when rels = 'geo.nation.region' and b.r = 'org.supplier.nation' then 2 when rels <> 'geo.nation.region' and b.r = 'geo.nation.region' then 1 else 0 end as covered
   from p1 join bi b on p1.last = b.src where b.dst not in (n0, n1))"""
 
 
@@ -227,25 +230,48 @@ def mode_walk_skip(spark, d):
     return W.mode_walk(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), _SKIP, cap=100_000).select("anchor", *_join("nodes"), "covered", "skipped")
 
 
-_KQ = """, p1 as (select src as anchor, [src, dst] as nodes, [r] as rels, [edge] as edges from bi where src like 'region:%'),
-p2 as (select anchor, list_append(nodes, dst) as nodes, list_append(rels, r) as rels, list_append(edges, edge) as edges from p1 join bi on nodes[-1] = src where not list_contains(nodes, dst)),
-c as (select *, 1::bigint as covered from p1 where rels[-1] in ('geo.nation.region', 'org.supplier.nation') union all
-  select *, case when rels[1] = 'geo.nation.region' then 1 else 0 end + case when rels[1] = 'geo.nation.region' and rels[2] = 'org.supplier.nation' then 2 when rels[1] <> 'geo.nation.region' and rels[2] = 'geo.nation.region' then 1 else 0 end from p2 where rels[-1] in ('geo.nation.region', 'org.supplier.nation')),
-k as (select *, row_number() over (partition by anchor order by bit_count(covered) = 2 desc, bit_count(covered) desc, covered desc, len(edges), edges) as rank from c)"""
+WALK = (*SUPPLY, "sales.order.customer")
+_BEAM = 40
 
 
-@query(_e(SUPPLY, _KQ + " select anchor, array_to_string(nodes, '>') as nodes, covered, rank::int as rank from k where rank <= 5000"))
+def _kq(hops: int, beam: int, most: int, rest: str) -> str:
+    """The k-queue unrolled over the layers nation of region, supplier of nation."""
+    first, second = "'geo.nation.region'", "'org.supplier.nation'"
+    covered = f"(case when list_contains(rels, {first}) then 1 else 0 end + case when list_contains(rels[coalesce(list_position(rels, {first}), 0) + 1:], {second}) then 2 else 0 end)"
+    ctes, last = ["f0 as (select distinct src as anchor, [src] as nodes, []::varchar[] as rels, []::varchar[] as edges from bi where src like 'region:%')"], "f0"
+    for h in range(1, hops + 1):
+        ctes.append(f"g{h} as (select anchor, list_append(nodes, dst) as nodes, list_append(rels, r) as rels, list_append(edges, edge) as edges from {last} join bi on nodes[-1] = src where not list_contains(nodes, dst))")
+        ctes.append(f"w{h} as (select *, {covered} as covered from g{h})")
+        ctes.append(f"f{h} as (select anchor, nodes, rels, edges from (select *, row_number() over (partition by anchor order by bit_count(covered::bigint) desc, edges) as k from w{h}) where k <= {2 * beam})")
+        last = f"f{h}"
+    done = " union all ".join(f"select * from w{h} where rels[-1] in ({first}, {second})" for h in range(1, hops + 1))
+    ctes.append(f"c as (select anchor, nodes, rels, edges, covered::bigint as covered from ({done}))")
+    ctes.append("k as (select *, row_number() over (partition by anchor order by bit_count(covered) = 2 desc, bit_count(covered) desc, covered desc, len(edges), edges) as rank from c)")
+    return ", " + ", ".join(ctes) + rest.replace("{most}", str(most))
+
+
+@query(_e(WALK, _kq(4, _BEAM, 5000, " select anchor, array_to_string(nodes, '>') as nodes, covered, rank::int as rank from k where rank <= {most}")))
 def kqueue_paths(spark, d):
-    return W.k_queue(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, hops=1, beam=10_000).select("anchor", *_join("nodes"), "covered", "rank")
+    return W.k_queue(_anchors(spark, d), testkg.edges(spark, d, WALK), LAYERS, beam=_BEAM).select("anchor", *_join("nodes"), "covered", "rank")
 
 
-@query(_e(SUPPLY, _KQ + """, g as (select *, row_number() over (partition by anchor, nodes[-1], covered order by bit_count(covered) desc, len(edges), edges) as g from k),
-  b as (select *, row_number() over (partition by anchor order by g <= 2 desc, bit_count(covered) desc, len(edges), edges) as b from g) select anchor, array_to_string(nodes, '>') as nodes from b where b <= 12"""))
+@query(_e(WALK, _kq(4, _BEAM, 0, """, g as (select *, row_number() over (partition by anchor, nodes[-1], covered order by bit_count(covered) desc, len(edges), edges) as g from k),
+  b as (select *, row_number() over (partition by anchor order by g <= 2 desc, bit_count(covered) desc, len(edges), edges) as b from g) select anchor, array_to_string(nodes, '>') as nodes from b where b <= 12""")))
 def diversity_beam(spark, d):
-    p = W.k_queue(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, hops=1, beam=10_000)
+    p = W.k_queue(_anchors(spark, d), testkg.edges(spark, d, WALK), LAYERS, beam=_BEAM)
     return W.diversity_beam(p, 12, 2).select("anchor", *_join("nodes"))
 
 
+@query(_e(SUPPLY, _MODE + """, t as (select anchor, [n1] as n, 1 as covered, 0 as skipped, 1 as depth, ['geo.nation.region'] as term, [e1] as es, n1 as fin from s1),
+  t1 as (select * from (select *, row_number() over (partition by anchor order by fin, es) as k from t) where k <= 3),
+  u as (select t1.anchor, anchor_nodes.n1, h1.n2, h1.e2 from t1 join (select anchor as a, n1, e1 from s1) anchor_nodes on a = t1.anchor and n1 = t1.fin join h1 on h1.anchor = t1.anchor and h1.n1 = t1.fin),
+  v as (select *, row_number() over (partition by anchor order by n2, n1, e2) as k from (select *, row_number() over (partition by anchor, n2 order by n1, e2) as one from u) where one = 1)
+  select anchor, anchor || '>' || fin as nodes from t1 union all select anchor, anchor || '>' || n1 || '>' || n2 from v where k <= 3"""))
+def mode_walk_capped(spark, d):
+    """A cap that cuts: three states of an anchor go on from each layer."""
+    return W.mode_walk(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, cap=3).select("anchor", *_join("nodes"))
+
+
 @query(_e(SUPPLY, _MODE + " select anchor, anchor || '>' || n1 || '>' || n2 as nodes, 3::bigint as covered from h1"))
 def prior_expand(spark, d):
     return W.prior_expand(_anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, limit=100_000).select("anchor", *_join("nodes"), "covered")
@@ -256,11 +282,11 @@ def pattern_materialize(spark, d):
     return W.materialize(_anchors(spark, d), G.clean(testkg.edges(spark, d, SUPPLY)), ["geo.nation.region", "org.supplier.nation"]).select("anchor", *_join("nodes"), "path_count")
 
 
-@query(_e(SUPPLY, _PATH2 + ", x as (select anchor, replace(rels, '>', ' / ') as chain, nodes, unnest(string_split(nodes, '>')[2:]) as name from p2) select anchor, chain, count(distinct nodes) as n_paths, string_agg(distinct name, '|' order by name) as candidates from x group by anchor, chain"))
+@query(_e(SUPPLY, _PATH2 + ", x as (select anchor, replace(rels, '>', ' / ') as chain, nodes, covered, edges, unnest(string_split(nodes, '>')[2:]) as name from p2), w as (select anchor, chain, nodes as witness from (select *, row_number() over (partition by anchor, chain order by bit_count(covered::bigint) desc, edges) as k from x) where k = 1) select x.anchor, x.chain, any_value(witness) as witness, count(distinct nodes) as n_paths, string_agg(distinct name, '|' order by name) as candidates from x join w on x.anchor = w.anchor and x.chain = w.chain group by x.anchor, x.chain"))
 def pattern_compress(spark, d):
     steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
     p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
-    return W.compress(p).drop("witness")
+    return W.compress(p)
 
 
 @query(_e(SUPPLY, _PATH2 + ", x as (select distinct anchor, nodes, unnest(string_split(nodes, '>')[2:]) as name from p2) select anchor, name, count(*) as n from x group by anchor, name"))
@@ -269,24 +295,20 @@ def pattern_candidates(spark, d):
     return W.candidate_counts(W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True))
 
 
-@query(_e(SUPPLY, _PATH2 + ", f as (select *, (last in ('supplier:1', 'supplier:2'))::int as f from p2), g as (select *, max(f) over (partition by anchor) as m from f) select anchor, nodes from g where f = m"))
+@query(_e(SUPPLY, _PATH2 + ", f as (select *, (last in (select 'supplier:' || s_suppkey from supplier where s_acctbal < 0))::int as f from p2), g as (select *, max(f) over (partition by anchor) as m from f) select anchor, nodes from g where f = m"))
 def endpoint_prefer(spark, d):
-    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
-    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
-    return W.prefer(p, F.element_at("nodes", -1).isin("supplier:1", "supplier:2"), ["anchor"]).select("anchor", *_join("nodes"))
+    return ST.prefer_endpoints(_two_hops(spark, d), G.clean(testkg.edges(spark, d, SUPPLY)), _endpoints(spark, d)).select("anchor", *_join("nodes"))
 
 
 @query(_e(SUPPLY, _PATH2 + ", x as (select anchor, unnest(string_split(nodes, '>')[-2:]) as name from p2) select distinct anchor, name from x where name <> anchor"))
 def last_two_candidates(spark, d):
-    steps = G.both_ways(G.clean(testkg.edges(spark, d, SUPPLY)))
-    p = W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
-    return p.select("anchor", F.explode(F.slice("nodes", -2, 2)).alias("name")).where("name <> anchor").distinct()
+    return ST.last_two_candidates(_two_hops(spark, d))
 
 
-@query(_e(ITEMS, "select distinct a.h, 'sales.order.item > ' || b.r as r, b.t from edges a join edges b on a.t = b.h where a.r = 'sales.order.item' and b.r = 'sales.item.part' and a.h in ('order:1', 'order:2', 'order:3')"))
+@query(_e(ITEMS, "select distinct a.h, 'sales.order.item > ' || b.r as r, b.t from edges a join edges b on a.t = b.h where a.r = 'sales.order.item' and b.r = 'sales.item.part'"))
 def bridge_triples(spark, d):
     e = testkg.edges(spark, d, ITEMS)
-    anchors = e.where("r = 'sales.order.item' and h in ('order:1', 'order:2', 'order:3')").select(F.col("h").alias("anchor")).distinct()
+    anchors = e.where("r = 'sales.order.item'").select(F.col("h").alias("anchor")).distinct()
     steps = G.both_ways(e)
     p = W.hop(W.hop(W.start(anchors), steps, F.col("r") == "sales.order.item"), steps, F.col("r") == "sales.item.part")
     return W.bridge_triples(p)
@@ -330,41 +352,40 @@ def token_overlap(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(X.token_overlap(F.col("p_name"), F.col("p_type")), 6).alias("overlap"))
 
 
-#: Model output made from names, one statement for both engines.
-_SAID = "concat('<analysis>x</analysis><answer>1. Who is ', n_name, '?', chr(10), '2. in', chr(10), '3. Where is it</answer>')"
-_BOXED = "concat('<answer>old</answer> then <answer>\\\\boxed{', n_name, '} \\\\boxed{', n_name, ' two}</answer>')"
+#: Model output made from rows, one statement for both engines: whole replies, broken ones, none.
+_SAID = "case n_nationkey % 4 when 0 then concat('<analysis>on ', n_name, '</analysis><answer>1. Who is ', n_name, '?', chr(10), '2. in', chr(10), 'x. no', chr(10), '3. Where is it</answer>') when 1 then concat('<answer>1. ', n_name, chr(10), '  2.  spaced out  </answer><answer>1. second tag</answer>') when 2 then concat('<answer>1. ', n_name) else concat('no tag ', n_name) end"
+_BOXED = "case p_partkey % 6 when 0 then concat('<answer>old</answer> then <answer>\\\\boxed{', p_brand, '} \\\\boxed{', p_name, '}</answer>') when 1 then concat('<answer> ', p_name, ' </answer>') when 2 then concat('<answer>', p_name) when 3 then '<answer>\\\\boxed{None}</answer>' when 4 then concat('<answer>\\\\boxed{', p_name) || '</answer>' else '<answer>There is no answer here</answer>' end"
 
 
-@query("select n_nationkey, 'Who is ' || n_name || '?|Where is it' as subs from nation")
+@query("select n_nationkey, case n_nationkey % 4 when 0 then 'Who is ' || n_name || '?|Where is it' when 1 then n_name || '|spaced out' else '' end as subs, case n_nationkey % 4 when 0 then 'on ' || n_name else '' end as analysis from nation")
 def parse_subquestions(spark, d):
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(X.subquestions(F.expr(_SAID)), "|").alias("subs"))
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(X.subquestions(F.expr(_SAID)), "|").alias("subs"), X.analysis(F.expr(_SAID)).alias("analysis"))
 
 
-@query("select n_nationkey, n_name || ' | ' || n_name || ' two' as answer, lower(n_name) in ('none') as empty from nation")
+@query(r"select p_partkey, case p_partkey % 6 when 0 then p_brand || ' | ' || p_name when 1 then p_name when 2 then null when 3 then 'None' when 4 then '\boxed{' || p_name else 'There is no answer here' end as answer, p_partkey % 6 in (2, 3, 4, 5) as empty, case when p_partkey % 6 in (0, 1) then 'ok' when p_partkey % 6 = 2 then 'incomplete_xml' else 'malformed_content' end as status from part".replace("\\\\", "\\"))
 def parse_answer(spark, d):
-    said = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", X.final_answer(F.expr(_BOXED)).alias("answer"))
+    raw = F.expr(_BOXED)
+    said = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", X.final_answer(raw).alias("answer"), X.answer_status(raw).alias("status"))
     return said.withColumn("empty", X.is_empty_answer(F.col("answer")))
 
 
-@query("select n_nationkey, '1:3,1;2:' || n_nationkey as choices from nation")
+@query("select n_nationkey, case n_nationkey % 3 when 0 then '1:3,1;2:' || n_nationkey when 1 then '7:' else '' end as choices from nation")
 def parse_prune(spark, d):
-    raw = F.concat(F.lit("<selected>step_1: [3, 1]\nstep_2: ["), F.col("n_nationkey"), F.lit("]</selected>"))
+    raw = F.expr("case n_nationkey % 3 when 0 then concat('<selected>step_1: [3, 1]', chr(10), 'step_2: [', n_nationkey, ']</selected>') when 1 then 'step_7: [none]' else 'step_x: [1]' end")
     return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(X.step_choices(raw), ";").alias("choices"))
 
 
-@query("select n_nationkey, n_name as subject, 'in' as predicate, '?x' as object from nation")
-def parse_triples(spark, d):
-    raw = F.concat(F.lit('<answer>{"triples": [{"source_subquestion": "q", "subject": "'), F.col("n_name"), F.lit('", "predicate": "in", "object": "?x",},]}</answer>'))
-    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.explode(X.triples_json(raw)).alias("t")).select("n_nationkey", "t.subject", "t.predicate", "t.object")
-
-
-_PLAN = "select n_nationkey as case_id, 0 as idx, n_name as subject, '?a' as object, n_name as anchor from nation union all select n_nationkey, 1, '?a', '?b', n_name from nation union all select n_nationkey, 2, '?a', '?c', n_name from nation union all select n_nationkey, 3, '?b', '?d', n_name from nation"
+@query("select n_nationkey, case n_nationkey % 4 when 0 then '1=2,3|2=' || n_nationkey when 1 then '1=5' when 2 then '3=1' else '' end as choices from nation")
+def parse_relation_json(spark, d):
+    raw = F.expr("""case n_nationkey % 4 when 0 then concat('<selected>{"step_1": [2, 3], "step_2": [', n_nationkey, '], "note": [9]}</selected>') when 1 then "<answer>{'step_1': [5],}</answer>" when 2 then 'step_3: [1]' else '{"step_1": "x"' end""")
+    shown = F.transform(X.relation_choices(raw), lambda c: F.concat_ws("=", c["step"].cast("string"), F.array_join(c["numbers"].cast("array<string>"), ",")))
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(shown, "|").alias("choices"))
 
 
-@query("select n_nationkey as case_id, i as idx, [0, 1, 1, 2][i + 1] as depth from nation, (values (0), (1), (2), (3)) v(i)")
-def triple_depths(spark, d):
-    spark.read.parquet(f"{d}/nation.parquet").createOrReplaceTempView("nation")
-    return R.triple_depths(spark.sql(_PLAN), 4)
+@query("select n_nationkey, n_name as subject, case n_nationkey % 4 when 2 then 'of' else 'in' end as predicate, '?x' as object from nation where n_nationkey % 4 <> 3")
+def parse_triples(spark, d):
+    raw = F.expr("""case n_nationkey % 4 when 0 then concat('<answer>{"triples": [{"source_subquestion": "q", "subject": "', n_name, '", "predicate": "in", "object": "?x",},]}</answer>') when 1 then concat('{“triples”: [{“subject”: “', n_name, '”, "predicate": "in", "object": "?x"}]}') when 2 then concat("<answer>{'triples': [{'subject': '", n_name, "', 'predicate': 'of', 'object': '?x'}]}</answer>") else concat('nothing of ', n_name) end""")
+    return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.explode(X.triples_json(raw)).alias("t")).select("n_nationkey", "t.subject", "t.predicate", "t.object")
 
 
 @query("with p as (select 's' || (p_size % 5) as step, p_brand as rel, min(p_partkey) as rank from part group by 1, 2), r as (select 's' || (p_size % 5) as step, p_brand as rel, max(p_partkey) as rank from part group by 1, 2), b as (select *, 0 as source from p where rank <= 20 union all select *, 1 from r), f as (select *, row_number() over (partition by step, rel order by source, rank) as f from b), k as (select *, row_number() over (partition by step order by source, rank, rel) as place from f where f = 1) select step, rel, place::int as place from k where place <= 5")
@@ -384,16 +405,32 @@ def match_hit(spark, d):
     return both.select(F.col("n_nationkey").alias("a"), F.col("r_regionkey").alias("b"), R.hits(F.col("n_name"), F.col("r_name")).alias("hit"), R.strict_hits(F.col("n_name"), F.col("r_name")).alias("strict"))
 
 
-@query(f"with x as (select p_partkey, {_N.format('p_brand')} as b, {_N.format('p_type')} as t from part) select p_partkey, round(1 / 2.0::double, 6) as precision, round(1.0::double, 6) as recall, round(2 / 3.0::double, 6) as f1 from x")
+_PRF = f"""with x as (select p_partkey, unnest([0, 1, 2]) as i, unnest([p_brand, p_type, 'zzz never']) as pred, unnest([p_brand, split_part(p_type, ' ', 1), p_name]) as gold from part),
+n as (select *, {_N.format('pred')} as p, {_N.format('gold')} as g from x),
+h as (select a.p_partkey, a.i as pi, b.i as gi, a.p = b.g or contains(a.p, b.g) or contains(b.g, a.p) as hit from n a join n b on a.p_partkey = b.p_partkey),
+c as (select p_partkey, count(distinct pi) filter (hit) as mp, count(distinct gi) filter (hit) as mg from h group by p_partkey)"""
+
+
+@query(_PRF + " select p_partkey, round(mp / 3.0::double, 6) as precision, round(mg / 3.0::double, 6) as recall, round(case when mp + mg > 0 then 2 * (mp / 3.0::double) * (mg / 3.0::double) / (mp / 3.0::double + mg / 3.0::double) else 0 end, 6) as f1 from c")
 def match_prf(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array("p_brand", F.lit("zzz never")).alias("pred"), F.array("p_brand").alias("gold"))
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array("p_brand", "p_type", F.lit("zzz never")).alias("pred"), F.array(F.col("p_brand"), F.split("p_type", " ")[0], F.col("p_name")).alias("gold"))
     return R.match_stats(p).select("p_partkey", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
 
 
-@query("select n_name as mention, n_name as name, 1 as tier from nation")
+#: Mentions and seeds of the nations' cases that reach every tier, for both engines.
+_MENTION = "select n_nationkey as case_id, 0 as pos, case n_nationkey % 5 when 0 then lower(n_name) when 1 then concat('the ', n_name, ' of old') when 2 then 'queen' when 3 then 'zzz' else '?' end as mention from nation"
+_SEED = "select n_nationkey as case_id, 0 as pos, case n_nationkey % 5 when 2 then 'queen mother' when 3 then 'Seed Town' else 'nowhere' end as seed from nation"
+_ENT = "select n_nationkey as case_id, 0 as ent_id, 'first' as name from nation union all select n_nationkey, 1, n_name from nation union all select n_nationkey, 2, 'Queen Mother' from nation where n_nationkey % 5 <> 2 union all select n_nationkey, 3, 'QUEEN MOTHER!' from nation where n_nationkey % 5 = 2 union all select n_nationkey, 4, 'seed town' from nation where n_nationkey % 10 = 3"
+
+
+def _sql(spark: SparkSession, d: str, text: str, table: str = "nation") -> DataFrame:
+    """SQL over one of the driver's tables, without a view that outlives it."""
+    return spark.sql(text.replace(f"from {table}", "from {t}"), t=spark.read.parquet(f"{d}/{table}.parquet"))
+
+
+@query("select n_nationkey as case_id, case n_nationkey % 5 when 2 then 3 when 3 then case when n_nationkey % 10 = 3 then 4 else 0 end when 4 then 0 else 1 end::int as ent_id, case n_nationkey % 5 when 2 then 'QUEEN MOTHER!' when 3 then case when n_nationkey % 10 = 3 then 'seed town' else 'first' end when 4 then 'first' else n_name end as name, case n_nationkey % 5 when 0 then 1 when 1 then 2 when 2 then 2 when 3 then case when n_nationkey % 10 = 3 then 4 else 5 end else 5 end::int as tier from nation")
 def anchor_resolve(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet")
-    return R.resolve(n.select(F.col("n_name").alias("mention")), n.select(F.col("n_name").alias("name")))
+    return P.resolve_anchors(_sql(spark, d, _MENTION), _sql(spark, d, _ENT), _sql(spark, d, _SEED))
 
 
 @query("select c_custkey, c_name, o_orderkey from customer left join (select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey) on c_custkey = o_custkey")
@@ -402,9 +439,10 @@ def case_join(spark, d):
     return spark.read.parquet(f"{d}/customer.parquet").join(last, "c_custkey", "left").select("c_custkey", "c_name", "o_orderkey")
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)")
 def case_mask(spark, d):
-    return spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/orders.parquet"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    listed = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return spark.read.parquet(f"{d}/customer.parquet").join(listed, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -412,7 +450,13 @@ def event_windows(spark, d):
     return event_counts(spark.read.parquet(f"{d}/events.parquet"))
 
 
-_TWO_HOPS = ", hops as (select anchor, rels, nodes, last, split_part(rels, '>', 1) as r1, split_part(rels, '>', 2) as r2, split_part(nodes, '>', 2) as n1 from p2)"
+_TWO_HOPS = ", ends as (select 'supplier:' || s_suppkey as e from supplier where s_acctbal < 0), hops as (select anchor, rels, nodes, last, split_part(rels, '>', 1) as r1, split_part(rels, '>', 2) as r2, split_part(nodes, '>', 2) as n1 from p2)"
+
+
+def _endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """(anchor, endpoint): for every region the suppliers in debt."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal < 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("endpoint"))
+    return _anchors(spark, d).join(s, F.lit(True))  # five regions
 
 
 def _two_hops(spark: SparkSession, d: str) -> DataFrame:
@@ -420,10 +464,11 @@ def _two_hops(spark: SparkSession, d: str) -> DataFrame:
     return W.hop(W.hop(W.start(_anchors(spark, d)), steps, node_simple=True), steps, node_simple=True)
 
 
-@query(_e(SUPPLY, _PATH2 + _TWO_HOPS + " select anchor, nodes, anchor || ' --[' || r1 || ']--> node1' || case when n1 = 'nation:3' then '[endpoint]' else '' end || ' --[' || r2 || ']--> node2' || case when last = 'supplier:1' then '[endpoint]' else '' end as pattern from hops"))
+@query(_e(SUPPLY, _PATH2 + _TWO_HOPS + " select anchor, nodes, anchor || ' --[' || r1 || ']--> node1' || case when n1 in (select e from ends) then '[endpoint]' else '' end || ' --[' || r2 || ']--> node2' || case when last in (select e from ends) then '[endpoint]' else '' end as pattern from hops"))
 def readable_patterns(spark, d):
-    ends = F.array(F.lit("nation:3"), F.lit("supplier:1"))
-    shown = _two_hops(spark, d).withColumn("pattern", S.readable(F.col("nodes"), F.col("rels"), ends))
+    ends = _endpoints(spark, d).groupBy("anchor").agg(F.collect_set("endpoint").alias("ends"))
+    shown = _two_hops(spark, d).join(ends, "anchor", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<string>")))
+    shown = shown.withColumn("pattern", S.readable(F.col("nodes"), F.col("rels"), F.col("ends")))
     return shown.select("anchor", *_join("nodes"), "pattern")
 
 
@@ -510,3 +555,6 @@ def parse_chain(spark, d):
     hops = F.transform("c.hops", lambda h: F.concat_ws(":", h["relation"], h["endpoint"], h["keyword"], h["definition"]))
     ends = F.transform("c.endpoints", lambda e: F.concat_ws("@", e["entity"], e["hop"].cast("string")))
     return rows.select("n_nationkey", F.col("c.anchor").alias("anchor"), F.array_join(hops, "|").alias("hops"), F.array_join(ends, "|").alias("endpoints"))
+
+
+from pathloom.plans import stage_catalog  # noqa: E402, F401  its queries register themselves here

@@ -1,37 +1,116 @@
-"""Language-model calls as a pluggable, batched and cached provider."""
+"""Language-model calls as a pluggable, batched and cached provider, and text vectors likewise."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: One call for many prompts, in order; None for what a reply lacks.
+Call = Callable[[list[str]], "list[str | None]"]
+
 
 def cache_key(prompt: Column, options: dict[str, float | int]) -> Column:
     """SHA-256 of a prompt and its options, in a fixed order."""
     return F.sha2(F.to_json(F.struct(prompt.alias("prompt"), *(F.lit(v).alias(k) for k, v in sorted(options.items())))), 256)
 
 
-def complete(prompts: DataFrame, call: Callable[[list[str]], list[str]], cache: DataFrame | None = None, options: dict | None = None, batch: int = 500) -> DataFrame:
-    """prompt_id, prompt -> prompt_id, key, response. Cached responses are joined; the others go
-    to `call` in batches on the executors; a failed batch gives empty responses, not an error."""
+def answer_chunk(prompts: list[str], call: Call, single: Callable[[str], str] | None, attempts: int = 3, at_once: int = 8) -> list[str]:
+    """A chunk's replies: up to `attempts` calls, each for what is still missing; what no call
+    answers goes to `single`, some at once; a failure there is an empty reply."""
+    out: list[str | None] = [None] * len(prompts)
+    for _ in range(attempts):
+        todo = [i for i, x in enumerate(out) if x is None]
+        if not todo:
+            break
+        try:
+            got = call([prompts[i] for i in todo])
+        except Exception:  # noqa: BLE001  a provider's failure is data
+            continue
+        for i, text in zip(todo, got, strict=False):  # a short reply leaves the rest for the next call
+            out[i] = text
+
+    def alone(i: int) -> str:
+        try:
+            return single(prompts[i]) if single else ""
+        except Exception:  # noqa: BLE001
+            return ""
+
+    left = [i for i, x in enumerate(out) if x is None]
+    with ThreadPoolExecutor(at_once) as pool:
+        for i, text in zip(left, pool.map(alone, left), strict=True):
+            out[i] = text
+    return [x or "" for x in out]
+
+
+def payload(model: str, messages: list[dict[str, str]], options: dict[str, float | int], most: int, token: str | None = None) -> tuple[dict[str, str], dict]:
+    """Headers and body of a chat request."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+    return headers, {"model": model, "messages": messages, "max_tokens": most, **options}
+
+
+def complete(prompts: DataFrame, call: Call, cache: DataFrame | None = None, options: dict | None = None, batch: int = 500, single: Callable[[str], str] | None = None, attempts: int = 3) -> DataFrame:
+    """prompt_id, prompt -> prompt_id, key, response. Cached responses are joined; of the others
+    each distinct prompt goes to `call` once, in batches on the executors; a failure gives an
+    empty response, not an error."""
     keyed = prompts.withColumn("key", cache_key(F.col("prompt"), options or {}))
     todo, done = keyed, None
     if cache is not None:
-        done = keyed.join(cache.select("key", "response"), "key").select("prompt_id", "key", "response")
-        todo = keyed.join(cache.select("key"), "key", "left_anti")
+        known = cache.dropDuplicates(["key"])
+        done = keyed.join(known.select("key", "response"), "key").select("prompt_id", "key", "response")
+        todo = keyed.join(known.select("key"), "key", "left_anti")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for i in range(0, len(part), batch):
                 own = part.iloc[i : i + batch]
-                try:
-                    said = call(own["prompt"].tolist())
-                except Exception:  # noqa: BLE001  a provider's failure is data
-                    said = [""] * len(own)
-                yield own[["prompt_id", "key"]].assign(response=said)
+                yield own[["key"]].assign(response=answer_chunk(own["prompt"].tolist(), call, single, attempts))
 
-    fresh = todo.select("prompt_id", "key", "prompt").mapInPandas(run, f"prompt_id {prompts.schema['prompt_id'].dataType.simpleString()}, key string, response string")
+    said = todo.groupBy("key").agg(F.first("prompt").alias("prompt")).mapInPandas(run, "key string, response string")
+    fresh = todo.join(said, "key").select("prompt_id", "key", "response")
     return fresh if done is None else done.unionByName(fresh)
+
+
+def recorded(responses: DataFrame, prompts: DataFrame, options: dict | None = None) -> DataFrame:
+    """The offline provider: recorded responses (key, response), '' where none is known."""
+    keyed = prompts.withColumn("key", cache_key(F.col("prompt"), options or {}))
+    return keyed.join(responses.dropDuplicates(["key"]), "key", "left").select("prompt_id", "key", F.coalesce("response", F.lit("")).alias("response"))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Stored (key, response); the table may hold a key more than once."""
+    return spark.read.schema("key string, response string").parquet(path)
+
+
+def write_cache(done: DataFrame, path: str) -> None:
+    """Appends the responses that say something, a key once."""
+    done.where("response <> ''").dropDuplicates(["key"]).select("key", "response").write.mode("append").parquet(path)
+
+
+def usage(done: DataFrame, prompts: DataFrame) -> DataFrame:
+    """One row: calls, empty replies, characters asked and answered."""
+    both = done.join(prompts.select("prompt_id", "prompt"), "prompt_id")
+    return both.agg(F.count("*").alias("calls"), F.count_if(F.col("response") == "").alias("empty"), F.coalesce(F.sum(F.length("prompt")), F.lit(0)).alias("chars_in"), F.coalesce(F.sum(F.length("response")), F.lit(0)).alias("chars_out"))
+
+
+def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], known: DataFrame | None = None, batch: int = 256) -> DataFrame:
+    """(text, embedding) of unit length for distinct texts; `known` vectors are not made again.
+    `encode` runs on the executors a batch at a time."""
+    want = texts.select("text").distinct()
+    todo = want if known is None else want.join(known.select("text"), "text", "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), batch):
+                own = part["text"].iloc[i : i + batch].tolist()
+                rows = []
+                for v in encode(own):
+                    size = sum(x * x for x in v) ** 0.5 or 1.0
+                    rows.append([float(x / size) for x in v])
+                yield pd.DataFrame({"text": own, "embedding": rows})
+
+    fresh = todo.mapInPandas(run, "text string, embedding array<float>")
+    return fresh if known is None else known.select("text", "embedding").join(want, "text", "left_semi").unionByName(fresh)

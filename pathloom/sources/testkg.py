@@ -37,13 +37,23 @@ def _column(name: str) -> Column:
 
 
 def edges(spark: SparkSession, sf_dir: str, relations: tuple[str, ...] | None = None) -> DataFrame:
-    """(h, r, t), distinct; only the tables of the relations asked for are read."""
-    out = None
+    """(h, r, t), distinct. Only the tables of the relations asked for are read, each once,
+    however many relations it gives; line items are made distinct before they become edges."""
+    tables: dict[str, list[tuple[str, str, str]]] = {}
     for rel, table, h, t in EDGES:
         if relations is None or rel in relations:
-            part = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(_column(h).alias("h"), F.lit(rel).alias("r"), _column(t).alias("t"))
-            part = part.distinct() if table == "lineitem" else part
-            out = part if out is None else out.unionByName(part)
+            tables.setdefault(table, []).append((rel, h, t))
+    out = None
+    for table, wanted in tables.items():
+        keys = sorted({p for _, h, t in wanted for name in (h, t) for p, is_col in _parts(name) if is_col})
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys)
+        if table == "lineitem":
+            rows = rows.distinct()
+        made = [F.struct(_column(h).alias("h"), F.lit(rel).alias("r"), _column(t).alias("t")) for rel, h, t in wanted]
+        part = rows.select(*(made[0][c].alias(c) for c in "hrt")) if len(made) == 1 else rows.select(F.explode(F.array(*made)).alias("e")).select("e.*")
+        if table == "lineitem" and len(keys) < 4:
+            part = part.distinct()
+        out = part if out is None else out.unionByName(part)
     return out
 
 
