@@ -13,7 +13,8 @@ Equal texts are one node from the start, so copies cost nothing (a node is the f
 bits of the text's SHA-256). At each level:
 
 * buckets with one node, or whose nodes are already in one class, are done;
-* buckets of at most `small` nodes are compared by brute force;
+* buckets of at most `small` nodes are compared by brute force, as pairs of ids: by sketches
+  (see below), then by whole sets;
 * in larger ones every node is compared with the bucket's pivot, its smallest set, which
   links a group of near copies without making its pairs. A set that has used all its tokens
   is such a pivot, and equal to all others that have, so it needs no further step;
@@ -52,7 +53,7 @@ from math import ceil, exp, log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import kernels as K
@@ -231,6 +232,13 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches leave possible."""
+    for b in batches:
+        x, y = ([set(np.frombuffer(v, np.uint32).tolist()) for v in b.column(name).to_pylist()] for name in ("x", "y"))
+        yield b.select(["a", "b"]).filter(pa.array([len(p & q) >= LEAST * min(len(p), len(q)) for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+
 def _verify(threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,10 +334,16 @@ def _count(threshold: float):
     return count
 
 
+def text_node(text: str) -> Column:
+    """60 bits of a text's SHA-256; null as empty."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
+
+
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, spread: float = 2.0, small: int = 8, limit: int = 8192, block: int = 4096, block_tokens: int = 1 << 21, count_block: int = 512, count_tokens: int = 1 << 19) -> DataFrame:
-    """Returns doc_id, class_id, n_links, n_copies."""
+    """Returns doc_id, class_id, n_links, n_copies, node (its text's hash, `text_node`) and cls
+    (the class by the least node of its links, which null ids can't blur)."""
     docs = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    docs = docs.withColumn("node", F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("long"))
+    docs = docs.withColumn("node", text_node("text"))
     copies = kept(docs.select("doc_id", "node"))
     nodes = copies.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
 
@@ -342,9 +356,11 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return sets_of(kept(wanted.select("node").distinct())).select("node", what)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        tokens = made(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")))
-        both = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+        for what, check in (("sketch", _near), ("tokens", _verify(threshold))):  # few pairs get past their sketches
+            own = made(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), what)
+            both = pairs.join(own.select(F.col("node").alias("b"), F.col(what).alias("y")), "b").join(own.select(F.col("node").alias("a"), F.col(what).alias("x")), "a")
+            pairs = kept(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+        return pairs
 
     def fits(n, m):
         return F.least(n, m) / F.greatest(n, m) >= threshold
@@ -384,7 +400,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         few = live.where(F.col("size") <= small).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "cls")).alias("members")).withColumn("t", F.lit(threshold)).select(F.explode(pairs_in).alias("p")).select("p.a", "p.b")
         large = live.where(F.col("size") > small)
         star = large.where((F.col("cls") != F.col("pivot.cls")) & fits(F.col("n"), F.col("pivot.n"))).select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        links = kept(verified(kept(few.unionByName(star).distinct())))
+        links = verified(kept(few.unionByName(star).distinct()))
         # Large buckets that the new links leave in several classes.
         if links.isEmpty():
             mixed = kept(large.drop("size", "pivot"))
@@ -416,13 +432,13 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             break
         rows = kept(sets.join(again.select(F.col("node").alias("w"), "paths"), F.col("node") == F.col("w")).drop("w").mapInArrow(_paths(0, spread, size), _ROW))
     if labels is None:
-        return copies.join(nodes, "node").select("doc_id", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+        return copies.join(nodes, "node").select("doc_id", F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), (F.col("copies") - 1).alias("n_copies"), "node", F.col("node").alias("cls"))
     degree = degree_of(labels)
     named = nodes.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"))
     class_id = named.groupBy("cls").agg(F.min("least").alias("class_id"))
-    linked = named.join(class_id, "cls").select("node", "class_id").join(degree, F.col("node") == F.col("d")).select(F.col("node").alias("k"), "class_id", "n_links")
-    info = nodes.join(linked, F.col("node") == F.col("k"), "left").select(F.col("node").alias("k"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return copies.join(info, F.col("node") == F.col("k")).select("doc_id", "class_id", "n_links", "n_copies")
+    linked = named.join(class_id, "cls").select("node", "class_id", "cls").join(degree, F.col("node") == F.col("d")).select(F.col("node").alias("k"), "class_id", "n_links", "cls")
+    info = nodes.join(linked, F.col("node") == F.col("k"), "left").select(F.col("node").alias("k"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), F.coalesce("cls", "node").alias("cls"))
+    return copies.join(info, F.col("node") == F.col("k")).select("doc_id", "class_id", "n_links", "n_copies", "node", "cls")
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
