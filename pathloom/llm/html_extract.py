@@ -1,37 +1,47 @@
 """Operator 7, HTML extraction: site style trees.
 
-The DOMs of a host's pages merge into one style tree.  A node is a path of tags (with
-class and id); under a path, pages differ in style (which children an element has, in
-what order) and in content (the text of its blocks).  With m pages holding a node, its
-presentation importance is the entropy of its styles and its content importance the mean
-entropy of its texts, both with base m: near 0 if all pages agree, as for menus and
-notices, and near 1 if no two do, as in articles.  Each text is judged at its own element,
-by what it leaves of that content importance and by the element's presentation; what is
-below is judged on its own, so a branch goes as a whole only if all texts in it are low.
-
-Pages are counted per host and node in two steps: each task counts what it reads, and
-one row for each distinct (host, node, style or text) and task goes on, so a hot host is
-summed before any shuffle.  Low-importance texts come to one short list a host, as
-long as its template and not its number of pages.
-
-A host with fewer than `min_pages` pages says too little, and no site tree can tell a
-page's own advert or a comment of a reader from its article; so branches whose element
-says what it is (nav, aside, footer, form, script, `class="ad"` ...) go in any case, and
-within a page an article or main element, where there is one, is never judged noise by
-its text alone.
+The DOMs of a host's pages merge into one style tree.  A node is a path of tags (with class
+and id), and has two kinds of entropy over the pages that hold it:
+
+* content: a text that n of the node's m pages share leaves 1 - ln n / ln m of it, near 0
+  for menus and notices that repeat and 1 for a text of one page;
+* presentation: the entropy of the length classes (powers of two words) of its blocks and of
+  its child styles. Links, adverts and footers look alike on every page whatever they say;
+  paragraphs don't.
+
+A text's importance is its content importance times its node's presentation (not below
+`floor`); an element's is that of all texts below it, weighed by their words, from the
+leaves up.  A branch goes as a whole if its importance is below `importance` times that of
+the best branch beside it; headings are as important as what follows them, and an article or
+main element, where there is one, is never judged.  A repeated text goes alone if what is
+below its element is important.
+
+A host's counts are blended with those of all hosts, which weigh as much as `prior` pages:
+a small host borrows and a large one speaks for itself, without a switch in between.
+
+Counts are made in two steps: each task counts what it reads, and one row for each
+distinct (host, node, feature) and task goes on, so a hot host is summed before any
+shuffle.  What comes back is one short list a host, as long as its template and not its
+number of pages.
+
+No site tree can tell a page's own advert or a comment of a reader from its article, so with
+`named` branches whose element says what it is (nav, aside, footer, form, `class="ad"` ...)
+go as well; scripts, styles and hidden elements always do. An element that says so but holds
+an article, or a form or header that holds most of a page's words, only wraps it and stays.
 
 Defined results: null html and pages without text give '' and 0; an unparsable or null
 url is a host of its own (''); repeated pages count each; void and unclosed elements are
 closed as browsers do for paragraphs, list items and cells; very deep pages are cut at no
-depth; an empty table gives an empty result.
+depth; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
-from math import log
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -50,24 +60,32 @@ NOISE = frozenset("script style noscript template head title nav aside footer he
 NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 RAW = frozenset(("script", "style"))
+#: Elements whose content is never shown as text.
+UNSEEN = frozenset("script style noscript template head title select textarea iframe svg canvas object math audio video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What a start tag closes, if open and not beyond the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 MAIN = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "children", "parent", "main")
+    __slots__ = ("tag", "name", "noise", "unseen", "children", "parent", "main", "words", "holds", "key", "text")
 
-    def __init__(self, tag: str, name: str, noise: bool, parent: Node | None):
-        self.tag, self.name, self.noise, self.parent = tag, name, noise, parent
+    def __init__(self, tag: str, name: str, noise: bool, unseen: bool, parent: Node | None):
+        self.tag, self.name, self.noise, self.unseen, self.parent = tag, name, noise, unseen, parent
         self.main = tag in MAIN or (parent is not None and parent.main)
         self.children: list[Node | str] = []
+        self.words, self.holds, self.key, self.text = 0, tag in MAIN, 0, ""
+
+
+def is_unseen(tag: str, attrs: dict[str, str | None]) -> bool:
+    return tag in UNSEEN or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true"
 
 
 def says_noise(tag: str, attrs: dict[str, str | None], parent: Node | None) -> bool:
     if tag in NOISE and not (tag == "header" and parent is not None and parent.main):
         return True
-    if "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true" or (attrs.get("role") or "").lower() in ROLES:
+    if (attrs.get("role") or "").lower() in ROLES:
         return True
     if tag in MAIN or tag in ("html", "body"):
         return False
@@ -80,9 +98,18 @@ def says_noise(tag: str, attrs: dict[str, str | None], parent: Node | None) -> b
 class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", "", False, None)
+        self.root = self.at = Node("", "", False, False, None)
         self.feed(html)
         self.close()
+        self.seen = list(seen(self.root))
+        for node in reversed(self.seen):  # children before parents
+            node.words += len(node.text.split())
+            if node.parent is not None:
+                node.parent.words += node.words
+                node.parent.holds |= node.holds
+        for node in self.seen:
+            if node.noise and (node.holds or node.tag in ("form", "header") and 2 * node.words > self.root.words):
+                node.noise = False
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         node = self.at
@@ -99,7 +126,7 @@ class Tree(HTMLParser):
             self._close({"p"}, BLOCK - {"p"} | {"button"})
         given = dict(attrs)
         name = tag + "".join(f".{x}" for k in ("id", "class") for x in (given.get(k) or "").split() if not any(ch.isdigit() for ch in x))
-        node = Node(tag, name, says_noise(tag, given, self.at), self.at)
+        node = Node(tag, name, says_noise(tag, given, self.at), is_unseen(tag, given), self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -125,32 +152,83 @@ def digest(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
 
-def walk(node: Node, path: str = "") -> Iterator[tuple[Node, str]]:
-    """Elements with their paths, parents first, without recursion."""
-    stack = [(node, path)]
+def seen(root: Node) -> Iterator[Node]:
+    """Elements that are shown, parents first, without recursion; sets their key and text."""
+    stack = [(root, "")]
     while stack:
         node, path = stack.pop()
-        yield node, path
-        stack += [(x, f"{path}/{x.name}") for x in reversed(node.children) if isinstance(x, Node) and not x.noise]
+        node.key, node.text = digest(path), own_text(node)
+        yield node
+        stack += [(x, f"{path}/{x.name}") for x in reversed(node.children) if isinstance(x, Node) and not x.unseen]
 
 
 def own_text(node: Node) -> str:
     return " ".join(" ".join(x for x in node.children if isinstance(x, str)).split())
 
 
-def features(tree: Tree) -> set[tuple[int, int, bool]]:
-    """(node, style or text, whether it is text) of a page: each once."""
-    out: set[tuple[int, int, bool]] = set()
-    for node, path in walk(tree.root):
-        key = digest(path)
-        out.add((key, digest(*(x.name for x in node.children if isinstance(x, Node))), False))
-        if text := own_text(node):
-            out.add((key, digest(text), True))
+def length_class(text: str) -> int:
+    return len(text.split()).bit_length()
+
+
+#: Kinds of features.
+CONTENT, FORM, PAGES = 0, 1, 2
+
+
+def features(tree: Tree) -> Counter:
+    """(node, kind, feature) of a page: texts once a page, forms once a block, and the node itself."""
+    out: Counter = Counter()
+    for node in tree.seen:
+        out[node.key, PAGES, 0] = 1
+        if node.text:
+            out[node.key, CONTENT, digest(node.text)] = 1
+            style = "|".join(k for k, _ in groupby(x.name for x in node.children if isinstance(x, Node)))
+            out[node.key, FORM, digest(str(length_class(node.text)), style)] += 1
+    return out
+
+
+@dataclass
+class Site:
+    """What a host's style tree says: presentation of nodes, and what is left of the content
+    importance of texts that several pages share."""
+
+    form: dict[int, float]
+    shared: dict[tuple[int, int], float]
+    floor: float
+
+    def importance(self, node: Node) -> float:
+        left = self.shared.get((node.key, digest(node.text)), 1.0) if self.shared else 1.0
+        return left * max(self.floor, self.form.get(node.key, 1.0))
+
+
+def low_branches(tree: Tree, site: Site, importance: float, named: bool) -> set[int]:
+    """Ids of the page's elements whose branch goes, and of those whose own text goes."""
+    mass: dict[int, float] = {}
+    out: set[int] = set()
+    words: dict[int, int] = {}
+    for node in reversed(tree.seen):
+        own = len(node.text.split())
+        gone = named and node.noise
+        words[id(node)] = words.get(id(node), 0) + own
+        mass[id(node)] = mass.get(id(node), 0.0) + own * site.importance(node) if own else mass.get(id(node), 0.0)
+        branches = [x for x in node.children if isinstance(x, Node) and not x.unseen and words.get(id(x)) and not (named and x.noise)]
+        if len(branches) > 1 and not node.main:
+            score, after = {}, None
+            for x in reversed(branches):
+                score[id(x)] = mass[id(x)] / words[id(x)]
+                if x.tag in HEADINGS and after is not None:
+                    score[id(x)] = max(score[id(x)], score[id(after)])
+                after = x
+            best = max(score.values())
+            out |= {id(x) for x in branches if score[id(x)] < importance * best and not x.holds}
+        if not gone and node.parent is not None:
+            mass[id(node.parent)] = mass.get(id(node.parent), 0.0) + mass[id(node)]
+            words[id(node.parent)] = words.get(id(node.parent), 0) + words[id(node)]
     return out
 
 
-def extract(tree: Tree, low: set[tuple[int, int]]) -> str:
-    """Blocks of text in page order, without noise and low-importance texts (node, text)."""
+def extract(tree: Tree, site: Site, importance: float, repeat: float = 0.25, named: bool = True) -> str:
+    """Blocks of text in page order, without noise, low branches and low texts."""
+    low = low_branches(tree, site, importance, named)
     blocks: list[str] = []
     current: list[str] = []
 
@@ -159,28 +237,28 @@ def extract(tree: Tree, low: set[tuple[int, int]]) -> str:
             blocks.append(text)
         current.clear()
 
-    stack: list[tuple[Node | str | None, str]] = [(tree.root, "")]
+    stack: list[Node | str | None] = [tree.root]
     while stack:
-        item, path = stack.pop()
+        item = stack.pop()
         if item is None:
             end()
         elif isinstance(item, str):
             current.append(item)
-        elif not item.noise:
+        elif not item.unseen and not (named and item.noise) and id(item) not in low:
             if item.tag == "br":
                 current.append(" ")
                 continue
-            shared = low and not item.main and (digest(path), digest(own_text(item))) in low
             if item.tag in BLOCK:
                 end()
-                stack.append((None, ""))
+                stack.append(None)
             # A shared text goes alone: what is below its element has texts of its own.
-            stack += [(x, f"{path}/{x.name}") if isinstance(x, Node) else (" " if shared else x, path) for x in reversed(item.children)]
+            shared = site.shared and not item.main and site.shared.get((item.key, digest(item.text)), 1.0) < repeat
+            stack += [" " if shared and isinstance(x, str) else x for x in reversed(item.children)]
     end()
     return " ".join(blocks)
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int64()), ("feature", pa.int64()), ("content", pa.bool_()), ("n", pa.int64())])
+_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int64()), ("kind", pa.int8()), ("feature", pa.int64()), ("n", pa.int64())])
 #: A task's counts are handed on once they have so many entries.
 _HELD = 200_000
 
@@ -196,43 +274,60 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            for key in features(Tree(html or "")):
-                held[(host, *key)] += 1
+            for key, n in features(Tree(html or "")).items():
+                held[(host, *key)] += n
             if len(held) > _HELD:
                 yield out()
     if held:
         yield out()
 
 
-def style_tree(pages: DataFrame, min_pages: int, importance: float) -> DataFrame:
-    """(host, nodes, texts): for each host the (node, text) pairs of low importance. A
-    node's content importance is the entropy of its texts with base m; within a node of
-    mixed content, a text that most of its pages share is judged by its own share."""
-    counts = pages.select("host", "html").mapInArrow(_count, "host string, node long, feature long, content boolean, n long").groupBy("host", "node", "feature", "content").agg(F.sum("n").alias("n"))
-    counts = kept(counts.where("n > 1 or not content"))
-    pages_of = counts.where((F.col("node") == digest("")) & ~F.col("content")).groupBy("host").agg(F.sum("n").alias("pages"))
-    tree = counts.where("not content").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("nln"))
-    # Entropy of the styles with base m: (ln m - sum(n ln n) / m) / ln m.
-    tree = tree.withColumn("presentation", F.when(F.col("m") > 1, (F.ln("m") - F.col("nln") / F.col("m")) / F.ln("m")).otherwise(1.0))
-    texts = counts.where("content").join(tree, ["host", "node"]).join(pages_of, "host").where(F.col("pages") >= min_pages)
-    # What a text leaves of its node's content entropy: 1 - ln n / ln m, 0 if all pages share it.
-    left = 1 - F.ln("n") / F.ln(F.greatest(F.col("m"), F.lit(2)))
-    low = texts.where((left * F.greatest(F.lit(0.5), F.lit(1.0) - F.col("presentation") / 2) < importance) & (F.col("n") >= min_pages / 2))
-    return kept(low.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("feature").alias("texts")))
-
-
-def html_extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 20, importance: float = 0.25) -> DataFrame:
+def style_tree(pages: DataFrame, prior: float) -> DataFrame:
+    """(host, nodes, forms, text_nodes, texts, lefts): for each host the presentation of the
+    nodes that several of its pages hold, in [0, 1], and what is left of the content
+    importance of texts that several pages share. `pages` has host and html."""
+    counts = pages.select("host", "html").mapInArrow(_count, "host string, node long, kind byte, feature long, n long").groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = kept(counts.where(f"n > 1 or kind <> {CONTENT}"))
+    holds = counts.where(f"kind = {PAGES}").groupBy("host", "node").agg(F.sum("n").alias("pages"))
+    forms = counts.where(f"kind = {FORM}")
+
+    def entropy(*keys: str) -> DataFrame:
+        """In units of the entropy of eight equally common forms, at most 1."""
+        rows = forms.groupBy(*keys, "feature").agg(F.sum("n").alias("n"))
+        sums = rows.groupBy(*keys).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nlog"))
+        return sums.select(*keys, F.least(F.lit(1.0), (F.log2("m") - F.col("nlog") / F.col("m")) / 3).alias("h"))
+
+    everywhere = entropy("node").withColumnRenamed("h", "all")
+    form = entropy("host", "node").join(everywhere, "node").join(holds, ["host", "node"]).where("pages > 1")
+    form = form.withColumn("form", (F.col("pages") * F.col("h") + prior * F.col("all")) / (F.col("pages") + prior))
+    texts = counts.where(f"kind = {CONTENT} and n > 1").join(holds, ["host", "node"])
+    # Of m pages, as if `prior` / 10 more had texts of their own: two equal texts of two pages are no proof.
+    texts = texts.withColumn("left", 1 - F.ln("n") / F.ln(F.col("pages") + prior / 10))
+    rows = form.select("host", F.struct("node", "form").alias("f"), F.lit(None).cast("struct<node:long,feature:long,left:double>").alias("t"))
+    rows = rows.unionByName(texts.select("host", F.lit(None).cast("struct<node:long,form:double>").alias("f"), F.struct("node", "feature", "left").alias("t")))
+    lists = rows.groupBy("host").agg(F.collect_list("f").alias("f"), F.collect_list("t").alias("t"))
+    return kept(lists.select("host", F.col("f.node").alias("nodes"), F.col("f.form").alias("forms"), F.col("t.node").alias("text_nodes"), F.col("t.feature").alias("texts"), F.col("t.left").alias("lefts")))
+
+
+def html_extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", importance: float = 0.4, repeat: float = 0.25, prior: float = 20.0, floor: float = 0.05, named: bool = True) -> DataFrame:
     """Returns page_id, url, text, n_chars (code points), host."""
     pages = columns(pages, page_id=id_col, url=url_col, html=html_col)
     pages = pages.withColumn("host", host_of(F.col("url")))
     kind = pages.schema["page_id"].dataType.simpleString()
-    low = style_tree(pages, min_pages, importance)
-    low = small(low.withColumnRenamed("host", "_host"), 64, "nodes", "texts")
+    said = ["nodes", "forms", "text_nodes", "texts", "lefts"]
+    tree = small(style_tree(pages, prior).withColumnRenamed("host", "_host"), 64, *said)
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Site] = {}
         for b in batches:
-            nodes, texts = ([x or [] for x in b.column(name).to_pylist()] for name in ("nodes", "texts"))
-            text = [extract(Tree(h or ""), set(zip(n, t, strict=True))) for h, n, t in zip(b.column("html").to_pylist(), nodes, texts, strict=True)]
+            hosts = b.column("host").to_pylist()
+            text = []
+            for i, html in enumerate(b.column("html").to_pylist()):
+                if hosts[i] not in held:
+                    lists = [b.column(name)[i].as_py() or [] for name in said]
+                    held = held if len(held) < 100 else {}
+                    held[hosts[i]] = Site(dict(zip(lists[0], lists[1], strict=True)), dict(zip(zip(lists[2], lists[3], strict=True), lists[4], strict=True)), floor)
+                text.append(extract(Tree(html or ""), held[hosts[i]], importance, repeat, named))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), b.column("host")], ["page_id", "url", "text", "n_chars", "host"])
 
-    return pages.join(low, F.col("host") == F.col("_host"), "left").drop("_host").mapInArrow(main_text, f"page_id {kind}, url string, text string, n_chars long, host string")
+    return pages.join(tree, F.col("host") == F.col("_host"), "left").drop("_host").mapInArrow(main_text, f"page_id {kind}, url string, text string, n_chars long, host string")
