@@ -20,15 +20,19 @@ meet, and each bucket gets its own suffix array, LCP and LPF:
    as one run a chunk), the rest after sorting by (minimiser, hash, id, place), in a
    stream that holds one run at a time.
 3. Minimisers left with one distinct run have nothing to compare. For the others the
-   runs' bytes are cut from the texts and go to their bucket, where the suffix array
-   gives LPF.
+   runs' bytes are cut from the texts, in two: windows with the minimiser in their first
+   half hold the bytes after it, the others those before it, so each half goes to the
+   bucket of its minimiser and those bytes. A frequent phrase in many surroundings is
+   thus spread by its surroundings. There the suffix array, its LCP and the previous and
+   next smaller positions within stretches of LCP `size` give LPF.
 4. Covered stretches meet the texts by id, merge, and are cut out.
 
 Hashes of runs are two independent 64-bit values; the suffix arrays compare bytes.
 
 Defined results: null text is empty; rows of one id (repeated or not) count as one
-document whose texts follow each other in text order, and strings don't cross rows; a
-null id comes first; texts shorter than `size` lose nothing; an empty table gives an
+document whose texts follow each other in text order, and strings don't cross rows;
+rows of null id come first, those of equal text as one document; ids must be integers, another
+type raises; texts shorter than `size` lose nothing; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -42,21 +46,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pathloom.llm import kernels as K
 from pathloom.llm.shared import columns
 
-_NULL_ID = -(1 << 63)
-#: place = position << 32 | number of windows
-_BITS = 32
+#: place = position << 32 | number of windows; of runs with a minimiser, that number is below
+#: 1 << 16 and shares its half with the minimiser's offset in the first window.
+_BITS, _HALF = 32, 16
 
 
 def runs(c: K.Chunk, size: int, k: int) -> tuple[np.ndarray, ...]:
-    """Runs of a chunk: text, first window, number of windows, minimiser, hash of bytes."""
+    """Runs of a chunk: text, first window, number of windows, minimiser, hash of bytes, and
+    the minimiser's offset in the first window."""
     n = len(c.buf)
     none = np.zeros(0, np.int64)
     if n < size:
-        return none, none, none, none.view(K.U64), none.view(K.U64)
+        return none, none, none, none.view(K.U64), none.view(K.U64), none
     grams = n - k + 1
     at = np.arange(n + 1)
     hashes = K.SpanHash(K.letters(11)[c.buf])
@@ -91,7 +97,7 @@ def runs(c: K.Chunk, size: int, k: int) -> tuple[np.ndarray, ...]:
     hi = np.flatnonzero(stop & valid) + 1
     text = np.searchsorted(c.starts, lo, "right") - 1
     whole = K.SpanHash(K.letters(12)[c.buf])(lo, hi - 1 + size)
-    return text, lo - c.starts[text], hi - lo, gram[arg[lo]], whole
+    return text, lo - c.starts[text], hi - lo, gram[arg[lo]], whole, arg[lo] - lo
 
 
 def stretches(text: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,18 +126,29 @@ def suffix_array(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarra
     return np.argsort(own, kind="stable"), own
 
 
-def has_previous_factor(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Whether LPF reaches the depth of the suffix array, for each suffix in text order.
-
-    Neighbours in suffix order have an LCP of at least the depth iff their ranks are
-    equal. Ties are in text order, so inside such a stretch the previous smaller
-    position is the neighbour before, and there is no next smaller one."""
-    lcp = rank[order[1:]] == rank[order[:-1]]
-    out = np.zeros(len(order), bool)
-    out[order[1:]] = lcp
+def previous_factors(order: np.ndarray, rank: np.ndarray, size: int) -> np.ndarray:
+    """LPF of each suffix where it reaches `size`, else 0, from a suffix array of that depth.
+
+    Stretches of the suffix array with LCP `size` hold the suffixes that share so much; a
+    suffix has an earlier one among them if its stretch holds a smaller position before it
+    (previous smaller) or after it (next smaller): running minima from both ends."""
+    n = len(order)
+    out = np.zeros(n, np.int64)
+    if not n:
+        return out
+    lcp = np.zeros(n, np.int64)
+    lcp[1:] = np.where(rank[order[1:]] == rank[order[:-1]], size, 0)
+    base = np.cumsum(lcp < size) * n  # larger for later stretches, so that minima start anew in each
+    previous, following = np.full(n, n), np.full(n, n)
+    least = np.minimum.accumulate(order - base) + base
+    previous[1:] = np.where(lcp[1:] == size, least[:-1], n)
+    least = np.minimum.accumulate((order + base)[::-1])[::-1] - base
+    following[:-1] = np.where(lcp[1:] == size, least[1:], n)
+    out[order] = np.where((previous < order) | (following < order), size, 0)
     return out
 
 
+_LETTERS = K.letters(13)
 _RUN = "m long, s long, doc long, place long"
 
 
@@ -139,7 +156,14 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of
     (lo, hi) byte ranges removed), kept (remaining bytes)."""
     k = k or max(1, size * 2 // 5)
-    docs = columns(docs, doc_id=id_col, text=text_col).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), "text", F.col("doc_id").isNull().alias("no_id"))
+    if size >= 1 << _HALF:
+        raise ValueError(f"size must be below {1 << _HALF}")
+    docs = columns(docs, doc_id=id_col, text=text_col)
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("suffix_dedup takes integer ids")
+    # Rows without an id: below all ids, apart by their text.
+    no_id = F.shiftright(F.xxhash64("text"), 2) - (3 << 61)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc"), "text", F.col("doc_id").isNull().alias("no_id"))
     dealt = docs.repartition("doc")  # three steps read it, through one exchange
     placed = dealt.sortWithinPartitions("doc", "text")
 
@@ -165,7 +189,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for b, at in offsets(batches):
             doc = b.column("doc").to_numpy()
             for c in K.chunks(b.column("text")):
-                text, lo, n, m, s = runs(c, size, k)
+                text, lo, n, m, s, off = runs(c, size, k)
                 if not len(text):
                     continue
                 order = np.lexsort((s, m))  # stable: places stay in order
@@ -173,7 +197,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 dup = np.zeros(len(text), bool)
                 dup[order[1:]] = again
                 own = c.lo + text
-                a, b_, e = own[~dup], lo[~dup], n[~dup]
+                a, b_, e = own[~dup], lo[~dup], off[~dup] << _HALF | n[~dup]
                 t, l, w = stretches(own[dup], lo[dup], n[dup])
                 place = ((np.concatenate([b_, l]) + at[np.concatenate([a, t])]) << _BITS) | np.concatenate([e, w])
                 null = np.arange(len(place)) >= len(a)
@@ -199,6 +223,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 same[0] = same_m[0] and s[0] == last[1]
             live = ~null
             dup = live & same
+            place = np.where(dup, place >> _BITS << _BITS | place & ((1 << _HALF) - 1), place)
             rep = np.flatnonzero(live & ~same)
             carry: list[tuple[int, int, int, int]] = []
             if len(rep):
@@ -225,6 +250,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 ["m", "doc", "place"],
             )
 
+    near = (size - k) // 2
     found = placed.mapInArrow(find_runs, _RUN)
     # Covered runs have no bucket to go to and are spread by place.
     by_bucket = found.repartition(F.coalesce("m", F.xxhash64("doc", "place"))).sortWithinPartitions("m", "s", "doc", "place")
@@ -251,20 +277,31 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.array(doc[r]), pa.array(lo << _BITS | w), pa.nulls(len(r), pa.binary())], ["m", "doc", "place", "piece"])
             row, m, place = row[~covered], m[~covered], place[~covered]
             data, start = K.text_column(b.column("text"))
+            n = place & ((1 << _HALF) - 1)
+            off = place >> _HALF & ((1 << _HALF) - 1)
             lo = (place >> _BITS) - at[row]
-            width = (place & ((1 << _BITS) - 1)) + size - 1
-            ok = (lo >= 0) & (lo + width <= (start[1:] - start[:-1])[row])  # else it is of another row of this id
-            row, m, place, lo, width = row[ok], m[ok], place[ok], lo[ok], width[ok]
-            for i in range(0, len(row), 20_000):
-                r = slice(i, i + 20_000)
-                total = np.concatenate([[0], np.cumsum(width[r])])
-                take = np.arange(total[-1]) - np.repeat(total[:-1], width[r]) + np.repeat(start[row[r]] + lo[r], width[r])
-                piece = pa.Array.from_buffers(pa.binary(), len(row[r]), [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[take]))])
-                yield pa.RecordBatch.from_arrays([pa.array(m[r]), pa.array(doc[row[r]]), pa.array(place[r]), piece], ["m", "doc", "place", "piece"])
+            ok = (lo >= 0) & (lo + n + size - 1 <= (start[1:] - start[:-1])[row])  # else it is of another row of this id
+            row, m, place, n, off, lo = row[ok], m[ok], place[ok], n[ok], off[ok], lo[ok]
+            half = np.clip(off - (size - k - near), 0, n)  # windows before this one have `near` bytes before the minimiser
+            for side in (0, 1):
+                first, count = (np.zeros_like(half), half) if side == 0 else (half, n - half)
+                some = np.flatnonzero(count)
+                for i in range(0, len(some), 20_000):
+                    r = some[i : i + 20_000]
+                    begin = start[row[r]] + lo[r]
+                    around = begin + off[r] + (k if side else -near)
+                    beside = _LETTERS[data[around[:, None] + np.arange(near)]] if near else np.zeros((len(r), 0), K.U64)
+                    key = K.mix(m[r].view(K.U64) + K.mix((beside * K.powers(near + 1)[0][1:]).sum(axis=1, dtype=K.U64) + K.U64(side)))
+                    width = count[r] + size - 1
+                    total = np.concatenate([[0], np.cumsum(width)])
+                    take = np.arange(total[-1]) - np.repeat(total[:-1], width) + np.repeat(begin + first[r], width)
+                    piece = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[take]))])
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(doc[row[r]]), pa.array(((place[r] >> _BITS) + first[r]) << _BITS | count[r]), piece], ["m", "doc", "place", "piece"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffix array and LPF of whole buckets, some MB of them at a time."""
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        size_held = 0
         for b in batches:
             n = b.column("m").null_count  # covered stretches come first and only pass through
             if n:
@@ -272,16 +309,18 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 b = b.slice(n)
             if not b.num_rows:
                 continue
-            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            m = table.column("m").to_numpy()
-            if table.nbytes < 2 * K.CHUNK_BYTES or m[0] == m[-1]:
-                rest = table
+            m = b.column("m").to_numpy()
+            before = held[-1].column("m")[-1].as_py() if held else None
+            held.append(b)
+            size_held += b.nbytes
+            last = int(np.searchsorted(m, m[-1]))
+            if size_held < 2 * K.CHUNK_BYTES or (last == 0 and before in (None, int(m[0]))):
                 continue
-            at = int(np.searchsorted(m, m[-1]))
-            yield lpf(table.slice(0, at))
-            rest = table.slice(at)
-        if rest is not None and rest.num_rows:
-            yield lpf(rest)
+            yield lpf(pa.Table.from_batches([*held[:-1], b.slice(0, last)]))
+            held = [b.slice(last)]
+            size_held = held[0].nbytes
+        if held:
+            yield lpf(pa.Table.from_batches(held))
 
     def lpf(table: pa.Table) -> pa.RecordBatch:
         doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
@@ -294,7 +333,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         run = np.repeat(np.arange(len(n)), n)
         inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         order, rank = suffix_array(buf, start[:-1][run] + inner, size)
-        dup = has_previous_factor(order, rank)
+        dup = previous_factors(order, rank, size) == size
         r, lo, count = stretches(run[dup], inner[dup], np.ones(int(dup.sum()), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array((((place[r] >> _BITS) + lo) << _BITS) | count)], ["doc", "place"])
 
