@@ -2,9 +2,9 @@
 
 Listed URLs are made canonical and set bits in the filter: a URL picks one block and
 sets bits inside that block only, so a block is one row of eight 64-bit words made by
-bit_or.  The filter has a fixed number of blocks (`blocks`, 64 bytes each), which
-bounds what is broadcast whatever the list's size; a list too long for it makes more
-false hits and no wrong result, as possible hits go on to an exact hash join on the
+bit_or.  The number of blocks follows the list's, `keys_per_block` to each, up to
+`most_blocks` of 72 bytes, which bounds what is broadcast; a list too long for that makes
+more false hits and no wrong result, as possible hits go on to an exact hash join on the
 canonical URL.  URLs that miss the filter never reach that join.
 
 Rules (host, path) come before the list: a rule fits its host and all subdomains if the
@@ -63,13 +63,14 @@ def bloom_filter(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)))
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", blocks: int = 1 << 14) -> DataFrame:
+def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", keys_per_block: int = 32, most_blocks: int = 1 << 18) -> DataFrame:
     """rules: (host, path, allow or block). Returns page_id, host, path, rule, verdict,
     canonical, possible (passed the filter), listed."""
     keys = columns(listed, url=listed_col).select(canonical(F.col("url")).alias("listed_url")).where("listed_url is not null").distinct()
+    blocks = max(1, min(most_blocks, -(-keys.count() // keys_per_block)))
     url = F.col("url")
     rows = columns(pages, page_id=id_col, url=url_col).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
-    bits = F.broadcast(bloom_filter(keys, "listed_url", blocks))  # at most `blocks` rows of 72 bytes
+    bits = F.broadcast(bloom_filter(keys, "listed_url", blocks))  # at most `most_blocks` rows of 72 bytes
     key = F.col("canonical")
     hit = F.lit(True)
     for i, m in enumerate(mask(key)):
