@@ -8,8 +8,9 @@ and intersects those with the offset-adjusted lists of the next rarer terms unti
 terms agree.  No posting is shuffled, so no term, passage or source can make a hot
 partition.
 
-The test set is the side that is sent to the tasks.  Its size is measured; one larger
-than `block_bytes` is cut into blocks of items, each looked up in a pass of its own,
+The test set is the side that is sent to the tasks, as arrays of about 17 times its text
+(8 bytes for each of a word's windows).  Its size is measured; one larger than
+`block_bytes` of text, whose arrays hold some 36 MB, is cut into blocks of items, each looked up in a pass of its own,
 and the passes' hits are merged by document: id, text (its SHA-256) and, if carried, the
 row. Each pass returns every row once, so a group's rows over the passes are its copies.
 
@@ -56,21 +57,30 @@ class Phrases:
 
 
 def phrases(items: list[tuple], size: int) -> Phrases | None:
-    """All `size`-word windows of the items; an item of fewer words is one phrase."""
-    held: dict[tuple, list[int]] = {}
+    """All `size`-word windows of the items; an item of fewer words is one phrase. About
+    8 * size bytes a word, as arrays."""
     ids = [str(i) for i, _ in items]
+    parts: list[tuple[np.ndarray, ...]] = []
     for c in K.chunks(pa.array([t for _, t in items], pa.string())):
         word, first = tokens(c)
-        for k in range(len(c)):
-            own = word[first[k] : first[k + 1]].tolist()
-            for w in {tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))} if own else ():
-                held.setdefault(w, []).append(c.lo + k)
-    if not held:
+        start, item = K.windows(first, size)
+        n = np.diff(first)
+        short = np.flatnonzero((n > 0) & (n < size))
+        start, item = np.concatenate([start, first[short]]), np.concatenate([item, short])
+        length = np.minimum(n[item], size)
+        at = np.minimum(start[:, None] + np.arange(size), max(len(word) - 1, 0))
+        terms = np.where(np.arange(size) < length[:, None], word[at] if len(word) else K.U64(0), K.U64(0))
+        parts.append((K.SpanHash(word)(start, start + length), terms, length, item + c.lo))
+    key, terms, length, item = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, K.U64),) * 4
+    if not len(key):
         return None
-    terms = np.zeros((len(held), size), K.U64)
-    for i, w in enumerate(held):
-        terms[i, : len(w)] = w
-    return Phrases(terms, np.array([len(w) for w in held]), [np.array(x) for x in held.values()], ids)
+    order = np.lexsort((item, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    other = new.copy()
+    other[1:] |= item[order][1:] != item[order][:-1]
+    lists = np.split(item[order][other], np.flatnonzero(new[other])[1:])
+    return Phrases(terms[order[new]], length[order[new]], lists, ids)
 
 
 class Index:
@@ -161,7 +171,7 @@ def _block(docs: DataFrame, held: Phrases | None, slop: int, merge: bool) -> Dat
     return docs.mapInArrow(find, f"{kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, slop: int = 0, block_bytes: int = 16 << 20, carry: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, slop: int = 0, block_bytes: int = 2 << 20, carry: bool = False) -> DataFrame:
     """Exact phrase matches (slop 0) or proximity matches of `size`-word test windows.
 
     Returns doc_id, n_words, n_hit (words inside a match), n_items, items_sha256,
