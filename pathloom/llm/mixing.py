@@ -59,12 +59,15 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.1), 1 - symbols / F.greatest(size, F.lit(1)))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 9, range_rows: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight_col: str | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 9, range_rows: int = 1000) -> DataFrame:
     """Returns doc_id, size, source_size, target, taken (words, repeats counted), epochs
-    (complete), source."""
-    docs = columns(docs, doc_id=id_col, source=source_col, text=text_col)
+    (complete), source. `weight_col` holds quality weights, such as a classifier's scores (at
+    least 0.1 counts; null: that of the text)."""
+    docs = columns(docs, doc_id=id_col, source=source_col, text=text_col, **({"given": weight_col} if weight_col else {}))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = docs.withColumn("size", size).withColumn("weight", quality_weight(F.coalesce("text", F.lit("")), F.col("size")))
+    sized = docs.withColumn("size", size)
+    own = quality_weight(F.coalesce("text", F.lit("")), F.col("size"))
+    sized = sized.withColumn("weight", F.greatest(F.lit(0.1), F.coalesce(F.col("given").cast("double"), own)) if weight_col else own)
     u = draw(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = kept(sized.select("doc_id", "source", "size", (-F.ln(u) / F.col("weight")).alias("key"), F.xxhash64("text").alias("tie")))
     ranges = max(64, rows.count() // range_rows)
