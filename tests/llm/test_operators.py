@@ -299,7 +299,7 @@ def test_url_filter(spark):
     pages = spark.createDataFrame([(1, "http://A.example.net/en/x"), (2, None), (3, "nonsense"), (4, "http://bad.example.io/p/?utm_source=f#t"), (5, "http://www.bad.example.io:80/p"), (6, "http://x.org/fr/"), (7, "http://y.net"), (8, "http://y.net/")], "page_id long, url string")
     listed = spark.createDataFrame([("https://bad.example.io/p",), (None,), ("https://bad.example.io/p",)], "url string")
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")]
-    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter(pages, listed, rules, blocks=4).collect()}
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter(pages, listed, rules, keys_per_block=1).collect()}
     assert got == {1: ("a.example.net", "example.net/en/", "allow"), 2: ("", None, "allow"), 3: ("", None, "allow"), 4: ("bad.example.io", None, "block"), 5: ("www.bad.example.io:80", None, "block"), 6: ("x.org", "org/fr/", "allow"), 7: ("y.net", None, "allow"), 8: ("y.net", "net/", "block")}
     assert url_filter(pages, listed.limit(0), []).where("verdict = 'block'").count() == 0
 
