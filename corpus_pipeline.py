@@ -1,6 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near duplicates, benchmark
 decontamination, mixing. Each stage takes (spark, docs, sf_dir), works on all documents its
-predecessor kept, and all but the last return the columns of documents."""
+predecessor kept, and all but the last return the columns of documents.
+
+Defined results of all stages: null texts count as empty (quality rules reject them); null
+sources are a source, null ids are ids like others but come last; repeated rows are rows of
+their own except in the near duplicates, where one of them stays; an empty table gives an
+empty result; other columns of the input are left out, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.decontaminate import decontaminate
-from pathloom.llm.jaccard_join import jaccard_join
+from pathloom.llm.jaccard_join import jaccard_join, text_node
 from pathloom.llm.line_rules import line_dedup, quality_rules
 from pathloom.llm.mixing import mix
-from pathloom.llm.shared import shared_dir
+from pathloom.llm.shared import kept, shared_dir, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,10 +42,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the least id."""
+    """One row of each class stays: that of the least id, then of the least text hash; null ids
+    come last. Rows are told apart by id and text, so an id stored with several texts, or no
+    id, keeps no other row alive; of rows equal in both one stays."""
     docs = docs.select(*COLUMNS)
-    stay = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = jaccard_join(docs).groupBy("cls", "doc_id", "node").agg(F.count("*").alias("same"))
+    first = found.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "same")).alias("x"))
+    stay = kept(first.select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_node"), F.col("x.same").alias("_same")))
+    stay = small(stay, 48)
+    rows = docs.withColumn("node", text_node("text")).join(stay, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = rows.where("_same = 1").select(*COLUMNS)
+    return once.unionByName(rows.where("_same > 1").dropDuplicates(["doc_id", "node"]).select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
