@@ -47,7 +47,7 @@ the least; repeated rows are copies; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, exp, log
 
 import numpy as np
@@ -180,9 +180,9 @@ def _sets(size: int):
     return make
 
 
-def partners(cls: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], threshold: float, across: bool) -> np.ndarray:
+def partners(cls: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], threshold: float, across: bool, owned: Callable[[int, int], bool] = lambda i, j: True) -> np.ndarray:
     """Which rows have a row of another class (with `across`, of the other side) that their
-    sketches leave possible."""
+    sketches leave possible and that is `owned` here."""
     order = np.argsort(n, kind="stable")
     n, cls, side = n[order], cls[order], side[order]
     width = np.array([len(sketches[k]) for k in order], np.int64)
@@ -205,6 +205,7 @@ def partners(cls: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[np
         both = np.add.reduceat(mark[token[at]], end - width[j], dtype=np.int64)
         mark[own] = 0
         close = j[both >= LEAST * width[i]]
+        close = close[[owned(order[i], order[k]) for k in close]] if len(close) else close
         out[close] = True
         out[i] |= bool(len(close))
     back = np.zeros(len(n), bool)
@@ -213,11 +214,14 @@ def partners(cls: np.ndarray, side: np.ndarray, n: np.ndarray, sketches: list[np
 
 
 def _possible(threshold: float):
-    """The rows of a block, or of two blocks, that have possible partners in it."""
+    """The rows of a block, or of two blocks, that have possible partners in it. A pair that
+    shares several buckets counts in the least of them alone."""
 
     def find(table: pa.Table) -> pa.Table:
         cls, side, n, lo, hi = (table.column(k).to_numpy() for k in ("cls", "side", "n", "lo", "hi"))
-        ok = partners(cls, side, n, [np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()], threshold, bool(lo[0] != hi[0]))
+        buckets = [set(x) for x in table.column("buckets").to_pylist()]
+        here = table.column("bucket")[0].as_py()
+        ok = partners(cls, side, n, [np.frombuffer(x, np.uint32) for x in table.column("sketch").to_pylist()], threshold, bool(lo[0] != hi[0]), lambda i, j: min(buckets[i] & buckets[j]) == here)
         return table.select(["bucket", "node", "cls", "lo", "hi", "side"]).filter(pa.array(ok))
 
     return find
@@ -420,7 +424,8 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         near = near.withColumn("i", F.when(own, F.col("k") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("k"))).cast("int"))
         near = near.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1 + F.when(own, 0).otherwise(F.col("m")))))
         near = near.select("bucket", "node", "n", "cls", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("side"))
-        near = kept(near.join(sets.select("node", "sketch"), "node").groupBy("bucket", "lo", "hi").applyInArrow(_possible(threshold), "bucket long, node long, cls long, lo int, hi int, side int"))
+        lists = near.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))
+        near = kept(near.join(sets.select("node", "sketch").join(lists, "node"), "node").groupBy("bucket", "lo", "hi").applyInArrow(_possible(threshold), "bucket long, node long, cls long, lo int, hi int, side int"))
         links = kept(near.join(made(near), "node").groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long").distinct())
         if not links.isEmpty():
             labels = components(links, labels)
