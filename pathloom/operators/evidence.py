@@ -91,8 +91,8 @@ def pattern_evidence(support: DataFrame, edges: DataFrame, attributes: int = 8,
     near = sibling_facts(facts.where("place = 1").select("node"), edges, siblings)
     heads = facts.where("place = 1").join(near, "node")
     third = heads.select("anchor", "chain", "place", F.lit(2).alias("phase"), F.lit(0).alias("pos"), "h", "r", F.col("sibling").alias("t"))
-    more = fact_attributes(near.select(F.col("sibling").alias("node")), edges).where(F.col("k") <= attributes)
-    fourth = heads.select("anchor", "chain", "place", "sibling").join(more, F.col("sibling") == F.col("node")).select("anchor", "chain", "place", F.lit(2).alias("phase"), F.col("k").alias("pos"), more["h"], more["r"], more["t"])
+    more = fact_attributes(near.select(F.col("sibling").alias("node")), edges).where(F.col("k") <= attributes).withColumnsRenamed({"node": "_n", "h": "_h", "r": "_r", "t": "_t"})
+    fourth = heads.select("anchor", "chain", "place", "sibling").join(more, F.col("sibling") == F.col("_n")).select("anchor", "chain", "place", F.lit(2).alias("phase"), F.col("k").alias("pos"), F.col("_h").alias("h"), F.col("_r").alias("r"), F.col("_t").alias("t"))
     rows = first.unionByName(second).unionByName(third).unionByName(fourth)
     good = lambda c: is_ascii(F.col(c)) & (F.length(c) > 1)
     rows = rows.where(good("h") & good("t"))

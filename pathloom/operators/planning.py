@@ -225,9 +225,9 @@ def preflight(edges: DataFrame, anchors: DataFrame, layers: list[list[str]], fan
     front = anchors.select("anchor", F.col("anchor").alias("node"))
     seen, out = front, None
     for i, layer in enumerate(layers):
-        plan = anchors.crossJoin(F.broadcast(anchors.sparkSession.createDataFrame([(r,) for r in layer], "r string"))) if layer else None  # a plan's few relations
-        if plan is None:
+        if not layer:
             continue
+        plan = anchors.select("anchor", F.explode(F.array(*map(F.lit, layer))).alias("r"))
         found = kept(front.join(steps.where(F.col("r").isin(*layer)), F.col("node") == F.col("src")).select("anchor", "r", F.col("dst").alias("node")).distinct().join(seen, ["anchor", "node"], "left_anti"))
         after = layers[i + 1] if i + 1 < len(layers) else []
         few = found.withColumn("k", F.row_number().over(Window.partitionBy("anchor", "r").orderBy("node"))).where(F.col("k") <= sample)
