@@ -40,6 +40,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 from itertools import groupby
 
@@ -65,17 +66,18 @@ UNSEEN = frozenset("script style noscript template head title select textarea if
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What a start tag closes, if open and not beyond the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
+PARAGRAPH = (frozenset(("p",)), BLOCK - {"p"} | {"button"})
 MAIN = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "unseen", "children", "parent", "main", "words", "holds", "key", "text")
+    __slots__ = ("tag", "name", "noise", "unseen", "children", "parent", "main", "words", "holds", "key", "text", "own", "mark")
 
     def __init__(self, tag: str, name: str, noise: bool, unseen: bool, parent: Node | None):
         self.tag, self.name, self.noise, self.unseen, self.parent = tag, name, noise, unseen, parent
         self.main = tag in MAIN or (parent is not None and parent.main)
         self.children: list[Node | str] = []
-        self.words, self.holds, self.key, self.text = 0, tag in MAIN, 0, ""
+        self.words, self.holds, self.key, self.text, self.own, self.mark = 0, tag in MAIN, 0, "", 0, 0
 
 
 def is_unseen(tag: str, attrs: dict[str, str | None]) -> bool:
@@ -103,7 +105,7 @@ class Tree(HTMLParser):
         self.close()
         self.seen = list(seen(self.root))
         for node in reversed(self.seen):  # children before parents
-            node.words += len(node.text.split())
+            node.words += node.own
             if node.parent is not None:
                 node.parent.words += node.words
                 node.parent.holds |= node.holds
@@ -123,7 +125,13 @@ class Tree(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         elif tag in BLOCK:
-            self._close({"p"}, BLOCK - {"p"} | {"button"})
+            self._close(*PARAGRAPH)
+        if not attrs:  # most elements
+            node = Node(tag, tag, tag in NOISE and not (tag == "header" and self.at.main), tag in UNSEEN, self.at)
+            self.at.children.append(node)
+            if tag not in VOID:
+                self.at = node
+            return
         given = dict(attrs)
         name = tag + "".join(f".{x}" for k in ("id", "class") for x in (given.get(k) or "").split() if not any(ch.isdigit() for ch in x))
         node = Node(tag, name, says_noise(tag, given, self.at), is_unseen(tag, given), self.at)
@@ -148,6 +156,17 @@ class Tree(HTMLParser):
             self.at.children.append(data)
 
 
+@lru_cache(1 << 16)
+def path_key(path: str) -> int:
+    return digest(path)
+
+
+@lru_cache(1 << 16)
+def form_key(words: int, style: str) -> int:
+    """A block's length class (a power of two) and child styles."""
+    return digest(str(words.bit_length()), style)
+
+
 def digest(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
 
@@ -157,17 +176,13 @@ def seen(root: Node) -> Iterator[Node]:
     stack = [(root, "")]
     while stack:
         node, path = stack.pop()
-        node.key, node.text = digest(path), own_text(node)
+        node.key = path_key(path)
+        words = " ".join([x for x in node.children if x.__class__ is str]).split()
+        if words:
+            node.own, node.text = len(words), " ".join(words)
+            node.mark = digest(node.text)
         yield node
-        stack += [(x, f"{path}/{x.name}") for x in reversed(node.children) if isinstance(x, Node) and not x.unseen]
-
-
-def own_text(node: Node) -> str:
-    return " ".join(" ".join(x for x in node.children if isinstance(x, str)).split())
-
-
-def length_class(text: str) -> int:
-    return len(text.split()).bit_length()
+        stack += [(x, f"{path}/{x.name}") for x in reversed(node.children) if x.__class__ is Node and not x.unseen]
 
 
 #: Kinds of features.
@@ -180,9 +195,9 @@ def features(tree: Tree) -> Counter:
     for node in tree.seen:
         out[node.key, PAGES, 0] = 1
         if node.text:
-            out[node.key, CONTENT, digest(node.text)] = 1
+            out[node.key, CONTENT, node.mark] = 1
             style = "|".join(k for k, _ in groupby(x.name for x in node.children if isinstance(x, Node)))
-            out[node.key, FORM, digest(str(length_class(node.text)), style)] += 1
+            out[node.key, FORM, form_key(node.own, style)] += 1
     return out
 
 
@@ -196,7 +211,7 @@ class Site:
     floor: float
 
     def importance(self, node: Node) -> float:
-        left = self.shared.get((node.key, digest(node.text)), 1.0) if self.shared else 1.0
+        left = self.shared.get((node.key, node.mark), 1.0) if self.shared else 1.0
         return left * max(self.floor, self.form.get(node.key, 1.0))
 
 
@@ -206,7 +221,7 @@ def low_branches(tree: Tree, site: Site, importance: float, named: bool) -> set[
     out: set[int] = set()
     words: dict[int, int] = {}
     for node in reversed(tree.seen):
-        own = len(node.text.split())
+        own = node.own
         gone = named and node.noise
         words[id(node)] = words.get(id(node), 0) + own
         mass[id(node)] = mass.get(id(node), 0.0) + own * site.importance(node) if own else mass.get(id(node), 0.0)
@@ -252,7 +267,7 @@ def extract(tree: Tree, site: Site, importance: float, repeat: float = 0.25, nam
                 end()
                 stack.append(None)
             # A shared text goes alone: what is below its element has texts of its own.
-            shared = site.shared and not item.main and site.shared.get((item.key, digest(item.text)), 1.0) < repeat
+            shared = site.shared and not item.main and site.shared.get((item.key, item.mark), 1.0) < repeat
             stack += [" " if shared and isinstance(x, str) else x for x in reversed(item.children)]
     end()
     return " ".join(blocks)
