@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -188,7 +188,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         """Runs; those that an earlier run of the chunk covers have a null minimiser."""
         for b, at in offsets(batches):
             doc = b.column("doc").to_numpy()
-            for c in K.chunks(b.column("text")):
+            for c in K.chunks(b.column("text"), 2 << 20):
                 text, lo, n, m, s, off = runs(c, size, k)
                 if not len(text):
                     continue
@@ -314,7 +314,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             held.append(b)
             size_held += b.nbytes
             last = int(np.searchsorted(m, m[-1]))
-            if size_held < 2 * K.CHUNK_BYTES or (last == 0 and before in (None, int(m[0]))):
+            if size_held < 4 << 20 or (last == 0 and before in (None, int(m[0]))):
                 continue
             yield lpf(pa.Table.from_batches([*held[:-1], b.slice(0, last)]))
             held = [b.slice(last)]
