@@ -15,6 +15,7 @@ from pathloom.llm.html_extract import html_extract
 from pathloom.llm.jaccard_join import jaccard_join
 from pathloom.llm.line_rules import line_dedup, quality_rules
 from pathloom.llm.mixing import mix
+from pathloom.llm.source_audit import source_audit
 from pathloom.llm.suffix_dedup import suffix_dedup
 from pathloom.llm.url_filter import host_of, url_filter
 
@@ -77,6 +78,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
 #: RE2 and DuckDB read these as bytes 9 to 13 and 32.
 _W = r"[^\x20\x09-\x0D]+"
 
@@ -163,5 +168,21 @@ q as (select *, round(target - epochs * source_size)::bigint as rest from e),
 o as (select k.doc_id, k.size, q.source_size, q.target, q.epochs, q.rest, coalesce(sum(size) over (partition by k.source order by key, doc_id rows between unbounded preceding and 1 preceding), 0) as ahead from k join q on k.source is not distinct from q.source)
 select doc_id, size, source_size, target, (size * epochs + greatest(0, least(size, rest - ahead)))::bigint as taken from o"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_decontaminate, op6_line_dedup, op7_html_extract, op8_quality_rules, op9_mixing, op10_quality_classifier)}
-ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_mixing": OP9_SQL}
+OP13_SQL = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+v as (select lang, term from t group by lang, term having count(distinct k) >= 3),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*)::hugeint as n from t join v using (lang, term) group by lang, source, term),
+gv as (select g.lang, g.source, v.term, coalesce(c.n, 0)::hugeint as n from g join v on g.lang = v.lang left join c on c.lang = g.lang and c.source = g.source and c.term = v.term),
+gp as (select *, 1 + 1000000000::hugeint * (n + 1) // (sum(n) over (partition by lang, source) + count(*) over (partition by lang, source)) as p from gv),
+lq as (select lang, term, 1 + 1000000000::hugeint * (sum(n) + 1) // (sum(sum(n)) over (partition by lang) + count(*) over (partition by lang)) as q from gv group by lang, term),
+tv as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from gp join lq using (lang, term) where n > 0 and p > q),
+tr as (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item collate "binary") as rank from tv),
+pv as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value from gp a join gp b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pa as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source)
+select lang, source, part, item, value, row_number() over (partition by lang, source order by value desc, item collate "binary")::int as rank from pa
+union all select lang, source, part, item, value, rank::int from tr where rank <= 200"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_decontaminate, op6_line_dedup, op7_html_extract, op8_quality_rules, op9_mixing, op10_quality_classifier, op13_source_audit)}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_mixing": OP9_SQL, "op13_source_audit": OP13_SQL}
