@@ -17,6 +17,7 @@ from pathloom.llm.line_rules import line_dedup, quality_rules
 from pathloom.llm.mixing import mix
 from pathloom.llm.source_audit import source_audit
 from pathloom.llm.suffix_dedup import suffix_dedup
+from pathloom.llm.token_align import token_align
 from pathloom.llm.url_filter import host_of, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,9 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: A block list stands in for an external feed: the URLs of pages on hosts of these names.
 SPAM_HOST = r"(^|\.)(cheap-pills|casino-win|free-bets|ads-track)\."
 
+#: Vocabularies of public tokenizers, at this path on every machine.
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +82,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align(table(spark, sf_dir, "documents"), *TOKENIZERS)
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(table(spark, sf_dir, "documents"))
 
@@ -184,5 +192,5 @@ pa as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value
 select lang, source, part, item, value, row_number() over (partition by lang, source order by value desc, item collate "binary")::int as rank from pa
 union all select lang, source, part, item, value, rank::int from tr where rank <= 200"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_decontaminate, op6_line_dedup, op7_html_extract, op8_quality_rules, op9_mixing, op10_quality_classifier, op13_source_audit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_decontaminate, op6_line_dedup, op7_html_extract, op8_quality_rules, op9_mixing, op10_quality_classifier, op12_token_align, op13_source_audit)}
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_mixing": OP9_SQL, "op13_source_audit": OP13_SQL}

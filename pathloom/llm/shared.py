@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,14 @@ def kept(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows.queryExecution().toRdd(), rows.schema(), False), spark)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder as compressed Parquet and read from there: for
+    what is large and read more than once."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
     """`df` (already kept) with a broadcast hint if its measured size allows one;
     otherwise as it is, for a shuffled join. `arrays` are columns of 8-byte items."""
