@@ -18,6 +18,7 @@ from pathloom.llm.mixing import mix
 from pathloom.llm.source_audit import source_audit
 from pathloom.llm.suffix_dedup import suffix_dedup
 from pathloom.llm.token_align import token_align
+from pathloom.llm.toxicity import toxicity
 from pathloom.llm.url_filter import host_of, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align(table(spark, sf_dir, "documents"), *TOKENIZERS)
 
@@ -192,5 +197,5 @@ pa as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value
 select lang, source, part, item, value, row_number() over (partition by lang, source order by value desc, item collate "binary")::int as rank from pa
 union all select lang, source, part, item, value, rank::int from tr where rank <= 200"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_decontaminate, op6_line_dedup, op7_html_extract, op8_quality_rules, op9_mixing, op10_quality_classifier, op12_token_align, op13_source_audit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_url_filter, op3_chat_format, op4_jaccard_join, op5_decontaminate, op6_line_dedup, op7_html_extract, op8_quality_rules, op9_mixing, op10_quality_classifier, op11_toxicity, op12_token_align, op13_source_audit)}
 ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_mixing": OP9_SQL, "op13_source_audit": OP13_SQL}
