@@ -302,7 +302,7 @@ def evidence(toxic: np.ndarray, n: np.ndarray, base: float) -> np.ndarray:
     return np.where(p > base, out, 0)
 
 
-def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rivals: np.ndarray, penalty: float = 0.1, steps: int = 600) -> Scorer:
+def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, rivals: np.ndarray, penalty: float = 0.01, steps: int = 600) -> Scorer:
     """Logistic regression on the terms whose evidence beats chance: `rivals[n]` terms are in n
     documents or more, and so many could look as good, so a term has to pass their log.
     `doc` and `term` are the pairs that occur. Words of copies share what their documents
