@@ -14,9 +14,10 @@ def clean(edges: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """(src, r, dst, edge): each edge in both directions, a self-loop once."""
-    edge = F.concat_ws("|", "h", "r", "t").alias("edge")
-    return edges.select(F.col("h").alias("src"), "r", F.col("t").alias("dst"), edge).unionByName(edges.where("h <> t").select(F.col("t").alias("src"), "r", F.col("h").alias("dst"), edge))
+    """(src, r, dst, edge): each edge in both directions, a self-loop once; with case_id if
+    edges have one."""
+    edge, case = F.concat_ws("|", "h", "r", "t").alias("edge"), [c for c in edges.columns if c == "case_id"]
+    return edges.select(*case, F.col("h").alias("src"), "r", F.col("t").alias("dst"), edge).unionByName(edges.where("h <> t").select(*case, F.col("t").alias("src"), "r", F.col("h").alias("dst"), edge))
 
 
 def expand(nodes: DataFrame, edges: DataFrame, relations: list[str], reverse: bool = False) -> DataFrame:

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to spark.checkpoint.dir as Parquet and read again, so that plans stay short and
-    the planner sees real sizes. A folder of our own only in local mode, an error elsewhere."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. A folder of our own only in local mode, an error elsewhere."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="pathloom-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet and read again, so that plans stay short and
+    the planner sees real sizes."""
+    path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

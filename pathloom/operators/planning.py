@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import is_cvt, is_noisy, normalize, token_overlap
-from pathloom.operators.graph import both_ways, clean
+from pathloom.operators.adjacency import Graph, as_graph, key_of, pack
+from pathloom.operators.graph import both_ways
 from pathloom.operators.lineage import kept
+from pathloom.operators.plan import PLAN, Plans, as_plans, has, holds
 from pathloom.operators.retrieve import vector_topk
 
 #: Triples a plan may have; more rounds than that find nothing new.
@@ -198,50 +200,49 @@ def merge_constraints(steps: DataFrame) -> DataFrame:
     return moved.withColumn("step", F.dense_rank().over(Window.partitionBy("case_id").orderBy("step"))).select("case_id", "step", "rel").distinct()
 
 
-def reachable_relations(edges: DataFrame, anchors: DataFrame, layers: list[list[str]]) -> DataFrame:
+def reachable_relations(edges: DataFrame | Graph, anchors: DataFrame, layers: list[list[str]] | Plans) -> DataFrame:
     """(anchor, layer, r) of the layers' relations that lie within layer + 2 hops of the anchor:
     breadth-first, each node once."""
-    steps = both_ways(clean(edges))
-    seen = anchors.select("anchor", F.col("anchor").alias("node"))
-    front, out = seen, None
-    hops = len(layers) + 1
-    for h in range(hops):
-        moved = kept(front.join(steps, F.col("node") == F.col("src")).select("anchor", "r", "dst").distinct())
-        for i, layer in enumerate(layers):
-            if layer and h < i + 2:
-                rows = moved.where(F.col("r").isin(*layer)).select("anchor", F.lit(i).alias("layer"), "r").distinct()
-                out = rows if out is None else out.unionByName(rows)
-        front = kept(moved.select("anchor", F.col("dst").alias("node")).distinct().join(seen, ["anchor", "node"], "left_anti"))
+    graph, plans, key = as_graph(edges), as_plans(layers), key_of(anchors)
+    seen = anchors.select(*key, F.col("anchor").alias("node"))
+    front, met = seen, None
+    for h in range(plans.n + 1):
+        moved = kept(graph.lookup(front.withColumn("nodes", F.array("node"))).select(*key, "r", "dst").distinct())
+        rels = moved.select(*key, "r").distinct().withColumn("hop", F.lit(h))
+        met = rels if met is None else met.unionByName(rels)
+        front = kept(moved.select(*key, F.col("dst").alias("node")).distinct().join(seen, [*key, "node"], "left_anti"))
         seen = seen.unionByName(front)
-    return out.distinct()
+    first = plans.attach(met.groupBy(*key, "r").agg(F.min("hop").alias("hop")).where(F.lit(plans.n > 0)))
+    at = F.filter(F.sequence(F.lit(0), F.lit(max(plans.n, 1) - 1)), lambda i: holds(F.col("r"), i) & (F.col("hop") < i + 2) & (F.col("hop") < plans.length() + 1))
+    return first.select(*key, F.explode(at).alias("layer"), "r")
 
 
-def preflight(edges: DataFrame, anchors: DataFrame, layers: list[list[str]], fanout: int = 50, sample: int = 80) -> DataFrame:
+def preflight(edges: DataFrame | Graph, anchors: DataFrame, layers: list[list[str]] | Plans, fanout: int = 50, sample: int = 80) -> DataFrame:
     """(anchor, layer, r, status, hits, facts, next_hits): what a layer's relation reaches from
     the frontier, nodes seen before aside: BLOCK without any, WARN above `fanout`, for a noisy
     relation, or if none of the first `sample` nodes leads to the next layer; else PASS. The
     next frontier is the first `sample` nodes of the layer."""
-    steps = both_ways(edges)
-    front = anchors.select("anchor", F.col("anchor").alias("node"))
-    seen, out = front, None
-    for i, layer in enumerate(layers):
-        if not layer:
+    graph, plans, key = edges if isinstance(edges, Graph) else pack(edges, noise=True), as_plans(layers), key_of(anchors)
+    own = plans.attach(anchors.select(*key))
+    front = own.withColumn("nodes", F.array("anchor"))
+    seen, out = front.select(*key, F.col("anchor").alias("node")), None
+    for i in range(plans.n):
+        if plans.layers is not None and not plans.layers[i]:
             continue
-        plan = anchors.select("anchor", F.explode(F.array(*map(F.lit, layer))).alias("r"))
-        found = kept(front.join(steps.where(F.col("r").isin(*layer)), F.col("node") == F.col("src")).select("anchor", "r", F.col("dst").alias("node")).distinct().join(seen, ["anchor", "node"], "left_anti"))
-        after = layers[i + 1] if i + 1 < len(layers) else []
-        few = found.withColumn("k", F.row_number().over(Window.partitionBy("anchor", "r").orderBy("node"))).where(F.col("k") <= sample)
-        doors = steps.where(F.col("r").isin(*after)).select(F.col("src").alias("node")).distinct() if after else None
-        ahead = few.join(doors, "node", "left_semi").groupBy("anchor", "r").agg(F.count("*").alias("next_hits")) if after else few.groupBy("anchor", "r").agg(F.lit(0).cast("long").alias("next_hits"))
-        counts = found.groupBy("anchor", "r").agg(F.count("*").alias("hits"), F.count_if(is_cvt(F.col("node"))).alias("facts"))
-        rows = plan.join(counts, ["anchor", "r"], "left").join(ahead, ["anchor", "r"], "left").na.fill(0, ["hits", "facts", "next_hits"])
-        warn = (F.col("hits") > fanout) | is_noisy(F.col("r")) | (F.lit(bool(after)) & (F.col("next_hits") == 0))
-        rows = rows.select("anchor", F.lit(i).alias("layer"), "r", F.when(F.col("hits") == 0, "BLOCK").when(warn, "WARN").otherwise("PASS").alias("status"), "hits", "facts", "next_hits")
+        here = own.where(has(i))
+        plan = here.select(*key, F.explode(F.filter(F.map_keys("masks"), lambda r: holds(r, i))).alias("r"))
+        found = kept(graph.lookup(front.where(has(i)), holds(F.col("r"), i)).select(*key, *PLAN, "r", F.col("dst").alias("node")).dropDuplicates([*key, "r", "node"]).join(seen, [*key, "node"], "left_anti"))
+        few = found.withColumn("k", F.row_number().over(Window.partitionBy(*key, "r").orderBy("node"))).where(F.col("k") <= sample).drop("k").withColumnRenamed("r", "_r")
+        ahead = graph.lookup(few.withColumn("nodes", F.array("node")), holds(F.col("r"), i + 1)).groupBy(*key, F.col("_r").alias("r")).agg(F.count_distinct("node").alias("next_hits"))
+        counts = found.groupBy(*key, "r").agg(F.count("*").alias("hits"), F.count_if(is_cvt(F.col("node"))).alias("facts"))
+        rows = plan.join(counts, [*key, "r"], "left").join(ahead, [*key, "r"], "left").join(here.select(*key, has(i + 1).alias("_more")), key).na.fill(0, ["hits", "facts", "next_hits"])
+        warn = (F.col("hits") > fanout) | is_noisy(F.col("r")) | (F.col("_more") & (F.col("next_hits") == 0))
+        rows = rows.select(*key, F.lit(i).alias("layer"), "r", F.when(F.col("hits") == 0, "BLOCK").when(warn, "WARN").otherwise("PASS").alias("status"), "hits", "facts", "next_hits")
         out = rows if out is None else out.unionByName(rows)
-        k = F.row_number().over(Window.partitionBy("anchor").orderBy("node"))
-        new = kept(found.select("anchor", "node").distinct().withColumn("k", k).where(F.col("k") <= sample).drop("k"))
-        front = new.unionByName(front.join(new.select("anchor").distinct(), "anchor", "left_anti"))
-        seen = seen.unionByName(new).distinct()
+        k = F.row_number().over(Window.partitionBy(*key).orderBy("node"))
+        new = kept(found.dropDuplicates([*key, "node"]).withColumn("k", k).where(F.col("k") <= sample).select(*key, *PLAN, "node", F.array("node").alias("nodes")))
+        front = new.drop("node").unionByName(front.join(new.select(*key).distinct(), key, "left_anti").select(*key, *PLAN, "nodes"))
+        seen = seen.unionByName(new.select(*key, "node")).distinct()
     return out
 
 

@@ -1,189 +1,206 @@
-"""Relation-constrained walks. A state is a row: anchor, nodes, rels, edges (arrays),
-covered, skipped (bit masks of layers), terminal. Layers are relation sets in order.
-
-Hops are joins on the last node; caps apply inside the loop, ranked by windows that
-Catalyst limits per group. Ties break by the edge array, which is breadth-first order.
+"""Relation-constrained walks. A state is a row: [case_id,] anchor, nodes, rels, edges (arrays),
+covered, skipped (bit masks of layers), terminal. Layers are relation sets in order, one list
+for all anchors or a plan for each question (`plan.Plans`); with case_id, states of different
+questions never meet, whatever their names.
+
+A graph is edges (h, r, t), one for all questions or with case_id one for each, or what
+`adjacency.pack` made of them. Caps apply inside the loop, ranked by windows that Catalyst
+limits per group. Ties break by the edge array, which is breadth-first order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.text import _among, coverage, is_cvt
-from pathloom.operators.graph import both_ways, clean
+from pathloom.functions.text import _among, is_cvt
+from pathloom.operators.adjacency import Graph, as_graph, grow, key_of, last, pack
+from pathloom.operators.graph import both_ways
 from pathloom.operators.lineage import kept
+from pathloom.operators.plan import PLAN, Plans, after, as_plans, bit, covered_in_order, has, holds, is_last, mask
 
 STATE = ("anchor", "nodes", "rels", "edges", "covered", "skipped", "terminal")
 #: What a bridge to an endpoint adds to the terminal relations, with the layer's number.
 BRIDGE = "~bridge:"
+#: What a state carries besides: its plan, and how many hops its question has where that differs.
+CARRIED = (*PLAN, "n_hops")
 
 
-def start(anchors: DataFrame) -> DataFrame:
+def start(anchors: DataFrame, plans: Plans | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
-    return anchors.select("anchor", F.array("anchor").alias("nodes"), none.alias("rels"), none.alias("edges"), F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("skipped"), none.alias("terminal"))
-
+    own = anchors.select(*key_of(anchors), *(c for c in anchors.columns if c == "n_hops"))
+    own = own if plans is None else plans.attach(own)
+    return own.select(*key_of(own), F.array("anchor").alias("nodes"), none.alias("rels"), none.alias("edges"), F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("skipped"), none.alias("terminal"), *(c for c in CARRIED if c in own.columns))
 
-def last(nodes: str = "nodes") -> Column:
-    return F.element_at(nodes, -1)
 
+def bare(df: DataFrame) -> DataFrame:
+    """States without what they carry of their plan."""
+    return df.drop(*CARRIED)
 
-def bit(layer: int) -> Column:
-    return F.lit(1 << layer).cast("long")
 
+def hop(states: DataFrame, steps: DataFrame | Graph, where: Column | None = None, node_simple: bool = False) -> DataFrame:
+    """One hop over flat steps (src, r, dst, edge) or a packed graph. Edge-simple, or node-simple,
+    which implies it. Other columns come along."""
+    if isinstance(steps, Graph):
+        return steps.hop(states, None, where, node_simple)
+    met = states.join(steps, last() == F.col("src"))
+    return grow(states, met, where, node_simple)
 
-def mask_of(rel: Column, layers: list[list[str]]) -> Column:
-    """The bits of all layers that hold a relation."""
-    out = F.lit(0).cast("long")
-    for i, layer in enumerate(layers):
-        if layer:
-            out = out.bitwiseOR(F.when(rel.isin(*layer), bit(i)).otherwise(F.lit(0).cast("long")))
-    return out
 
-
-def hop(states: DataFrame, steps: DataFrame, where: Column | None = None, node_simple: bool = False) -> DataFrame:
-    """One hop. Edge-simple, or node-simple, which implies it. Other columns come along."""
-    joined = states.join(steps, last() == F.col("src"))
-    fresh = ~F.array_contains("nodes", F.col("dst")) if node_simple else ~F.array_contains("edges", F.col("edge"))
-    joined = joined.where(fresh if where is None else fresh & where)
-    grown = {"nodes": F.array_append("nodes", F.col("dst")), "rels": F.array_append("rels", F.col("r")), "edges": F.array_append("edges", F.col("edge"))}
-    return joined.select(*(grown[c].alias(c) if c in grown else F.col(c) for c in states.columns))
+def at_ends(states: DataFrame, ends: DataFrame, how: str = "left_semi") -> DataFrame:
+    """States that end at one of their question's endpoints ([case_id,] anchor, endpoint), or none."""
+    return states.withColumn("endpoint", last()).join(ends.select(*key_of(states), "endpoint").distinct(), [*key_of(states), "endpoint"], how).select(*states.columns)
 
 
 def dominance(states: DataFrame, cap: int) -> DataFrame:
-    """The best state for each (anchor, terminal relations, end, covered, skipped), then the
-    `cap` best of an anchor."""
-    order = [F.bit_count("covered").desc(), F.bit_count("skipped"), F.size("edges"), "terminal", last(), "edges"]
-    one = states.withColumn("k", F.row_number().over(Window.partitionBy("anchor", "terminal", last(), "covered", "skipped").orderBy(*order))).where("k = 1")
-    return one.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).where(F.col("k") <= cap).drop("k")
-
-
-def _bridge(states: DataFrame, steps: DataFrame, endpoints: DataFrame, layer: int) -> DataFrame:
-    """States that don't end at an endpoint of theirs, moved to one by the fewest of one or
-    two edges. `endpoints` has (anchor, endpoint)."""
-    ends = endpoints.select(F.col("anchor").alias("_a"), "endpoint").distinct()
-    open_ = states.join(ends, (F.col("anchor") == F.col("_a")) & (last() == F.col("endpoint")), "left_anti")
-    into = steps.join(ends, F.col("dst") == F.col("endpoint")).select("src", "r", "dst", "edge", "_a")
-    one = hop(open_, into, F.col("anchor") == F.col("_a"))
-    doors = into.select(F.col("src").alias("door")).distinct()
-    near = steps.join(doors, F.col("dst") == F.col("door"), "left_semi")
-    far = open_.join(one.select(F.col("anchor").alias("_x"), F.col("base").alias("_b")).distinct(), (F.col("anchor") == F.col("_x")) & (F.col("base") == F.col("_b")), "left_anti")
-    two = hop(hop(far, near), into, F.col("anchor") == F.col("_a"))
-    return one.unionByName(two).withColumn("covered", F.col("covered").bitwiseOR(bit(layer))).withColumn("terminal", F.array_append("terminal", F.lit(f"{BRIDGE}{layer}")))
-
-
-def mode_walk(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], cap: int = 1200, endpoints: DataFrame | None = None) -> DataFrame:
-    """Layer by layer: a target edge in one hop, else in two; a state without either is
+    """The best state for each (question, terminal relations, end, covered, skipped), then the
+    `cap` best of a question."""
+    key, order = key_of(states), [F.bit_count("covered").desc(), F.bit_count("skipped"), F.size("edges"), "terminal", last(), "edges"]
+    one = states.withColumn("k", F.row_number().over(Window.partitionBy(*key, "terminal", last(), "covered", "skipped").orderBy(*order))).where("k = 1")
+    return one.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("k") <= cap).drop("k")
+
+
+def _bridge(rest: DataFrame, graph: Graph, ends: DataFrame, layer: int) -> DataFrame:
+    """States that don't end at an endpoint of theirs, moved to one by the fewest of one or two
+    edges. Edges into endpoints are looked up from the endpoints' side."""
+    key, own = key_of(rest), [c for c in key_of(rest) if c == "case_id"]
+    asked = ends.select(*key, "endpoint").distinct()
+    doors = graph.lookup(asked.select(*own, F.array("endpoint").alias("nodes")).distinct()).select(*own, F.col("dst").alias("_door"), "r", last().alias("endpoint"), "edge")
+    into = kept(asked.join(doors, [*own, "endpoint"]).select(*key, "_door", "r", F.col("endpoint").alias("dst"), "edge"))
+
+    def arrive(states: DataFrame) -> DataFrame:
+        met = states.withColumn("_door", last()).join(into, [*key, "_door"])
+        return grow(states, met)
+
+    open_ = at_ends(rest, ends, "left_anti")
+    both = arrive(open_).withColumn("_n", F.lit(1)).unionByName(arrive(graph.hop(open_)).withColumn("_n", F.lit(2)))
+    least = F.min("_n").over(Window.partitionBy(*key, "base"))
+    near = both.withColumn("_m", least).where("_n = _m").drop("_n", "_m")
+    return near.withColumn("covered", F.col("covered").bitwiseOR(bit(layer))).withColumn("terminal", F.array_append("terminal", F.lit(f"{BRIDGE}{layer}")))
+
+
+def mode_walk(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, cap: int = 1200, endpoints: DataFrame | None = None) -> DataFrame:
+    """Layer by layer: target edges in one hop and in two; a state without either is
     bridged to an endpoint on the last layer (`endpoints`: anchor, endpoint), else keeps its
     place with the layer skipped, once it has moved. All states after each layer are paths.
 
-    Only middle nodes that have a target edge are expanded, so the two-hop arm makes no rows
-    that the second hop rejects for its relation. Hits are kept once a layer."""
-    steps = both_ways(clean(edges))
-    live = [i for i, layer in enumerate(layers) if layer]
-    states, out = start(anchors), None
-    for i in live:
-        target = F.col("r").isin(*layers[i])
-        aims = steps.where(target)
-        near = steps.where(~target).join(aims.select(F.col("src").alias("door")).distinct(), F.col("dst") == F.col("door"), "left_semi")
-        based = states.withColumn("base", F.col("edges"))
-        found = hop(based, aims).unionByName(hop(hop(based, near), aims))
-        hits = kept(found.withColumn("covered", F.col("covered").bitwiseOR(bit(i))).withColumn("terminal", F.array_append("terminal", F.element_at("rels", -1))))
-
-        def without(df: DataFrame, moved: DataFrame) -> DataFrame:
-            had = moved.select(F.col("anchor").alias("_x"), F.col("base").alias("_b")).distinct()
-            return df.join(had, (F.col("anchor") == F.col("_x")) & (F.col("base") == F.col("_b")), "left_anti")
-
-        rest = without(based, hits)
-        if endpoints is not None and i == live[-1]:
-            bridged = kept(_bridge(rest, steps, endpoints, i))
-            hits, rest = hits.unionByName(bridged), without(rest, bridged)
-        rest = rest.where(F.size("edges") > 0).withColumn("skipped", F.col("skipped").bitwiseOR(bit(i)))
-        states = dominance(hits.unionByName(rest).select(*STATE), cap)
-        out = states if out is None else out.unionByName(states)
-    first = Window.partitionBy("anchor", "nodes", "rels").orderBy(F.bit_count("covered").desc(), F.bit_count("skipped"), "edges")
-    return out.where(F.size("edges") > 0).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    A state and what became of it meet once, in a window over the state, which lets it stay
+    only if nothing did."""
+    graph, plans = as_graph(edges), as_plans(layers)
+    states, out = start(anchors, plans), None
+    key = key_of(states)
+
+    def settle(moved: DataFrame) -> DataFrame:
+        some = F.max("hit").over(Window.partitionBy(*key, "base"))
+        return moved.withColumn("some", some).where("hit or not some").drop("some")
+
+    for i in range(plans.n):
+        idle, based = states.where(~has(i)), states.where(has(i)).withColumn("base", F.col("edges"))
+        target = holds(F.col("r"), i)
+        found = graph.hop(based, target).unionByName(graph.hop(graph.hop(based, ~target), target))
+        hits = found.withColumn("covered", F.col("covered").bitwiseOR(bit(i))).withColumn("terminal", F.array_append("terminal", F.element_at("rels", -1)))
+        moved = settle(hits.withColumn("hit", F.lit(True)).unionByName(based.withColumn("hit", F.lit(False))))
+        if endpoints is not None:
+            moved = kept(moved)
+            bridged = _bridge(moved.where(~F.col("hit") & is_last(i)).drop("hit"), graph, endpoints, i)
+            moved = settle(moved.unionByName(bridged.withColumn("hit", F.lit(True))))
+        moved = moved.where(F.col("hit") | (F.size("edges") > 0)).withColumn("skipped", F.when(F.col("hit"), F.col("skipped")).otherwise(F.col("skipped").bitwiseOR(bit(i))))
+        done = kept(dominance(moved.select(*states.columns), cap))
+        out = done if out is None else out.unionByName(done)
+        states = done if plans.layers is not None and plans.layers[i] else done.unionByName(idle)
+    if out is None:
+        return bare(states).limit(0)
+    first = Window.partitionBy(*key, "nodes", "rels").orderBy(F.bit_count("covered").desc(), F.bit_count("skipped"), "edges")
+    return bare(out).where(F.size("edges") > 0).withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
 
 
 def hit_beam(states: DataFrame, most: int) -> DataFrame:
-    """The `most` states of an anchor that cover most layers, ties by edges."""
-    order = Window.partitionBy("anchor").orderBy(F.bit_count("covered").desc(), "edges")
+    """The `most` states of a question that cover most layers, ties by edges."""
+    order = Window.partitionBy(*key_of(states)).orderBy(F.bit_count("covered").desc(), "edges")
     return states.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 
 
-def k_queue(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], hops: int = 2, beam: int = 80, most: int = 5000) -> DataFrame:
-    """Node-simple breadth-first walk; every path that ends in a target relation is a result,
-    with the greedy in-order coverage of its relations. The frontier keeps the 2 * beam best;
-    an anchor with more than `most` results goes no further."""
-    steps = both_ways(clean(edges))
-    targets = sorted({r for layer in layers for r in layer})
-    front, out, n = start(anchors), None, len([x for x in layers if x])
-    for _ in range(hops * n):
-        grown = kept(hop(front, steps, node_simple=True).withColumn("covered", coverage(F.col("rels"), layers)))
-        done = grown.where(F.element_at("rels", -1).isin(*targets))
+def k_queue(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, hops: int = 2, beam: int = 80, most: int = 5000) -> DataFrame:
+    """Node-simple breadth-first walk, `hops` hops for each layer of the plan; every path that
+    ends in a target relation is a result, with the greedy in-order coverage of its relations.
+    The frontier keeps the 2 * beam best; a question with more than `most` results goes no further."""
+    graph, plans = as_graph(edges), as_plans(layers)
+    front, out = start(anchors, plans), None
+    key, columns = key_of(front), front.columns
+    for h in range(hops * plans.n):
+        due = front.where(F.lit(h) < hops * F.bit_count("live"))
+        grown = kept(graph.hop(due, node_simple=True).withColumn("covered", covered_in_order(F.col("rels"), plans.n)))
+        done = grown.where(mask(F.element_at("rels", -1)) != 0)
         out = done if out is None else out.unionByName(done)
-        full = out.groupBy("anchor").count().where(F.col("count") > most).select("anchor")
-        front = hit_beam(grown.join(full, "anchor", "left_anti").select(*STATE), 2 * beam)
-    rank = Window.partitionBy("anchor").orderBy((F.bit_count("covered") == n).desc(), F.bit_count("covered").desc(), F.col("covered").desc(), F.size("edges"), "edges")
-    return out.dropDuplicates(["anchor", "nodes", "rels"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most)
+        full = out.groupBy(*key).count().where(F.col("count") > most).select(*key)
+        front = hit_beam(grown.join(full, key, "left_anti").select(*columns), 2 * beam)
+    if out is None:
+        return bare(front).withColumn("rank", F.lit(1)).limit(0)
+    rank = Window.partitionBy(*key).orderBy((F.bit_count("covered") == F.bit_count("live")).desc(), F.bit_count("covered").desc(), F.col("covered").desc(), F.size("edges"), "edges")
+    return bare(out.dropDuplicates([*key, "nodes", "rels"]).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most))
 
 
 def diversity_beam(paths: DataFrame, limit: int = 80, per_group: int = 5) -> DataFrame:
     """The best `per_group` of each (last node, covered), then the others by rank, up to `limit`."""
-    order = [F.bit_count("covered").desc(), F.size("edges"), "edges"]
-    ranked = paths.withColumn("g", F.row_number().over(Window.partitionBy("anchor", last(), "covered").orderBy(*order)))
-    return ranked.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy((F.col("g") <= per_group).desc(), *order))).where(F.col("k") <= limit).drop("g", "k")
+    key, order = key_of(paths), [F.bit_count("covered").desc(), F.size("edges"), "edges"]
+    ranked = paths.withColumn("g", F.row_number().over(Window.partitionBy(*key, last(), "covered").orderBy(*order)))
+    return ranked.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy((F.col("g") <= per_group).desc(), *order))).where(F.col("k") <= limit).drop("g", "k")
 
 
-def connect_targets(paths: DataFrame, steps: DataFrame, targets: DataFrame, hops: int = 3, per_base: int = 5, limit: int = 80) -> DataFrame:
+def connect_targets(paths: DataFrame, steps: DataFrame | Graph, targets: DataFrame, hops: int = 3, per_base: int = 5, limit: int = 80) -> DataFrame:
     """Paths continued from their ends to targets (anchor, endpoint), at most `hops` hops:
     breadth-first, a node once for each base and length; a base that ends at a target has to
-    reach another. The `per_base` best of a base; all paths of an anchor if none connects."""
-    ends = targets.where("endpoint <> anchor").select(F.col("anchor").alias("_a"), "endpoint").distinct()
+    reach another. The `per_base` best of a base; all paths of a question if none connects."""
+    key, ends = key_of(paths), targets.where("endpoint <> anchor")
     front = paths.withColumn("_base", F.col("edges"))
     found = None
     for _ in range(hops):
         tail = F.slice("nodes", F.size("_base") + 1, F.lit(1 << 30))
         grown = hop(front, steps, ~F.array_contains(tail, F.col("dst")))
-        one = Window.partitionBy("anchor", "_base", last()).orderBy("edges")
-        grown = grown.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
-        at = (F.col("anchor") == F.col("_a")) & (last() == F.col("endpoint"))
-        done = grown.join(ends, at, "left_semi")
+        one = Window.partitionBy(*key, "_base", last()).orderBy("edges")
+        grown = kept(grown.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k"))
+        done = at_ends(grown, ends)
         found = done if found is None else found.unionByName(done)
-        front = grown.join(ends, at, "left_anti")
-    few = Window.partitionBy("anchor", "_base").orderBy(F.bit_count("covered").desc(), F.size("edges"), "edges")
+        front = at_ends(grown, ends, "left_anti")
+    few = Window.partitionBy(*key, "_base").orderBy(F.bit_count("covered").desc(), F.size("edges"), "edges")
     found = found.withColumn("k", F.row_number().over(few)).where(F.col("k") <= per_base).drop("k", "_base")
-    found = kept(diversity_beam(found.dropDuplicates(["anchor", "nodes", "rels"]), limit))
-    return found.unionByName(paths.join(found.select("anchor").distinct(), "anchor", "left_anti").select(*found.columns))
+    found = kept(diversity_beam(found.dropDuplicates([*key, "nodes", "rels"]), limit))
+    return found.unionByName(paths.join(found.select(*key).distinct(), key, "left_anti").select(*found.columns))
 
 
-def prior_expand(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 3, limit: int = 80, per_group: int = 5, targets: DataFrame | None = None) -> DataFrame:
+def prior_expand(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, max_hops: int = 3, limit: int = 80, per_group: int = 5, targets: DataFrame | None = None) -> DataFrame:
     """Layer by layer: node-simple segments that end at the first hit of the layer, at most
     `max_hops` hops in all, without repeating a relation twice in a row and without other
     layers' relations on the way. A missed layer is skipped and leaves the frontier as it is
     (so a second try of a missed last layer finds nothing new). With `targets` (anchor,
-    endpoint) the ends are connected to them. Acyclic paths come before others."""
-    steps = both_ways(clean(edges))
-    any_layer = sorted({r for layer in layers for r in layer})
-    front = start(anchors)
-    for i, layer in enumerate(layers):
-        if not layer:
+    endpoint) the ends are connected to them. Acyclic paths come before others. Anchors
+    may have `n_hops`, hops of their own up to the number of layers, in place of `max_hops`."""
+    graph, plans = as_graph(edges), as_plans(layers)
+    front = start(anchors, plans)
+    own = "n_hops" in front.columns
+    key, rounds, most = key_of(front), plans.n if own else max_hops, F.col("n_hops") if own else F.lit(max_hops)
+    for i in range(plans.n):
+        if plans.layers is not None and not plans.layers[i]:
             continue
-        aims, bridges = steps.where(F.col("r").isin(*layer)), steps.where(~F.col("r").isin(*any_layer))
+        aims, bridges = holds(F.col("r"), i), mask(F.col("r")) == 0
         turn = F.coalesce(F.try_element_at("rels", F.lit(-1)) != F.col("r"), F.lit(True))
-        open_, matched = front, None
-        for _ in range(max_hops):
-            grown = open_.where(F.size("edges") < max_hops)
-            hits = hop(grown, aims, turn, node_simple=True)
-            hits = hits.withColumn("covered", F.col("covered").bitwiseOR(bit(i)).bitwiseOR(mask_of(F.element_at("rels", -1), layers)))
+        open_, matched = front.where(has(i)), None
+        for h in range(rounds):
+            growing = open_.where(F.size("edges") < most)
+            hits = graph.hop(growing, aims & turn, node_simple=True)
+            hits = hits.withColumn("covered", F.col("covered").bitwiseOR(bit(i)).bitwiseOR(mask(F.element_at("rels", -1))))
             matched = hits if matched is None else matched.unionByName(hits)
-            open_ = diversity_beam(hop(grown, bridges, turn, node_simple=True), limit, per_group)
+            if h + 1 < rounds:
+                open_ = kept(diversity_beam(graph.hop(growing, bridges & turn, node_simple=True), limit, per_group))
         matched = kept(diversity_beam(matched, limit, per_group))
-        missed = front.join(matched.select("anchor").distinct(), "anchor", "left_anti").select(*STATE)
+        missed = front.join(matched.select(*key).distinct(), key, "left_anti").select(*front.columns)
         front = matched.unionByName(missed)
     if targets is not None:
-        front = connect_targets(front, steps, targets, max_hops, per_group, limit)
-    paths = prefer(front.where(F.size("edges") > 0).dropDuplicates(["anchor", "nodes", "rels"]), F.size("nodes") == F.size(F.array_distinct("nodes")), ["anchor"])
+        front = connect_targets(front, graph, targets, rounds, per_group, limit)
+    front = bare(front)
+    paths = prefer(front.where(F.size("edges") > 0).dropDuplicates([*key, "nodes", "rels"]), F.size("nodes") == F.size(F.array_distinct("nodes")), key)
     return diversity_beam(paths, limit, per_group)
 
 
@@ -198,10 +215,11 @@ def materialize(anchors: DataFrame, edges: DataFrame, rels: list[str], keep: int
 
 def meet(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Paths joined at a meeting node, disjoint elsewhere: (anchor, target, nodes)."""
-    f = forward.select("anchor", "nodes", last().alias("end"))
-    b = backward.select(F.col("anchor").alias("target"), F.col("nodes").alias("back"), last().alias("end"))
-    both = f.join(b, "end").where(~F.arrays_overlap(F.slice("nodes", 1, F.size("nodes") - 1), "back"))
-    return both.select("anchor", "target", F.concat("nodes", F.slice(F.reverse("back"), 2, F.size("back"))).alias("nodes"))
+    case = [c for c in forward.columns if c == "case_id"]
+    f = forward.select(*case, "anchor", "nodes", last().alias("end"))
+    b = backward.select(*case, F.col("anchor").alias("target"), F.col("nodes").alias("back"), last().alias("end"))
+    both = f.join(b, [*case, "end"]).where(~F.arrays_overlap(F.slice("nodes", 1, F.size("nodes") - 1), "back"))
+    return both.select(*case, "anchor", "target", F.concat("nodes", F.slice(F.reverse("back"), 2, F.size("back"))).alias("nodes"))
 
 
 def prefer(paths: DataFrame, flag: Column, keys: list[str]) -> DataFrame:
@@ -209,11 +227,6 @@ def prefer(paths: DataFrame, flag: Column, keys: list[str]) -> DataFrame:
     return paths.withColumn("_f", flag.cast("int")).withColumn("_m", F.max("_f").over(Window.partitionBy(*keys))).where("_f = _m").drop("_f", "_m")
 
 
-def acyclic(nodes: str = "nodes") -> Column:
-    named = F.filter(nodes, lambda x: ~is_cvt(x))
-    return F.size(named) == F.size(F.array_distinct(named))
-
-
 def compress(paths: DataFrame) -> DataFrame:
     """Paths as patterns: (anchor, chain, witness, n_paths, candidates). The chain joins relations
     between named nodes by ' -> ' and segments by ' / '; the witness is the best path."""
@@ -240,83 +253,87 @@ def bridge_triples(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode(join).alias("x")).select("x.*").distinct()
 
 
-def diagnose_layers(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 3, limit: int = 80, per_group: int = 5) -> DataFrame:
+def diagnose_layers(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, max_hops: int = 3, limit: int = 80, per_group: int = 5) -> DataFrame:
     """(anchor, layer, frontier_hit, anchor_hit, frontier_count, anchor_count). One node-simple
     beam search: a path's frontier advances when the next expected layer is met, and it
     remembers every layer it met. Hops from or to a fact node cost nothing."""
-    steps, n = both_ways(edges), len(layers)
-    states = start(anchors).withColumn("depth", F.lit(0)).withColumn("cost", F.lit(0))
-    hits = None
+    graph, plans = edges if isinstance(edges, Graph) else pack(edges, noise=True), as_plans(layers)
+    states = start(anchors, plans).withColumn("depth", F.lit(0)).withColumn("cost", F.lit(0)).withColumn("met", F.lit(0).cast("long")).withColumn("reached", F.lit(None).cast("int"))
+    key, hits = key_of(states), None
     for _ in range(max_hops * 3):
-        moved = states.join(steps, last() == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-        cost = F.col("cost") + F.when(is_cvt(F.col("src")) | is_cvt(F.col("dst")), 0).otherwise(1)
-        met = mask_of(F.col("r"), layers)
-        step_on = F.col("depth") < n
-        due = F.shiftright(met, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth"))) != 0
-        grown = moved.select("anchor", F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("rels", F.col("r")).alias("rels"), F.array_append("edges", F.col("edge")).alias("edges"), F.col("covered").bitwiseOR(met).alias("covered"), "skipped", "terminal", F.when(step_on & due, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), cost.alias("cost"), met.alias("met"), F.when(step_on & due, F.col("depth")).alias("reached"))
+        came = states.withColumn("_from", last())
+        moved = graph.hop(came, node_simple=True).withColumn("met", mask(F.element_at("rels", -1)))
+        due = F.col("met").bitwiseAND(bit(F.col("depth"))) != 0
+        cost = F.col("cost") + F.when(is_cvt(F.col("_from")) | is_cvt(last()), 0).otherwise(1)
+        grown = moved.withColumns({"covered": F.col("covered").bitwiseOR(F.col("met")), "reached": F.when(due, F.col("depth")), "depth": F.when(due, F.col("depth") + 1).otherwise(F.col("depth")), "cost": cost}).drop("_from")
         grown = kept(grown.where(F.col("cost") <= max_hops))
+        rows = grown.select(*key, "met", "reached")
+        hits = rows if hits is None else hits.unionByName(rows)
         if grown.isEmpty():
             break
-        rows = grown.select("anchor", "met", "reached")
-        hits = rows if hits is None else hits.unionByName(rows)
         order = [F.col("depth").desc(), "edges"]
-        ranked = grown.withColumn("g", F.row_number().over(Window.partitionBy("anchor", last(), "depth").orderBy(*order)))
-        states = ranked.withColumn("k", F.row_number().over(Window.partitionBy("anchor").orderBy((F.col("g") <= per_group).desc(), *order))).where(F.col("k") <= limit).drop("g", "k", "met", "reached")
-    plan = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("layer"))
-    if hits is None:
-        return plan.select("anchor", "layer", F.lit(False).alias("frontier_hit"), F.lit(False).alias("anchor_hit"), F.lit(0).cast("long").alias("frontier_count"), F.lit(0).cast("long").alias("anchor_count"))
-    each = hits.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("layer"), "met", "reached")
-    met_it = F.call_function("shiftright", F.col("met"), F.col("layer")).bitwiseAND(F.lit(1).cast("long")) != 0
-    counts = each.groupBy("anchor", "layer").agg(F.count_if(F.col("reached") == F.col("layer")).alias("frontier_count"), F.count_if(met_it).alias("anchor_count"))
-    return plan.join(counts, ["anchor", "layer"], "left").na.fill(0, ["frontier_count", "anchor_count"]).select("anchor", "layer", (F.col("frontier_count") > 0).alias("frontier_hit"), (F.col("anchor_count") > 0).alias("anchor_hit"), "frontier_count", "anchor_count")
-
-
-def canonical_path(rels: Column, layers: list[list[str]]) -> Column:
-    """How many hops of a path to keep: each layer in order up to its first hit after the one
-    before, until a layer is missed."""
-    at, alive = F.lit(0), F.lit(True)
-    for layer in layers:
-        if not layer:
-            continue
-        rest = F.slice(rels, at + 1, F.greatest(F.size(rels) - at, F.lit(0)))
-        hit = F.array_position(F.transform(rest, _among(layer)), F.lit(True)).cast("int")
-        at, alive = F.when(alive & (hit > 0), at + hit).otherwise(at), alive & (hit > 0)
-    return at
+        ranked = grown.withColumn("g", F.row_number().over(Window.partitionBy(*key, last(), "depth").orderBy(*order)))
+        states = ranked.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy((F.col("g") <= per_group).desc(), *order))).where(F.col("k") <= limit).drop("g", "k")
+    own = plans.attach(anchors.select(*key))
+    plan = own.withColumn("_n", plans.length()).where("_n > 0").select(*key, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("layer"))
+    each = hits.select(*key, F.explode(F.sequence(F.lit(0), F.lit(max(plans.n, 1) - 1))).alias("layer"), "met", "reached")
+    counts = each.groupBy(*key, "layer").agg(F.count_if(F.col("reached") == F.col("layer")).alias("frontier_count"), F.count_if(F.col("met").bitwiseAND(bit(F.col("layer"))) != 0).alias("anchor_count"))
+    return plan.join(counts, [*key, "layer"], "left").na.fill(0, ["frontier_count", "anchor_count"]).select(*key, "layer", (F.col("frontier_count") > 0).alias("frontier_hit"), (F.col("anchor_count") > 0).alias("anchor_hit"), "frontier_count", "anchor_count")
+
+
+def canonical_path(rels: Column, n: int) -> Column:
+    """How many hops of a path to keep: each of the plan's layers in order up to its first hit
+    after the one before, until a layer is missed."""
+    known = F.transform(rels, mask)
+
+    def step(state: Column, layer: Column) -> Column:
+        due = F.col("live").bitwiseAND(bit(layer)) != 0
+        here = F.transform(F.slice(known, state["at"] + 1, F.greatest(F.size(rels) - state["at"], F.lit(0))), lambda m: m.bitwiseAND(bit(layer)) != 0)
+        found = F.array_position(here, F.lit(True)).cast("int")
+        return F.struct(F.when(state["alive"] & due & (found > 0), state["at"] + found).otherwise(state["at"]).alias("at"), (state["alive"] & (~due | (found > 0))).alias("alive"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.struct(F.lit(0).alias("at"), F.lit(True).alias("alive")), step, lambda s: s["at"]) if n else F.lit(0)
 
 
-def canonicalize(paths: DataFrame, layers: list[list[str]]) -> DataFrame:
+def canonicalize(paths: DataFrame, layers: list[list[str]] | Plans) -> DataFrame:
     """Paths cut after their last layer hit in order; of equal ones the first; without any, gone."""
-    cut = paths.withColumn("_n", canonical_path(F.col("rels"), layers)).where("_n > 0")
+    plans = as_plans(layers)
+    own = paths if "live" in paths.columns else plans.attach(paths)
+    cut = own.withColumn("_n", canonical_path(F.col("rels"), plans.n)).where("_n > 0")
     for name, more in (("nodes", 1), ("rels", 0), ("edges", 0)):
         cut = cut.withColumn(name, F.slice(name, F.lit(1), F.col("_n") + more))
-    return cut.drop("_n").dropDuplicates(["anchor", "nodes", "rels"])
+    return cut.drop("_n").dropDuplicates([*key_of(paths), "nodes", "rels"]).select(*paths.columns)
 
 
-def has_next(states: DataFrame, steps: DataFrame, layer: list[str]) -> DataFrame:
-    """States whose end has an edge of the layer, itself or through a fact node next to it."""
-    doors = steps.where(F.col("r").isin(*layer)).select(F.col("src").alias("door")).distinct()
-    near = steps.where(is_cvt(F.col("dst"))).join(doors, F.col("dst") == F.col("door"), "left_semi").select(F.col("src").alias("door"))
-    return states.join(doors.unionByName(near).distinct(), last() == F.col("door"), "left_semi")
+def has_next(states: DataFrame, graph: Graph) -> DataFrame:
+    """States (with `next`, a layer or null) whose end has an edge of that layer, itself or
+    through a fact node next to it; all of those without a next one."""
+    key = key_of(states)
+    open_ = states.where("next is not null").select(*key, "nodes", "edges", *PLAN, "next")
+    wanted = holds(F.col("r"), F.col("next"))
+    near = graph.lookup(open_).where(is_cvt(F.col("dst"))).select(*key, F.array("dst").alias("nodes"), "edges", *PLAN, "next")
+    ok = graph.lookup(open_, wanted).select(*key, "edges").unionByName(graph.lookup(near, wanted).select(*key, "edges")).distinct()
+    return states.where("next is null").unionByName(states.where("next is not null").join(ok, [*key, "edges"], "left_semi").select(*states.columns))
 
 
-def chain_expand(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], limit: int = 1200) -> DataFrame:
+def chain_expand(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, limit: int = 1200) -> DataFrame:
     """A layer a hop, node-simple, through fact nodes to what is behind them; a hop must leave
     a way to the next layer. States that can't go on stay as they are and are results too."""
-    steps = both_ways(clean(edges))
-    live = [i for i, layer in enumerate(layers) if layer]
-    front, done = start(anchors), None
-    for k, i in enumerate(live):
-        moved = hop(front.withColumn("base", F.col("edges")), steps.where(F.col("r").isin(*layers[i])), node_simple=True)
+    graph, plans = as_graph(edges), as_plans(layers)
+    front, done = start(anchors, plans), None
+    key, columns = key_of(front), front.columns
+    for i in range(plans.n):
+        here = front.where(has(i)).withColumn("base", F.col("edges"))
+        moved = graph.hop(here, holds(F.col("r"), i), node_simple=True)
         facts = moved.where(is_cvt(last()))
-        moved = moved.unionByName(hop(facts, steps.where(~is_cvt(F.col("dst"))), node_simple=True)).withColumn("covered", F.col("covered").bitwiseOR(bit(i)))
-        if k + 1 < len(live):
-            moved = has_next(moved, steps, layers[live[k + 1]])
-        moved = kept(moved)
-        gone = moved.select(F.col("anchor").alias("_a"), F.col("base").alias("_b")).distinct()
-        stuck = front.join(gone, (F.col("anchor") == F.col("_a")) & (F.col("edges") == F.col("_b")), "left_anti").where(F.size("edges") > 0)
+        moved = moved.unionByName(graph.hop(facts, None, ~is_cvt(F.col("dst")), node_simple=True)).withColumn("covered", F.col("covered").bitwiseOR(bit(i)))
+        moved = kept(has_next(moved.withColumn("next", after(i)), graph))
+        gone = moved.select(*key, F.col("base").alias("edges")).distinct()
+        stuck = here.where(F.size("edges") > 0).join(gone, [*key, "edges"], "left_anti").select(*columns)
         done = stuck if done is None else done.unionByName(stuck)
-        front = hit_beam(moved.drop("base"), limit)
-    return front.unionByName(done).dropDuplicates(["anchor", "nodes", "rels"])
+        front = hit_beam(moved.select(*columns), limit).unionByName(front.where(~has(i)))
+    front = front if done is None else front.unionByName(done)
+    return bare(front.dropDuplicates([*key, "nodes", "rels"]))
 
 
 def edge_tier(r: Column, target: list[str], pool: list[str]) -> Column:
@@ -324,80 +341,105 @@ def edge_tier(r: Column, target: list[str], pool: list[str]) -> Column:
     return F.when(r.isin(*target) if target else F.lit(False), 0).when(r.isin(*pool) if pool else F.lit(False), 1).otherwise(2)
 
 
-def guided_hop(states: DataFrame, steps: DataFrame, target: list[str], pool: list[str], spare: int = 5, alone: int = 10) -> DataFrame:
+def tiered_hop(states: DataFrame, steps: DataFrame | Graph, tier: Callable[[Column], Column], spare: int = 5, alone: int = 10) -> DataFrame:
     """One node-simple hop by tiers: target edges and the first `spare` of the pool; without
     target edges the pool and the first `spare` others; without both the first `alone`."""
-    grown = hop(states.withColumn("base", F.col("edges")), steps, node_simple=True).withColumn("tier", edge_tier(F.element_at("rels", -1), target, pool))
-    own = Window.partitionBy("anchor", "base")
-    grown = grown.withColumn("best", F.min("tier").over(own)).withColumn("k", F.row_number().over(Window.partitionBy("anchor", "base", "tier").orderBy("edges")))
+    key = key_of(states)
+    grown = hop(states.withColumn("base", F.col("edges")), steps, node_simple=True).withColumn("tier", tier(F.element_at("rels", -1)))
+    own = Window.partitionBy(*key, "base")
+    grown = grown.withColumn("best", F.min("tier").over(own)).withColumn("k", F.row_number().over(Window.partitionBy(*key, "base", "tier").orderBy("edges")))
     ok = (F.col("tier") == F.col("best")) & ((F.col("best") < 2) | (F.col("k") <= alone)) | (F.col("tier") == F.col("best") + 1) & (F.col("k") <= spare)
     return grown.where(ok).drop("base", "best", "k", "tier")
 
 
-def chain_search(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 4, limit: int = 80, per_group: int = 5) -> DataFrame:
-    """Paths of at most `max_hops` hops that end in the last layer; where an anchor has none, in
+def guided_hop(states: DataFrame, steps: DataFrame | Graph, target: list[str], pool: list[str], spare: int = 5, alone: int = 10) -> DataFrame:
+    """A tiered hop by relations that are the same for all states."""
+    return tiered_hop(states, steps, lambda r: edge_tier(r, target, pool), spare, alone)
+
+
+def plan_tier(layer: int | Column) -> Callable[[Column], Column]:
+    """Tiers by the state's plan: a layer's relations, the other layers', others."""
+    return lambda r: F.when(holds(r, layer), 0).when(mask(r) != 0, 1).otherwise(2)
+
+
+def chain_search(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, max_hops: int = 4, limit: int = 80, per_group: int = 5) -> DataFrame:
+    """Paths of at most `max_hops` hops that end in the last layer; where a question has none, in
     the one before, and so on. Hops take target edges before the plan's other relations
     before the first five others."""
-    steps = both_ways(clean(edges))
-    pool = sorted({r for layer in layers for r in layer})
-    out, open_ = None, anchors.select("anchor")
-    for i in reversed([i for i, layer in enumerate(layers) if layer]):
-        front, found = start(open_), None
+    graph, plans = as_graph(edges), as_plans(layers)
+    key = key_of(anchors)
+    out, open_ = None, anchors.select(*key)
+    for i in reversed([i for i in range(plans.n) if plans.layers is None or plans.layers[i]]):
+        front, found = start(open_, plans).where(has(i)), None
         for _ in range(max_hops):
-            grown = guided_hop(front, steps, layers[i], pool).withColumn("covered", coverage(F.col("rels"), layers))
+            grown = tiered_hop(front, graph, plan_tier(i)).withColumn("covered", covered_in_order(F.col("rels"), plans.n))
             grown = kept(diversity_beam(grown, limit, per_group))
-            hits = grown.where(F.element_at("rels", -1).isin(*layers[i]))
+            hits = grown.where(holds(F.element_at("rels", -1), i))
             found = hits if found is None else found.unionByName(hits)
             front = grown
         out = found if out is None else out.unionByName(found)
-        open_ = kept(open_.join(out.select("anchor").distinct(), "anchor", "left_anti"))
+        open_ = kept(open_.join(out.select(*key).distinct(), key, "left_anti"))
         if open_.isEmpty():
             break
-    return diversity_beam(out.dropDuplicates(["anchor", "nodes", "rels"]), limit, per_group)
+    if out is None:
+        return bare(start(open_, plans)).limit(0)
+    return bare(diversity_beam(out.dropDuplicates([*key, "nodes", "rels"]), limit, per_group))
 
 
-def bidirectional(pairs: DataFrame, edges: DataFrame, layers: list[list[str]], max_hops: int = 5, limit: int = 50, per_group: int = 6) -> DataFrame:
+def bidirectional(pairs: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, max_hops: int = 5, limit: int = 50, per_group: int = 6) -> DataFrame:
     """(anchor, target, nodes) of pairs (anchor, target): both ends are walked, the side with
     fewer states a hop at a time, each hop guided by the layer it should be; paths join where
-    they meet, disjoint elsewhere."""
-    steps = both_ways(clean(edges))
-    pool = sorted({r for layer in layers for r in layer})
-    sides = [start(pairs.select("anchor").distinct()), start(pairs.select(F.col("target").alias("anchor")).distinct())]
-    held, done, out = list(sides), [0, 0], None
+    they meet, disjoint elsewhere. Each question takes its own side; without case_id all pairs
+    are one question."""
+    graph, plans = as_graph(edges), as_plans(layers)
+    own = pairs if "case_id" in pairs.columns else pairs.withColumn("case_id", F.lit(0))
+    held = [start(own.select("case_id", end.alias("anchor")).distinct(), plans).withColumn("done", F.lit(0)) for end in (F.col("anchor"), F.col("target"))]
+    sides, out = list(held), None
     for _ in range(max_hops):
-        side = 0 if done[0] == 0 or (done[1] > 0 and held[0].count() <= held[1].count()) else 1  # two counts of beams
-        at = done[side] if side == 0 else len(layers) - 1 - done[side]
-        target = layers[at] if 0 <= at < len(layers) else []
-        grown = guided_hop(held[side], steps, target, pool).withColumn("covered", coverage(F.col("rels"), layers))
-        held[side] = kept(diversity_beam(grown, limit, per_group))
-        sides[side] = sides[side].unionByName(held[side])
-        done[side] += 1
-        found = meet(sides[0], sides[1]).join(pairs, ["anchor", "target"], "left_semi")
+        n = [h.groupBy("case_id").agg(F.count("*").alias(f"n{i}"), F.max("done").alias(f"d{i}")) for i, h in enumerate(held)]
+        both = n[0].join(n[1], "case_id", "full").na.fill(0)
+        forward = (F.col("d0") == 0) | (F.col("d1") > 0) & (F.col("n0") <= F.col("n1"))
+        turn = kept(both.select("case_id", forward.alias("forward")))
+        for side in (0, 1):
+            mine = turn.where(F.col("forward") == F.lit(side == 0)).select("case_id")
+            going, resting = (held[side].join(mine, "case_id", how).select(*held[side].columns) for how in ("left_semi", "left_anti"))
+            at = F.col("done") if side == 0 else plans.length() - 1 - F.col("done")
+            layer = F.when((at >= 0) & (at < plans.n), at).otherwise(62)  # a layer that no plan has
+            moved = tiered_hop(going.withColumn("_layer", layer.cast("int")), graph, plan_tier(F.col("_layer"))).drop("_layer")
+            moved = moved.withColumns({"covered": covered_in_order(F.col("rels"), plans.n), "done": F.col("done") + 1})
+            moved = kept(diversity_beam(moved, limit, per_group))
+            sides[side], held[side] = sides[side].unionByName(moved), moved.unionByName(resting)
+        found = meet(sides[0], sides[1]).join(own, ["case_id", "anchor", "target"], "left_semi")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out.distinct() if "case_id" in pairs.columns else out.drop("case_id").distinct()
 
 
-def layer_frontier(anchors: DataFrame, edges: DataFrame, layers: list[list[str]], limit: int = 80, hops: int = 2) -> DataFrame:
+def layer_frontier(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, limit: int = 80, hops: int = 2) -> DataFrame:
     """A breadth-first search for each layer that stops a branch at its first hit; a layer
-    that an anchor misses borrows the next one's relations. Then the best of each (last node,
+    that a question misses borrows the next one's relations. Then the best of each (last node,
     covered) before others, and paths cut at their last hit in order."""
-    steps = both_ways(clean(edges))
-    live = [i for i, layer in enumerate(layers) if layer]
-    front = start(anchors)
-    for k, i in enumerate(live):
-        def search(states: DataFrame, layer: list[str], mark: int) -> DataFrame:
-            open_, found = states, None
-            for _ in range(hops):
-                grown = hop(open_, steps, node_simple=True)
-                hit = grown.where(F.element_at("rels", -1).isin(*layer)).withColumn("covered", F.col("covered").bitwiseOR(bit(mark)))
-                found = hit if found is None else found.unionByName(hit)
-                open_ = hit_beam(grown.where(~F.element_at("rels", -1).isin(*layer)), 4 * limit)
-            return found
-
-        found = kept(diversity_beam(search(front, layers[i], i), limit, 1))
-        rest = front.join(found.select("anchor").distinct(), "anchor", "left_anti")
-        if k + 1 < len(live):
-            lent = kept(diversity_beam(search(rest, layers[live[k + 1]], live[k + 1]), limit, 1))
-            rest = lent.unionByName(rest.join(lent.select("anchor").distinct(), "anchor", "left_anti"))
-        front = found.unionByName(rest)
-    return canonicalize(front.where(F.size("edges") > 0), layers)
+    graph, plans = as_graph(edges), as_plans(layers)
+    front = start(anchors, plans)
+    key, columns = key_of(front), front.columns
+
+    def search(states: DataFrame) -> DataFrame:
+        """From states with `aim`, a layer, to their first edges of it."""
+        open_, found = states, None
+        for _ in range(hops):
+            grown = graph.hop(open_, node_simple=True).withColumn("_hit", holds(F.element_at("rels", -1), F.col("aim")))
+            hit = grown.where("_hit").withColumn("covered", F.col("covered").bitwiseOR(bit(F.col("aim")))).drop("_hit")
+            found = hit if found is None else found.unionByName(hit)
+            open_ = kept(hit_beam(grown.where("not _hit").drop("_hit"), 4 * limit))
+        return kept(diversity_beam(found.drop("aim"), limit, 1))
+
+    for i in range(plans.n):
+        if plans.layers is not None and not plans.layers[i]:
+            continue
+        here, idle = front.where(has(i)), front.where(~has(i))
+        found = search(here.withColumn("aim", F.lit(i)))
+        rest = here.join(found.select(*key).distinct(), key, "left_anti").select(*columns)
+        if i + 1 < plans.n:
+            lent = search(rest.withColumn("aim", after(i)).where("aim is not null"))
+            rest = lent.unionByName(rest.join(lent.select(*key).distinct(), key, "left_anti").select(*columns))
+        front = found.unionByName(rest).unionByName(idle)
+    return bare(canonicalize(front.where(F.size("edges") > 0), plans))
