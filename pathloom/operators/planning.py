@@ -12,6 +12,7 @@ from pathloom.functions.text import is_cvt, is_noisy, normalize, token_overlap
 from pathloom.operators.adjacency import Graph, as_graph, key_of, pack
 from pathloom.operators.graph import both_ways
 from pathloom.operators.lineage import kept
+from pathloom.operators.matching import containing
 from pathloom.operators.plan import PLAN, Plans, as_plans, has, holds
 from pathloom.operators.retrieve import vector_topk
 
@@ -104,17 +105,21 @@ def resolve_anchors(mentions: DataFrame, entities: DataFrame, seeds: DataFrame,
     entities (case_id, ent_id, name). Tiers: equal when normalized; one contains the other and
     the mention has `least` characters; by a seed (case_id, pos, seed) that matches the mention
     and equals an entity; the first seed's entity; the case's first entity. Mentions in
-    order, then tier, then the first entity. Joins are within a case."""
+    order, then tier, then the first entity. Names that contain one another meet over
+    grams within a case (`matching`)."""
     e = entities.select("case_id", "ent_id", "name", normalize(F.col("name")).alias("e"))
     m = mentions.select("case_id", "pos", normalize(F.col("mention")).alias("m")).where("m <> ''")
 
-    def near(a: str, b: str) -> Column:
-        return (F.length(a) >= least) & (F.col(b) != "") & (F.contains(a, F.col(b)) | F.contains(b, F.col(a)))
+    def meet(side: DataFrame, name: str) -> DataFrame:
+        """Mentions beside texts of `side` that are equal, or of which one contains the other."""
+        pairs = containing(m.select("case_id", F.col("m").alias("text")), side.select("case_id", F.col(name).alias("text")), ["case_id"], least_left=least)
+        same = m.select("case_id", F.col("m").alias("left"), F.col("m").alias("right")).distinct()
+        pairs = pairs.unionByName(same).distinct().withColumnsRenamed({"left": "m", "right": name})
+        return m.join(pairs, ["case_id", "m"]).join(side, ["case_id", name])
 
-    both = m.join(e, "case_id").where((F.col("m") == F.col("e")) | near("m", "e"))
-    direct = both.select("case_id", "pos", F.when(F.col("m") == F.col("e"), 1).otherwise(2).alias("tier"), "ent_id", "name")
+    direct = meet(e, "e").select("case_id", "pos", F.when(F.col("m") == F.col("e"), 1).otherwise(2).alias("tier"), "ent_id", "name")
     s = seeds.select("case_id", F.col("pos").alias("k"), normalize(F.col("seed")).alias("s")).where("s <> ''")
-    told = m.join(s, "case_id").where((F.col("m") == F.col("s")) | near("m", "s")).join(e.withColumnRenamed("e", "s"), ["case_id", "s"]).select("case_id", "pos", F.lit(3).alias("tier"), "ent_id", "name")
+    told = meet(s.select("case_id", "s"), "s").join(e.withColumnRenamed("e", "s"), ["case_id", "s"]).select("case_id", "pos", F.lit(3).alias("tier"), "ent_id", "name")
     first = s.where("k = 0").join(e.withColumnRenamed("e", "s"), ["case_id", "s"]).select("case_id", F.lit(1 << 20).alias("pos"), F.lit(4).alias("tier"), "ent_id", "name")
     any_ = e.where("ent_id = 0").select("case_id", F.lit(1 << 20).alias("pos"), F.lit(5).alias("tier"), "ent_id", "name")
     found = reduce(DataFrame.unionByName, [x.withColumn("pos", F.col("pos").cast("int")) for x in (direct, told, first, any_)])
@@ -127,8 +132,10 @@ def resolve_longest(mentions: DataFrame, entities: DataFrame, least: int = 4) ->
     characters."""
     e = entities.where(~is_cvt(F.col("name"))).select("case_id", "ent_id", "name", normalize(F.col("name")).alias("e"))
     m = mentions.select("case_id", "pos", normalize(F.col("mention")).alias("m"))
-    near = (F.length("m") >= least) & (F.length("e") >= least) & (F.contains("m", F.col("e")) | F.contains("e", F.col("m")))
-    both = m.join(e, "case_id").where(((F.col("m") == F.col("e")) & (F.col("m") != "")) | near)
+    pairs = containing(m.select("case_id", F.col("m").alias("text")), e.select("case_id", F.col("e").alias("text")), ["case_id"], least_left=least, least_right=least)
+    same = m.where("m <> ''").select("case_id", F.col("m").alias("left"), F.col("m").alias("right"))
+    pairs = pairs.unionByName(same).distinct().withColumnsRenamed({"left": "m", "right": "e"})
+    both = m.join(pairs, ["case_id", "m"]).join(e, ["case_id", "e"])
     rank = F.struct((F.col("m") != F.col("e")).alias("far"), (-F.length("e")).alias("size"), "ent_id", "name")
     return both.groupBy("case_id", "pos").agg(F.min(rank).alias("x")).select("case_id", "pos", "x.ent_id", "x.name")
 
@@ -142,17 +149,30 @@ def role_endpoints(roles: DataFrame, entities: DataFrame, anchors: DataFrame) ->
     return found.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("pos")) - 1).select("case_id", "k", "ent_id", "name")
 
 
-#: Our own cues of questions that ask for a profession without its name.
-PROFESSION_CUES = ("profession", "occupation", "career", "job title", "known for doing", "famous for doing", "notable for doing", "actions or deeds", "actions and contributions", "career activit")
+#: Words of what people do for a living, singular and plural.
+OCCUPATION_WORDS = ("career", "careers", "employment", "job", "jobs", "occupation", "occupations", "profession", "professions", "trade", "trades", "vocation", "work", "works")
+#: Words that ask for what somebody is known for.
+FAME_WORDS = ("acclaimed", "best", "celebrated", "famous", "known", "notable", "remembered", "renowned")
 
 
 def asks_profession(text: Column) -> Column:
-    """A cue, or 'what did|does ... do' as words."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
-    words = F.split(F.regexp_replace(t, "[^a-z ]", ""), " ")
-    after = F.slice(words, F.array_position(words, "what").cast("int") + 1, F.size(words))
-    does = F.array_contains(words, "what") & F.get(after, F.lit(0)).isin("did", "does") & F.array_contains(F.slice(after, 3, 1 << 20), "do")
-    return reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in PROFESSION_CUES]) | F.coalesce(does, F.lit(False))
+    """Whether a text asks what somebody does: it has a word of an occupation, or asks with
+    'what' or 'how' and a later form of 'do', or speaks of fame for doings (a word of fame, then
+    'for', then a form of 'do', deeds or actions)."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+", " ")), " ")
+
+    def place(*some: str) -> Column:
+        """Of the first of some words, from 1; a place beyond all without any."""
+        at = F.array_position(F.transform(words, lambda w: w.isin(*some)), F.lit(True))
+        return F.when(at > 0, at).otherwise(F.lit(1 << 30))
+
+    def later(first: Column, *some: str) -> Column:
+        return (first < (1 << 30)) & F.exists(F.slice(words, F.least(first, F.size(words)).cast("int"), F.size(words)), lambda w: w.isin(*some))
+
+    occupied = F.exists(words, lambda w: w.isin(*OCCUPATION_WORDS))
+    asked = later(F.least(place("what"), place("how")), "do", "did", "does", "doing") & (F.array_contains(words, "do") | F.array_contains(words, "doing"))
+    famed = (place(*FAME_WORDS) < place("for")) & later(place("for"), "do", "doing", "done", "deed", "deeds", "action", "actions", "contribution", "contributions")
+    return occupied | asked | famed
 
 
 def retrieval_queries(steps: DataFrame, cases: DataFrame) -> DataFrame:
