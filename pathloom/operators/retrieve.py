@@ -48,6 +48,43 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def topk_within(queries: DataFrame, candidates: DataFrame, k: int | Column, group: list[str], query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+    """Exact top-k of the candidates (group, cand_id, embedding) of a query's own group (group,
+    query_id, query), by score rounded to 4 digits, then id; `k` may be a column of the
+    queries. A group meets itself only, block by block: large groups are cut into blocks by
+    their counted size, a pair of blocks sends on its k best a query, and those are ranked."""
+    key = [F.col(g) for g in group]
+    q = queries.select(*key, "query_id", "query", (F.lit(k) if isinstance(k, int) else k).cast("int").alias("k"))
+    n_q = q.groupBy(*group).agg(F.ceil(F.count("*") / query_block).cast("int").alias("qs"))
+    n_c = candidates.groupBy(*group).agg(F.ceil(F.count("*") / candidate_block).cast("int").alias("cs"))
+    sizes = n_q.join(n_c, group)
+
+    def blocks(df: DataFrame, own: str, other: str, name: str, a: str, b: str) -> DataFrame:
+        return df.join(sizes, group).withColumn(a, F.pmod(F.xxhash64(name), F.col(own)).cast("int")).withColumn(b, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("qs", "cs")
+
+    left, right = blocks(q, "qs", "cs", "query_id", "qb", "cb"), blocks(candidates.select(*key, "cand_id", "embedding"), "cs", "qs", "cand_id", "cb", "qb")
+    right = right.select(*(F.col(c).alias(f"r_{c}" if c in (*group, "qb", "cb") else c) for c in right.columns))  # both sides hold columns of `sizes`
+
+    def best(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            none = {g: mine.column(g).slice(0, 0) for g in group}
+            return pa.table(none | {"query_id": mine.column("query_id").slice(0, 0), "k": mine.column("k").slice(0, 0), "cand_id": theirs.column("cand_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        theirs = theirs.sort_by("cand_id")
+        score = np.round(_matrix(mine.column("query")) @ _matrix(theirs.column("embedding")).T, 4)
+        wanted = np.minimum(mine.column("k").to_numpy(), theirs.num_rows)
+        top = np.argsort(-score, axis=1, kind="stable")[:, : max(int(wanted.max()), 0)]
+        rows = np.repeat(np.arange(mine.num_rows), wanted)
+        place = np.concatenate([top[i, :n] for i, n in enumerate(wanted)]) if len(rows) else np.zeros(0, np.int64)
+        at = pa.array(rows)
+        return pa.table({g: mine.column(g).take(at) for g in group} | {"query_id": mine.column("query_id").take(at), "k": mine.column("k").take(at), "cand_id": theirs.column("cand_id").take(pa.array(place)), "score": pa.array(score[rows, place])})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, names in ((queries, [*group, "query_id"]), (candidates, ["cand_id"])) for c in names}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, "query_id"]) + f", k int, cand_id {kinds['cand_id']}, score double"
+    found = left.groupBy(*group, "qb", "cb").cogroup(right.groupBy(*(f"r_{c}" for c in (*group, "qb", "cb")))).applyInArrow(best, schema)
+    order = Window.partitionBy(*group, "query_id").orderBy(F.col("score").desc(), "cand_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).drop("k")
+
+
 def merge_queries(hits: DataFrame, group: str) -> DataFrame:
     """(group, cand_id, score): the best score of a candidate over the queries of a group."""
     return hits.groupBy(group, "cand_id").agg(F.max("score").alias("score"))

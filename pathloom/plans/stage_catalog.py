@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators import answers as A
 from pathloom.operators import evidence as E
 from pathloom.operators import graph as G
+from pathloom.operators import matching as M
 from pathloom.operators import planning as P
+from pathloom.operators import resolution as N
+from pathloom.operators import retrieve as R
 from pathloom.operators import select as S
 from pathloom.operators import stage as ST
 from pathloom.operators import walk as W
+from pathloom.operators.plan import Plans
 from pathloom.plans import catalog as C
 from pathloom.sources import cases as K
 from pathloom.sources import testkg
@@ -319,3 +323,99 @@ def merge_names(spark, d):
     base = _sql(spark, d, "select cast(n_nationkey as string) as anchor, p as pos, case p when 1 then n_name when 2 then 'x' else 'Two' end as name from nation lateral view explode(sequence(1, 3)) v as p")
     extra = _sql(spark, d, "select cast(n_nationkey as string) as anchor, p as pos, case p when 1 then lower(n_name) when 2 then 'three' else 'TWO!' end as name from nation lateral view explode(sequence(1, 3)) v as p")
     return ST.merge_names(base, extra)
+
+
+_OWN = """with o as (select o_custkey as c, o_orderkey as k, 'o' || row_number() over (partition by o_custkey order by o_orderkey) as o from orders),
+li as (select distinct l_orderkey, l_linenumber, l_partkey from lineitem),
+g as (select c as case_id, o as h, 'sales.order.customer' as r, 'me' as t from o
+  union all select c, o, 'sales.order.item', 'm.' || o || '_' || l_linenumber from o join (select distinct l_orderkey, l_linenumber from li) l on l_orderkey = k
+  union all select c, 'm.' || o || '_' || l_linenumber, 'sales.item.part', 'part:' || l_partkey from o join li on l_orderkey = k),
+bi as (select case_id, h as src, r, t as dst, h || '|' || r || '|' || t as edge from g union all select case_id, t, r, h, h || '|' || r || '|' || t from g),
+s1 as (select case_id, dst as n1, edge as e1 from bi where src = 'me' and r = 'sales.order.customer'),
+s2 as (select s1.*, dst as n2, edge as e2 from s1 join bi on bi.case_id = s1.case_id and src = n1 where r = 'sales.order.item'),
+s3 as (select s2.*, dst as n3, edge as e3 from s2 join bi on bi.case_id = s2.case_id and src = n2 where r = 'sales.item.part')"""
+
+
+def _own_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A graph for each customer: 'me', orders by number, their items and parts. Names of
+    different customers are the same, but for the parts."""
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    own = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("case_id"), "o_orderkey", F.concat(F.lit("o"), k).alias("o"))
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey").distinct()
+    fact = F.concat(F.lit("m."), "o", F.lit("_"), "l_linenumber")
+    both = own.join(items, "o_orderkey")
+    edge = lambda h, r, t: F.struct(h.alias("h"), F.lit(r).alias("r"), t.alias("t"))
+    inner = both.select("case_id", F.explode(F.array(edge(F.col("o"), "sales.order.item", fact), edge(fact, "sales.item.part", F.concat(F.lit("part:"), "l_partkey")))).alias("e")).select("case_id", "e.*").distinct()
+    return own.select("case_id", F.col("o").alias("h"), F.lit("sales.order.customer").alias("r"), F.lit("me").alias("t")).unionByName(inner)
+
+
+def _own_plans(spark: SparkSession, d: str) -> tuple[DataFrame, Plans]:
+    """Customers with orders, and a plan for each by their number: all three layers, orders alone,
+    or orders and a layer that no graph has."""
+    who = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("case_id")).distinct()
+    layers = F.when(F.col("case_id") % 3 == 0, F.array(*map(F.lit, ("sales.order.customer", "sales.order.item", "sales.item.part")))).when(F.col("case_id") % 3 == 1, F.array(F.lit("sales.order.customer"))).otherwise(F.array(F.lit("sales.order.customer"), F.lit("product.part.brand")))
+    return who.withColumn("anchor", F.lit("me")), Plans.of_cases(who.select("case_id", F.posexplode(layers).alias("layer", "rel")))
+
+
+@query(_OWN + """, w as (select case_id, 'me>' || n1 || '>' || n2 || '>' || n3 as nodes, 7::bigint as covered, row_number() over (partition by case_id order by e1, e2, e3) as k from s3 where case_id % 3 = 0
+  union all select case_id, 'me>' || n1 || '>' || n2, 3, row_number() over (partition by case_id order by e1, e2) from s2 where case_id % 3 = 0
+  union all select case_id, 'me>' || n1, 1, row_number() over (partition by case_id order by e1) from s1 where case_id % 3 = 0)
+select case_id, nodes, covered from w where k = 1 and nodes not like '%m.%' or k = 1 and covered <> 3
+union all select case_id, nodes, covered from w where k = 1 and covered = 3
+union all select case_id, 'me>' || n1, 1 from s1 where case_id % 3 <> 0""")
+def stage5_cases(spark, d):
+    """Every customer is a question with a graph and a plan of its own; one Spark plan for all."""
+    anchors, plans = _own_plans(spark, d)
+    return ST.traverse(anchors, _own_graphs(spark, d), plans).select("case_id", *_join("nodes"), "covered")
+
+
+@query(_OWN + """, p as (select case_id, 0 as layer, 'sales.order.customer' as r, n1 as t from s1 union all select case_id, 1, 'sales.order.item', n2 from s2 where case_id % 3 = 0 union all select case_id, 2, 'sales.item.part', n3 from s3 where case_id % 3 = 0)
+select case_id, layer::int as layer, r, count(distinct t) as n from p group by case_id, layer, r""")
+def layer_targets_cases(spark, d):
+    """Distinct targets of each layer's relations, by question, over all paths of the mode walk."""
+    anchors, plans = _own_plans(spark, d)
+    return ST.layer_targets(W.mode_walk(anchors, _own_graphs(spark, d), plans, cap=BIG), plans).select("case_id", "layer", "r", "n")
+
+
+@query("with q as (select vec_id, label, embedding from embeddings where vec_id % 50 = 0), s as (select q.label as case_id, q.vec_id as query_id, e.vec_id as cand_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 4) as score from q join embeddings e on q.label = e.label), k as (select *, row_number() over (partition by case_id, query_id order by score desc, cand_id) as rank from s) select case_id, query_id, cand_id, score, rank::int as rank from k where rank <= 5")
+def topk_within_cases(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("label").alias("case_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return R.topk_within(q, e.select(F.col("label").alias("case_id"), F.col("vec_id").alias("cand_id"), "embedding"), 5, ["case_id"], query_block=16, candidate_block=64)
+
+
+@query("""with q as (select vec_id, label, embedding, vec_id % 100 = 0 as anchor from embeddings where vec_id % 50 = 0),
+s as (select q.label as case_id, q.vec_id as ask, q.anchor, 'item ' || e.vec_id as name, e.vec_id, round(list_dot_product(q.embedding::double[], e.embedding::double[]), 4) as score from q join embeddings e on q.label = e.label),
+k as (select *, row_number() over (partition by case_id, ask order by score desc, name) as rank from s),
+f as (select * from k where rank <= case when anchor then 5 else 3 end),
+c as (select case_id, ask, anchor, count(*) as n, string_agg(name, '|' order by rank) as candidates, max(name) filter (rank = 1) as first, max(name) filter (rank = 2) as second, max(vec_id) filter (rank = 1) as v1, max(vec_id) filter (rank = 2) as v2 from f group by case_id, ask, anchor)
+select case_id, ask, case when anchor then 'anchor' else 'endpoint' end as kind, candidates, case when n = 1 and not anchor then null when n > 1 and ask % 4 = 0 then second else first end as selected, case when n = 1 and not anchor then null when n > 1 and ask % 4 = 0 then v2 else v1 end as ent_id, n > 1 as asked from c""")
+def entity_resolution(spark, d):
+    """Items of a label are a case's entities; recorded replies name the second candidate, in
+    other letters, for every other query, and say nothing for the rest."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("case_id"), F.col("vec_id").alias("ent_id"), F.concat(F.lit("item "), "vec_id").alias("name"), "embedding")
+    asked = e.where("ent_id % 50 = 0").select("case_id", F.col("ent_id").alias("ask"), F.when(F.col("ent_id") % 100 == 0, "anchor").otherwise("endpoint").alias("kind"), F.concat(F.lit("find "), "ent_id").alias("query"), "embedding")
+    vectors = e.select(F.col("name").alias("text"), "embedding").unionByName(asked.select(F.col("query").alias("text"), "embedding"))
+    second = F.regexp_extract("prompt", r"\n2\. (item \d+)", 1)
+    replies = lambda p: p.select("prompt_id", F.when(F.get_json_object("prompt_id", "$.ask").cast("long") % 4 == 0, F.concat(F.lit("<selected>\""), F.upper(second), F.lit("\"</selected>"))).otherwise("").alias("response"))
+    edges = e.select("case_id", F.col("name").alias("h"), F.lit("kg.next").alias("r"), F.concat(F.lit("item "), F.col("ent_id") + 1).alias("t"))
+    out = N.resolve_entities(asked.drop("embedding"), e.select("case_id", "ent_id", "name"), edges, vectors, replies)
+    return out.select("case_id", "ask", "kind", F.array_join("candidates", "|").alias("candidates"), "selected", "ent_id", "asked")
+
+
+@query("with p as (select distinct p_brand as scope, p_name as name from part), w as (select scope, name, unnest(string_split(name, ' ')) as word from p) select distinct w.scope, w.word as small, p.name as large from w join p on p.scope = w.scope and contains(p.name, w.word)")
+def contained_names(spark, d):
+    """Words of part names inside the names of the same brand, over grams."""
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("scope"), F.col("p_name").alias("text"))
+    return M.contained(p.select("scope", F.explode(F.split("text", " ")).alias("text")), p, ["scope"])
+
+
+@query("""with a as (select distinct c_nationkey as scope, c_name as name from customer), b as (select distinct s_nationkey as scope, replace(s_name, 'Supplier', 'Customer') as name from supplier),
+n as (select a.scope, a.name as l, b.name as r from a join b using (scope))
+select scope, l as "left", r as "right" from n where levenshtein(l, r) <= 1""")
+def resembling_names(spark, d):
+    """Names of customers and suppliers of a nation with one digit changed at most: of 18
+    characters with 17 in order the ratio is 0.944. Moved digits reach it too and go again."""
+    a = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("scope"), F.col("c_name").alias("text"))
+    b = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("scope"), F.regexp_replace("s_name", "Supplier", "Customer").alias("text"))
+    return M.resembling(a, b, ["scope"], 0.92, least=8).where(F.levenshtein("left", "right") <= 1).select("scope", "left", "right")
