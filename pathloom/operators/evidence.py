@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import is_ascii, is_cvt, is_noisy, is_noisy_attribute, normalize, relation_short
-from pathloom.operators.graph import both_ways
+from pathloom.operators.graph import both_ways, owner
 from pathloom.operators.stage import pattern_key
 
 
@@ -58,41 +58,50 @@ def path_triples(support: DataFrame) -> DataFrame:
 
 def fact_attributes(facts: DataFrame, edges: DataFrame, on_path: DataFrame | None = None) -> DataFrame:
     """(node, k, r, h, t): edges of fact nodes (node) with named neighbours, ordered by: on the
-    path, quiet relation, ASCII name, short name, relation, name, then the edge itself."""
-    near = both_ways(edges).join(facts.select("node").distinct(), F.col("src") == F.col("node")).where(~is_cvt(F.col("dst")))
+    path, quiet relation, ASCII name, short name, relation, name, then the edge itself. Edges
+    with an anchor are that question's own, and so are the rows."""
+    own = owner(edges)
+    near = both_ways(edges).withColumnRenamed("src", "node").join(facts.select(*own, "node").distinct(), [*own, "node"]).where(~is_cvt(F.col("dst")))
     parts = F.split("edge", r"\|")
-    near = near.select("node", "r", parts[0].alias("h"), parts[2].alias("t"), F.col("dst").alias("name"))
+    near = near.select(*own, "node", "r", parts[0].alias("h"), parts[2].alias("t"), F.col("dst").alias("name"))
     if on_path is not None:
-        near = near.join(on_path.select("h", "r", "t").distinct().withColumn("_on", F.lit(True)), ["h", "r", "t"], "left")
+        near = near.join(on_path.select(*own, "h", "r", "t").distinct().withColumn("_on", F.lit(True)), [*own, "h", "r", "t"], "left")
     else:
         near = near.withColumn("_on", F.lit(None).cast("boolean"))
     order = [F.coalesce("_on", F.lit(False)).desc(), is_noisy_attribute(F.col("r")), (~is_ascii(F.col("name"))), F.length("name"), "r", "name", "h", "t"]
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(*order))).select("node", "k", "r", "h", "t")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy(*own, "node").orderBy(*order))).select(*own, "node", "k", "r", "h", "t")
 
 
 def sibling_facts(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, h, r, sibling): other fact nodes of the same head and relation as the asked ones,
-    the first `most` of each."""
-    own = edges.where(is_cvt(F.col("t")))
-    asked = own.join(nodes.select(F.col("node").alias("t")).distinct(), "t", "left_semi").select("h", "r", F.col("t").alias("node"))
-    both = asked.join(own.select("h", "r", F.col("t").alias("sibling")), ["h", "r"]).where("node <> sibling")
-    return both.withColumn("k", F.row_number().over(Window.partitionBy("node", "h", "r").orderBy("sibling"))).where(F.col("k") <= most).drop("k")
+    the first `most` of each. A head's facts are packed once, sorted; only the asked ones unpack
+    the first `most` + 1 of them, so a head costs its facts and not their square."""
+    own = owner(edges)
+    facts = edges.where(is_cvt(F.col("t"))).select(*own, "h", "r", "t").distinct()
+    asked = facts.withColumnRenamed("t", "node").join(nodes.select(*own, "node").distinct(), [*own, "node"], "left_semi")
+    heads = facts.join(asked.select(*own, "h", "r").distinct(), [*own, "h", "r"], "left_semi")
+    k = F.row_number().over(Window.partitionBy(*own, "h", "r").orderBy("t"))
+    few = heads.withColumn("k", k).where(F.col("k") <= most + 1).groupBy(*own, "h", "r").agg(F.array_sort(F.collect_list("t")).alias("all"))
+    each = asked.join(few, [*own, "h", "r"]).withColumn("others", F.slice(F.filter("all", lambda x: x != F.col("node")), 1, most))
+    return each.select(*own, "node", "h", "r", F.explode("others").alias("sibling"))
 
 
 def pattern_evidence(support: DataFrame, edges: DataFrame, attributes: int = 8, siblings: int = 8) -> DataFrame:
     """(anchor, chain, place, phase, pos, h, r, t): triples of support paths (phase 0), attributes
     of their fact nodes (1) and, for the first path, the sibling facts with theirs (2). Names
-    must be ASCII and longer than one character; of triples equal when normalized the first."""
-    own = path_triples(support)
+    must be ASCII and longer than one character; of triples equal when normalized the first.
+    Edges are one graph, or with an anchor each question's own."""
+    own = owner(edges)
+    steps = path_triples(support)
     facts = support.select("anchor", "chain", "place", F.explode(F.filter("nodes", is_cvt)).alias("node")).distinct()
-    shown = fact_attributes(facts, edges, own).where(F.col("k") <= attributes)
-    first = own.select("anchor", "chain", "place", F.lit(0).alias("phase"), "pos", "h", "r", "t")
-    second = facts.join(shown, "node").select("anchor", "chain", "place", F.lit(1).alias("phase"), F.col("k").alias("pos"), "h", "r", "t")
-    near = sibling_facts(facts.where("place = 1").select("node"), edges, siblings)
-    heads = facts.where("place = 1").join(near, "node")
+    shown = fact_attributes(facts, edges, steps).where(F.col("k") <= attributes)
+    first = steps.select("anchor", "chain", "place", F.lit(0).alias("phase"), "pos", "h", "r", "t")
+    second = facts.join(shown, [*own, "node"]).select("anchor", "chain", "place", F.lit(1).alias("phase"), F.col("k").alias("pos"), "h", "r", "t")
+    near = sibling_facts(facts.where("place = 1").select("anchor", "node"), edges, siblings)
+    heads = facts.where("place = 1").join(near, [*own, "node"])
     third = heads.select("anchor", "chain", "place", F.lit(2).alias("phase"), F.lit(0).alias("pos"), "h", "r", F.col("sibling").alias("t"))
-    more = fact_attributes(near.select(F.col("sibling").alias("node")), edges).where(F.col("k") <= attributes).withColumnsRenamed({"node": "_n", "h": "_h", "r": "_r", "t": "_t"})
-    fourth = heads.select("anchor", "chain", "place", "sibling").join(more, F.col("sibling") == F.col("_n")).select("anchor", "chain", "place", F.lit(2).alias("phase"), F.col("k").alias("pos"), F.col("_h").alias("h"), F.col("_r").alias("r"), F.col("_t").alias("t"))
+    more = fact_attributes(near.select(*own, F.col("sibling").alias("node")), edges).where(F.col("k") <= attributes)
+    fourth = heads.select("anchor", "chain", "place", F.col("sibling").alias("node")).join(more, [*own, "node"]).select("anchor", "chain", "place", F.lit(2).alias("phase"), F.col("k").alias("pos"), "h", "r", "t")
     rows = first.unionByName(second).unionByName(third).unionByName(fourth)
     good = lambda c: is_ascii(F.col(c)) & (F.length(c) > 1)
     rows = rows.where(good("h") & good("t"))
@@ -101,6 +110,19 @@ def pattern_evidence(support: DataFrame, edges: DataFrame, attributes: int = 8,
     return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
 
 
+def evidence_bodies(evidence: DataFrame, order: DataFrame, lines: int = 400) -> DataFrame:
+    """(anchor, chain, text): a pattern's evidence as lines 'h -[relation]-> a, b', in order of
+    first appearance; over a question's patterns, in order (anchor, chain, place), no more than
+    `lines` in all."""
+    at = F.struct(F.col("place").alias("p"), "phase", "pos")
+    line = evidence.groupBy("anchor", "chain", "h", "r").agg(F.min(at).alias("at"), F.array_sort(F.collect_set("t")).alias("ts"))
+    rows = line.join(order.select("anchor", "chain", F.col("place").alias("_place")), ["anchor", "chain"])
+    k = F.row_number().over(Window.partitionBy("anchor").orderBy("_place", "at", "h", "r"))
+    few = rows.withColumn("k", k).where(F.col("k") <= lines)
+    text = F.concat(F.col("h"), F.lit(" -["), relation_short(F.col("r")), F.lit("]-> "), F.array_join("ts", ", "))
+    return few.groupBy("anchor", "chain").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", text.alias("x")))), lambda x: x["x"]), "\n").alias("text"))
+
+
 def shared_attributes(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, shared): 'relation=name' pairs that all fact nodes of a group (group, node) have,
     in order; of groups of two nodes and more."""

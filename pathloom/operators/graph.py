@@ -13,10 +13,15 @@ def clean(edges: DataFrame) -> DataFrame:
     return edges.where(~is_noisy(F.col("r")))
 
 
+def owner(edges: DataFrame) -> list[str]:
+    """Columns that say whose graph an edge belongs to, where each question has its own."""
+    return [c for c in ("case_id", "anchor") if c in edges.columns]
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
-    """(src, r, dst, edge): each edge in both directions, a self-loop once; with case_id if
-    edges have one."""
-    edge, case = F.concat_ws("|", "h", "r", "t").alias("edge"), [c for c in edges.columns if c == "case_id"]
+    """(src, r, dst, edge): each edge in both directions, a self-loop once; with what says whose
+    edges they are (`owner`), if anything."""
+    edge, case = F.concat_ws("|", "h", "r", "t").alias("edge"), owner(edges)
     return edges.select(*case, F.col("h").alias("src"), "r", F.col("t").alias("dst"), edge).unionByName(edges.where("h <> t").select(*case, F.col("t").alias("src"), "r", F.col("h").alias("dst"), edge))
 
 

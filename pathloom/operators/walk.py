@@ -153,6 +153,8 @@ def connect_targets(paths: DataFrame, steps: DataFrame | Graph, targets: DataFra
     """Paths continued from their ends to targets (anchor, endpoint), at most `hops` hops:
     breadth-first, a node once for each base and length; a base that ends at a target has to
     reach another. The `per_base` best of a base; all paths of a question if none connects."""
+    if not hops:
+        return paths
     key, ends = key_of(paths), targets.where("endpoint <> anchor")
     front = paths.withColumn("_base", F.col("edges"))
     found = None

@@ -135,23 +135,33 @@ def select_patterns(call: Ask, patterns: DataFrame) -> Stage:
     return run
 
 
-def answer(call: Ask, style: str = "v2") -> Stage:
-    """Adds llm_answer and answer_tier: a reply over the evidence (columns evidence, candidates,
-    answer_type), a direct one for questions without paths, then the repair ladder."""
+def answer(call: Ask, style: str = "v2", entities: DataFrame | None = None) -> Stage:
+    """Adds llm_answer, answer_tier and validation: a reply over the evidence (columns evidence,
+    candidates, answer_type), a direct one for questions without paths; then answers are checked
+    against the case's `entities`, if given, with a second question for names that are not there,
+    then a retry for the format, one over the candidates, and the candidates themselves."""
 
     def run(state: DataFrame) -> DataFrame:
         known = {"question": F.col("question"), "evidence": F.col("evidence"), "candidates": F.array_join("candidates", ", "), "answer_type": F.coalesce("answer_type", F.lit("any"))}
         said = F.when(F.col("needs_direct_answer"), prompt("direct", **known)).otherwise(prompt(style, **known))
         rows = kept(ask(state, call, said, "llm_reasoning_full").withColumn("llm_reasoning_prompt", said))
-        base = rows.select("case_id", "question", X.final_answer(F.col("llm_reasoning_full")).alias("answer"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+        base = kept(rows.select("case_id", "question", "evidence", X.final_answer(F.col("llm_reasoning_full")).alias("answer"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates")))
 
-        def retry(bad: DataFrame) -> DataFrame:
-            full = bad.join(base.select("case_id", "question"), "case_id")
-            told = prompt("retry", problem=F.coalesce("answer", F.lit("nothing")), question=F.col("question"), candidates=F.array_join("candidates", ", "))
-            return ask(full, call, told, "r").select("case_id", X.final_answer(F.col("r")).alias("retried"))
+        def again(template: str) -> Callable[[DataFrame], DataFrame]:
+            def retry(bad: DataFrame) -> DataFrame:
+                lost = F.array_join("unmatched", ", ") if "unmatched" in bad.columns else F.coalesce("answer", F.lit("nothing"))
+                full = bad.select("case_id", lost.alias("_lost")).join(base, "case_id")
+                told = prompt(template, problem=F.col("_lost"), question=F.col("question"), evidence=F.col("evidence"), candidates=F.array_join("candidates", ", "))
+                return ask(full.drop("answer"), call, told, "r").select("case_id", X.final_answer(F.col("r")).alias("retried"))
 
-        mended = A.repair(base.drop("question"), [retry]).select("case_id", F.col("answer").alias("llm_answer"), F.col("tier").alias("answer_tier"))
-        return rows.join(mended, "case_id", "left")
+            return retry
+
+        asked = base.select("case_id", "answer", "candidates")
+        if entities is not None:
+            asked = kept(A.validated(asked, entities, again("not_in_graph")))
+        mended = A.repair(asked, [again("retry"), again("entity")])
+        extra = [F.col("validation")] if entities is not None else []
+        return rows.join(mended.select("case_id", F.col("answer").alias("llm_answer"), F.col("tier").alias("answer_tier"), *extra), "case_id", "left")
 
     return run
 
@@ -182,14 +192,16 @@ def trajectories(state: DataFrame) -> DataFrame:
     return rows.select("case_id", F.concat_ws("\n", *said, flags).alias("trace"))
 
 
-def main(argv: list[str] | None = None, ask_with: Ask | None = None) -> DataFrame:
-    """Reads questions and samples, picks the preset, plans, and writes results. Without a model
-    all replies are empty, which tests the way through."""
+def main(argv: list[str] | None = None, ask_with: Ask | None = None, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """Reads questions and samples, picks the preset, answers, and writes results. Without a
+    model all replies are empty, which tests the way through; without an encoder texts are
+    compared by their words."""
     at = argparse.ArgumentParser(description="Answers questions over packed subgraphs.")
     for name, more in (("questions", {"required": True}), ("samples", {"required": True}), ("out", {"required": True}), ("mask", {}), ("limit", {"type": int}), ("dataset", {"choices": sorted(C.PRESETS)})):
         at.add_argument(f"--{name}", **more)
     given = at.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    from pathloom.plans import answering
     from pathloom.sources.testkg import read_samples
 
     samples = read_samples(spark, given.samples)
@@ -199,9 +211,8 @@ def main(argv: list[str] | None = None, ask_with: Ask | None = None) -> DataFram
     mask = spark.read.schema("case_id string").json(given.mask) if given.mask else None
     cases = C.join_cases(C.read_questions(spark, given.questions), samples.select(F.col("case_id").alias("sample_id"), F.col("question").alias("sample_question")), mask, given.limit)
     silent: Ask = lambda p: p.select("prompt_id", F.lit("").alias("response"))
-    call = ask_with or silent
-    state, _ = run_stages(cases, [("cascade", cascade(call, options.allow_one_step))])
-    rows = result_rows(scored(state.withColumn("llm_answer", F.lit(""))).withColumn("gt_answers", F.col("gt")))
+    state = kept(answering.answer_questions(cases, samples, ask_with or silent, encode, options))
+    rows = result_rows(state.withColumn("gt_answers", F.col("gt")))
     sinks.write_results(rows, f"{given.out}/results.json")
     sinks.write_traces(trajectories(state.withColumn("gt_answers", F.col("gt"))), f"{given.out}/trajectories")
     return rows

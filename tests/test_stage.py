@@ -305,3 +305,47 @@ def test_prompts_fill_and_read_back(spark):
     made = spark.range(1).select(prompts.prompt("v2", question=F.lit("Q?"), evidence=F.lit("line 1\nline 2")).alias("p")).select("p", prompts.graph_evidence(F.col("p")).alias("e")).first()
     assert "Question: Q?" in made.p and "\\boxed{name}" in made.p and "{evidence}" not in made.p and "line 1\nline 2" in made.e
     assert set(prompts.STYLES) <= set(prompts.TEMPLATES)
+
+
+def test_a_run_that_answers(spark, tmp_path):
+    """Two questions, graphs and plans of their own with shared names, recorded replies; one
+    answer is written otherwise in the graph, one is not in it and is asked again."""
+    def plan(subject, *predicates):
+        marks = ["?x", "?y", "?z"]
+        triples = [{"source_subquestion": i + 1, "subject": subject if i == 0 else marks[i - 1], "predicate": p, "object": marks[i]} for i, p in enumerate(predicates)]
+        return "<answer>" + json.dumps({"triples": triples, "entity_roles": [{"entity": subject, "role": "anchorentity"}]}) + "</answer>"
+
+    samples = [
+        {"id": "c1", "question": "In which land is the capital that Romulus founded?", "q_entity": ["Romulus"], "text_entity_list": ["Romulus", "Rome", "Italy", "Gaul"], "non_text_entity_list": ["m.1"], "relation_list": ["person.founder.city", "place.city.land", "type.object.type"], "h_id_list": [0, 4, 1, 0], "r_id_list": [0, 0, 1, 2], "t_id_list": [4, 1, 2, 3]},
+        {"id": "c2", "question": "Who leads Gaul?", "q_entity": [], "text_entity_list": ["Gaul", "Vercingetorix", "Rome"], "non_text_entity_list": [], "relation_list": ["land.leader.person", "land.neighbour.land"], "h_id_list": [0, 0], "r_id_list": [0, 1], "t_id_list": [1, 2]},
+        {"id": "c3", "question": "What is lost?", "q_entity": [], "text_entity_list": ["X"], "non_text_entity_list": [], "relation_list": [], "h_id_list": [], "r_id_list": [], "t_id_list": []},
+    ]
+    (tmp_path / "s.json").write_text("\n".join(map(json.dumps, samples)))
+    (tmp_path / "q.json").write_text(json.dumps([{"case_id": s["id"], "question": s["question"], "gt": g} for s, g in zip(samples, (["Italy"], ["Vercingetorix"], ["Y"]), strict=True)]))
+
+    def call(asked):
+        def reply(p):
+            romulus, gaul = "Romulus" in p, "leads Gaul" in p
+            if p.startswith("Split") and (romulus or gaul):
+                return "<answer>1. Which city did Romulus found\n2. In which land is it</answer>" if romulus else "<answer>1. Who is the leader of Gaul</answer>"
+            if p.startswith("Write one triple") and (romulus or gaul):
+                return plan("Romulus", "founder of city", "city in land") if romulus else plan("Gaul", "leader person")
+            if p.startswith("For each step"):
+                return "<selected>step_1: [1]\nstep_2: [1]</selected>"
+            if p.startswith("Choose the patterns"):
+                return "<selected>1</selected>"
+            if "not in the graph" in p:
+                return "<answer>\\boxed{Vercingetorix}</answer>"
+            if p.startswith("Follow the patterns"):
+                assert "Pattern 1" in p and (("city land]-> Italy" in p) if romulus else ("leader person]-> Vercingetorix" in p)), p
+                return "<answer>\\boxed{ italy }</answer>" if romulus else "<answer>\\boxed{Asterix}</answer>"
+            return ""
+
+        return asked.sparkSession.createDataFrame([(r.prompt_id, reply(r.prompt)) for r in asked.collect()], "prompt_id string, response string")
+
+    rows = runner.main(["--questions", str(tmp_path / "q.json"), "--samples", str(tmp_path / "s.json"), "--out", str(tmp_path / "out"), "--dataset", "webqsp"], call)
+    got = {r.case_id: r for r in rows.collect()}
+    assert (got["c1"].llm_answer, got["c2"].llm_answer) == ("Italy", "Vercingetorix")
+    assert (got["c1"].llm_f1, got["c2"].llm_f1, got["c1"].gt_hit, got["c2"].llm_hit) == (1.0, 1.0, True, True)
+    assert got["c1"].anchor_name == "Romulus" and got["c1"].num_paths > 0 and "Italy" in got["c1"].answer_candidates
+    assert got["c3"].error == "no valid plan" and got["c3"].llm_f1 == 0.0
