@@ -287,9 +287,9 @@ def rank_anchors(candidates: DataFrame, edges: DataFrame, relations: DataFrame,
 def anchor_shortcuts(diagnostics: DataFrame) -> DataFrame:
     """(anchor, clear): layers to empty. A layer that the frontier misses but the anchor reaches
     empties the one before it. `diagnostics` has anchor, layer, frontier_hit, anchor_hit."""
-    return diagnostics.where(~F.col("frontier_hit") & F.col("anchor_hit") & (F.col("layer") > 0)).select("anchor", (F.col("layer") - 1).alias("clear")).distinct()
+    return diagnostics.where(~F.col("frontier_hit") & F.col("anchor_hit") & (F.col("layer") > 0)).select(*key_of(diagnostics), (F.col("layer") - 1).alias("clear")).distinct()
 
 
 def without_layers(plans: DataFrame, clear: DataFrame) -> DataFrame:
     """Plans (anchor, layer, r) without the cleared layers."""
-    return plans.join(clear.withColumnRenamed("clear", "layer"), ["anchor", "layer"], "left_anti")
+    return plans.join(clear.withColumnRenamed("clear", "layer"), [*key_of(clear), "layer"], "left_anti")

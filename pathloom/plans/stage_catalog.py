@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators import answers as A
+from pathloom.operators import attempts as T
 from pathloom.operators import evidence as E
 from pathloom.operators import graph as G
 from pathloom.operators import matching as M
@@ -15,6 +16,7 @@ from pathloom.operators import retrieve as R
 from pathloom.operators import select as S
 from pathloom.operators import stage as ST
 from pathloom.operators import walk as W
+from pathloom.operators.adjacency import pack
 from pathloom.operators.plan import Plans
 from pathloom.plans import catalog as C
 from pathloom.sources import cases as K
@@ -419,3 +421,49 @@ def resembling_names(spark, d):
     a = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("scope"), F.col("c_name").alias("text"))
     b = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").alias("scope"), F.regexp_replace("s_name", "Supplier", "Customer").alias("text"))
     return M.resembling(a, b, ["scope"], 0.92, least=8).where(F.levenshtein("left", "right") <= 1).select("scope", "left", "right")
+
+
+@query(_e(ITEMS, ", i as (select h as o, t as li from edges where r = 'sales.order.item'), t as (select o as anchor, o as h, 'sales.order.item' as r, li as t from i union all select o, li, r, t from i join edges on h = li) select anchor, h, r, t from t"))
+def pattern_evidence(spark, d):
+    """Each order's paths to its parts, with the suppliers of the items on them."""
+    e = testkg.edges(spark, d, ITEMS)
+    steps = G.both_ways(e)
+    orders = e.where("r = 'sales.order.item'").select(F.col("h").alias("anchor")).distinct()
+    paths = W.hop(W.hop(W.start(orders), steps, F.col("r") == "sales.order.item"), steps, F.col("r") == "sales.item.part")
+    return E.pattern_evidence(E.support_paths(paths), e).select("anchor", "h", "r", "t")
+
+
+@query("""with e as (select s_nationkey as n, s_suppkey as k, lower(s_name) as name, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),
+top as (select n, string_agg(lower(name), ' | ' order by i) as five from e where i <= 5 group by n)
+select k as case_id, case when k % 6 = 4 then five else name end as answer, case k % 6 when 1 then 'fixed' when 3 then 'retried' else 'kept' end as validation, case k % 6 when 2 then 1 when 4 then 3 when 5 then 2 else 0 end::int as tier from e join top using (n)""")
+def answer_ladder(spark, d):
+    """A supplier is a case, the suppliers of its nation are the graph. Replies name it as it is, in
+    other letters, not at all until asked again, by a name that is nowhere, never, or only once
+    the candidates are shown."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("case_id"), F.col("s_nationkey").alias("n"), F.lower("s_name").alias("name"))
+    graph = s.select("case_id", "n").join(s.select("n", F.col("case_id").alias("ent"), "name"), "n")
+    entities = graph.select("case_id", F.col("ent").alias("ent_id"), "name")
+    few = s.select("n", "case_id", "name").withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy("case_id"))).where("i <= 5")
+    options = few.groupBy("n").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]).alias("candidates"))
+    kind, own = F.col("case_id") % 6, F.col("name")
+    said = F.when(kind == 0, own).when(kind == 1, F.upper(own)).when(kind == 3, F.lit("nobody at all")).otherwise("none")
+    cases = s.join(options, "n").select("case_id", said.alias("answer"), "candidates")
+
+    def reply(to: Column):
+        return lambda bad: bad.select("case_id").join(s, "case_id").select("case_id", F.when(to, F.col("name")).otherwise("").alias("retried"))
+
+    return A.answer_ladder(cases, entities, reply(kind == 3), [reply(kind == 2), reply(kind == 5)]).select("case_id", "answer", "validation", "tier")
+
+
+@query(_OWN + """, c as (select o.c as case_id, count(distinct o) as n, max((exists (select 1 from li where l_orderkey = o.k))::int) as items from o group by o.c),
+p as (select case_id, 0 as attempt, 'primary' as label, case when case_id % 3 = 0 and items = 1 then 3 else 1 end as n_covered, case when case_id % 3 = 0 and items = 1 then 3 else n end as n_paths, true as taken from c
+  union all select case_id, 1, 'reselect_failed_layer', case when items = 1 then 2 else 1 end, case when items = 1 then 2 else n end, items = 1 from c where case_id % 3 = 2 or case_id % 3 = 0 and items = 0)
+select case_id, attempt::int as attempt, label, n_covered::int as n_covered, n_paths, taken from p""")
+def planning_attempts(spark, d):
+    """Customers' plans of which one in three asks for a layer that no graph has: it is chosen
+    again, and taken where it covers more."""
+    anchors, plans = _own_plans(spark, d)
+    graph = pack(_own_graphs(spark, d))
+    again = lambda missed: missed.withColumn("rel", F.lit("sales.order.item"))
+    out = T.to_fixed_point(T.primary(anchors, graph, plans), graph, reselect=again)
+    return out.attempts.select("case_id", "attempt", "label", "n_covered", "n_paths", "taken")
