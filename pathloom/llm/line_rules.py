@@ -38,11 +38,10 @@ def _weighted(docs: DataFrame) -> DataFrame:
     return docs.join(copies, F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key")), "left").select("host", "text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
 
 
-def frequent_lines(docs: DataFrame, ratio: float, sigmas: float, fold: bool, distinct: bool = False) -> DataFrame:
-    """(host, lines): hashes of the lines in more than ratio * documents of the host, plus
-    `sigmas` times the root of that: what chance may add to a small host and what fades in a
-    large one. `docs` has host and text. With `distinct`, equal
-    texts of a host are one document."""
+def frequent_lines(docs: DataFrame, ratio: float, fold: bool, distinct: bool = False) -> DataFrame:
+    """(host, lines): hashes of the lines in two documents or more and in more than ratio *
+    documents of the host. `docs` has host and text. With `distinct`, equal texts of a host are
+    one document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,7 +69,7 @@ def frequent_lines(docs: DataFrame, ratio: float, sigmas: float, fold: bool, dis
     counted = shares.mapInArrow(count, "host string, line long, n double").groupBy("host", "line").agg(F.round(F.sum("n")).cast("long").alias("n"))
     counted = kept(counted.where((F.col("n") > 1) | F.col("line").isNull()))
     total = counted.where("line is null").select(F.col("host").alias("h"), F.col("n").alias("total"))
-    over = counted.where("line is not null").join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("total") + sigmas * F.sqrt(ratio * F.col("total")))
+    over = counted.where("line is not null").join(total, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > ratio * F.col("total"))
     return kept(over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")))
 
 
@@ -91,15 +90,15 @@ def _listed(b: pa.RecordBatch, c: K.Chunk, found: K.Lines) -> np.ndarray:
     return np.isin(K.mix(found.hash + found.text.astype(K.U64) * salt), known)
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, sigmas: float = 3.0, carry: bool = False, distinct: bool = False) -> DataFrame:
-    """Drop the lines that more than ratio * pages + sigmas * sqrt(ratio * pages) pages of the
-    host hold (with `distinct`, pages of different text).
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, carry: bool = False, distinct: bool = False) -> DataFrame:
+    """Drop the lines that two pages or more, and more than ratio * pages, of the host hold (with
+    `distinct`, pages of different text).
 
     Returns doc_id, text (what is left; lines joined by \\n as before), n_lines (lines
     with a word) and n_dropped (of those)."""
     docs = columns(docs, carry, doc_id=id_col, host=host_col, text=text_col)
     kind, names = head(docs)
-    over = frequent_lines(docs, ratio, sigmas, fold=False, distinct=distinct)
+    over = frequent_lines(docs, ratio, fold=False, distinct=distinct)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,17 +128,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "sour
 _SYMBOL = K.flags(b"#*$%&|<>")
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, sigmas: float = 3.0, least_left: float = 0.3, carry: bool = False, distinct: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = 0.1, least_left: float = 0.3, carry: bool = False, distinct: bool = False) -> DataFrame:
     """Base counts of each document, and a verdict from cross-document line frequency.
 
-    Lines (A-Z lower-cased, white space collapsed) in more than d + sigmas * sqrt(d) documents
-    of the host, d being ratio * its documents, (with `distinct`, of different text) are removed; a document with less than
+    Lines (A-Z lower-cased, white space collapsed) in two documents or more and in
+    more than ratio * documents of the host (with `distinct`, of different text) are removed; a document with less than
     `least_left` of its words outside them is depleted and rejected, as is one that
     fails the base rules. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_common_words (words on removed lines)."""
     docs = columns(docs, carry, doc_id=id_col, host=host_col, text=text_col)
     kind, names = head(docs)
-    over = frequent_lines(docs, ratio, sigmas, fold=True, distinct=distinct)
+    over = frequent_lines(docs, ratio, fold=True, distinct=distinct)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

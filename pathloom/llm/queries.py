@@ -141,7 +141,7 @@ l as (select k, doc_id, source, pos, line, {{fold}} as norm, len(regexp_extract_
   from (select k, doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d)),
 total as (select source, count(*) as total from d group by source),
 freq as (select source, norm, count(distinct k) as n from l where words > 0 group by source, norm),
-over as (select f.source, norm from freq f join total t on f.source is not distinct from t.source where n > 0.1::double * total + 3 * sqrt(0.1::double * total)),
+over as (select f.source, norm from freq f join total t on f.source is not distinct from t.source where n > 1 and n > 0.1::double * total),
 j as (select l.*, o.norm is not null and words > 0 as dropped from l left join over o on l.norm = o.norm and l.source is not distinct from o.source)"""
 
 OP6_SQL = (

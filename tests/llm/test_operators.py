@@ -352,3 +352,15 @@ def test_no_forbidden_checkpoint():
 
     for p in Path(__file__).resolve().parents[2].glob("pathloom/**/*.py"):
         assert not re.search(r"\.localCheckpoint\(", p.read_text())
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 100), ("sf0.1", 700)])
+def test_boilerplate_lines_go(spark, sf, least):
+    """The ratio alone decides: lines of the driver's tables are dropped and marked, and one on 11
+    of 50 documents is."""
+    d = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    assert line_dedup(d).agg(F.sum("n_dropped")).first()[0] >= least
+    assert quality_rules(d).agg(F.sum("n_common_words")).first()[0] >= 5 * least
+    small = spark.createDataFrame([(i, f"own {i}\n{'shared line' if i < 6 else 'five line' if i < 11 else 'else'}{'' if i < 11 else i}", "s") for i in range(50)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_dropped for r in line_dedup(small).collect()}
+    assert [got[i] for i in (0, 5, 6, 10, 11)] == [1, 1, 0, 0, 0]  # 6 of 50 are over a tenth, 5 are not
