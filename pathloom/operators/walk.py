@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.text import _among, is_cvt
+from pathloom.functions.text import is_cvt, normalize
 from pathloom.operators.adjacency import Graph, as_graph, grow, key_of, last, pack
 from pathloom.operators.graph import both_ways
 from pathloom.operators.lineage import kept
@@ -247,6 +247,44 @@ def candidate_counts(paths: DataFrame) -> DataFrame:
     return each.where(~is_cvt(F.col("name")) & (F.col("name") != F.col("anchor"))).groupBy("anchor", "name").agg(F.count("*").alias("n"))
 
 
+def _beyond(paths: DataFrame, endpoints: DataFrame | None, cut: bool) -> DataFrame:
+    """(question, at, name) of a path's named nodes but the anchor and endpoints, with the place
+    (path by covered, hops and edges; position) where each stands; with `cut` only those after
+    the path's first endpoint, if it has one."""
+    key = key_of(paths)
+    none = F.array().cast("array<string>")
+    ends = paths.select(*key).distinct().withColumn("_ends", none) if endpoints is None else endpoints.where("endpoint <> anchor").groupBy(*key).agg(F.collect_set("endpoint").alias("_ends"))
+    own = paths.join(ends, key, "left").withColumn("_ends", F.coalesce("_ends", none))
+    first = F.array_position(F.transform("nodes", lambda n: F.array_contains("_ends", n)), F.lit(True)).cast("int") if cut else F.lit(0)
+    rank = F.struct((-F.bit_count("covered")).alias("c"), F.size("edges").alias("d"), "edges")
+    each = own.select(*key, "_ends", rank.alias("_r"), first.alias("_first"), F.posexplode("nodes").alias("pos", "name"))
+    each = each.where((F.col("pos") >= F.col("_first")) & (F.col("name") != F.col("anchor")) & ~F.array_contains("_ends", F.col("name")) & ~is_cvt(F.col("name")))
+    return each.select(*key, F.struct("_r", "pos").alias("at"), "name")
+
+
+def counted_candidates(paths: DataFrame, endpoints: DataFrame | None = None) -> DataFrame:
+    """(anchor, place, name, n): occurrences of named nodes on paths, behind a path's first endpoint
+    where it has one; names of two characters when normalized; in order of first appearance."""
+    key = key_of(paths)
+    rows = _beyond(paths, endpoints, cut=True).where(F.length(normalize(F.col("name"))) >= 2)
+    counted = rows.groupBy(*key, "name").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("at", "name"))).select(*key, "place", "name", "n")
+
+
+def counted_names(paths: DataFrame, endpoints: DataFrame | None = None) -> DataFrame:
+    """(anchor, place, name, n): occurrences of names on paths, normalized and without a cut; most
+    frequent first, then by name."""
+    key = key_of(paths)
+    counted = _beyond(paths, endpoints, cut=False).groupBy(*key, normalize(F.col("name")).alias("name")).agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("n").desc(), "name"))).select(*key, "place", "name", "n")
+
+
+def first_names(counted: DataFrame, limit: int = 20) -> DataFrame:
+    """(anchor, names): the first names of either count."""
+    few = counted.where(F.col("place") <= limit)
+    return few.groupBy(*key_of(few)).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
+
+
 def bridge_triples(paths: DataFrame) -> DataFrame:
     """(h, r, t): a path's steps by name, runs of fact nodes bridged by joining relations."""
     step = F.transform(F.slice("nodes", 2, 1 << 30), lambda n, i: F.struct(F.element_at("nodes", i + 1).alias("h"), F.element_at("rels", i + 1).alias("r"), n.alias("t")))

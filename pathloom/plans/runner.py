@@ -173,12 +173,19 @@ def scored(state: DataFrame) -> DataFrame:
     return state.join(stats.select("case_id", F.col("precision").alias("llm_precision"), F.col("recall").alias("llm_recall"), F.col("f1").alias("llm_f1"), (F.col("matched_gold") > 0).alias("llm_hit")), "case_id", "left")
 
 
-def run_stages(cases: DataFrame, stages: list[tuple[str, Stage]]) -> tuple[DataFrame, dict[str, float]]:
-    """The state after all stages, and seconds for each; inactive rows go round."""
+def run_stages(cases: DataFrame, stages: list[tuple[str, Stage]], keep_going: bool = False) -> tuple[DataFrame, dict[str, float]]:
+    """The state after all stages, and seconds for each; inactive rows go round. With
+    `keep_going` a stage that raises leaves its rows inactive with the reason, and those of
+    earlier stages as they were; without, it ends the run."""
     state, took = init(cases), {}
     for name, stage in stages:
         began = time.time()
-        state = kept(gated(state, stage))
+        try:
+            state = kept(gated(state, stage))
+        except Exception as failed:  # noqa: BLE001
+            if not keep_going:
+                raise
+            state = kept(soft_fail(state, F.lit(True), f"{name}: {type(failed).__name__}: {str(failed)[:200]}"))
         took[name] = round(time.time() - began, 3)
     return state, took
 

@@ -467,3 +467,24 @@ def planning_attempts(spark, d):
     again = lambda missed: missed.withColumn("rel", F.lit("sales.order.item"))
     out = T.to_fixed_point(T.primary(anchors, graph, plans), graph, reselect=again)
     return out.attempts.select("case_id", "attempt", "label", "n_covered", "n_paths", "taken")
+
+
+_OCCURS = C._PATH2 + """, e as (select 'supplier:' || s_suppkey as e from supplier where s_acctbal < 0),
+o as (select anchor, nodes, edges, bit_count(covered::bigint) as c, unnest(string_split(nodes, '>')) as name, generate_subscripts(string_split(nodes, '>'), 1) as pos from p2),
+f as (select o.*, min(case when name in (select e from e) then pos end) over (partition by anchor, nodes, edges) as first from o)"""
+
+
+@query(_e(SUPPLY, _OCCURS + """, k as (select anchor, name, count(*) as n, min((-c, edges, pos)) as spot from f where (first is null or pos > first) and name <> anchor and name not in (select e from e) group by anchor, name)
+select anchor, row_number() over (partition by anchor order by spot, name)::int as place, name, n from k"""))
+def counted_candidates(spark, d):
+    """Names behind a path's first supplier in debt, by first appearance."""
+    p = C._two_hops(spark, d).withColumn("covered", C.X.coverage(F.col("rels"), LAYERS))
+    return W.counted_candidates(p, C._endpoints(spark, d))
+
+
+@query(_e(SUPPLY, _OCCURS + """, k as (select anchor, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9%.'' ]+', ' ', 'g'), '\\s+', ' ', 'g')) as name, count(*) as n from f where name <> anchor and name not in (select e from e) group by 1, 2)
+select anchor, row_number() over (partition by anchor order by n desc, name)::int as place, name, n from k"""))
+def counted_names(spark, d):
+    """The same names normalized and without a cut, by frequency."""
+    p = C._two_hops(spark, d).withColumn("covered", C.X.coverage(F.col("rels"), LAYERS))
+    return W.counted_names(p, C._endpoints(spark, d))

@@ -106,11 +106,11 @@ def gold_anchors(cases: DataFrame, gold: DataFrame) -> DataFrame:
 def prior_plans(cases: DataFrame, plans: DataFrame, entities: DataFrame) -> DataFrame:
     """(case_id, plan, ent_id, anchor, breakpoints): plans made before (case_id, plan, anchor_name,
     breakpoints map<int,string>) for known cases; the anchor's name found again, equal or else
-    contained, case aside, the first entity; breakpoints to entity ids by equal names."""
+    one of both contained in the other, case aside, the first entity; breakpoints to entity ids by equal names."""
     p = cases.select("case_id").join(plans, "case_id")
     e = entities.select("case_id", "ent_id", "name", F.lower("name").alias("e"))
     a = F.lower(F.trim("anchor_name"))
-    at = p.withColumn("a", a).where("a <> ''").join(e, "case_id").where((F.col("a") == F.col("e")) | F.contains("e", F.col("a")))
+    at = p.withColumn("a", a).where("a <> ''").join(e, "case_id").where((F.col("a") == F.col("e")) | F.contains("e", F.col("a")) | ((F.col("e") != "") & F.contains("a", F.col("e"))))
     best = at.groupBy("case_id").agg(F.min(F.struct((F.col("a") != F.col("e")).alias("far"), "ent_id", "name")).alias("x"))
     points = p.select("case_id", F.explode("breakpoints").alias("step", "point")).join(e.groupBy("case_id", "e").agg(F.min("ent_id").alias("id")), "case_id").where(F.lower(F.trim("point")) == F.col("e"))
     points = points.groupBy("case_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("step", "id")))).alias("breakpoints"))
