@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TEMPLATES = {
     "subquestions": "Split the question into the fewest single-fact questions, in the order they are answered.\nQuestion: {question}\nReply as <analysis>why</analysis><answer>1. first\n2. second</answer>",
     "triples": "Write one triple for each sub-question. Unknowns are ?x, ?y. Say which entity the search starts at.\nQuestion: {question}\nSub-questions:\n{subquestions}\n{problem}Reply as <answer>{{\"triples\": [{{\"source_subquestion\": 1, \"subject\": \"\", \"predicate\": \"\", \"object\": \"\"}}], \"entity_roles\": [{{\"entity\": \"\", \"role\": \"anchorentity or pathentity\"}}]}}</answer>",
+    "analysis": "Say what the question names and asks for.\nEntities: {entities}\nQuestion: {question}\nReply as <interpretation>what is asked</interpretation><anchor>where to start</anchor><endpoints>other named entities, or none</endpoints><answer_type>kind of answer</answer_type><rewritten>the question in plain words</rewritten>",
+    "chain": "Write the chain of relations from the start to the answer.\nEntities: {entities}\nStart: {anchor}\nOther entities: {endpoints}\nKind of answer: {answer_type}\nMeaning: {interpretation}\nIn plain words: {rewritten}\nQuestion: {question}\n{problem}Reply as\nChain: start -(relation)-> node -(relation)-> node\nAnalysis:\n- Keyword: of each hop\n- Definition: of each hop\n- Sub-question: of each hop\nEndpoints: [entity] hop 2",
     "prune": "For each step choose the relations that can answer it, best first.\nQuestion: {question}\n{candidates}\nReply as <selected>step_1: [numbers]\nstep_2: [numbers]</selected>",
     "select": "Choose the patterns whose ends answer the question, best first.\nQuestion: {question}\n{patterns}\nReply as <selected>numbers</selected>",
     "direct": "Answer the question from what you know.\nQuestion: {question}\nReply as <answer>\\boxed{{name}}</answer>",

@@ -19,6 +19,7 @@ from pathloom.operators import walk as W
 from pathloom.operators.adjacency import pack
 from pathloom.operators.plan import Plans
 from pathloom.plans import catalog as C
+from pathloom.plans import chain_plans as CP
 from pathloom.sources import cases as K
 from pathloom.sources import testkg
 
@@ -488,3 +489,19 @@ def counted_names(spark, d):
     """The same names normalized and without a cut, by frequency."""
     p = C._two_hops(spark, d).withColumn("covered", C.X.coverage(F.col("rels"), LAYERS))
     return W.counted_names(p, C._endpoints(spark, d))
+
+
+@query("""with s as (select s_suppkey as id, s_nationkey as n, lower(s_name) as name from supplier),
+p as (select a.id, min(b.id) as near from s a join s b on a.n = b.n and contains(b.name, substr(a.name, 1, 17)) group by a.id)
+select id as case_id, 1 as key, upper(name) as query, id as ent_id, name from s
+union all select s.id, 101, substr(s.name, 1, 17), near, b.name from s join p on s.id = p.id join s b on b.id = near
+union all select id, 3, 'nowhere at all', -1, null from s""")
+def chain_endpoints(spark, d):
+    """A supplier is a case, the suppliers of its nation are its graph: its chain of two hops ends at
+    itself in capitals, at a name cut by a letter on the same hop, and at one that is nowhere."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("case_id"), F.col("s_nationkey").alias("n"), F.lower("s_name").alias("name"))
+    entities = s.select("case_id", "n").join(s.select("n", F.col("case_id").alias("ent_id"), "name"), "n").drop("n")
+    said = F.concat(F.lit("Chain: here -(in)-> node -(of)-> node\nEndpoints: ["), F.upper("name"), F.lit("] hop 1; ["), F.substring("name", 1, 17), F.lit("] hop 1; [nowhere at all]"))
+    state = s.withColumn("chain", C.Y.chain(said))
+    out = CP.chain_endpoints(state, entities, s.select("case_id", F.lit("no seed").alias("seed")))
+    return out.withColumn("ent_id", F.coalesce("ent_id", F.lit(-1).cast("long")))
