@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import kernels as K
-from pathloom.llm.shared import carried, columns, head
+from pathloom.llm.shared import carried, columns, head, text_of
 
 #: The word pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on text with A-Z lower-cased.
 _WORD = np.zeros(256, bool)
@@ -138,7 +138,7 @@ def _block(docs: DataFrame, held: Phrases | None, slop: int, merge: bool) -> Dat
             wanted = np.unique(p.terms[np.arange(p.terms.shape[1]) < p.length[:, None]])
             term = np.minimum(np.searchsorted(wanted, p.terms), len(wanted) - 1)
         for b in batches:
-            for c in K.chunks(b.column("text")):
+            for c in K.chunks(text_of(b)):
                 word, first = tokens(c)
                 n_words = np.diff(first)
                 hit = np.zeros(len(word), bool)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import kernels as K
-from pathloom.llm.shared import carried, columns, head, kept, small
+from pathloom.llm.shared import carried, carried_text, columns, head, kept, small, text_of
 
 _COUNTS = pa.schema([("host", pa.string()), ("line", pa.int64()), ("n", pa.float64())])
 
@@ -64,7 +64,8 @@ def frequent_lines(docs: DataFrame, ratio: float, fold: bool, distinct: bool = F
                     n=np.concatenate([n, docs_of[seen]]),
                 )
 
-    shares = _weighted(docs.select("host", "text")) if distinct else docs.select("host", "text", F.lit(1.0).alias("share"))
+    text = F.col("text" if "text" in docs.columns else carried_text(docs)).alias("text")
+    shares = _weighted(docs.select("host", text)) if distinct else docs.select("host", text, F.lit(1.0).alias("share"))
     # A text's shares add up to 1 for each of its lines, so that the sums are whole but for rounding.
     counted = shares.mapInArrow(count, "host string, line long, n double").groupBy("host", "line").agg(F.round(F.sum("n")).cast("long").alias("n"))
     counted = kept(counted.where((F.col("n") > 1) | F.col("line").isNull()))
@@ -102,12 +103,12 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "sour
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in K.chunks(b.column("text")):
+            for c in K.chunks(text_of(b)):
                 found, *_ = K.lines(c, False)
                 out = _listed(b, c, found)
                 size = np.bincount(found.text, minlength=len(c))
                 lost = np.bincount(found.text[out], minlength=len(c))
-                texts = b.column("text").slice(c.lo, len(c))
+                texts = text_of(b).slice(c.lo, len(c))
                 if lost.any():
                     # A dropped line goes with the \n before it, or with the one after if it is its text's first.
                     values, raw = texts.to_pylist(), c.buf.tobytes()
@@ -142,7 +143,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "s
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in K.chunks(b.column("text")):
+            for c in K.chunks(text_of(b)):
                 found, ws, we, first, _ = K.lines(c, True)
                 exact = K.SpanHash(K.letters(2)[c.buf])
                 n_words = np.diff(first)

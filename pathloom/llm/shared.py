@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +63,33 @@ def small(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+#: The text in a carried row, if the input calls it something else than text.
+_TEXT = "text of the operator"
+
+
 def columns(df: DataFrame, carry: bool = False, **names: str) -> DataFrame:
     """Only the named columns, under the operator's own names; other columns of the
     input can't clash with what the operator adds. With `carry`, the whole input row
-    comes along in one struct, `row`, so that a filter needs no join to get it back."""
-    own = [F.col(f"`{source}`").alias(name) for name, source in names.items()]
-    return df.select(*own, *[F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] * carry)
+    comes along in one struct, `row`, so that a filter needs no join to get it back; the
+    text travels in there alone (see `text_of`)."""
+    text = names.get("text")
+    other = [F.col(f"`{text}`").alias(_TEXT)] if text not in (None, "text") else []
+    own = [F.col(f"`{source}`").alias(name) for name, source in names.items() if not (carry and name == "text")]
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns), *other)
+    return df.select(*own, *[row.alias("row")] * carry)
+
+
+def carried_text(df: DataFrame) -> str:
+    """Where the text of carried rows is."""
+    return f"row.`{_TEXT}`" if _TEXT in df.schema["row"].dataType.names else "row.text"
+
+
+def text_of(b: pa.RecordBatch) -> pa.Array:
+    """A batch's texts, whether they are a column or in the carried row."""
+    if "text" in b.schema.names:
+        return b.column("text")
+    row = b.column("row")
+    return row.field(_TEXT if row.type.get_field_index(_TEXT) >= 0 else "text")
 
 
 def carried(b, lo: int, n: int) -> list:

@@ -165,8 +165,7 @@ def _frequent(docs, fold):
         count = collections.Counter()
         for t in texts:
             count.update({" ".join(_words(x)).lower() if fold else " ".join(_words(x)) for x in t.split("\n") if _words(x)})
-        limit = 0.1 * len(texts) + 3 * math.sqrt(0.1 * len(texts))
-        out |= {(source, line) for line, n in count.items() if n > limit}
+        out |= {(source, line) for line, n in count.items() if n > 1 and n > 0.1 * len(texts)}
     return out
 
 
