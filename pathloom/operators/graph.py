@@ -20,8 +20,10 @@ def owner(edges: DataFrame) -> list[str]:
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, r, dst, edge): each edge in both directions, a self-loop once; with what says whose
-    edges they are (`owner`), if anything."""
-    edge, case = F.concat_ws("|", "h", "r", "t").alias("edge"), owner(edges)
+    edges they are (`owner`), if anything. An edge is named by its ends and relation; with edge_id
+    its number comes first, so that edges sort in the order they came in."""
+    number = [F.lpad(F.col("edge_id").cast("string"), 12, "0")] if "edge_id" in edges.columns else []
+    edge, case = F.concat_ws("|", *number, "h", "r", "t").alias("edge"), owner(edges)
     return edges.select(*case, F.col("h").alias("src"), "r", F.col("t").alias("dst"), edge).unionByName(edges.where("h <> t").select(*case, F.col("t").alias("src"), "r", F.col("h").alias("dst"), edge))
 
 

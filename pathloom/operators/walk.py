@@ -454,32 +454,84 @@ def bidirectional(pairs: DataFrame, edges: DataFrame | Graph, layers: list[list[
     return out.distinct() if "case_id" in pairs.columns else out.drop("case_id").distinct()
 
 
+def arrival_beam(states: DataFrame, limit: int) -> DataFrame:
+    """For questions with more than `limit` states: the best state of each (last node, covered),
+    groups in order of their first arrival (`_at`), then the others by coverage, hops, group."""
+    key = key_of(states)
+    group = Window.partitionBy(*key, last(), "covered")
+    rows = states.withColumn("_g", F.row_number().over(group.orderBy(F.size("edges"), "_at"))).withColumn("_came", F.min("_at").over(group)).withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    first = F.col("_g") == 1
+    order = [first.desc(), F.when(first, F.col("_came")), F.bit_count("covered").desc(), F.size("edges"), "_came", "_g"]
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return rows.where((F.col("_n") <= limit) | (F.col("_k") <= limit)).drop("_g", "_came", "_n", "_k")
+
+
 def layer_frontier(anchors: DataFrame, edges: DataFrame | Graph, layers: list[list[str]] | Plans, limit: int = 80, hops: int = 2) -> DataFrame:
-    """A breadth-first search for each layer that stops a branch at its first hit; a layer
-    that a question misses borrows the next one's relations. Then the best of each (last node,
-    covered) before others, and paths cut at their last hit in order."""
+    """A breadth-first search for each layer that stops a branch at its first hit. A fact node on
+    the way costs no hop of its own; a relation isn't taken twice in a row; only the anchor and
+    the ends of earlier hits may not be met again. A path without a hit stays; each path keeps
+    its first limit / paths open branches, five at least, in order of arrival (of edges: by
+    edge_id where edges have one, else by name). A layer that no path of a question meets borrows
+    the next one's relations, which is then done as well. Then `arrival_beam`, and at the end
+    paths are cut at their last hit in order."""
     graph, plans = as_graph(edges), as_plans(layers)
-    front = start(anchors, plans)
+    none = F.array().cast("array<string>")
+    front = start(anchors, plans).withColumns({"committed": F.array("anchor"), "place": F.lit(1), "due": F.lit(0)})
     key, columns = key_of(front), front.columns
 
-    def search(states: DataFrame) -> DataFrame:
-        """From states with `aim`, a layer, to their first edges of it."""
-        open_, found = states, None
-        for _ in range(hops):
-            grown = graph.hop(open_, node_simple=True).withColumn("_hit", holds(F.element_at("rels", -1), F.col("aim")))
-            hit = grown.where("_hit").withColumn("covered", F.col("covered").bitwiseOR(bit(F.col("aim")))).drop("_hit")
-            found = hit if found is None else found.unionByName(hit)
-            open_ = kept(hit_beam(grown.where("not _hit").drop("_hit"), 4 * limit))
-        return kept(diversity_beam(found.drop("aim"), limit, 1))
+    def stepped(states: DataFrame, fresh: bool) -> DataFrame:
+        """States one edge on, with the edge in `ord`; not to nodes of this search or committed ones."""
+        begun = F.slice("nodes", F.col("inner") + 1, F.lit(1 << 30))
+        ok = ~F.array_contains("committed", F.col("dst")) & ~F.array_contains(begun, F.col("dst"))
+        if fresh:
+            came = F.try_element_at(F.slice("rels", F.col("inner"), F.lit(1 << 30)), F.lit(-1))
+            ok = ok & F.coalesce(came != F.col("r"), F.lit(True))
+        met = graph.lookup(states).where(ok)
+        grown = {"nodes": F.array_append("nodes", F.col("dst")), "rels": F.array_append("rels", F.col("r")), "edges": F.array_append("edges", F.col("edge")), "ord": F.array_append("ord", F.col("edge"))}
+        return met.select(*(grown[c].alias(c) if c in grown else F.col(c) for c in states.columns))
+
+    def search(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """From paths with `aim`, a layer: paths after it, of questions that hit it, by arrival; and
+        all others as they were."""
+        width = F.greatest(F.floor(F.lit(limit) / F.count("*").over(Window.partitionBy(*key))), F.lit(5))
+        open_ = active.withColumns({"width": width, "inner": F.size("nodes"), "ord": none})
+        hits = None
+        for h in range(hops):
+            near = stepped(open_, True)
+            hit = holds(F.element_at("rels", -1), F.col("aim"))
+            found = near.where(hit)
+            if h + 1 < hops:
+                through = stepped(near.where(~hit & is_cvt(last())), False)
+                found = found.unionByName(through.where(hit))
+                on = near.where(~hit & ~is_cvt(last())).unionByName(through.where(~hit))
+                k = F.row_number().over(Window.partitionBy(*key, "place").orderBy("ord"))
+                open_ = kept(on.withColumn("k", k).where(F.col("k") <= F.col("width")).drop("k"))
+            found = found.withColumn("hop", F.lit(h))
+            hits = found if hits is None else hits.unionByName(found)
+        at = F.struct("place", "hop", "ord").alias("_at")
+        moved = {"covered": F.col("covered").bitwiseOR(bit(F.col("aim"))), "committed": F.array_append("committed", last())}
+        hits = kept(hits.select(*(moved[c].alias(c) if c in moved else F.col(c) for c in active.columns), at))
+        some = hits.select(*key).distinct()
+        stay = active.join(hits.select(*key, "place").distinct(), [*key, "place"], "left_anti").join(some, key, "left_semi")
+        stay = stay.select(*active.columns, F.struct("place", F.lit(-1).alias("hop"), none.alias("ord")).alias("_at"))
+        after_ = arrival_beam(hits.unionByName(stay), limit)
+        after_ = after_.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("_at")))
+        return kept(after_.select(*active.columns)), active.join(some, key, "left_anti").select(*active.columns)
 
     for i in range(plans.n):
         if plans.layers is not None and not plans.layers[i]:
             continue
-        here, idle = front.where(has(i)), front.where(~has(i))
-        found = search(here.withColumn("aim", F.lit(i)))
-        rest = here.join(found.select(*key).distinct(), key, "left_anti").select(*columns)
+        here = has(i) & (F.col("due") <= i)
+        found, rest = search(front.where(here).withColumn("aim", F.lit(i)))
+        parts = [found.select(*columns), front.where(~here)]
         if i + 1 < plans.n:
-            lent = search(rest.withColumn("aim", after(i)).where("aim is not null"))
-            rest = lent.unionByName(rest.join(lent.select(*key).distinct(), key, "left_anti").select(*columns))
-        front = found.unionByName(rest).unionByName(idle)
+            lent, others = search(rest.where(has(i + 1)).withColumn("aim", F.lit(i + 1)))
+            parts += [lent.withColumn("due", F.lit(i + 2)).select(*columns), others.select(*columns), rest.where(~has(i + 1)).select(*columns)]
+        else:
+            parts.append(rest.select(*columns))
+        front = parts[0]
+        for part in parts[1:]:
+            front = front.unionByName(part)
+        front = kept(front)
+    front = front.drop("committed", "place", "due")
     return bare(canonicalize(front.where(F.size("edges") > 0), plans))

@@ -137,7 +137,7 @@ def answer_questions(cases: DataFrame, samples: DataFrame, call: runner.Ask, enc
     plans = Plans.of_cases(picked.select("case_id", (F.col("step") - 1).alias("layer"), "rel"))
     n_steps = steps.groupBy("case_id").agg(F.max("step").alias("n_steps"))
 
-    graph = pack(edges.select("case_id", "h", "r", "t").distinct())
+    graph = pack(edges.groupBy("case_id", "h", "r", "t").agg(F.min("edge_id").alias("edge_id")))
     paths = kept(ST.traverse(anchors.join(n_steps, "case_id"), graph, plans, endpoints=ends, cap=options.state_cap, beam=options.beam))
     names = kept(ST.last_step_candidates(paths, graph, plans))
     paths, _ = ST.explosion_filter(paths, names, graph, plans, ends, options.explosion, options.explosion, options.beam)

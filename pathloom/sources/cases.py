@@ -131,13 +131,13 @@ class _Plain(pickle.Unpickler):
 
 def convert_packed(path: str, out: str, fields: tuple[str, ...]) -> int:
     """One packed list of records on local disk to JSON lines, as a step of its own before Spark
-    reads them; anything but plain data is refused. Returns the number of records."""
+    reads them, numbered in order; anything but plain data is refused. Returns their number."""
     with open(path, "rb") as f:
         records = _Plain(f).load()
     n = 0
     with open(out, "w", encoding="utf-8") as f:
         for record in _records(records):
-            f.write(json.dumps({k: record.get(k) for k in fields}, ensure_ascii=False) + "\n")
+            f.write(json.dumps({k: record.get(k) for k in fields} | {"ordinal": n}, ensure_ascii=False) + "\n")
             n += 1
     return n
 

@@ -64,14 +64,15 @@ def edges_sql(relations: tuple[str, ...] | None = None) -> str:
     return " union all ".join(f"select {'distinct ' if t == 'lineitem' else ''}{sql(h)} as h, '{r}' as r, {sql(x)} as t from {t}" for r, t, h, x in EDGES if relations is None or r in relations)
 
 
-SAMPLE = "id string, question_id string, question string, q_entity array<string>, text_entity_list array<string>, non_text_entity_list array<string>, relation_list array<string>, h_id_list array<int>, r_id_list array<int>, t_id_list array<int>"
+SAMPLE = "id string, question_id string, question string, q_entity array<string>, text_entity_list array<string>, non_text_entity_list array<string>, relation_list array<string>, h_id_list array<int>, r_id_list array<int>, t_id_list array<int>, ordinal long"
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Packed subgraphs, one JSON object a line; the last of a repeated id wins."""
+    """Packed subgraphs, one JSON object a line; the last of a repeated id wins: by the ordinal
+    that the converter gives, which no split of a file changes; without one by file and place."""
     rows = spark.read.schema(SAMPLE).json(path).withColumn("case_id", F.coalesce("id", "question_id"))
-    rows = rows.withColumn("place", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
-    return rows.groupBy("case_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("case_id", "place")]), "place").alias("s")).select("case_id", "s.*")
+    rows = rows.withColumn("place", F.struct(F.coalesce("ordinal", F.lit(-1).cast("long")), F.input_file_name(), F.monotonically_increasing_id()))
+    return rows.groupBy("case_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("case_id", "place", "ordinal")]), "place").alias("s")).select("case_id", "s.*")
 
 
 def hydrate(samples: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -114,3 +114,30 @@ def test_hub_in_pieces(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_arrival_order(spark):
+    """Edges that come in another order than their names: the first to arrive stay."""
+    rows = [(k, "A", "r1", n) for k, n in enumerate(["Z", "Y", "X", "W", "V", "U", "T"])] + [(10, "Z", "r2", "P"), (11, "T", "r2", "Q"), (12, "Y", "r2", "P")]
+    anchors = spark.createDataFrame([("A",)], "anchor string")
+    numbered = spark.createDataFrame(rows, "edge_id int, h string, r string, t string")
+    plain = numbered.drop("edge_id")
+
+    def ends(e, layers, limit):
+        return sorted(r.nodes[-1] for r in W.layer_frontier(anchors, e, layers, limit=limit).collect())
+
+    assert ends(numbered, [["r1"]], 3) == ["X", "Y", "Z"] and ends(plain, [["r1"]], 3) == ["T", "U", "V"]
+    # Paths without a hit stay; of more than the limit the first to arrive.
+    assert ends(numbered, [["r1"], ["r2"]], 7) == ["P", "P", "Q", "U", "V", "W", "X"]
+    assert ends(numbered, [["r1"], ["r2"]], 5) == ["P", "P", "V", "W", "X"]
+    # Five open branches at least, by arrival: T is the seventh.
+    far = spark.createDataFrame([(k, "A", "r0", n) for k, n in enumerate(["Z", "Y", "X", "W", "V", "U", "T"])] + [(20 + k, n, "r5", f"end{n}") for k, n in enumerate("ZT")], "edge_id int, h string, r string, t string")
+    assert ends(far, [["r5"]], 5) == ["endZ"] and ends(far, [["r5"]], 80) == ["endT", "endZ"]
+
+
+def test_layer_frontier_facts_and_borrowing(spark):
+    anchors = spark.createDataFrame([("A",)], "anchor string")
+    e = spark.createDataFrame([("A", "x", "m.1"), ("m.1", "y", "B"), ("B", "r2", "C"), ("C", "r3", "D"), ("A", "r2", "K")], "h string, r string, t string")
+    walk = lambda layers: sorted(tuple(r.nodes) for r in W.layer_frontier(anchors, e, layers).collect())
+    assert walk([["r2"]]) == [("A", "K"), ("A", "m.1", "B", "C")]  # two hops, as the fact node costs none
+    assert walk([["y"], ["r2"], ["r3"]]) == [("A", "m.1", "B", "C", "D")]

@@ -107,3 +107,14 @@ def test_prior_anchor_either_way(spark):
     plans = spark.createDataFrame([("a", "p", "The City of Rome", {})], "case_id string, plan string, anchor_name string, breakpoints map<int,string>")
     ents = spark.createDataFrame([("a", 0, ""), ("a", 1, "rome")], "case_id string, ent_id int, name string")
     assert C.prior_plans(cases, plans, ents).first().ent_id == 1
+
+
+def test_last_of_a_repeated_id(spark, tmp_path):
+    """By the converter's ordinal, however files are named or split."""
+    import json
+
+    from pathloom.sources.testkg import read_samples
+
+    for name, ordinal in (("a", 2), ("b", 0), ("c", 1)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"id": "x", "question": f"{name}?", "ordinal": ordinal}))
+    assert [(r.case_id, r.question) for r in read_samples(spark, str(tmp_path)).collect()] == [("x", "a?")]
