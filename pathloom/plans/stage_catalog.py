@@ -127,8 +127,9 @@ def chain_search(spark, d):
     return W.chain_search(C._anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, max_hops=2, limit=BIG, per_group=BIG).where("covered = 3").select("anchor", *_join("nodes"))
 
 
-@query(_e(SUPPLY, _REACH + " select anchor, anchor || '>' || n1 || '>' || n2 as nodes from h1 union all select anchor, anchor || '>' || n1 from s1 where not exists (select 1 from h1 where h1.anchor = s1.anchor)"))
+@query(_e(SUPPLY, _REACH + " select anchor, anchor || '>' || n1 || '>' || n2 as nodes from h1 union all select anchor, anchor || '>' || n1 from s1 where not exists (select 1 from h1 where h1.anchor = s1.anchor and h1.n1 = s1.n1)"))
 def layer_frontier(spark, d):
+    """Nations with suppliers go on to them; a nation without any stays."""
     return W.layer_frontier(C._anchors(spark, d), testkg.edges(spark, d, SUPPLY), LAYERS, limit=BIG).select("anchor", *_join("nodes"))
 
 
