@@ -64,7 +64,7 @@ def small(df: DataFrame, row_bytes: int, *arrays: str) -> DataFrame:
 
 
 #: The text in a carried row, if the input calls it something else than text.
-_TEXT = "text of the operator"
+_TEXT = "_operator_text"
 
 
 def columns(df: DataFrame, carry: bool = False, **names: str) -> DataFrame:

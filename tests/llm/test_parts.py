@@ -255,3 +255,12 @@ def test_near_duplicates_by_row_not_by_id(spark):
     assert hashlib.sha256(b"").hexdigest()  # equal texts of null rows too
     same = spark.createDataFrame([(None, text, "en", "s", 1)] * 3, docs.schema)
     assert P.near_duplicates(spark, same, "").count() == 1
+
+
+def test_carried_text_under_another_name(spark):
+    """The operator's text column has another name, and a column called text is something else."""
+    from pathloom.llm.line_rules import line_dedup
+
+    d = spark.createDataFrame([(1, "a b\nshared x", "other", "s"), (2, "c d\nshared x", None, "s"), (3, None, None, "s")], "doc_id long, body string, text string, source string")
+    got = {r.doc_id: (r.text, r.row.text, r.n_dropped) for r in line_dedup(d, text_col="body", carry=True, distinct=True).collect()}
+    assert got == {1: ("a b", "other", 1), 2: ("c d", None, 1), 3: (None, None, 0)}
