@@ -150,7 +150,7 @@ def role_endpoints(roles: DataFrame, entities: DataFrame, anchors: DataFrame) ->
 
 
 #: Words of what people do for a living, singular and plural.
-OCCUPATION_WORDS = ("career", "careers", "employment", "job", "jobs", "occupation", "occupations", "profession", "professions", "trade", "trades", "vocation", "work", "works")
+OCCUPATION_WORDS = ("career", "careers", "employment", "job", "jobs", "occupation", "occupations", "profession", "professions", "vocation", "vocations")
 #: Words that ask for what somebody is known for.
 FAME_WORDS = ("acclaimed", "best", "celebrated", "famous", "known", "notable", "remembered", "renowned")
 

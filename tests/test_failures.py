@@ -118,3 +118,13 @@ def test_last_of_a_repeated_id(spark, tmp_path):
     for name, ordinal in (("a", 2), ("b", 0), ("c", 1)):
         (tmp_path / f"{name}.json").write_text(json.dumps({"id": "x", "question": f"{name}?", "ordinal": ordinal}))
     assert [(r.case_id, r.question) for r in read_samples(spark, str(tmp_path)).collect()] == [("x", "a?")]
+
+
+def test_questions_for_a_profession(spark):
+    from pathloom.operators.planning import asks_profession
+
+    yes = ["What is her occupation?", "What did Ada Lovelace do?", "How did he do in life", "He is known for doing what?", "A city famous for the deeds of a king", "Which job had he"]
+    no = ["what was done", "Where was she born?", "What works did he write", "for what is it known", "Who did it for fame", "", None]
+    rows = spark.createDataFrame([(t,) for t in yes + no], "t string")
+    got = [r.x for r in rows.select(asks_profession(F.col("t")).alias("x")).collect()]
+    assert got == [True] * len(yes) + [False] * len(no)
