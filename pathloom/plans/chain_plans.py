@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import grammar as Y
 from pathloom.functions.text import is_cvt, normalize, tag
+from pathloom.operators.answers import graph_of
 from pathloom.operators.lineage import kept
 from pathloom.operators.matching import containing
 from pathloom.plans.prompts import prompt
@@ -72,7 +73,11 @@ def chain_steps(state: DataFrame) -> DataFrame:
 
 
 def _named(entities: DataFrame) -> DataFrame:
-    return entities.where(~is_cvt(F.col("name"))).select("case_id", "ent_id", "name", normalize(F.col("name")).alias("e")).where("e <> ''")
+    """Of a graph's named entities that are equal when normalized the first, and the longest."""
+    own = graph_of(entities)
+    e = entities.where(~is_cvt(F.col("name"))).select(own, "ent_id", "name", normalize(F.col("name")).alias("e")).where("e <> ''")
+    longest = F.struct((-F.length("name")).alias("size"), "ent_id", "name")
+    return e.groupBy(own, "e").agg(F.min(F.struct("ent_id", "name")).alias("first"), F.min(longest).alias("longest"))
 
 
 def _reached(said: DataFrame, entities: DataFrame, seeds: DataFrame, least: int, longest: bool) -> DataFrame:
@@ -80,17 +85,20 @@ def _reached(said: DataFrame, entities: DataFrame, seeds: DataFrame, least: int,
     Tier 1: equal; 2: a seed (case_id, seed) that is equal, or of which one contains the other,
     and that is an entity; 3: an entity of which one contains the other. `longest` takes the
     longest of these and asks only the name for `least` characters; else the first, with as many
-    in both, before the seeds."""
+    in both, before the seeds. With a graph_id, which names have then too, entities are a graph's
+    that cases share; a name is looked up once in it, however many cases say it."""
+    own = graph_of(entities)
     e = _named(entities)
     s = seeds.select("case_id", normalize(F.col("seed")).alias("s")).where("s <> ''").distinct()
-    text = said.select("case_id", F.col("m").alias("text"))
-    equal = said.join(e.withColumnRenamed("e", "m"), ["case_id", "m"]).select("case_id", "pos", "ent_id", "name", F.lit(1).alias("tier"), F.lit(0).alias("size"))
+    text, asked = said.select("case_id", F.col("m").alias("text")), said.select(own, F.col("m").alias("text"))
+    equal = said.join(e.withColumnRenamed("e", "m"), [own, "m"]).select("case_id", "pos", "first.ent_id", "first.name", F.lit(1).alias("tier"), F.lit(0).alias("size"))
     near = containing(text, s.select("case_id", F.col("s").alias("text")), ["case_id"], least_left=1 if longest else least, least_right=1 if longest else least)
     near = near.unionByName(text.join(s.withColumn("text", F.col("s")), ["case_id", "text"]).select("case_id", F.col("text").alias("left"), F.col("s").alias("right"))).distinct()
-    by_seed = said.join(near.withColumnsRenamed({"left": "m", "right": "e"}), ["case_id", "m"]).join(e, ["case_id", "e"]).select("case_id", "pos", "ent_id", "name", F.lit(2 if longest else 3).alias("tier"), F.lit(0).alias("size"))
-    pairs = containing(text, e.select("case_id", F.col("e").alias("text")), ["case_id"], least_left=least, least_right=1 if longest else least)
-    part = said.join(pairs.withColumnsRenamed({"left": "m", "right": "e"}), ["case_id", "m"]).join(e, ["case_id", "e"])
-    part = part.select("case_id", "pos", "ent_id", "name", F.lit(3 if longest else 2).alias("tier"), (-F.length("name") if longest else F.lit(0)).alias("size"))
+    by_seed = said.join(near.withColumnsRenamed({"left": "m", "right": "e"}), ["case_id", "m"]).join(e, [own, "e"]).select("case_id", "pos", "first.ent_id", "first.name", F.lit(2 if longest else 3).alias("tier"), F.lit(0).alias("size"))
+    pairs = containing(asked, e.select(own, F.col("e").alias("text")), [own], least_left=least, least_right=1 if longest else least)
+    best = F.col("longest") if longest else F.struct(F.lit(0).alias("size"), "first.ent_id", "first.name")
+    part = pairs.withColumnsRenamed({"left": "m", "right": "e"}).join(e, [own, "e"]).groupBy(own, "m").agg(F.min(best).alias("x"))
+    part = said.join(part, [own, "m"]).select("case_id", "pos", "x.ent_id", "x.name", F.lit(3 if longest else 2).alias("tier"), "x.size")
     best = equal.unionByName(by_seed).unionByName(part).groupBy("case_id", "pos").agg(F.min(F.struct("tier", "size", "ent_id", "name")).alias("x"))
     return best.select("case_id", "pos", "x.ent_id", "x.name", "x.tier")
 
@@ -98,7 +106,8 @@ def _reached(said: DataFrame, entities: DataFrame, seeds: DataFrame, least: int,
 def chain_anchors(state: DataFrame, entities: DataFrame, seeds: DataFrame) -> DataFrame:
     """(case_id, ent_id, name, tier): the entity of each chain's anchor: equal, by a seed, or the
     longest that contains it or is in it."""
-    said = state.select("case_id", F.lit(0).alias("pos"), normalize(F.col("anchor_said")).alias("m")).where("m <> ''")
+    own = dict.fromkeys(("case_id", graph_of(entities)))
+    said = state.select(*own, F.lit(0).alias("pos"), normalize(F.col("anchor_said")).alias("m")).where("m <> ''")
     return _reached(said, entities, seeds, least=3, longest=True).drop("pos")
 
 
@@ -107,9 +116,10 @@ def chain_endpoints(state: DataFrame, entities: DataFrame, seeds: DataFrame) ->
     characters in both), or by a seed. The key is the hop an endpoint says, or one more than the
     steps; later ones of a key that is taken count on by hundreds. One without an entity is
     pending: ent_id is null."""
-    each = state.where("chain is not null").select("case_id", (n_hops(F.col("chain")) + 1).alias("_after"), F.posexplode("chain.endpoints").alias("pos", "x"))
-    said = kept(each.select("case_id", "pos", F.coalesce("x.hop", "_after").alias("hop"), F.col("x.entity").alias("query"), normalize(F.col("x.entity")).alias("m")))
-    found = _reached(said.where("m <> ''").select("case_id", "pos", "m"), entities, seeds, least=4, longest=False)
+    own = dict.fromkeys(("case_id", graph_of(entities)))
+    each = state.where("chain is not null").select(*own, (n_hops(F.col("chain")) + 1).alias("_after"), F.posexplode("chain.endpoints").alias("pos", "x"))
+    said = kept(each.select(*own, "pos", F.coalesce("x.hop", "_after").alias("hop"), F.col("x.entity").alias("query"), normalize(F.col("x.entity")).alias("m")))
+    found = _reached(said.where("m <> ''").select(*own, "pos", "m"), entities, seeds, least=4, longest=False)
     rows = said.join(found, ["case_id", "pos"], "left")
     nth = F.row_number().over(Window.partitionBy("case_id", "hop", F.col("ent_id").isNull()).orderBy("pos")) - 1
     key = F.when(F.col("ent_id").isNull(), F.col("hop")).otherwise(F.col("hop") + 100 * nth)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pathloom.functions import grammar as Y
 from pathloom.plans import chain_plans as CP
 from pathloom.plans import runner
 
@@ -54,3 +55,21 @@ def test_steps_anchors_endpoints(spark):
     assert anchors == {"a": (1, 1), "b": (0, 2), "c": (1, 3)}
     ends = sorted((r.case_id, r.key, r.query, r.ent_id) for r in CP.chain_endpoints(state, ents, seeds).collect())
     assert ends == [("a", 1, "Italy", 2), ("a", 2, "Lake of Garda", 3), ("b", 1, "Italy", None), ("c", 1, "Sea", 3), ("c", 3, "m.1", None), ("c", 101, "old sea", 4)]
+
+
+def test_cases_that_share_a_graph(spark):
+    """By graph_id a graph's names are there once; results are those of a copy for each case."""
+    from pathloom.operators import answers as A
+
+    ents = spark.createDataFrame([("g", 2, "Ada Lovelace"), ("g", 1, "ada lovelace!"), ("g", 3, "Charles Babbage"), ("h", 4, "Ada Lovelace")], "graph_id string, ent_id long, name string")
+    own = spark.createDataFrame([(f"c{i}", "gh"[i % 2]) for i in range(4)], "case_id string, graph_id string")
+    copied = own.join(ents, "graph_id").drop("graph_id")
+    preds = own.selectExpr("case_id", "graph_id", "posexplode(array('ADA LOVELACE', 'Charles Babbag', 'x', null)) as (pos, pred)")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    got = rows(A.resolve_in_graph(preds, ents, 0.9))
+    assert got == rows(A.resolve_in_graph(preds.drop("graph_id"), copied, 0.9)) and ("c0", 0, "ADA LOVELACE", "ada lovelace!", 1) in got
+    state = own.withColumn("chain", Y.chain(F.lit("Chain: a -(in)-> node\nEndpoints: [ADA LOVELACE] hop 1; [Babbage]; [nowhere]"))).withColumn("anchor_said", F.lit("lovelace"))
+    seeds = own.select("case_id", F.lit("none").alias("seed"))
+    for of in (CP.chain_endpoints, CP.chain_anchors):
+        shared = rows(of(state, ents, seeds))
+        assert shared and shared == rows(of(state.drop("graph_id"), copied, seeds))
