@@ -264,8 +264,8 @@ def _beyond(paths: DataFrame, endpoints: DataFrame | None, cut: bool) -> DataFra
     the path's first endpoint, if it has one."""
     key = key_of(paths)
     none = F.array().cast("array<string>")
-    ends = paths.select(*key).distinct().withColumn("_ends", none) if endpoints is None else endpoints.where("endpoint <> anchor").groupBy(*key).agg(F.collect_set("endpoint").alias("_ends"))
-    own = paths.join(ends, key, "left").withColumn("_ends", F.coalesce("_ends", none))
+    own = paths.select(*key, "nodes", "edges", "covered")
+    own = own.withColumn("_ends", none) if endpoints is None else with_ends(own, endpoints.where("endpoint <> anchor"))
     first = F.array_position(F.transform("nodes", lambda n: F.array_contains("_ends", n)), F.lit(True)).cast("int") if cut else F.lit(0)
     rank = F.struct((-F.bit_count("covered")).alias("c"), F.size("edges").alias("d"), "edges")
     each = own.select(*key, "_ends", rank.alias("_r"), first.alias("_first"), F.posexplode("nodes").alias("pos", "name"))
