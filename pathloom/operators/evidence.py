@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.text import is_ascii, is_cvt, is_noisy, is_noisy_attribute, normalize, relation_short
 from pathloom.operators.graph import both_ways, owner
 from pathloom.operators.stage import pattern_key
+from pathloom.operators.walk import with_ends
 
 
 def _key(nodes: Column, facts: bool) -> Column:
@@ -40,8 +41,8 @@ def endpoint_rescue(paths: DataFrame, selected: DataFrame, endpoints: DataFrame,
     """(anchor, place, nodes, rels, noisy, n_covered): where all selected patterns (anchor, rels)
     need a rescue, paths cut at their first endpoint, by coverage, noise and length."""
     ask = selected.groupBy("anchor").agg(F.min(needs_rescue(F.col("rels"))).alias("all")).where("all").select("anchor")
-    ends = endpoints.where("endpoint <> anchor").groupBy("anchor").agg(F.collect_set("endpoint").alias("ends"))
-    rows = paths.join(ask, "anchor", "left_semi").join(ends, "anchor")
+    asked = paths.join(ask, "anchor", "left_semi").select("anchor", "nodes", "rels", "covered")
+    rows = with_ends(asked, endpoints.where("endpoint <> anchor"), "ends")
     at = F.array_position(F.transform("nodes", lambda n: F.array_contains("ends", n)), F.lit(True)).cast("int")
     rows = rows.withColumn("at", at).where("at > 1")
     rows = rows.select("anchor", F.slice("nodes", F.lit(1), F.col("at")).alias("nodes"), F.slice("rels", F.lit(1), F.col("at") - 1).alias("rels"), F.bit_count("covered").alias("n_covered"))
