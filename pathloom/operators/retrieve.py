@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.text import normalize
 
-#: Queries and candidates of one block product.
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 1 << 16
+#: Queries and candidates that meet in one task, and scores of them held at once (8 bytes each).
+QUERY_BLOCK, CANDIDATE_BLOCK, SCORES = 4096, 1 << 14, 1 << 21
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,6 +22,28 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _best(queries: np.ndarray, candidates: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of the k (one a query) best of each query by score rounded to 4
+    digits, equal ones in order of candidates. Scores are made for a few queries at a time, and
+    only those that reach the worst one taken are sorted."""
+    step, n, found = max(1, SCORES // max(len(candidates), 1)), len(candidates), []
+    for i in range(0, len(queries), step):
+        score = np.round(queries[i : i + step] @ candidates.T, 4)
+        most = min(max(int(k[i : i + step].max()), 0), n)
+        if not most:
+            continue
+        row, col = np.nonzero(score >= np.partition(score, n - most, axis=1)[:, n - most, None])
+        value = score[row, col]
+        order = np.lexsort((col, -value, row))
+        row, col, value = row[order], col[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        few = place < k[i : i + step][row]
+        found.append((row[few] + i, col[few], value[few]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def vector_topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """Exact top-k of candidates (cand_id, embedding) for a stated set of queries (query_id,
     query), by score rounded to 4 digits, then id. Blocks of queries meet blocks of candidates
@@ -36,11 +58,8 @@ def vector_topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": left.column("query_id").slice(0, 0), "cand_id": right.column("cand_id").slice(0, 0), "score": pa.array([], pa.float64())})
         right = right.sort_by("cand_id")
-        score = np.round(_matrix(left.column("query")) @ _matrix(right.column("embedding")).T, 4)
-        n = min(k, right.num_rows)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :n]  # equal scores in order of id
-        rows = np.repeat(np.arange(left.num_rows), n)
-        return pa.table({"query_id": left.column("query_id").take(pa.array(rows)), "cand_id": right.column("cand_id").take(pa.array(top.ravel())), "score": pa.array(np.take_along_axis(score, top, axis=1).ravel())})
+        row, col, score = _best(_matrix(left.column("query")), _matrix(right.column("embedding")), np.full(left.num_rows, k))
+        return pa.table({"query_id": left.column("query_id").take(pa.array(row)), "cand_id": right.column("cand_id").take(pa.array(col)), "score": pa.array(score)})
 
     kinds = queries.schema["query_id"].dataType.simpleString(), candidates.schema["cand_id"].dataType.simpleString()
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(best, f"query_id {kinds[0]}, cand_id {kinds[1]}, score double")
@@ -70,13 +89,9 @@ def topk_within(queries: DataFrame, candidates: DataFrame, k: int | Column, grou
             none = {g: mine.column(g).slice(0, 0) for g in group}
             return pa.table(none | {"query_id": mine.column("query_id").slice(0, 0), "k": mine.column("k").slice(0, 0), "cand_id": theirs.column("cand_id").slice(0, 0), "score": pa.array([], pa.float64())})
         theirs = theirs.sort_by("cand_id")
-        score = np.round(_matrix(mine.column("query")) @ _matrix(theirs.column("embedding")).T, 4)
-        wanted = np.minimum(mine.column("k").to_numpy(), theirs.num_rows)
-        top = np.argsort(-score, axis=1, kind="stable")[:, : max(int(wanted.max()), 0)]
-        rows = np.repeat(np.arange(mine.num_rows), wanted)
-        place = np.concatenate([top[i, :n] for i, n in enumerate(wanted)]) if len(rows) else np.zeros(0, np.int64)
-        at = pa.array(rows)
-        return pa.table({g: mine.column(g).take(at) for g in group} | {"query_id": mine.column("query_id").take(at), "k": mine.column("k").take(at), "cand_id": theirs.column("cand_id").take(pa.array(place)), "score": pa.array(score[rows, place])})
+        row, col, score = _best(_matrix(mine.column("query")), _matrix(theirs.column("embedding")), mine.column("k").to_numpy())
+        at = pa.array(row)
+        return pa.table({g: mine.column(g).take(at) for g in group} | {"query_id": mine.column("query_id").take(at), "k": mine.column("k").take(at), "cand_id": theirs.column("cand_id").take(pa.array(col)), "score": pa.array(score)})
 
     kinds = {c: df.schema[c].dataType.simpleString() for df, names in ((queries, [*group, "query_id"]), (candidates, ["cand_id"])) for c in names}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, "query_id"]) + f", k int, cand_id {kinds['cand_id']}, score double"

@@ -128,3 +128,25 @@ def test_questions_for_a_profession(spark):
     rows = spark.createDataFrame([(t,) for t in yes + no], "t string")
     got = [r.x for r in rows.select(asks_profession(F.col("t")).alias("x")).collect()]
     assert got == [True] * len(yes) + [False] * len(no)
+
+
+def test_endpoints_on_a_path(spark):
+    """A path carries the endpoints that are on it, not its question's whole list; twice if it is there twice."""
+    rows = [("A", ["A", "E", "B"]), ("A", ["A", "E", "B"]), ("A", ["A", "C"]), ("B", ["B", "E"])]
+    paths = spark.createDataFrame(rows, "anchor string, nodes array<string>")
+    ends = spark.createDataFrame([("A", e) for e in ("E", "E", "X", "Y")], "anchor string, endpoint string")
+    got = sorted((r.anchor, r.nodes, r["_ends"]) for r in W.with_ends(paths, ends).collect())
+    assert got == [("A", ["A", "C"], []), ("A", ["A", "E", "B"], ["E"]), ("A", ["A", "E", "B"], ["E"]), ("B", ["B", "E"], [])]
+
+
+def test_best_scores_a_few_queries_at_a_time(monkeypatch):
+    import numpy as np
+
+    from pathloom.operators import retrieve as R
+
+    rng = np.random.default_rng(0)
+    q, c, k = rng.integers(-2, 3, (9, 4)).astype(float), rng.integers(-2, 3, (50, 4)).astype(float), np.array([0, 1, 2, 3, 60, 5, 5, 1, 0])
+    monkeypatch.setattr(R, "SCORES", 100)
+    got = list(zip(*(x.tolist() for x in R._best(q, c, k)), strict=True))
+    want = [(i, j, (q @ c.T)[i, j]) for i in range(9) for j in np.argsort(-(q @ c.T)[i], kind="stable")[: k[i]].tolist()]
+    assert got == want
