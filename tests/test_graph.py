@@ -102,3 +102,27 @@ def test_sinks_round_trip(spark, tmp_path):
     assert back[1].seen == ["a", "z"] and len(back[1].patterns) == 20 and back[1].llm_answer is None and back[2].patterns == []
     sinks.write_traces(fail_traces(rows), f"{tmp_path}/traces")
     assert "\n".join(r.value for r in spark.read.text(f"{tmp_path}/traces").collect()).endswith("Case: 1\nQ: q\nGT: b\nLLM: ")
+
+
+def test_line_items_in_parts(spark, tmp_path, monkeypatch):
+    """As many parts as the line items ask for, beyond the shuffle's own number."""
+    from pathloom.sources import testkg
+
+    rows = [(o, 1, o % 7, o % 3) for o in range(40)]
+    spark.createDataFrame(rows + rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(testkg, "PART", 5)
+    e = testkg.edges(spark, str(tmp_path), ("sales.order.item", "sales.item.part"))
+    assert e.count() == e.distinct().count() == 80 and e.rdd.getNumPartitions() == 16
+
+
+def test_facts_come_together_once(spark):
+    """One shuffle of a fact's edges; a pair that is listed both ways is a head only."""
+    from pathloom.operators import evidence as E
+
+    rows = [("q", "A", "x.has", "m.1"), ("q", "m.1", "x.of", "B"), ("q", "m.1", "x.of", "C"), ("q", "m.1", "x.has", "A"), ("q", "m.1", "x.of", "B"), ("q", "A", "x.has", "m.2"), ("q", "m.3", "x.of", "B")]
+    t = spark.createDataFrame(rows, "anchor string, h string, r string, t string")
+    df = E.facts_grouped(t)
+    assert {r.cvt: (r.parents, r.attributes) for r in df.collect()} == {"m.1": (["A -[x has]"], ["x of: B, C"]), "m.2": (["A -[x has]"], []), "m.3": ([], ["x of: B"])}
+    assert df._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    facts = spark.createDataFrame([("g", "m.1"), ("g", "m.3"), ("g", "m.3"), ("h", "m.1"), ("k", "m.1"), ("k", "m.9")], "group string, node string")
+    assert {r.group: r.shared for r in E.shared_attributes(facts, t).collect()} == {"g": ["x.of=B"], "k": []}
