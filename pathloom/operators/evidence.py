@@ -127,11 +127,14 @@ def evidence_bodies(evidence: DataFrame, order: DataFrame, lines: int = 400) ->
 def shared_attributes(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, shared): 'relation=name' pairs that all fact nodes of a group (group, node) have,
     in order; of groups of two nodes and more."""
-    asked = facts.distinct()
-    size = asked.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
-    near = both_ways(edges).where(is_cvt(F.col("src")) & ~is_cvt(F.col("dst"))).select(F.col("src").alias("node"), F.concat_ws("=", "r", "dst").alias("pair")).distinct()
-    counts = asked.join(near, "node").groupBy("group", "pair").agg(F.count("*").alias("n")).join(size, "group").where("n = size")
-    return size.select("group").join(counts.groupBy("group").agg(F.sort_array(F.collect_list("pair")).alias("shared")), "group", "left").select("group", F.coalesce("shared", F.array().cast("array<string>")).alias("shared"))
+    near = both_ways(edges).where(is_cvt(F.col("src")) & ~is_cvt(F.col("dst")))
+    pairs = near.groupBy(F.col("src").alias("node")).agg(F.collect_set(F.concat_ws("=", "r", "dst")).alias("pairs"))
+    asked = facts.groupBy("node").agg(F.collect_set("group").alias("groups")).join(pairs, "node", "left")
+    own = asked.select(F.explode("groups").alias("group"), "node", F.coalesce("pairs", F.array().cast("array<string>")).alias("pairs"))
+    size = F.count("*").over(Window.partitionBy("group"))
+    each = own.withColumn("size", size).where("size > 1").select("group", "size", F.explode_outer("pairs").alias("pair"))
+    counts = each.groupBy("group", "pair").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return counts.groupBy("group").agg(F.sort_array(F.collect_list(F.when(F.col("n") == F.col("size"), F.col("pair")))).alias("shared"))
 
 
 def grouped_both_ways(edges: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
