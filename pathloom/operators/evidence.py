@@ -154,14 +154,16 @@ def facts_grouped(triples: DataFrame) -> DataFrame:
     """(anchor, cvt, parents, attributes) of triples (anchor, h, r, t): a fact node's named heads
     as 'head -[relation]', and its named tails as 'relation: a, b', in order; a pair listed
     both ways counts once."""
-    t = triples.select("anchor", "h", "r", "t").distinct()
-    up = t.where(is_cvt(F.col("t")) & ~is_cvt(F.col("h"))).select("anchor", F.col("t").alias("cvt"), F.concat(F.col("h"), F.lit(" -["), relation_short(F.col("r")), F.lit("]")).alias("parent"), F.col("r").alias("ar"), F.col("h").alias("name"))
-    down = t.where(is_cvt(F.col("h")) & ~is_cvt(F.col("t"))).select("anchor", F.col("h").alias("cvt"), "r", F.col("t").alias("name"))
-    down = down.join(up.select("anchor", "cvt", "name", F.col("ar").alias("r")), ["anchor", "cvt", "name", "r"], "left_anti")
-    lines = down.groupBy("anchor", "cvt", "r").agg(F.concat(relation_short(F.first("r")), F.lit(": "), F.array_join(F.sort_array(F.collect_set("name")), ", ")).alias("line")).groupBy("anchor", "cvt").agg(F.sort_array(F.collect_set("line")).alias("attributes"))
-    heads = up.groupBy("anchor", "cvt").agg(F.sort_array(F.collect_set("parent")).alias("parents"))
-    none = F.array().cast("array<string>")
-    return heads.join(lines, ["anchor", "cvt"], "full").select("anchor", "cvt", F.coalesce("parents", none).alias("parents"), F.coalesce("attributes", none).alias("attributes"))
+    up, down = is_cvt(F.col("t")) & ~is_cvt(F.col("h")), is_cvt(F.col("h")) & ~is_cvt(F.col("t"))
+    # A fact node's edges come together once, as sets: heads as (relation, name), tails as well.
+    near = triples.where(up | down).select("anchor", F.when(up, F.col("t")).otherwise(F.col("h")).alias("cvt"), "r", F.when(up, F.col("h")).otherwise(F.col("t")).alias("name"), up.alias("up"))
+    pair = F.struct("r", "name")
+    facts = near.groupBy("anchor", "cvt").agg(F.collect_set(F.when(F.col("up"), pair)).alias("heads"), F.collect_set(F.when(~F.col("up"), pair)).alias("tails"))
+    parents = F.transform("heads", lambda x: F.concat(x["name"], F.lit(" -["), relation_short(x["r"]), F.lit("]")))
+    tails = F.array_except("tails", "heads")
+    names = lambda r: F.array_sort(F.transform(F.filter(tails, lambda x: x["r"] == r), lambda x: x["name"]))
+    lines = F.transform(F.array_distinct(F.transform(tails, lambda x: x["r"])), lambda r: F.concat(relation_short(r), F.lit(": "), F.array_join(names(r), ", ")))
+    return facts.select("anchor", "cvt", F.sort_array(F.array_distinct(parents)).alias("parents"), F.sort_array(F.array_distinct(lines)).alias("attributes"))
 
 
 def subgraph_text(triples: DataFrame, lines: int = 80, facts: int = 50) -> DataFrame:
