@@ -63,8 +63,25 @@ def shared_least(a: int, b: int, ratio: float) -> int | None:
 
 def least_shared(size: int, least: int, ratio: float) -> int:
     """The same over all partners of at least `least` characters of a text."""
-    reach = range(max(least, int(size * ratio / (2 - ratio)) - 1), int(size * (2 - ratio) / ratio) + 2)
-    return min((c for b in reach if (c := shared_least(size, b, ratio)) is not None), default=size)
+    return min((c for b in _reach(size, least, ratio) if (c := shared_least(size, b, ratio)) is not None), default=size)
+
+
+def _reach(size: int, least: int, ratio: float) -> range:
+    """Lengths that a partner of a text may have, and a few more."""
+    return range(max(least, int(size * ratio / (2 - ratio)) - 1), int(size * (2 - ratio) / ratio) + 2)
+
+
+def one_off(a: int, b: int, ratio: float) -> bool:
+    """Whether texts of a and b characters at `ratio` are equal without one character of each at most."""
+    m = math.ceil(ratio * (a + b) / 2 - 1e-9)
+    return m <= min(a, b) and max(a, b) - m <= 1
+
+
+def _less_one(texts: DataFrame, scope: list[str], name: str) -> DataFrame:
+    """(scope, name, rest): hashes of a text and of what is left of it without one character."""
+    t, n = F.col(name), F.length(name)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n))))
+    return texts.select(*scope, name, F.explode(F.array_distinct(F.concat(F.array(F.xxhash64(t)), cut))).alias("rest"))
 
 
 def _numbered(texts: DataFrame, scope: list[str], name: str) -> DataFrame:
@@ -85,22 +102,40 @@ def resembling(left: DataFrame, right: DataFrame, scope: list[str], ratio: float
 def may_resemble(left: DataFrame, right: DataFrame, scope: list[str], ratio: float, text: str = "text", least: int = 4) -> DataFrame:
     """(scope, left, right): the pairs that have to be verified for `resembling`.
 
-    Two such texts share c 2-grams or more. With grams in one order, rarest first, the first
-    n - c + 1 of each then hold a common one, so only these are posted; c is the least that
-    any length of the other text allows. Texts so short or a ratio so low that they may share
-    none have no such index: an error."""
+    Where lengths and ratio leave each text one character at most that the other lacks, both are
+    equal without it: these pairs meet by hashes of what is left, which hardly any others share.
+
+    The others share c 2-grams or more. With grams in one order, rarest first, the first
+    n - c + 1 of each then hold a common one, so only these are posted, for each length of the
+    other text that its side has; longer texts than `LONG` post all for all. Texts so short or a
+    ratio so low that they may share none have no such index: an error."""
     need = {n: least_shared(n, least, ratio) for n in range(least, LONG)}
     if min(need.values()) < 1:
         raise ValueError(f"texts of {least} characters may share no 2-gram at a ratio of {ratio}; raise one of them")
     sides = {"left": _texts(left, scope, text, "left"), "right": _texts(right, scope, text, "right")}
-    own = {name: _numbered(df.where(F.length(name) >= least), scope, name) for name, df in sides.items()}
+    sides = {name: df.where(F.length(name) >= least) for name, df in sides.items()}
+    sizes = {name: df.select(*scope, F.least(F.length(name), F.lit(LONG)).alias("size")).distinct() for name, df in sides.items()}
+    # What a text of a characters posts for one of b; nothing where one character tells them apart.
+    table = {(a, b): a - 1 - c + 1 for a in range(least, LONG) for b in _reach(a, least, ratio) if b < LONG and not one_off(a, b, ratio) and (c := shared_least(a, b, ratio)) is not None}
+    meet = left.sparkSession.createDataFrame([(a, b, n) for (a, b), n in table.items()] + [(a, LONG, a) for a in range(least, LONG) if LONG <= _reach(a, least, ratio)[-1]] + [(LONG, b, 1 << 30) for b in (*range(least, LONG), LONG) if b == LONG or LONG <= _reach(b, least, ratio)[-1]], "size int, other int, most int")
+
+    def asked(name: str, other: str) -> DataFrame:
+        """A side's texts with the lengths of the other side that they may meet by grams."""
+        partner = sizes[other].withColumnRenamed("size", "other")
+        both = sizes[name].join(partner, scope) if scope else sizes[name].crossJoin(partner)
+        pairs = both.join(F.broadcast(meet), ["size", "other"]).groupBy(*scope, "size").agg(F.collect_list(F.struct("other", "most")).alias("meets"))
+        return sides[name].withColumn("size", F.least(F.length(name), F.lit(LONG))).join(pairs, [*scope, "size"])
+
+    open_ = {"left": asked("left", "right"), "right": asked("right", "left")}
+    own = {name: _numbered(df.select(*scope, name), scope, name) for name, df in open_.items()}
     counts = own["left"].drop("left").unionByName(own["right"].drop("right")).groupBy(*scope, "gram").agg(F.count("*").alias("n"))
-    table = F.array(*(F.lit(need[n]) for n in range(least, LONG)))
 
-    def posted(name: str) -> DataFrame:
-        size = F.length(name)
-        c = F.coalesce(F.get(table, size - least), F.lit(1))  # longer texts post all their grams
+    def posted(name: str, mine: str, theirs: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*scope, name).orderBy("n", "gram"))
-        return own[name].join(counts, [*scope, "gram"]).withColumn("k", rank).where(F.col("k") <= size - c).select(*scope, name, "gram")
+        ranked = own[name].join(counts, [*scope, "gram"]).withColumn("k", rank).join(open_[name], [*scope, name])
+        each = ranked.select(*scope, name, "gram", "k", F.col("size").alias(mine), F.explode("meets").alias("m"))
+        return each.where(F.col("k") <= F.col("m.most")).select(*scope, name, "gram", mine, F.col("m.other").alias(theirs))
 
-    return posted("left").join(posted("right"), [*scope, "gram"]).select(*scope, "left", "right").where(may_reach(F.col("left"), F.col("right"), ratio)).distinct()
+    by_gram = posted("left", "_a", "_b").join(posted("right", "_b", "_a"), [*scope, "gram", "_a", "_b"]).select(*scope, "left", "right")
+    by_rest = _less_one(sides["left"], scope, "left").join(_less_one(sides["right"], scope, "right"), [*scope, "rest"]).select(*scope, "left", "right")
+    return by_gram.unionByName(by_rest).where(may_reach(F.col("left"), F.col("right"), ratio)).distinct()

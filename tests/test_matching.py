@@ -60,3 +60,11 @@ def test_few_pairs_are_verified(spark):
 def test_low_ratio_is_refused(spark):
     with pytest.raises(ValueError, match="may share no 2-gram"):
         M.resembling(frame(spark, []), frame(spark, []), ["case_id"], 0.5, least=4)
+
+
+def test_one_character_apart_meets_few(spark):
+    """Numbers behind a common word: what has to be verified grows with the pairs that hold, not with their square."""
+    a, b = ([("s", f"Customer#{i:09d}") for i in r] for r in (range(0, 6000, 3), range(0, 6000, 7)))
+    rows = lambda x: spark.createDataFrame(x, "case_id string, text string")
+    near = M.may_resemble(rows(a), rows(b), ["case_id"], 0.92, least=8)
+    assert 0 < near.where("levenshtein(left, right) <= 1").count() <= near.count() < 60_000  # of 1,716,000
