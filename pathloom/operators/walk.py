@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.text import is_cvt, normalize
 from pathloom.operators.adjacency import Graph, as_graph, grow, key_of, last, pack
-from pathloom.operators.graph import both_ways
+from pathloom.operators.graph import both_ways, edge_name
 from pathloom.operators.lineage import kept
 from pathloom.operators.plan import PLAN, Plans, after, as_plans, bit, covered_in_order, has, holds, is_last, mask
 
@@ -41,11 +41,13 @@ def bare(df: DataFrame) -> DataFrame:
 
 
 def hop(states: DataFrame, steps: DataFrame | Graph, where: Column | None = None, node_simple: bool = False) -> DataFrame:
-    """One hop over flat steps (src, r, dst, edge) or a packed graph. Edge-simple, or node-simple,
-    which implies it. Other columns come along."""
+    """One hop over flat steps (src, r, dst, edge), `directed` ones, whose edges are named after
+    they met a state, or a packed graph. Edge-simple, or node-simple, which implies it. Other
+    columns come along."""
     if isinstance(steps, Graph):
         return steps.hop(states, None, where, node_simple)
     met = states.join(steps, last() == F.col("src"))
+    met = met if "edge" in steps.columns else met.withColumn("edge", edge_name(steps))
     return grow(states, met, where, node_simple)
 
 

@@ -126,3 +126,13 @@ def test_facts_come_together_once(spark):
     assert df._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
     facts = spark.createDataFrame([("g", "m.1"), ("g", "m.3"), ("g", "m.3"), ("h", "m.1"), ("k", "m.1"), ("k", "m.9")], "group string, node string")
     assert {r.group: r.shared for r in E.shared_attributes(facts, t).collect()} == {"g": ["x.of=B"], "k": []}
+
+
+def test_a_hop_over_directed_edges_names_them_as_both_ways_does(spark):
+    """Edges get their name once they met a state, so that no shuffle carries it."""
+    e = spark.createDataFrame([(1, "a", "x.y", "b"), (2, "c", "x.y", "a"), (3, "a", "x.z", "a")], "edge_id long, h string, r string, t string")
+    for edges in (e, e.drop("edge_id")):
+        anchors = spark.createDataFrame([("a",)], "anchor string")
+        one, two = (W.hop(W.hop(W.start(anchors), steps), steps) for steps in (G.directed(edges), G.both_ways(edges)))
+        assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+        assert "edge" not in G.directed(edges).columns
