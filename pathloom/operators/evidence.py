@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import is_ascii, is_cvt, is_noisy, is_noisy_attribute, normalize, relation_short
-from pathloom.operators.graph import both_ways, owner
+from pathloom.operators.graph import both_ways, directed, owner
+from pathloom.operators.lineage import kept
 from pathloom.operators.stage import pattern_key
 from pathloom.operators.walk import with_ends
 
@@ -57,20 +58,36 @@ def path_triples(support: DataFrame) -> DataFrame:
     return support.select("anchor", "chain", "place", F.posexplode(step).alias("pos", "x")).select("anchor", "chain", "place", "pos", "x.h", "x.r", "x.t")
 
 
+def _ranked(facts: DataFrame, edges: DataFrame, on_path: DataFrame | None) -> DataFrame:
+    """(node, k, plain, r, h, t): edges of fact nodes with named neighbours; `k` ranks those on the
+    path first, `plain` takes no notice of it. Edges and the path's triples come together by
+    node, once; an edge is its ends and the side it is seen from."""
+    own = owner(edges)
+    rows = edges.select(*own, "h", "r", "t", F.lit(False).alias("on"))
+    if on_path is not None:
+        rows = rows.unionByName(on_path.select(*own, "h", "r", "t", F.lit(True).alias("on")))
+    near = directed(rows, "on").where(~is_cvt(F.col("dst"))).withColumnsRenamed({"src": "node", "dst": "name"})
+    near = near.join(facts.select(*own, "node").distinct(), [*own, "node"])  # a semi-join would be taken below the union, and its rows shuffled again
+    name = F.col("name")
+    near = near.select(*own, "node", "r", "name", "on", F.when(F.col("out"), F.col("node")).otherwise(name).alias("h"), F.when(F.col("out"), name).otherwise(F.col("node")).alias("t"), is_noisy_attribute(F.col("r")).alias("_noisy"), (~is_ascii(name)).alias("_far"), F.length("name").alias("_long"))
+    # All windows have one order, so a node's rows are sorted once; a triple of the path is the peer of its edge.
+    by = Window.partitionBy(*own, "node").orderBy("_noisy", "_far", "_long", "r", "name", "h", "t")
+    plain = F.row_number().over(by)
+    if on_path is None:
+        return near.select(*own, "node", plain.alias("k"), plain.alias("plain"), "r", "h", "t")
+    near = near.withColumn("_on", F.max("on").over(by.rangeBetween(Window.currentRow, Window.currentRow)).cast("int")).where("not on")
+    so_far = F.sum("_on").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_all = F.sum("_on").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = near.withColumns({"plain": plain, "_so_far": so_far, "_in_all": in_all})
+    k = F.when(F.col("_on") == 1, F.col("_so_far")).otherwise(F.col("_in_all") + F.col("plain") - F.col("_so_far")).cast("int")
+    return near.select(*own, "node", k.alias("k"), "plain", "r", "h", "t")
+
+
 def fact_attributes(facts: DataFrame, edges: DataFrame, on_path: DataFrame | None = None) -> DataFrame:
     """(node, k, r, h, t): edges of fact nodes (node) with named neighbours, ordered by: on the
     path, quiet relation, ASCII name, short name, relation, name, then the edge itself. Edges
     with an anchor are that question's own, and so are the rows."""
-    own = owner(edges)
-    near = both_ways(edges).withColumnRenamed("src", "node").join(facts.select(*own, "node").distinct(), [*own, "node"]).where(~is_cvt(F.col("dst")))
-    parts = F.split("edge", r"\|")
-    near = near.select(*own, "node", "r", parts[0].alias("h"), parts[2].alias("t"), F.col("dst").alias("name"))
-    if on_path is not None:
-        near = near.join(on_path.select(*own, "h", "r", "t").distinct().withColumn("_on", F.lit(True)), [*own, "h", "r", "t"], "left")
-    else:
-        near = near.withColumn("_on", F.lit(None).cast("boolean"))
-    order = [F.coalesce("_on", F.lit(False)).desc(), is_noisy_attribute(F.col("r")), (~is_ascii(F.col("name"))), F.length("name"), "r", "name", "h", "t"]
-    return near.withColumn("k", F.row_number().over(Window.partitionBy(*own, "node").orderBy(*order))).select(*own, "node", "k", "r", "h", "t")
+    return _ranked(facts, edges, on_path).drop("plain")
 
 
 def sibling_facts(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
@@ -78,9 +95,9 @@ def sibling_facts(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFra
     the first `most` of each. A head's facts are packed once, sorted; only the asked ones unpack
     the first `most` + 1 of them, so a head costs its facts and not their square."""
     own = owner(edges)
-    facts = edges.where(is_cvt(F.col("t"))).select(*own, "h", "r", "t").distinct()
-    asked = facts.withColumnRenamed("t", "node").join(nodes.select(*own, "node").distinct(), [*own, "node"], "left_semi")
-    heads = facts.join(asked.select(*own, "h", "r").distinct(), [*own, "h", "r"], "left_semi")
+    facts = edges.where(is_cvt(F.col("t"))).select(*own, "h", "r", "t")
+    asked = facts.withColumnRenamed("t", "node").join(nodes.select(*own, "node").distinct(), [*own, "node"], "left_semi").distinct()
+    heads = facts.join(asked.select(*own, "h", "r").distinct(), [*own, "h", "r"], "left_semi").distinct()
     k = F.row_number().over(Window.partitionBy(*own, "h", "r").orderBy("t"))
     few = heads.withColumn("k", k).where(F.col("k") <= most + 1).groupBy(*own, "h", "r").agg(F.array_sort(F.collect_list("t")).alias("all"))
     each = asked.join(few, [*own, "h", "r"]).withColumn("others", F.slice(F.filter("all", lambda x: x != F.col("node")), 1, most))
@@ -92,23 +109,29 @@ def pattern_evidence(support: DataFrame, edges: DataFrame, attributes: int = 8,
     of their fact nodes (1) and, for the first path, the sibling facts with theirs (2). Names
     must be ASCII and longer than one character; of triples equal when normalized the first.
     Edges are one graph, or with an anchor each question's own."""
-    own = owner(edges)
-    steps = path_triples(support)
-    facts = support.select("anchor", "chain", "place", F.explode(F.filter("nodes", is_cvt)).alias("node")).distinct()
-    shown = fact_attributes(facts, edges, steps).where(F.col("k") <= attributes)
-    first = steps.select("anchor", "chain", "place", F.lit(0).alias("phase"), "pos", "h", "r", "t")
-    second = facts.join(shown, [*own, "node"]).select("anchor", "chain", "place", F.lit(1).alias("phase"), F.col("k").alias("pos"), "h", "r", "t")
+    own, key = owner(edges), ["anchor", "chain", "place"]
+    support = kept(support.select(*key, "nodes", "rels"))
+    facts = support.select(*key, F.explode(F.array_distinct(F.filter("nodes", is_cvt))).alias("node"))
     near = sibling_facts(facts.where("place = 1").select("anchor", "node"), edges, siblings)
-    heads = facts.where("place = 1").join(near, [*own, "node"])
-    third = heads.select("anchor", "chain", "place", F.lit(2).alias("phase"), F.lit(0).alias("pos"), "h", "r", F.col("sibling").alias("t"))
-    more = fact_attributes(near.select(*own, F.col("sibling").alias("node")), edges).where(F.col("k") <= attributes)
-    fourth = heads.select("anchor", "chain", "place", F.col("sibling").alias("node")).join(more, [*own, "node"]).select("anchor", "chain", "place", F.lit(2).alias("phase"), F.col("k").alias("pos"), "h", "r", "t")
-    rows = first.unionByName(second).unionByName(third).unionByName(fourth)
-    good = lambda c: is_ascii(F.col(c)) & (F.length(c) > 1)
-    rows = rows.where(good("h") & good("t"))
-    key = F.concat_ws("|", *(F.when(is_cvt(F.col(c)) | (F.lit(c) == "r"), F.col(c)).otherwise(normalize(F.col(c))) for c in ("h", "r", "t")))
-    one = Window.partitionBy("anchor", "chain", key).orderBy("place", "phase", "pos", "h", "r", "t")
-    return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    # A fact node, or a sibling with the triple that leads to it: each meets its attributes once, as a list.
+    lead = F.struct("h", "r", F.col("sibling").alias("t"))
+    heads = facts.where("place = 1").join(near, [*own, "node"]).select(*key, F.col("sibling").alias("node"), lead.alias("lead"))
+    asked = kept(facts.withColumn("lead", F.lit(None).cast("struct<h:string,r:string,t:string>")).unionByName(heads))
+    ranked = _ranked(asked, edges, path_triples(support)).where((F.col("k") <= attributes) | (F.col("plain") <= attributes))
+    lists = ranked.groupBy(*own, "node").agg(F.collect_list(F.struct("k", "plain", "h", "r", "t")).alias("list"))
+    triple = lambda phase, pos, x: F.struct(F.lit(phase).alias("phase"), pos.cast("int").alias("pos"), x["h"].alias("h"), x["r"].alias("r"), x["t"].alias("t"))
+    some = lambda phase, k: F.transform(F.filter("list", lambda x: x[k] <= attributes), lambda x: triple(phase, x[k], x))
+    met = asked.join(lists, [*own, "node"], "left").withColumn("list", F.coalesce("list", F.array().cast(lists.schema["list"].dataType)))
+    more = met.select(*key, F.when(F.col("lead").isNull(), some(1, "k")).otherwise(F.concat(F.array(triple(2, F.lit(0), F.col("lead"))), some(2, "plain"))).alias("x"))
+    first = F.transform("rels", lambda r, i: triple(0, i, F.struct(F.element_at("nodes", i + 1).alias("h"), r.alias("r"), F.element_at("nodes", i + 2).alias("t"))))
+    # What a pattern has is bounded by the caps: it comes together in lists, of which equals are neighbours when sorted.
+    good = lambda c: is_ascii(c) & (F.length(c) > 1)
+    name = lambda c: F.when(is_cvt(c), c).otherwise(normalize(c))
+    keyed = F.transform(F.filter("x", lambda x: good(x["h"]) & good(x["t"])), lambda x: F.struct(F.concat_ws("|", name(x["h"]), x["r"], name(x["t"])).alias("key"), "place", x["phase"].alias("phase"), x["pos"].alias("pos"), x["h"].alias("h"), x["r"].alias("r"), x["t"].alias("t")))
+    rows = support.select(*key, first.alias("x")).unionByName(more).repartition("anchor", "chain").select("anchor", "chain", keyed.alias("x"))
+    each = rows.groupBy("anchor", "chain").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    one = F.filter("x", lambda x, i: (i == 0) | (x["key"] != F.get(F.col("x"), i - 1)["key"]))
+    return each.select("anchor", "chain", F.explode(one).alias("x")).select("anchor", "chain", "x.place", "x.phase", "x.pos", "x.h", "x.r", "x.t")
 
 
 def evidence_bodies(evidence: DataFrame, order: DataFrame, lines: int = 400) -> DataFrame:
