@@ -141,3 +141,21 @@ def test_layer_frontier_facts_and_borrowing(spark):
     walk = lambda layers: sorted(tuple(r.nodes) for r in W.layer_frontier(anchors, e, layers).collect())
     assert walk([["r2"]]) == [("A", "K"), ("A", "m.1", "B", "C")]  # two hops, as the fact node costs none
     assert walk([["y"], ["r2"], ["r3"]]) == [("A", "m.1", "B", "C", "D")]
+
+
+def test_a_hop_without_hubs_shuffles_no_graph(spark):
+    """Where no node is a hub, the piece that is 0 everywhere fell out of the join, whose keys then
+    weren't those of the buckets: each hop shuffled the whole graph."""
+    e = spark.range(4000).selectExpr("id % 50 as case_id", "concat('n', id % 7) as h", "'a.b' as r", "concat('t', id) as t")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph = pack(e, buckets=4)
+        assert not graph.n_hubs
+        states = W.start(spark.range(50).selectExpr("id as case_id", "concat('n', id % 7) as anchor"))
+        got = graph.hop(states)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        assert got.count() == e.where("h = concat('n', case_id % 7)").count() and "edge" not in graph.lists.schema["out"].dataType.elementType.fieldNames()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
