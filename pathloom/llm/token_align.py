@@ -3,6 +3,8 @@ and how often over the corpus, in id-striped dense count matrices.
 
 1. Each text is encoded by both. Token ends that both share cut the text into groups; the
    ends of either cut it into intervals, each of which is one A-B pair of overlapping tokens.
+   No token of either crosses a single space between words, so a word is encoded and aligned
+   once and looked up from then on (`Words`); a text's result is that of its words.
    A chunk of documents leaves a digest row a document, and one packed row for each stripe of
    `STRIPE` A ids: its pairs, and for each pair the documents that hold it, with how often.
    All of it is written once to the shared folder, so no text is encoded twice.
@@ -23,8 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +43,17 @@ STRIPE = 32
 #: Rows of a stripe are added up in so many parts before they meet.
 FAN = 16
 CHUNK = 2 << 20
+#: Words are forgotten, all at once, when they have so many characters.
+HELD = 2 << 20
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: A single space between words. A starts a match there, whatever is before; B has no piece
+#: with a space behind another character (`Pair.by_word`).
+CUT = re.compile(r"(?<=\S) (?=\S)")
+RAGGED = re.compile(r"\s | \s|^\s|\s\Z")
+
 
 def _byte_letters() -> dict[str, int]:
     """Byte-level BPE writes a byte as itself if it is printable, else as one of U+0100 on, in order."""
@@ -71,6 +83,7 @@ class Pair:
             self.a_bytes[i] = token
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.n_b) for p in [self.b.id_to_piece(i)]]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.by_word = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.n_b))
         #: Ids as decimals with what follows them: ',' inside a side, '|' after A's, ';' after B's.
         self.text = [f"{i}{end}" for i in range(max(self.n_a, self.n_b)) for end in ",|;"]
 
@@ -85,6 +98,39 @@ class Pair:
             out.append((np.array(a, np.int64), np.array(b, np.int64)))
         return out
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of A and B of all words, laid end to end; how many each word has; whether it is
+        faithful (if not, it has none)."""
+        whole = [b" " + w.encode() if w else b"" for w in words]
+        size = np.array([len(w) for w in whole], np.int64)
+        edged = np.array([w[:1].isspace() or w[-1:].isspace() for w in words], bool)
+        coded = self.b.encode(words, num_threads=1)
+        b = np.fromiter(chain.from_iterable(coded), np.int64)
+        n_b = np.array([len(x) for x in coded], np.int64)
+        b_of = np.repeat(np.arange(len(words)), n_b)
+        good = (np.bincount(b_of, self.b_size[b], len(words)) == size) & (size > 0)
+        n_b[~good], b, b_of = 0, b[good[b_of]], b_of[good[b_of]]
+        own = [w for w, x in zip(whole, good.tolist(), strict=True) if x]
+        differ = np.frombuffer(b"".join(own), np.uint8) != np.frombuffer(b"".join(map(self.b_bytes.__getitem__, b.tolist())), np.uint8)
+        if differ.any():
+            wrong = np.zeros(len(words), bool)
+            wrong[np.repeat(np.arange(len(words)), np.where(good, size, 0))[differ]] = True
+            good &= ~wrong
+            n_b[wrong], b = 0, b[~wrong[b_of]]
+        # A's words are encoded as one text, but for those with white space at an end.
+        plain = good & ~edged
+        a, a_of = [self.a.encode_ordinary("".join([" " + w for w, x in zip(words, plain.tolist(), strict=True) if x]))], []
+        ends = np.cumsum(size[plain])
+        a_of.append(np.flatnonzero(plain)[np.searchsorted(ends, np.cumsum(self.a_size[a[0]]))])
+        for i in np.flatnonzero(good & edged).tolist():
+            a.append(self.a.encode_ordinary(" " + words[i]))
+            a_of.append(np.full(len(a[-1]), i))
+        a, a_of = np.fromiter(chain.from_iterable(a), np.int64), np.concatenate(a_of)
+        if len(a_of) and edged.any():
+            order = np.argsort(a_of, kind="stable")
+            a, a_of = a[order], a_of[order]
+        return a, np.bincount(a_of, minlength=len(words)), b, n_b, good | (size == 0)
+
 
 @lru_cache(1)
 def pair(a_path: str, b_path: str) -> Pair:
@@ -94,9 +140,8 @@ def pair(a_path: str, b_path: str) -> Pair:
 class Aligned:
     """Groups and links of some encoded texts laid end to end."""
 
-    def __init__(self, p: Pair, coded: list[tuple[np.ndarray, np.ndarray]]):
-        self.n_a, self.n_b = (np.array([len(x[k]) for x in coded], np.int64) for k in (0, 1))
-        a, b = (np.concatenate([x[k] for x in coded]) if coded else np.zeros(0, np.int64) for k in (0, 1))
+    def __init__(self, p: Pair, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        self.n_a, self.n_b = n_a, n_b
         a_end, b_end = np.cumsum(p.a_size[a]), np.cumsum(p.b_size[b])
         size = int(a_end[-1]) if len(a_end) else 0
         in_a, in_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
@@ -105,11 +150,11 @@ class Aligned:
         # An interval's tokens are the first of each side that end at its end or later.
         a_at = np.cumsum(in_a)[end] - in_a[end]
         b_at = np.cumsum(in_b)[end] - in_b[end]
-        doc_of = np.repeat(np.arange(len(coded)), self.n_a)
+        doc_of = np.repeat(np.arange(len(n_a)), self.n_a)
         self.doc, self.code = doc_of[a_at], a[a_at] * p.n_b + b[b_at]
         shared = (in_a & in_b)[end]
-        self.n_groups = np.bincount(self.doc[shared], minlength=len(coded))
-        self.n_links = np.bincount(self.doc, minlength=len(coded))
+        self.n_groups = np.bincount(self.doc[shared], minlength=len(n_a))
+        self.n_links = np.bincount(self.doc, minlength=len(n_a))
         #: Tokens in group order, A's before B's, as entries of Pair.text.
         both = np.flatnonzero(in_a & in_b)
         a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
@@ -120,11 +165,53 @@ class Aligned:
         order[np.arange(len(b)) + b_before] = b * 3 + 2 * in_a[b_end]
         self.order, self.first = order, np.append(0, np.cumsum(self.n_a + self.n_b))
 
-    def digests(self, p: Pair) -> list[str]:
-        items, out = self.order.tolist(), []
-        for lo, hi in zip(self.first[:-1], self.first[1:], strict=True):
-            out.append(hashlib.sha256("".join(map(p.text.__getitem__, items[lo:hi]))[:-1].encode()).hexdigest() if hi > lo else "")
-        return out
+    def groups(self, p: Pair) -> list[str]:
+        """The groups of each text in decimals."""
+        items, first = list(map(p.text.__getitem__, self.order.tolist())), self.first.tolist()
+        return ["".join(items[lo:hi])[:-1] for lo, hi in zip(first[:-1], first[1:], strict=True)]
+
+
+class Words:
+    """Words encoded and aligned so far. `held` bounds their characters."""
+
+    def __init__(self, p: Pair, held: int = HELD):
+        self.p, self.held = p, held
+        self.forget()
+
+    def forget(self) -> None:
+        #: Words are numbered as they are met.
+        self.at: dict[str, int] = defaultdict(count().__next__)
+        self.groups: list[str] = []
+        #: n_a, n_b, n_groups, n_links and 1 if the word isn't faithful, of each word.
+        self.n, self.code, self.size = np.zeros((5, 0), np.int64), np.zeros(0, np.int64), 0
+
+    def learn(self, words: list[str]) -> None:
+        *ids, good = self.p.encode_words(words)
+        x = Aligned(self.p, *ids)
+        self.groups += x.groups(self.p)
+        self.n = np.hstack([self.n, np.array([x.n_a, x.n_b, x.n_groups, x.n_links, ~good], np.int64)])
+        self.code = np.append(self.code, x.code)
+        self.size += sum(map(len, words))
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups, n_links of each text, digests, and the text and code of each link."""
+        if self.size > self.held:
+            self.forget()
+        words = [[t] if not self.p.by_word else CUT.split(t) if RAGGED.search(t) else t.split(" ") for t in texts]
+        first = np.cumsum([0, *map(len, words)])
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64, int(first[-1]))
+        self.learn(list(islice(self.at, len(self.groups), None)))
+        n = np.add.reduceat(self.n[:, ids], first[:-1], axis=1)
+        lost = n[4] > 0
+        n[:, lost] = 0
+        items, cuts = ids.tolist(), first.tolist()
+        digests = [hashlib.sha256(";".join(map(self.groups.__getitem__, items[lo:hi])).encode()).hexdigest() if some else "" for lo, hi, some in zip(cuts[:-1], cuts[1:], n[0].tolist(), strict=True)]
+        of = np.repeat(np.arange(len(texts)), np.diff(first))
+        ids, of = ids[~lost[of]], of[~lost[of]]
+        links = self.n[3]
+        many = links[ids]
+        place = np.repeat((np.cumsum(links) - links)[ids] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return n[:4], digests, np.repeat(of, many), self.code[place]
 
 
 def _rows(schema: pa.Schema, **values) -> pa.RecordBatch:
@@ -154,15 +241,16 @@ def align(docs: DataFrame, kind: str, a_path: str, b_path: str) -> DataFrame:
         from pyspark import TaskContext
 
         p, chunk = pair(a_path, b_path), TaskContext.get().partitionId() << 32
+        known = Words(p)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             ends, lo = np.cumsum([len(t) + 1 for t in texts]), 0
             while lo < len(texts):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
-                x = Aligned(p, p.encode(texts[lo:hi]))
-                digest = _rows(sides, chunk=[chunk] * (hi - lo), place=range(hi - lo), n_a=x.n_a, n_b=x.n_b, n_groups=x.n_groups, n_links=x.n_links, groups_sha256=x.digests(p))
+                n, digests, doc, code = known.align(texts[lo:hi])
+                digest = _rows(sides, chunk=[chunk] * (hi - lo), place=range(hi - lo), n_a=n[0], n_b=n[1], n_groups=n[2], n_links=n[3], groups_sha256=digests)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *digest.columns], ["doc_id", *sides.names])
-                key, times = np.unique(x.code * (hi - lo) + x.doc, return_counts=True)
+                key, times = np.unique(code * (hi - lo) + doc, return_counts=True)
                 code, doc = key // (hi - lo), key % (hi - lo)
                 stripe = code // (STRIPE * p.n_b)
                 cut = np.flatnonzero(np.append(True, stripe[1:] != stripe[:-1])) if len(stripe) else []
@@ -217,18 +305,26 @@ def partial_counts(links: DataFrame, limit: int = 4 << 20) -> DataFrame:
 
 
 def added(counts: DataFrame, keys: list[str], n_b: int) -> DataFrame:
-    """Counts added up in dense blocks, one for each value of `keys`, with the best of each A id."""
+    """Counts added up in dense blocks, one for each value of `keys`, with the best of each A id
+    once they are whole (without salt). A lone row of a part is its sum already."""
     final = "salt" not in keys
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, block = None, np.zeros(STRIPE * n_b, np.int64)
+        last, lone, block = None, None, np.zeros(STRIPE * n_b, np.int64)
+
+        def put(pairs: bytes, n: bytes) -> None:
+            np.add.at(block, _u32(pairs), np.frombuffer(n, np.int64))
 
         def done() -> pa.RecordBatch:
+            if lone is not None:
+                return _rows(_COUNTS, stripe=[last[0]], salt=[last[1]], pairs=[lone[0]], n=[lone[1]])
             at = np.flatnonzero(block)
-            grid = block.reshape(STRIPE, n_b)
-            best = (grid == grid.max(axis=1, keepdims=True)).reshape(-1)[at]
-            out = _rows(_COUNTS, stripe=[last[0]], salt=[last[1]], pairs=[at.astype(np.uint32).tobytes()], n=[block[at].tobytes()], best=[best.tobytes() if final else None])
-            block[:] = 0
+            best = None
+            if final:
+                grid = block.reshape(STRIPE, n_b)
+                best = (grid == grid.max(axis=1, keepdims=True)).reshape(-1)[at].tobytes()
+            out = _rows(_COUNTS, stripe=[last[0]], salt=[last[1]], pairs=[at.astype(np.uint32).tobytes()], n=[block[at].tobytes()], best=[best])
+            block[at] = 0
             return out
 
         for b in batches:
@@ -236,8 +332,14 @@ def added(counts: DataFrame, keys: list[str], n_b: int) -> DataFrame:
                 key = (stripe, 0 if final else salt)
                 if last is not None and key != last:
                     yield done()
+                if key != last and not final:
+                    last, lone = key, (pairs, n)
+                    continue
                 last = key
-                np.add.at(block, _u32(pairs), np.frombuffer(n, np.int64))
+                if lone is not None:
+                    put(*lone)
+                    lone = None
+                put(pairs, n)
         if last is not None:
             yield done()
 

@@ -1,5 +1,6 @@
 """Operators 11 to 13: brute force, readings, held-out accuracy and edge cases."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.llm import source_audit as A
 from pathloom.llm import toxicity as T
 from pathloom.llm.queries import TOKENIZERS
-from pathloom.llm.token_align import brute_force, token_align
+from pathloom.llm.token_align import COUNTS, Aligned, Pair, Words, added, brute_force, token_align
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, chunk long, place int, rank int, label int, terms string"
@@ -40,6 +41,40 @@ def test_align_edges(spark):
     assert token_align(d.limit(0), *TOKENIZERS).collect() == []
 
 
+def test_align_words_once(monkeypatch):
+    """Words are encoded once, whatever the number of texts, and give what whole texts give."""
+    p, met = Pair(*TOKENIZERS), []
+    encode = Pair.encode_words
+    monkeypatch.setattr(Pair, "encode_words", lambda self, words: met.extend(words) or encode(self, words))
+    rnd = random.Random(8)
+    bits = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "a", "été", "12", ".", "don't", "'s", "🙂", "\x00", "<s>", "the", "\u0301", "漢"]
+    texts = ["", "▁", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(40))) for _ in range(3000)), "one ▁ lost", *["the same few words again"] * 500]
+    for held in (1 << 20, 100):
+        met.clear()
+        known = Words(p, held)
+        for lo in range(0, len(texts), 700):
+            n, digests, doc, code = known.align(texts[lo : lo + 700])
+            for i, t in enumerate(texts[lo : lo + 700]):
+                a, b = p.encode([t])[0]
+                x = Aligned(p, a, np.array([len(a)]), b, np.array([len(b)]))
+                assert n[:, i].tolist() == [len(a), len(b), x.n_groups[0], x.n_links[0]], t
+                assert digests[i] == (hashlib.sha256(x.groups(p)[0].encode()).hexdigest() if len(a) else "")
+                assert code[doc == i].tolist() == x.code.tolist()
+        if held > 100:
+            assert len(met) == len(set(met)) and met.count("same") == 1
+
+
+def test_align_lone_parts(spark):
+    """Parts of a stripe that are one row are handed on; others are added up; bests are of the whole."""
+    row = lambda stripe, salt, pairs, n: (stripe, salt, np.array(pairs, np.uint32).tobytes(), np.array(n, np.int64).tobytes(), None)
+    rows = [row(0, 0, [1, 7], [2, 3]), row(0, 1, [1, 12], [4, 1]), row(0, 1, [7, 12], [1, 9]), row(3, 0, [5], [6])]
+    parts = added(spark.createDataFrame(rows, COUNTS), ["stripe", "salt"], 10)
+    read = lambda r: (r.stripe, np.frombuffer(r.pairs, np.uint32).tolist(), np.frombuffer(r.n, np.int64).tolist())
+    assert sorted(map(read, parts.collect())) == [(0, [1, 7], [2, 3]), (0, [1, 7, 12], [4, 1, 10]), (3, [5], [6])]
+    whole = added(parts, ["stripe"], 10).collect()
+    assert sorted((*read(r), np.frombuffer(r.best, bool).tolist()) for r in whole) == [(0, [1, 7, 12], [6, 4, 10], [True, False, True]), (3, [5], [6], [True])]
+
+
 def audit_brute_force(rows, min_docs=3, top=200):
     import re
     from collections import Counter, defaultdict
