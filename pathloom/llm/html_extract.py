@@ -37,6 +37,7 @@ depth; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,6 +69,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 PARAGRAPH = (frozenset(("p",)), BLOCK - {"p"} | {"button"})
 MAIN = frozenset(("article", "main"))
+#: Tags as nearly all pages write them: no attributes, or quoted ones without references.
+PLAIN_START = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z][a-zA-Z-]*="[^"&]*")*)>')
+PLAIN_END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+PLAIN_ATTRIBUTE = re.compile(r' ([a-zA-Z-]+)="([^"]*)"')
+#: Elements whose content some HTMLParser reads in a way of its own.
+OWN_CONTENT = UNSEEN | frozenset("xmp noembed noframes plaintext".split())
 
 
 class Node:
@@ -113,6 +120,21 @@ class Tree(HTMLParser):
             if node.noise and (node.holds or node.tag in ("form", "header") and 2 * node.words > self.root.words):
                 node.noise = False
 
+    def updatepos(self, i, j):
+        return j  # lines aren't counted
+
+    def parse_starttag(self, i):
+        if (m := PLAIN_START.match(self.rawdata, i)) and (tag := m[1].lower()) not in OWN_CONTENT:
+            self.handle_starttag(tag, [(k.lower(), v) for k, v in PLAIN_ATTRIBUTE.findall(m[2])] if m[2] else None)
+            return m.end()
+        return super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        if self.cdata_elem is None and (m := PLAIN_END.match(self.rawdata, i)):
+            self.handle_endtag(m[1].lower())
+            return m.end()
+        return super().parse_endtag(i)
+
     def _close(self, tags: set[str], stop: set[str]) -> None:
         node = self.at
         while node.parent is not None and node.tag not in stop:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,26 @@ def test_html_wrappers_and_edges(spark):
     assert H.html_extract(df.limit(0)).collect() == []
 
 
+def test_plain_tags_read_as_others(monkeypatch):
+    """Tags as pages write them are read at once and give what HTMLParser gives; others are left to it."""
+
+    class Whole(H.Tree):
+        updatepos, parse_starttag, parse_endtag = HTMLParser.updatepos, HTMLParser.parse_starttag, HTMLParser.parse_endtag
+
+    def nodes(tree):
+        return [(x.name, x.noise, x.unseen, x.words, x.text, x.key) for x in tree.seen]
+
+    rnd = random.Random(6)
+    bits = ["<", ">", "</", "div", "P", "script", "style", "title", ' class="ad"', ' ID="x y"', " a='b'", " hidden", ' x="&amp;"', ' y="<b>"', "/>", "text ", "&lt;", "-", '"', "=", "<p>", "</p>", "<li>", "</script>", "<DIV>", "</Div>", ' class="1" class="ad"', ' class=""', ' class="Nav\nad"']
+    for _ in range(3000):
+        html = "".join(rnd.choice(bits) for _ in range(rnd.randrange(25)))
+        assert nodes(H.Tree(html)) == nodes(Whole(html)), html
+    slow = []
+    monkeypatch.setattr(HTMLParser, "check_for_whole_start_tag", lambda self, i: slow.append(i) or -1)
+    page = '<body><ul class="menu"><li><a href="/x" id="y">x</a></li></ul><DIV><p>one</p><br></DIV>'
+    assert [x.name for x in H.Tree(page).seen] == ["", "body", "ul.menu", "li", "a.y", "div", "p", "br"] and not slow
+
+
 def test_votes_brute_force():
     rnd = random.Random(9)
     words = ["alpha", "Beta", "gamma!", "12", "Delta-x", "e"]
