@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import is_ascii, is_cvt, is_noisy, is_noisy_attribute, normalize, relation_short
-from pathloom.operators.graph import both_ways, directed, owner
+from pathloom.operators.graph import directed, named_neighbours, owner
 from pathloom.operators.lineage import kept
 from pathloom.operators.stage import pattern_key
 from pathloom.operators.walk import with_ends
@@ -150,8 +150,7 @@ def evidence_bodies(evidence: DataFrame, order: DataFrame, lines: int = 400) ->
 def shared_attributes(facts: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, shared): 'relation=name' pairs that all fact nodes of a group (group, node) have,
     in order; of groups of two nodes and more."""
-    near = both_ways(edges).where(is_cvt(F.col("src")) & ~is_cvt(F.col("dst")))
-    pairs = near.groupBy(F.col("src").alias("node")).agg(F.collect_set(F.concat_ws("=", "r", "dst")).alias("pairs"))
+    pairs = named_neighbours(edges).groupBy(F.col("cvt").alias("node")).agg(F.collect_set(F.concat_ws("=", "r", "name")).alias("pairs"))
     asked = facts.groupBy("node").agg(F.collect_set("group").alias("groups")).join(pairs, "node", "left")
     own = asked.select(F.explode("groups").alias("group"), "node", F.coalesce("pairs", F.array().cast("array<string>")).alias("pairs"))
     size = F.count("*").over(Window.partitionBy("group"))

@@ -6,6 +6,7 @@ from pathloom.functions import text as X
 from pathloom.operators import graph as G
 from pathloom.operators import retrieve as R
 from pathloom.operators import walk as W
+from pathloom.plans import catalog
 from pathloom.sources import provider, testkg
 from pathloom.streaming.ingest import ingest_edges
 
@@ -23,6 +24,21 @@ def test_self_loop_and_parallel_edges_once(spark):
     assert sorted((r.src, r.dst) for r in G.both_ways(e).collect()) == [("A", "A"), ("A", "B"), ("A", "B"), ("B", "A"), ("B", "A")]
 
 
+def test_named_neighbours(spark):
+    e = edges(spark, ("A", "r", "m.1"), ("m.1", "s", "B"), ("m.1", "s", "B"), ("m.1", "t", "m.2"), ("m.2", "t", "m.2"), ("A", "r", "B"), ("m.2", "s", None), (None, "r", "m.2"), ("m.3", "s", "A"))
+    assert sorted((r.cvt, r.attributes) for r in G.cvt_attributes(e).collect()) == [("m.1", "r=A; s=B"), ("m.3", "s=A")]
+
+
+def test_fact_edges_are_shuffled_once(spark):
+    """Line items are dealt by their fact node once; its attributes meet there, without names in a shuffle."""
+    sf = "/root/testdata/sf0.001"
+    by_fact = testkg.edges(spark, sf, by_fact=True)
+    assert by_fact.select("h", "r", "t").exceptAll(testkg.edges(spark, sf)).count() == 0 and by_fact.count() == testkg.edges(spark, sf).count()
+    assert by_fact.where("(r in ('sales.order.item', 'sales.item.part', 'sales.item.supplier')) <> (fact is not null) or fact <> h and fact <> t").count() == 0
+    plan = catalog.queries()["cvt_attributes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_noise_and_cvt(spark):
     row = spark.sql("select 'type.object.type' a, 'people.person.religion' b, 'm.0x' c, 'm.' d, cast(null as string) e").select(X.is_noisy(F.col("a")), X.is_noisy(F.col("b")), X.is_cvt(F.col("c")), X.is_cvt(F.col("d")), X.is_cvt(F.col("e")), X.is_noisy_attribute(F.lit("x.is_reviewed"))).first()
     assert tuple(row) == (True, False, True, False, False, False)
