@@ -147,8 +147,8 @@ def fact_attributes(spark, d):
 
 @query(_e(ITEMS, ", g as (select t as node, h as grp from edges where r = 'sales.order.item'), s as (select grp, count(*) as size from g group by grp having count(*) > 1), p as (select distinct src as node, r || '=' || dst as pair from bi where src like 'm.%'), c as (select g.grp, pair, count(*) as n from g join p on g.node = p.node group by 1, 2) select s.grp as \"group\", coalesce(string_agg(pair, '; ' order by pair), '') as shared from s left join c on s.grp = c.grp and c.n = s.size group by s.grp"))
 def shared_attributes(spark, d):
-    e = testkg.edges(spark, d, ITEMS)
-    facts = e.where("r = 'sales.order.item'").select(F.col("h").alias("group"), F.col("t").alias("node"))
+    e = testkg.edges(spark, d, ITEMS, by_fact=True)
+    facts = e.where("r = 'sales.order.item'").select(F.col("h").alias("group"), F.col("fact").alias("node"))
     return E.shared_attributes(facts, e).select("group", F.array_join("shared", "; ").alias("shared"))
 
 

@@ -37,6 +37,9 @@ def test_fact_edges_are_shuffled_once(spark):
     assert by_fact.where("(r in ('sales.order.item', 'sales.item.part', 'sales.item.supplier')) <> (fact is not null) or fact <> h and fact <> t").count() == 0
     plan = catalog.queries()["cvt_attributes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    plan = catalog.queries()["shared_attributes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 3 and sum("hashpartitioning(concat(m.li_" in x for x in dealt) == 2
 
 
 def test_noise_and_cvt(spark):
