@@ -42,6 +42,12 @@ def test_fact_edges_are_shuffled_once(spark):
     assert len(dealt) == 3 and sum("hashpartitioning(concat(m.li_" in x for x in dealt) == 2
 
 
+def test_fanout_counts_tails_once(spark):
+    e = edges(spark, ("A", "r", "B"), ("A", "r", "C"), ("D", "r", "B"), ("B", "r", "B"), ("A", "s", "C"), ("D", "s", None))
+    got = {x.r: (x.n_edges, x.n_heads, x.n_tails, x.max_fanout) for x in G.fanout(e).collect()}
+    assert got == {"r": (4, 3, 2, 2), "s": (2, 2, 1, 1)}
+
+
 def test_noise_and_cvt(spark):
     row = spark.sql("select 'type.object.type' a, 'people.person.religion' b, 'm.0x' c, 'm.' d, cast(null as string) e").select(X.is_noisy(F.col("a")), X.is_noisy(F.col("b")), X.is_cvt(F.col("c")), X.is_cvt(F.col("d")), X.is_cvt(F.col("e")), X.is_noisy_attribute(F.lit("x.is_reviewed"))).first()
     assert tuple(row) == (True, False, True, False, False, False)
