@@ -23,11 +23,12 @@ def _key(nodes: Column, facts: bool) -> Column:
 
 def support_paths(paths: DataFrame, most: int = 24) -> DataFrame:
     """(anchor, chain, place, nodes, rels): a pattern's concrete paths, the best first, then those
-    that bring a new signature and a new pair of named and fact nodes, at most `most`."""
+    that bring a new signature and a new pair of named and fact nodes, at most `most`. Paths of
+    one fact node may say it (`fact`) and are compared in the parts they are dealt in."""
     rows = paths.withColumn("chain", pattern_key(F.col("nodes"), F.col("rels")))
     rank = F.struct((-F.bit_count("covered")).alias("c"), F.size("edges").alias("d"), F.col("edges").alias("e"))
     rows = rows.withColumn("_r", rank).withColumn("_n", _key(F.col("nodes"), False)).withColumn("_f", _key(F.col("nodes"), True))
-    one = Window.partitionBy("anchor", "chain", "_n", "_f").orderBy("_r")
+    one = Window.partitionBy("anchor", "chain", "_n", "_f", *(c for c in paths.columns if c == "fact")).orderBy("_r")
     rows = rows.withColumn("_k", F.row_number().over(one)).where("_k = 1")
     place = F.row_number().over(Window.partitionBy("anchor", "chain").orderBy("_r"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select("anchor", "chain", "place", "nodes", "rels")
@@ -59,35 +60,45 @@ def path_triples(support: DataFrame) -> DataFrame:
 
 
 def _ranked(facts: DataFrame, edges: DataFrame, on_path: DataFrame | None) -> DataFrame:
-    """(node, k, plain, r, h, t): edges of fact nodes with named neighbours; `k` ranks those on the
+    """(node, k, plain, r, h, t, name, out): edges of fact nodes with named neighbours; `k` ranks those on the
     path first, `plain` takes no notice of it. Edges and the path's triples come together by
-    node, once; an edge is its ends and the side it is seen from."""
+    node, once; an edge is its ends and the side it is seen from. Edges that say their fact node
+    (`fact`) keep the parts they are dealt in."""
     own = owner(edges)
-    rows = edges.select(*own, "h", "r", "t", F.lit(False).alias("on"))
+    def seen(rows: DataFrame, on: bool) -> DataFrame:
+        sides = directed(rows.select(*own, "h", "r", "t")).where(~is_cvt(F.col("dst")))
+        return sides.select(*own, F.col("src").alias("node"), "r", F.col("dst").alias("name"), "out", F.lit(on).alias("on"))
+
+    if "fact" in edges.columns:
+        down = is_cvt(F.col("h"))
+        one = edges.where("h is not null and t is not null").where(down != is_cvt(F.col("t")))
+        near = one.select(*own, F.col("fact").alias("node"), "r", F.when(down, F.col("t")).otherwise(F.col("h")).alias("name"), down.alias("out"), F.lit(False).alias("on"))
+    else:
+        near = seen(edges, False)
     if on_path is not None:
-        rows = rows.unionByName(on_path.select(*own, "h", "r", "t", F.lit(True).alias("on")))
-    near = directed(rows, "on").where(~is_cvt(F.col("dst"))).withColumnsRenamed({"src": "node", "dst": "name"})
+        # Dealt by node before the union, which edges that are dealt by their fact node then don't leave.
+        near = near.unionByName(seen(on_path, True).repartition(*own, "node") if "fact" in edges.columns else seen(on_path, True))
     near = near.join(facts.select(*own, "node").distinct(), [*own, "node"])  # a semi-join would be taken below the union, and its rows shuffled again
     name = F.col("name")
-    near = near.select(*own, "node", "r", "name", "on", F.when(F.col("out"), F.col("node")).otherwise(name).alias("h"), F.when(F.col("out"), name).otherwise(F.col("node")).alias("t"), is_noisy_attribute(F.col("r")).alias("_noisy"), (~is_ascii(name)).alias("_far"), F.length("name").alias("_long"))
+    near = near.select(*own, "node", "r", "name", "on", "out", F.when(F.col("out"), F.col("node")).otherwise(name).alias("h"), F.when(F.col("out"), name).otherwise(F.col("node")).alias("t"), is_noisy_attribute(F.col("r")).alias("_noisy"), (~is_ascii(name)).alias("_far"), F.length("name").alias("_long"))
     # All windows have one order, so a node's rows are sorted once; a triple of the path is the peer of its edge.
     by = Window.partitionBy(*own, "node").orderBy("_noisy", "_far", "_long", "r", "name", "h", "t")
     plain = F.row_number().over(by)
     if on_path is None:
-        return near.select(*own, "node", plain.alias("k"), plain.alias("plain"), "r", "h", "t")
+        return near.select(*own, "node", plain.alias("k"), plain.alias("plain"), "r", "h", "t", "name", "out")
     near = near.withColumn("_on", F.max("on").over(by.rangeBetween(Window.currentRow, Window.currentRow)).cast("int")).where("not on")
     so_far = F.sum("_on").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     in_all = F.sum("_on").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     near = near.withColumns({"plain": plain, "_so_far": so_far, "_in_all": in_all})
     k = F.when(F.col("_on") == 1, F.col("_so_far")).otherwise(F.col("_in_all") + F.col("plain") - F.col("_so_far")).cast("int")
-    return near.select(*own, "node", k.alias("k"), "plain", "r", "h", "t")
+    return near.select(*own, "node", k.alias("k"), "plain", "r", "h", "t", "name", "out")
 
 
 def fact_attributes(facts: DataFrame, edges: DataFrame, on_path: DataFrame | None = None) -> DataFrame:
     """(node, k, r, h, t): edges of fact nodes (node) with named neighbours, ordered by: on the
     path, quiet relation, ASCII name, short name, relation, name, then the edge itself. Edges
     with an anchor are that question's own, and so are the rows."""
-    return _ranked(facts, edges, on_path).drop("plain")
+    return _ranked(facts, edges, on_path).drop("plain", "name", "out")
 
 
 def sibling_facts(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
@@ -95,7 +106,7 @@ def sibling_facts(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFra
     the first `most` of each. A head's facts are packed once, sorted; only the asked ones unpack
     the first `most` + 1 of them, so a head costs its facts and not their square."""
     own = owner(edges)
-    facts = edges.where(is_cvt(F.col("t"))).select(*own, "h", "r", "t")
+    facts = edges.where(is_cvt(F.col("t"))).select(*own, "h", "r", F.col("fact" if "fact" in edges.columns else "t").alias("t"))
     asked = facts.withColumnRenamed("t", "node").join(nodes.select(*own, "node").distinct(), [*own, "node"], "left_semi").distinct()
     heads = facts.join(asked.select(*own, "h", "r").distinct(), [*own, "h", "r"], "left_semi").distinct()
     k = F.row_number().over(Window.partitionBy(*own, "h", "r").orderBy("t"))
@@ -113,23 +124,28 @@ def pattern_evidence(support: DataFrame, edges: DataFrame, attributes: int = 8,
     support = kept(support.select(*key, "nodes", "rels"))
     facts = support.select(*key, F.explode(F.array_distinct(F.filter("nodes", is_cvt))).alias("node"))
     near = sibling_facts(facts.where("place = 1").select("anchor", "node"), edges, siblings)
-    # A fact node, or a sibling with the triple that leads to it: each meets its attributes once, as a list.
-    lead = F.struct("h", "r", F.col("sibling").alias("t"))
+    # A fact node, or a sibling with what leads to it: each meets its attributes once, as a list. Lists
+    # and paths are shuffled as names beside their node; triples are made where they are compared.
+    lead = F.struct("h", "r")
     heads = facts.where("place = 1").join(near, [*own, "node"]).select(*key, F.col("sibling").alias("node"), lead.alias("lead"))
-    asked = kept(facts.withColumn("lead", F.lit(None).cast("struct<h:string,r:string,t:string>")).unionByName(heads))
+    asked = kept(facts.withColumn("lead", F.lit(None).cast("struct<h:string,r:string>")).unionByName(heads))
     ranked = _ranked(asked, edges, path_triples(support)).where((F.col("k") <= attributes) | (F.col("plain") <= attributes))
-    lists = ranked.groupBy(*own, "node").agg(F.collect_list(F.struct("k", "plain", "h", "r", "t")).alias("list"))
-    triple = lambda phase, pos, x: F.struct(F.lit(phase).alias("phase"), pos.cast("int").alias("pos"), x["h"].alias("h"), x["r"].alias("r"), x["t"].alias("t"))
-    some = lambda phase, k: F.transform(F.filter("list", lambda x: x[k] <= attributes), lambda x: triple(phase, x[k], x))
-    met = asked.join(lists, [*own, "node"], "left").withColumn("list", F.coalesce("list", F.array().cast(lists.schema["list"].dataType)))
-    more = met.select(*key, F.when(F.col("lead").isNull(), some(1, "k")).otherwise(F.concat(F.array(triple(2, F.lit(0), F.col("lead"))), some(2, "plain"))).alias("x"))
-    first = F.transform("rels", lambda r, i: triple(0, i, F.struct(F.element_at("nodes", i + 1).alias("h"), r.alias("r"), F.element_at("nodes", i + 2).alias("t"))))
+    lists = ranked.groupBy(*own, "node").agg(F.collect_list(F.struct("k", "plain", "r", "name", "out")).alias("list"))
+    met = asked.join(lists, [*own, "node"], "left").withColumn("list", F.filter(F.coalesce("list", F.array().cast(lists.schema["list"].dataType)), lambda x: F.when(F.col("lead").isNull(), x["k"]).otherwise(x["plain"]) <= attributes))
+    none = F.lit(None).cast("array<string>")
+    paths = support.select(*key, F.lit(None).cast("string").alias("node"), F.lit(None).cast("struct<h:string,r:string>").alias("lead"), F.lit(None).cast(lists.schema["list"].dataType).alias("list"), "nodes", "rels")
+    rows = paths.unionByName(met.select(*key, "node", "lead", "list", none.alias("nodes"), none.alias("rels"))).repartition("anchor", "chain")
+    triple = lambda phase, pos, h, r, t: F.struct(F.lit(phase).alias("phase"), pos.cast("int").alias("pos"), h.alias("h"), r.alias("r"), t.alias("t"))
+    node = F.col("node")
+    some = lambda phase, k: F.transform("list", lambda x: triple(phase, x[k], F.when(x["out"], node).otherwise(x["name"]), x["r"], F.when(x["out"], x["name"]).otherwise(node)))
+    first = F.transform("rels", lambda r, i: triple(0, i, F.element_at("nodes", i + 1), r, F.element_at("nodes", i + 2)))
+    led = F.array(triple(2, F.lit(0), F.col("lead.h"), F.col("lead.r"), node))
+    rows = rows.withColumn("x", F.when(F.col("rels").isNotNull(), first).when(F.col("lead").isNull(), some(1, "k")).otherwise(F.concat(led, some(2, "plain"))))
     # What a pattern has is bounded by the caps: it comes together in lists, of which equals are neighbours when sorted.
     good = lambda c: is_ascii(c) & (F.length(c) > 1)
     name = lambda c: F.when(is_cvt(c), c).otherwise(normalize(c))
     keyed = F.transform(F.filter("x", lambda x: good(x["h"]) & good(x["t"])), lambda x: F.struct(F.concat_ws("|", name(x["h"]), x["r"], name(x["t"])).alias("key"), "place", x["phase"].alias("phase"), x["pos"].alias("pos"), x["h"].alias("h"), x["r"].alias("r"), x["t"].alias("t")))
-    rows = support.select(*key, first.alias("x")).unionByName(more).repartition("anchor", "chain").select("anchor", "chain", keyed.alias("x"))
-    each = rows.groupBy("anchor", "chain").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
+    each = rows.select("anchor", "chain", keyed.alias("x")).groupBy("anchor", "chain").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
     one = F.filter("x", lambda x, i: (i == 0) | (x["key"] != F.get(F.col("x"), i - 1)["key"]))
     return each.select("anchor", "chain", F.explode(one).alias("x")).select("anchor", "chain", "x.place", "x.phase", "x.pos", "x.h", "x.r", "x.t")
 

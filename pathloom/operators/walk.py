@@ -51,6 +51,16 @@ def hop(states: DataFrame, steps: DataFrame | Graph, where: Column | None = None
     return grow(states, met, where, node_simple)
 
 
+def through_facts(edges: DataFrame, into: str, out: str) -> DataFrame:
+    """States two hops from every head of `into`, over its fact nodes, along `out`; with the `fact`
+    of each. Edges say their fact node (`fact`): both hops meet where edges are dealt by it."""
+    side = lambda r, c, name: edges.where(F.col("r") == r).where(F.col("fact") == F.col("t" if c == "h" else "h")).select("fact", F.col(c).alias(name))
+    met = side(into, "h", "anchor").hint("merge").join(side(out, "t", "_end"), "fact")
+    named = F.array(F.concat_ws("|", "anchor", F.lit(into), "fact"), F.concat_ws("|", "fact", F.lit(out), "_end"))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    return met.select("anchor", F.array("anchor", "fact", "_end").alias("nodes"), F.array(F.lit(into), F.lit(out)).alias("rels"), named.alias("edges"), zero.alias("covered"), zero.alias("skipped"), none.alias("terminal"), "fact")
+
+
 def at_ends(states: DataFrame, ends: DataFrame, how: str = "left_semi") -> DataFrame:
     """States that end at one of their question's endpoints ([case_id,] anchor, endpoint), or none."""
     return states.withColumn("endpoint", last()).join(ends.select(*key_of(states), "endpoint").distinct(), [*key_of(states), "endpoint"], how).select(*states.columns)

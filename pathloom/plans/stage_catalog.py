@@ -429,11 +429,8 @@ def resembling_names(spark, d):
 @query(_e(ITEMS, ", i as (select h as o, t as li from edges where r = 'sales.order.item'), t as (select o as anchor, o as h, 'sales.order.item' as r, li as t from i union all select o, li, r, t from i join edges on h = li) select anchor, h, r, t from t"))
 def pattern_evidence(spark, d):
     """Each order's paths to its parts, with the suppliers of the items on them."""
-    e = testkg.edges(spark, d, ITEMS)
-    steps = G.directed(e)
-    orders = e.where("r = 'sales.order.item'").select(F.col("h").alias("anchor")).distinct()
-    paths = W.hop(W.hop(W.start(orders), steps, F.col("r") == "sales.order.item"), steps, F.col("r") == "sales.item.part")
-    return E.pattern_evidence(E.support_paths(paths), e).select("anchor", "h", "r", "t")
+    e = testkg.edges(spark, d, ITEMS, by_fact=True)
+    return E.pattern_evidence(E.support_paths(W.through_facts(e, "sales.order.item", "sales.item.part")), e).select("anchor", "h", "r", "t")
 
 
 @query("""with e as (select s_nationkey as n, s_suppkey as k, lower(s_name) as name, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),

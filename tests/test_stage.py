@@ -17,9 +17,9 @@ from pathloom.operators import retrieve as R
 from pathloom.operators import select as S
 from pathloom.operators import stage as ST
 from pathloom.operators import walk as W
-from pathloom.plans import prompts, runner
+from pathloom.plans import catalog, prompts, runner
 from pathloom.sources import cases as C
-from pathloom.sources import provider
+from pathloom.sources import provider, testkg
 
 
 def edges(spark, *rows):
@@ -372,3 +372,20 @@ def test_pattern_evidence_shuffles_a_fact_with_its_attributes_as_one_row(spark):
     got = E.pattern_evidence(E.support_paths(paths), e)
     assert {tuple(r) for r in got.select("h", "r", "t").collect()} == {(r.h, r.r, r.t) for r in e.collect()}
     assert not [x for x in plan.splitlines() if "Window" in x and "chain" in x]
+
+
+def test_pattern_evidence_leaves_line_items_where_their_fact_is(spark):
+    """Paths and attributes of a fact node meet in the parts that line items are dealt in; no edge of
+    theirs goes through a shuffle of its own, and rows are those of edges without `fact`."""
+    sf = "/root/testdata/sf0.001"
+    e = testkg.edges(spark, sf, catalog.ITEMS, by_fact=True)
+    paths = W.through_facts(e, "sales.order.item", "sales.item.part")
+    plan = paths._jdf.queryExecution().executedPlan().toString()
+    assert all("concat(m.li_" in x for x in plan.splitlines() if "Exchange" in x)
+    flat = e.drop("fact")
+    steps = G.directed(flat)
+    starts = flat.where("r = 'sales.order.item'").select(F.col("h").alias("anchor")).distinct()
+    slow = W.hop(W.hop(W.start(starts), steps, F.col("r") == "sales.order.item"), steps, F.col("r") == "sales.item.part")
+    assert paths.drop("fact").exceptAll(slow.select(*paths.drop("fact").columns)).count() == 0 and paths.count() == slow.count()
+    got, want = E.pattern_evidence(E.support_paths(paths), e), E.pattern_evidence(E.support_paths(slow), flat)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
